@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tallyforge.llm import repair
+from tallyforge.llm import packing, repair
 from tallyforge.llm.common import table
 
 
@@ -14,8 +14,14 @@ def op1_repair(spark, sf_dir):
     return repair.read_shards(blocks)
 
 
+def op8_packing(spark, sf_dir):
+    """All documents' ids in windows of 2048."""
+    pieces = packing.cut(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1)
+    return packing.pack(pieces).drop("ids")
+
+
 def queries() -> dict:
-    return {"op1_repair": op1_repair}
+    return {"op1_repair": op1_repair, "op8_packing": op8_packing}
 
 
 def oracle_sql() -> dict[str, str]:
