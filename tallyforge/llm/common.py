@@ -46,12 +46,15 @@ def freed_shuffles(spark: SparkSession):
 _written: list[tuple[SparkSession, str]] = []
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` as Parquet in the shared folder and reads it again: cuts lineage, survives lost executors."""
+def materialise(df: DataFrame, label: str, level: int = 3) -> DataFrame:
+    """Writes ``df`` as Parquet in the shared folder and reads it again: cuts lineage, survives lost executors.
+
+    ``level``: of zstd, for tables of some size. Shuffle files of the job that wrote the table go when it ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     with freed_shuffles(spark):
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
