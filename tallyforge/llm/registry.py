@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tallyforge.llm import chunking, packing, repair
+from tallyforge.llm import chunking, packing, repair, toxicity
 from tallyforge.llm.common import table
 
 
@@ -14,6 +14,11 @@ def op1_repair(spark, sf_dir):
     return repair.read_shards(blocks)
 
 
+def op2_nnpu(spark, sf_dir):
+    """Toxicity of all documents."""
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_chunking(spark, sf_dir):
     """All documents' payloads as deduplicated chunks, read back."""
     return chunking.media(table(spark, sf_dir, "documents"))
@@ -26,7 +31,7 @@ def op8_packing(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {"op1_repair": op1_repair, "op3_chunking": op3_chunking, "op8_packing": op8_packing}
+    return {"op1_repair": op1_repair, "op2_nnpu": op2_nnpu, "op3_chunking": op3_chunking, "op8_packing": op8_packing}
 
 
 def oracle_sql() -> dict[str, str]:
