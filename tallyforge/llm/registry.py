@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tallyforge.llm import chunking, packing, repair, toxicity
+from tallyforge.llm import chunking, langid, packing, repair, toxicity
 from tallyforge.llm.common import table
 
 
@@ -24,6 +24,11 @@ def op3_chunking(spark, sf_dir):
     return chunking.media(table(spark, sf_dir, "documents"))
 
 
+def op4_bytecnn(spark, sf_dir):
+    """Language of all documents."""
+    return langid.language(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark, sf_dir):
     """All documents' ids in windows of 2048."""
     pieces = packing.cut(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1)
@@ -31,7 +36,7 @@ def op8_packing(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {"op1_repair": op1_repair, "op2_nnpu": op2_nnpu, "op3_chunking": op3_chunking, "op8_packing": op8_packing}
+    return {"op1_repair": op1_repair, "op2_nnpu": op2_nnpu, "op3_chunking": op3_chunking, "op4_bytecnn": op4_bytecnn, "op8_packing": op8_packing}
 
 
 def oracle_sql() -> dict[str, str]:
