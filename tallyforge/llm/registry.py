@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tallyforge.llm import chunking, langid, ngram, packing, repair, toxicity
+from tallyforge.llm import chunking, langid, ngram, packing, probminhash, repair, toxicity
 from tallyforge.llm.common import table
 
 
@@ -34,6 +34,11 @@ def op5_kneser_ney(spark, sf_dir):
     return ngram.perplexity(table(spark, sf_dir, "documents"))
 
 
+def op7_probminhash(spark, sf_dir):
+    """Classes of near-duplicate documents."""
+    return probminhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark, sf_dir):
     """All documents' ids in windows of 2048."""
     pieces = packing.cut(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1)
@@ -41,7 +46,7 @@ def op8_packing(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {"op1_repair": op1_repair, "op2_nnpu": op2_nnpu, "op3_chunking": op3_chunking, "op4_bytecnn": op4_bytecnn, "op5_kneser_ney": op5_kneser_ney, "op8_packing": op8_packing}
+    return {"op1_repair": op1_repair, "op2_nnpu": op2_nnpu, "op3_chunking": op3_chunking, "op4_bytecnn": op4_bytecnn, "op5_kneser_ney": op5_kneser_ney, "op7_probminhash": op7_probminhash, "op8_packing": op8_packing}
 
 
 def oracle_sql() -> dict[str, str]:
