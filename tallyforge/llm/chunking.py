@@ -87,24 +87,24 @@ def _packed(batches):
         yield pa.RecordBatch.from_pydict({"key": keys, "packed": pa.array([squeeze(payload(t)) for t in texts], pa.binary())})
 
 
-STORE = "key binary, own array<binary>, chunk_list array<struct<digest:binary,length:int,owned:boolean>>"
+STORE = "key binary, own array<binary>, chunk_list array<struct<digest:binary,length:int,owned:boolean,lent:boolean>>"
 
 
 def _stored(batches):
-    """Rows are sorted by key; of each, the payload and the chunks that others own."""
+    """Each payload without the chunks that others own; ``lent`` are those that others have from it."""
     unpack = zstandard.ZstdDecompressor().decompress
+    kind = pa.struct([("digest", pa.binary()), ("length", pa.int32()), ("owned", pa.bool_()), ("lent", pa.bool_())])
     for batch in batches:
         keys, own, lists = [], [], []
-        for key, packed, foreign in zip(*(batch.column(c).to_pylist() for c in ("key", "packed", "foreign"))):
-            data, gone = unpack(packed), set(foreign or ())
+        for key, packed, foreign, lent in zip(*(batch.column(c).to_pylist() for c in ("key", "packed", "foreign", "lent"))):
+            data, gone, given = unpack(packed), set(foreign or ()), set(lent or ())
             (ends,) = cuts(np.frombuffer(data, np.uint8), np.array([len(data)]))
             chunks = [data[i:j] for i, j in zip([0, *ends], ends)]
             keys.append(key)
             own.append([c for k, c in enumerate(chunks) if k not in gone])
-            lists.append([{"digest": hashlib.sha256(c).digest(), "length": len(c), "owned": k not in gone} for k, c in enumerate(chunks)])
+            lists.append([{"digest": hashlib.sha256(c).digest(), "length": len(c), "owned": k not in gone, "lent": k in given} for k, c in enumerate(chunks)])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(keys, pa.binary()), pa.array(own, pa.list_(pa.binary())), pa.array(lists, pa.list_(pa.struct([("digest", pa.binary()), ("length", pa.int32()), ("owned", pa.bool_())])))],
-            ["key", "own", "chunk_list"],
+            [pa.array(keys, pa.binary()), pa.array(own, pa.list_(pa.binary())), pa.array(lists, pa.list_(kind))], ["key", "own", "chunk_list"]
         )
 
 
@@ -133,9 +133,11 @@ def write_store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = materialise(
         index.join(owners, "digest").where(~((F.col("key") == F.col("owner")) & (F.col("seq") == F.col("owner_seq")))).distinct(), "shared"
     )
-    foreign = shared.groupBy("key").agg(F.sort_array(F.collect_set("seq")).alias("foreign"))  # a payload's own places
+    # a payload's own places, as many at most as it has chunks
+    foreign = shared.groupBy("key").agg(F.collect_set("seq").alias("foreign"))
+    lent = owners.groupBy(F.col("owner").alias("key")).agg(F.collect_set("owner_seq").alias("lent"))
     payloads = texts.mapInArrow(_packed, "key binary, packed binary").groupBy("key").agg(F.first("packed").alias("packed"))
-    return materialise(payloads.join(foreign, "key", "left").mapInArrow(_stored, STORE), "store", level=9), shared
+    return materialise(payloads.join(foreign, "key", "left").join(lent, "key", "left").mapInArrow(_stored, STORE), "store", level=9), shared
 
 
 READ = "key binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_chunks long, n_bytes long"
@@ -176,9 +178,8 @@ def read_store(store: DataFrame, shared: DataFrame) -> DataFrame:
     """
     whole = F.forall("chunk_list", lambda c: c["owned"])
     alone = store.where(whole).withColumn("others", F.lit(None).cast("array<struct<seq:int,data:binary>>"))
-    wanted = shared.select(F.col("owner").alias("key"), F.col("owner_seq").alias("place"), "digest").distinct()
-    place = F.size(F.filter(F.slice("chunk_list", 1, F.col("place") + 1), lambda c: c["owned"])) - 1
-    held = store.join(wanted, "key").select("digest", F.get("own", place).alias("data"))
+    chunks = F.zip_with(F.filter("chunk_list", lambda c: c["owned"]), "own", lambda c, data: F.struct(c["digest"].alias("digest"), c["lent"].alias("lent"), data.alias("data")))
+    held = store.where(F.exists("chunk_list", lambda c: c["lent"])).select(F.inline(F.filter(chunks, lambda c: c["lent"]))).select("digest", "data")
     others = shared.select("key", "seq", "digest").join(held, "digest").groupBy("key").agg(F.collect_list(F.struct("seq", "data")).alias("others"))
     joined = store.where(~whole).join(others, "key", "left")
     columns = ["key", "own", "chunk_list", "others"]
