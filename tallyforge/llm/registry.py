@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tallyforge.llm import chunking, langid, ngram, packing, probminhash, repair, toxicity
+from tallyforge.llm import chunking, decontaminate, langid, ngram, packing, probminhash, repair, toxicity
 from tallyforge.llm.common import table
 
 
@@ -45,8 +45,13 @@ def op8_packing(spark, sf_dir):
     return packing.pack(pieces).drop("ids")
 
 
+def op10_spaced_seeds(spark, sf_dir):
+    """Passages of the benchmark in all documents."""
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    return {"op1_repair": op1_repair, "op2_nnpu": op2_nnpu, "op3_chunking": op3_chunking, "op4_bytecnn": op4_bytecnn, "op5_kneser_ney": op5_kneser_ney, "op7_probminhash": op7_probminhash, "op8_packing": op8_packing}
+    return {"op1_repair": op1_repair, "op2_nnpu": op2_nnpu, "op3_chunking": op3_chunking, "op4_bytecnn": op4_bytecnn, "op5_kneser_ney": op5_kneser_ney, "op7_probminhash": op7_probminhash, "op8_packing": op8_packing, "op10_spaced_seeds": op10_spaced_seeds}
 
 
 def oracle_sql() -> dict[str, str]:
