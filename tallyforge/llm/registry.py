@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tallyforge.llm import chunking, decontaminate, langid, ngram, packing, probminhash, repair, toxicity
+from tallyforge.llm import chunking, decontaminate, langid, ngram, packing, probminhash, repair, toxicity, urls
 from tallyforge.llm.common import table
 
 
@@ -34,6 +34,11 @@ def op5_kneser_ney(spark, sf_dir):
     return ngram.perplexity(table(spark, sf_dir, "documents"))
 
 
+def op6_redirects(spark, sf_dir):
+    """Verdicts of all pages."""
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op7_probminhash(spark, sf_dir):
     """Classes of near-duplicate documents."""
     return probminhash.classes(table(spark, sf_dir, "documents"))
@@ -51,8 +56,8 @@ def op10_spaced_seeds(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {"op1_repair": op1_repair, "op2_nnpu": op2_nnpu, "op3_chunking": op3_chunking, "op4_bytecnn": op4_bytecnn, "op5_kneser_ney": op5_kneser_ney, "op7_probminhash": op7_probminhash, "op8_packing": op8_packing, "op10_spaced_seeds": op10_spaced_seeds}
+    return {"op1_repair": op1_repair, "op2_nnpu": op2_nnpu, "op3_chunking": op3_chunking, "op4_bytecnn": op4_bytecnn, "op5_kneser_ney": op5_kneser_ney, "op6_redirects": op6_redirects, "op7_probminhash": op7_probminhash, "op8_packing": op8_packing, "op10_spaced_seeds": op10_spaced_seeds}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_redirects": urls.SQL}
