@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tallyforge.llm import chunking, decontaminate, langid, ngram, packing, probminhash, repair, toxicity, urls
+from tallyforge.llm import chunking, decontaminate, langid, ngram, packing, privacy, probminhash, repair, toxicity, urls
 from tallyforge.llm.common import table
 
 
@@ -50,13 +50,18 @@ def op8_packing(spark, sf_dir):
     return packing.pack(pieces).drop("ids")
 
 
+def op9_disclosure(spark, sf_dir):
+    """Personal data in all documents."""
+    return privacy.digest(privacy.find(table(spark, sf_dir, "documents")))
+
+
 def op10_spaced_seeds(spark, sf_dir):
     """Passages of the benchmark in all documents."""
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict:
-    return {"op1_repair": op1_repair, "op2_nnpu": op2_nnpu, "op3_chunking": op3_chunking, "op4_bytecnn": op4_bytecnn, "op5_kneser_ney": op5_kneser_ney, "op6_redirects": op6_redirects, "op7_probminhash": op7_probminhash, "op8_packing": op8_packing, "op10_spaced_seeds": op10_spaced_seeds}
+    return {"op1_repair": op1_repair, "op2_nnpu": op2_nnpu, "op3_chunking": op3_chunking, "op4_bytecnn": op4_bytecnn, "op5_kneser_ney": op5_kneser_ney, "op6_redirects": op6_redirects, "op7_probminhash": op7_probminhash, "op8_packing": op8_packing, "op9_disclosure": op9_disclosure, "op10_spaced_seeds": op10_spaced_seeds}
 
 
 def oracle_sql() -> dict[str, str]:
