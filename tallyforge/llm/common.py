@@ -1,15 +1,11 @@
-"""What the operators of this subpackage share: tables, the shared folder, folds, the word-cached tokenizer."""
+"""What the operators of this subpackage share: tables, the shared folder, folds."""
 
 from __future__ import annotations
 
-import os
-import re
 import tempfile
 import uuid
 from contextlib import contextmanager
-from itertools import chain
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,83 +74,6 @@ def fold(column: str, parts: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % parts
 
 
-class WordCachedEncoder:
-    """Encodes whole texts with a file of the ``tokenizers`` library; each distinct piece is encoded once.
-
-    A text is cut where the tokenizer's own pre-tokenizer always cuts: before a run of white space that follows other
-    characters. So the ids of the pieces, put together, are the ids of the text. The first ``limit``
-    pieces are remembered; later ones only until the next call.
-
-    ``spaces``: whether white space yields ids (byte-level vocabularies) or is dropped (word vocabularies).
-    """
-
-    # White space as Unicode has it; Python also counts the four separators U+001C to U+001F.
-    _WITH_SPACES = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
-
-    def __init__(self, path: str, spaces: bool, limit: int = 800_000):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self._tokenizer = Tokenizer.from_file(path)
-        self._spaces, self._limit = spaces, limit
-        self._index: dict[str, int] = {}
-        self._passing: list[str] = []
-        self._ids, self._start, self._len = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
-
-    def _forget(self) -> None:
-        """Drops what was learned beyond the limit."""
-        for piece in self._passing:
-            del self._index[piece]
-        n = len(self._index)
-        self._start, self._len = self._start[:n], self._len[:n]
-        self._ids = self._ids[: self._start[-1] + self._len[-1] if n else 0]
-        self._passing = []
-
-    def _learn(self, pieces: list[str]) -> None:
-        got = [e.ids for e in self._tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        lens = np.fromiter(map(len, got), np.int64, len(got))
-        at = len(self._ids) + np.cumsum(lens) - lens
-        self._ids = np.concatenate([self._ids, np.fromiter(chain.from_iterable(got), np.uint32, int(lens.sum()))])
-        self._start, self._len = np.concatenate([self._start, at]), np.concatenate([self._len, lens])
-        self._passing += pieces[max(0, self._limit - len(self._index)) :]
-        self._index.update(zip(pieces, range(len(self._index), len(self._index) + len(pieces))))
-
-    def _pieces(self, text: str) -> list[str]:
-        if self._spaces:
-            return self._WITH_SPACES.findall(text)
-        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after the other, and each text's number of ids."""
-        if self._passing:
-            self._forget()
-        words: list[str] = []
-        ends = np.zeros(len(texts) + 1, np.int64)
-        for k, text in enumerate(texts):
-            words += self._pieces(text)
-            ends[k + 1] = len(words)
-        found = list(map(self._index.get, words))
-        if None in found:
-            new = list(dict.fromkeys(w for w, f in zip(words, found) if f is None))
-            self._learn(sorted(new, key=len))  # the longest, if any, pass by
-            found = list(map(self._index.get, words))
-        at = np.array(found, np.int64)
-        lens = self._len[at]
-        upto = np.concatenate([[0], np.cumsum(lens)])
-        ids = self._ids[np.repeat(self._start[at] - upto[:-1], lens) + np.arange(upto[-1])]
-        return ids, np.diff(upto[ends])
-
-
-_encoders: dict[tuple, WordCachedEncoder] = {}
-
-
-def encoder(path: str, spaces: bool) -> WordCachedEncoder:
-    """One encoder for each worker process, kept from task to task."""
-    if (path, spaces) not in _encoders:
-        _encoders[path, spaces] = WordCachedEncoder(path, spaces)
-    return _encoders[path, spaces]
-
-
 def in_slices(texts: list[str], most: int = 1 << 22):
     """(first, last) row numbers of runs with about ``most`` characters, one row at least."""
     first = size = 0

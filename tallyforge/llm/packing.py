@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import encoder, in_slices, materialise
+from tallyforge.llm.common import in_slices, materialise
+from tallyforge.llm.pieces import encoder
 
 CAPACITY = 2048
 #: Pieces in one group, on average: about 500 windows are balanced at a time.
@@ -59,6 +60,8 @@ def windows(sizes: np.ndarray, capacity: int) -> np.ndarray:
     """Windows for sizes of at most ``capacity``, none over it: as many as the total needs, and more while one is."""
     total = int(sizes.sum())
     k = max(1, -(-total // capacity))
+    if k > 64:  # a few ids of slack in each window, so that the first partition mostly fits
+        k = -(-total // (capacity - max(1, capacity // 512)))
     while len(sizes):
         at = differencing(sizes, k)
         if np.bincount(at, sizes, k).max() <= capacity:
@@ -76,10 +79,11 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY,
     A null text is empty and yields the end id alone; null and repeated doc_ids are kept as they are; other columns
     are ignored. ``ids``: the piece as little-endian unsigned 32-bit numbers, null unless ``with_ids``.
     """
+    table = encoder(docs, tokenizer, True)
     part = max(1, capacity // 4)
 
     def run(batches):
-        encode = encoder(tokenizer, True).encode
+        encode = table.open().encode
         for batch in batches:
             doc_ids, texts = batch.column(0), batch.column(1).to_pylist()
             for a, b in in_slices(texts):

@@ -16,7 +16,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import encoder, in_slices, materialise
+from tallyforge.llm.common import in_slices, materialise
+from tallyforge.llm.pieces import encoder
 
 MAGIC = b"TFRP1\0\0\0"
 #: Ids of one block, at which it is closed; a longer document is a block of its own.
@@ -162,10 +163,11 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 2, shards: int |
     an empty table yields no block. ``start`` counts the ids of the shard's earlier blocks.
     """
     spark = docs.sparkSession
+    table = encoder(docs, tokenizer, False)
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
-        encode = encoder(tokenizer, False).encode
+        encode = table.open().encode
         shard, block, start = TaskContext.get().partitionId(), 0, 0
         ids, lens, held = [], [], 0
         names: list[int] = []

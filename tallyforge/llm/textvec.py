@@ -29,6 +29,25 @@ def _up_to(n: int) -> None:
         _inverse = np.multiply.accumulate(steps)
 
 
+_Q = np.uint64(0xC2B2AE3D27D4EB4F)
+_second: list[np.ndarray] = [np.empty(0, np.uint64), np.empty(0, np.uint64)]
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, second: bool = False) -> np.ndarray:
+    """A 64-bit hash of each span of bytes; spans follow one another. ``second``: another hash, of another factor."""
+    _up_to(len(data))
+    if second and len(_second[0]) < len(data):
+        for k, factor in enumerate((_Q, np.uint64(pow(int(_Q), -1, 1 << 64)))):
+            steps = np.full(len(data), factor)
+            steps[0] = 1
+            _second[k] = np.multiply.accumulate(steps)
+    powers, inverse = _second if second else (_powers, _inverse)
+    terms = (data.astype(np.uint64) + np.uint64(1)) * powers[: len(data)]
+    edges = np.stack([starts, ends], axis=1).ravel()
+    sums = np.add.reduceat(np.append(terms, np.uint64(0)), edges)[::2]
+    return mix(sums * inverse[starts])
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
