@@ -1 +1,71 @@
-STAGES = []
+"""A corpus made ready for training: language, near duplicates, benchmark passages, personal data, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame. ``docs`` must be a table that has been written: a stage
+begins by removing the working tables that earlier stages left in the shared folder.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from tallyforge.llm import decontaminate, langid, packing, privacy, probminhash
+from tallyforge.llm.common import drop_written, fold, materialise, table, written_so_far
+
+#: SQL can't express a trained network or ProbMinHash; tests hold the rows against a brute-force version.
+ORACLE_SQL = None
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that no language can be given: a null text, or one without a letter."""
+    drop_written(keep=_held)
+    names, net = langid.train(docs, fold("doc_id", 3) != 1)
+    return langid.predict(docs, names, net).where(f"lang_pred != '{langid.UND}'").select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each class, the one with the smallest doc_id."""
+    drop_written(keep=_held)
+    return probminhash.one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that share a passage with the benchmark."""
+    drop_written(keep=_held)
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data, and words that disclose it, in the texts."""
+    drop_written(keep=_held)
+    return privacy.sanitise(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Deals the documents' ids over windows of 2048."""
+    drop_written(keep=_held)
+    return packing.pack(packing.cut(docs, public_tokenizers.path("byte_bpe_50k.json"), 1)).drop("ids")
+
+
+STAGES = [
+    ("language ID", language),
+    ("near duplicates", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("personal data", personal_data),
+    ("packing", packed),
+]
+
+#: Tables that ``run`` still reads.
+_held: list[str] = []
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``; what each returns is written in the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    others = written_so_far()
+    for _, stage in STAGES:
+        _held[:] = [*others, *written_so_far()[-1:]]  # the predecessor's rows
+        docs = materialise(stage(spark, docs, sf_dir), "stage")
+        drop_written(keep=[*others, written_so_far()[-1]])
+    _held.clear()
+    return docs

@@ -44,6 +44,11 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     items each get their rows; rows with equal ids are one document or item, whose best overlap counts; a null id is
     an id of its own. Other columns are ignored; empty tables give no rows.
     """
+    return _matches(docs.select(F.col("doc_id").cast("long"), "text"), items)
+
+
+def _matches(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The same of (doc_id, text), where doc_id may be of any type."""
     bench = items.select("item_id", words("text").alias("g")).where(F.size("g") >= LEAST)
     short = sorted(r.n for r in bench.where(F.size("g") < SPAN).select(F.size("g").alias("n")).distinct().collect())
     masks = [*MASKS, *("1" * n for n in short)]  # at most SPAN - LEAST more
@@ -54,7 +59,7 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
         seeds = one if seeds is None else seeds.unionByName(one)
     seeds = seeds.dropDuplicates()
     small = seeds.count() <= BROADCAST_ROWS
-    found = docs.select(F.col("doc_id").cast("long"), words("text").alias("h"))
+    found = docs.select("doc_id", words("text").alias("h"))
     made = [F.transform(_seeds("h", mask, k), lambda s, i: F.struct(i.alias("place"), s.alias("seed"))) for k, mask in enumerate(masks)]
     hits = found.select("doc_id", "h", F.explode(F.flatten(F.array(*made))).alias("s")).select("doc_id", "h", "s.place", "s.seed")
     met = hits.join(F.broadcast(seeds) if small else seeds, "seed")
@@ -81,6 +86,7 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that share no passage with an item, with all their columns."""
-    leaked = matches(docs, items).where(F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(leaked, "doc_id", "left_anti").select(docs.columns)
+    """The documents whose texts share no passage with an item, with all their columns; null and empty texts stay."""
+    key = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    leaked = _matches(docs.select(key.alias("doc_id"), "text"), items).select(F.col("doc_id").alias("__key")).distinct()
+    return docs.withColumn("__key", key).join(leaked, "__key", "left_anti").select(docs.columns)

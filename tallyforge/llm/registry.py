@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 
 from tallyforge.llm import chunking, decontaminate, langid, ngram, packing, privacy, probminhash, repair, toxicity, urls
@@ -61,7 +62,9 @@ def op10_spaced_seeds(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {"op1_repair": op1_repair, "op2_nnpu": op2_nnpu, "op3_chunking": op3_chunking, "op4_bytecnn": op4_bytecnn, "op5_kneser_ney": op5_kneser_ney, "op6_redirects": op6_redirects, "op7_probminhash": op7_probminhash, "op8_packing": op8_packing, "op9_disclosure": op9_disclosure, "op10_spaced_seeds": op10_spaced_seeds}
+    return {
+        "pipeline": corpus_pipeline.run, "op1_repair": op1_repair, "op2_nnpu": op2_nnpu, "op3_chunking": op3_chunking, "op4_bytecnn": op4_bytecnn, "op5_kneser_ney": op5_kneser_ney, "op6_redirects": op6_redirects, "op7_probminhash": op7_probminhash, "op8_packing": op8_packing, "op9_disclosure": op9_disclosure, "op10_spaced_seeds": op10_spaced_seeds,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
