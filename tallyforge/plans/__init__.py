@@ -3,6 +3,6 @@
 
 def load():
     """The registry, with every plan module imported."""
-    from tallyforge.plans import browse, registry, scoring  # noqa: F401
+    from tallyforge.plans import browse, publish, registry, resolve, scoring  # noqa: F401
 
     return registry
