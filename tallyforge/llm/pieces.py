@@ -1,7 +1,8 @@
 """Whole texts as token ids, each distinct piece of the corpus encoded once by the ``tokenizers`` library.
 
-A text is cut before every run of white space that follows other characters; the tokenizers used here always cut there
-themselves, so the ids of the pieces, put together, are the ids of the text. A Spark job gathers the distinct pieces by
+A text is cut before every run of white space that follows other characters, and between an ASCII letter and a point,
+comma, colon, semicolon, exclamation or question mark; the tokenizers used here always cut there themselves, so the
+ids of the pieces, put together, are the ids of the text. A Spark job gathers the distinct pieces by
 hash, encodes them, and writes sorted hash arrays with their ids; workers map those and look texts up in numpy.
 """
 
@@ -24,6 +25,12 @@ from tallyforge.llm.textvec import span_hashes
 FLUSH = 3_000_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_MARK = np.zeros(256, bool)
+_MARK[[ord(c) for c in ".,:;!?"]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
 def _inside(data: np.ndarray) -> np.ndarray:
@@ -48,7 +55,7 @@ def pieces(texts: list[str], spaces: bool) -> tuple[np.ndarray, np.ndarray, np.n
     """(bytes, starts, ends, counts): where pieces lie in the texts' bytes, and each text's number of pieces.
 
     With ``spaces`` the pieces cover the text, each with the white space before it, and white space at the end is one
-    more; without, white space is left out.
+    more; without, white space is left out, and A to Z are in lower case, as the vocabulary's are.
     """
     data = np.frombuffer("\n".join([*texts, ""]).encode("utf-8", "surrogatepass"), np.uint8)
     lens = np.fromiter((len(t) if t.isascii() else len(t.encode("utf-8", "surrogatepass")) for t in texts), np.int64, len(texts))
@@ -59,9 +66,14 @@ def pieces(texts: list[str], spaces: bool) -> tuple[np.ndarray, np.ndarray, np.n
     if len(data) and inside[0]:
         edge = np.concatenate([[0], edge])
     starts, ends = edge[::2], edge[1::2]
+    marks = np.flatnonzero(_MARK[data])
+    marks = marks[marks > 0]
+    marks = marks[_LETTER[data[marks - 1]]]
+    if len(marks):  # a piece ends before the mark, and the next begins with it
+        starts, ends = np.sort(np.concatenate([starts, marks])), np.sort(np.concatenate([ends, marks]))
     counts = np.diff(np.searchsorted(starts, stops), prepend=0)
-    if not spaces:
-        return data, starts, ends, counts
+    if not spaces:  # such vocabularies are of lower case
+        return _LOWER[data], starts, ends, counts
     begins = stops - lens
     upto = np.cumsum(counts)
     last = np.where(counts > 0, ends[np.maximum(upto - 1, 0)] if len(ends) else 0, begins)  # after each text's last word
@@ -105,7 +117,7 @@ class Encoder:
         data, starts, ends, counts = pieces(texts, self.spaces)
         if not len(starts):
             return np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
-        names, first, back = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        names, back = np.unique(span_hashes(data, starts, ends)[0], return_inverse=True)
         ids, lens, odd = self._lookup(names)
         at = np.cumsum(lens) - lens
         lens = lens[back]
@@ -197,7 +209,7 @@ def encoder(docs: DataFrame, tokenizer: str, spaces: bool) -> Encoder:
                 data, starts, ends, _ = pieces(texts[a:b], spaces)
                 if not len(starts):
                     continue
-                h, check = span_hashes(data, starts, ends), span_hashes(data, starts, ends, second=True)
+                h, check = span_hashes(data, starts, ends, 2)
                 order = np.argsort(h)
                 hs, cs = h[order], check[order]
                 first = order[np.concatenate([[True], (hs[1:] != hs[:-1]) | (cs[1:] != cs[:-1])])]
@@ -216,7 +228,7 @@ def encoder(docs: DataFrame, tokenizer: str, spaces: bool) -> Encoder:
         n = np.concatenate([np.frombuffer(x, "<u4") for x in pdf["sizes"]]).astype(np.int64)
         data = np.frombuffer(b"".join(pdf["text"]), np.uint8)
         starts = np.cumsum(n) - n
-        check = span_hashes(data, starts, starts + n, second=True) if len(n) else h
+        check = span_hashes(data, starts, starts + n, 2)[1] if len(n) else h
         order = np.lexsort((check, h))
         h, check, starts, n = h[order], check[order], starts[order], n[order]
         keep = np.concatenate([[True], (h[1:] != h[:-1]) | (check[1:] != check[:-1])])

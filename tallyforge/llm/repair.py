@@ -40,7 +40,10 @@ def compress(ids: np.ndarray, end_id: int, least: int = 8, rounds: int = 10, sha
         if len(seq) < 2 or first + len(rules) >= SYMBOLS:
             break
         pairs = seq[:-1] << np.uint32(16) | seq[1:]
-        held = np.sort(pairs[seq[:-1] != end_id])
+        held = np.sort(pairs)
+        a, b = np.searchsorted(held, np.array([end_id << 16, (end_id + 1) << 16], np.uint32))
+        if b > a:
+            held = np.concatenate([held[:a], held[b:]])
         if not len(held):
             break
         at = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))

@@ -33,19 +33,24 @@ _Q = np.uint64(0xC2B2AE3D27D4EB4F)
 _second: list[np.ndarray] = [np.empty(0, np.uint64), np.empty(0, np.uint64)]
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, second: bool = False) -> np.ndarray:
-    """A 64-bit hash of each span of bytes; spans follow one another. ``second``: another hash, of another factor."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: int = 1) -> list[np.ndarray]:
+    """One or two 64-bit hashes, of different factors, of each span of bytes; spans follow one another."""
     _up_to(len(data))
-    if second and len(_second[0]) < len(data):
+    if hashes > 1 and len(_second[0]) < len(data):
         for k, factor in enumerate((_Q, np.uint64(pow(int(_Q), -1, 1 << 64)))):
             steps = np.full(len(data), factor)
             steps[0] = 1
             _second[k] = np.multiply.accumulate(steps)
-    powers, inverse = _second if second else (_powers, _inverse)
-    terms = (data.astype(np.uint64) + np.uint64(1)) * powers[: len(data)]
+    plain = np.zeros(len(data) + 1, np.uint64)
+    plain[:-1] = data
+    plain[:-1] += np.uint64(1)
     edges = np.stack([starts, ends], axis=1).ravel()
-    sums = np.add.reduceat(np.append(terms, np.uint64(0)), edges)[::2]
-    return mix(sums * inverse[starts])
+    out = []
+    for powers, inverse in [(_powers, _inverse), tuple(_second)][:hashes]:
+        terms = plain.copy() if hashes > 1 else plain
+        terms[:-1] *= powers[: len(data)]
+        out.append(mix(np.add.reduceat(terms, edges)[::2] * inverse[starts]))
+    return out
 
 
 def mix(h: np.ndarray) -> np.ndarray:
