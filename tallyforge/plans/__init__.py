@@ -3,6 +3,6 @@
 
 def load():
     """The registry, with every plan module imported."""
-    from tallyforge.plans import browse, publish, registry, resolve, scoring, tables  # noqa: F401
+    from tallyforge.plans import browse, publish, registry, resolve, scoring, streaming, tables  # noqa: F401
 
     return registry
