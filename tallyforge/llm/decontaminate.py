@@ -35,6 +35,12 @@ def _seeds(h: str, mask: str, number: int) -> Column:
     return F.when(F.size(h) >= len(mask), made).otherwise(F.array().cast("array<bigint>"))
 
 
+def _seed(mask: str, number: int) -> Column:
+    """The same seed of the words ``h`` at ``place``; null where the mask goes beyond them."""
+    made = F.xxhash64(F.lit(number), *(F.get("h", F.col("place") + k) for k, c in enumerate(mask) if c == "1"))
+    return F.when(F.col("place") + len(mask) <= F.size("h"), made)
+
+
 def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, overlap, agreeing) of each document and item that share a passage.
 
@@ -60,8 +66,10 @@ def _matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     seeds = seeds.dropDuplicates()
     small = seeds.count() <= BROADCAST_ROWS
     found = docs.select("doc_id", words("text").alias("h"))
-    made = [F.transform(_seeds("h", mask, k), lambda s, i: F.struct(i.alias("place"), s.alias("seed"))) for k, mask in enumerate(masks)]
-    hits = found.select("doc_id", "h", F.explode(F.flatten(F.array(*made))).alias("s")).select("doc_id", "h", "s.place", "s.seed")
+    # a row for each word, whose seeds are compiled expressions; inside a lambda they would be interpreted
+    rows = found.select("doc_id", "h", F.posexplode("h").alias("place", "word"))
+    made = F.array(*(_seed(mask, number) for number, mask in enumerate(masks)))
+    hits = rows.select("doc_id", "h", "place", F.explode(made).alias("seed")).where("seed is not null")
     met = hits.join(F.broadcast(seeds) if small else seeds, "seed")
     size = F.least(F.size("g"), F.lit(OVERLAP))
     lo = F.greatest(F.lit(0), F.least(F.col("item_place") + SPAN, F.size("g")) - size)
