@@ -20,7 +20,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that no language can be given: a null text, or one without a letter."""
     drop_written(keep=_held)
     names, net = langid.train(docs, fold("doc_id", 3) != 1)
-    return langid.predict(docs, names, net).where(f"lang_pred != '{langid.UND}'").select(docs.columns)
+    predicted = langid.predict(docs, names, net, "__lang", "__sure")
+    return predicted.where(f"__lang != '{langid.UND}'").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

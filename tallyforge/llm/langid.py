@@ -140,23 +140,23 @@ def train(docs: DataFrame, allowed) -> tuple[list[str], ByteCNN | None]:
     return names, net
 
 
-def predict(docs: DataFrame, names: list[str], net: ByteCNN | None) -> DataFrame:
-    """``docs`` with lang_pred and score; whole texts are read.
+def predict(docs: DataFrame, names: list[str], net: ByteCNN | None, lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    """``docs`` with a column each for the language and its score; whole texts are read.
 
     ``und`` with score 0 for a text that is null or has no letter, and for all where nothing was learned. Null and
     repeated ids keep their rows.
     """
     if net is None:
-        return docs.withColumns({"lang_pred": F.lit(UND), "score": F.lit(0.0)})
+        return docs.withColumns({lang: F.lit(UND), score: F.lit(0.0)})
     sent = docs.sparkSession.sparkContext.broadcast(net)
-    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", lang_pred string, score double"
+    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + f", `{lang}` string, `{score}` double"
     place = docs.columns.index("text")
 
     def run(batches):
         net = sent.value
         for batch in batches:
             texts = [t or "" for t in batch.column(place).to_pylist()]
-            lang, score = [UND] * len(texts), np.zeros(len(texts))
+            found, sure = [UND] * len(texts), np.zeros(len(texts))
             real = [k for k, t in enumerate(texts) if has_letter(t)]
             for a in range(0, len(real), 256):
                 ks = real[a : a + 256]
@@ -165,8 +165,8 @@ def predict(docs: DataFrame, names: list[str], net: ByteCNN | None) -> DataFrame
                 total = np.stack([np.bincount(row, p[:, c] * size, len(ks)) for c in range(p.shape[1])], axis=1)
                 total /= total.sum(axis=1, keepdims=True)
                 for k, c, s in zip(ks, total.argmax(axis=1), total.max(axis=1)):
-                    lang[k], score[k] = names[c], min(1.0, float(s))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang), pa.array(score)], [*batch.schema.names, "lang_pred", "score"])
+                    found[k], sure[k] = names[c], min(1.0, float(s))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(sure)], [*batch.schema.names, lang, score])
 
     return docs.mapInArrow(run, schema)
 
