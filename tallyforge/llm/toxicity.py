@@ -62,7 +62,7 @@ def fit(words: np.ndarray, counts: np.ndarray, positive: np.ndarray, prior: floa
 
 
 def train(docs: DataFrame, labels: DataFrame, allowed):
-    """(weights, bias) from rows that ``allowed`` (a column of doc_id) admits, or None where no toxic label is known.
+    """(weights, bias) from rows that ``allowed`` (a column of doc_id) admits, or None where no toxic label, or no text for it, is known.
 
     The prior is the share of toxic among those labels. A doc_id with several labels is toxic if one says so; null
     doc_ids and null labels teach nothing. Positive and unlabelled texts are drawn by a hash of doc_id, up to
@@ -97,6 +97,8 @@ def train(docs: DataFrame, labels: DataFrame, allowed):
     flat = drawn.select("text", F.coalesce("positive", F.lit(False)).alias("positive"), (draw < share).alias("unlabelled"))
     got = flat.mapInArrow(run, "positive boolean, unlabelled boolean, words binary").toPandas()
     # a toxic text that is also drawn as unlabelled counts on both sides
+    if not got.positive.any() or not got.unlabelled.any():
+        return None
     parts = [got[got.positive].assign(side=True), got[got.unlabelled].assign(side=False)]
     rows = [np.frombuffer(w, np.int32) for p in parts for w in p["words"]]
     side = np.concatenate([p["side"].to_numpy(bool) for p in parts])
