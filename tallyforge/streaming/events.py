@@ -10,7 +10,8 @@ from tallyforge.operators.tables import upsert
 
 def windowed(events: DataFrame, size: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Counts and sums of each event type by tumbling windows of event time; later than ``late`` is left out."""
-    w = events.withWatermark("ts", late).groupBy(F.window("ts", size).alias("w"), "event_type")
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    w = timed.withWatermark("ts", late).groupBy(F.window("ts", size).alias("w"), "event_type")
     return w.agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
