@@ -66,8 +66,10 @@ def _matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     seeds = seeds.dropDuplicates()
     small = seeds.count() <= BROADCAST_ROWS
     found = docs.select("doc_id", words("text").alias("h"))
-    # a row for each word, whose seeds are compiled expressions; inside a lambda they would be interpreted
-    rows = found.select("doc_id", "h", F.posexplode("h").alias("place", "word"))
+    # A row for each word, whose seeds are compiled expressions, and so are the join and the cut of the words around a
+    # hit: the list of a document's words is read where it lies, and only what lies around hits is passed on. (An outer
+    # explode, as an inner one would make the lists twice.)
+    rows = found.select("doc_id", "h", F.posexplode_outer("h").alias("place", "word"))
     made = F.array(*(_seed(mask, number) for number, mask in enumerate(masks)))
     hits = rows.select("doc_id", "h", "place", F.explode(made).alias("seed")).where("seed is not null")
     met = hits.join(F.broadcast(seeds) if small else seeds, "seed")
@@ -75,16 +77,23 @@ def _matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     lo = F.greatest(F.lit(0), F.least(F.col("item_place") + SPAN, F.size("g")) - size)
     hi = F.least(F.size("g"), F.col("item_place") + size)
     shift = F.col("place") - F.col("item_place")
+    first = F.greatest(lo + shift, F.lit(0))
+    near = met.select(
+        "doc_id", "item_id", F.xxhash64("h").alias("text"), lo.alias("lo"), hi.alias("hi"), shift.alias("shift"), size.alias("overlap"),
+        first.alias("first"), F.slice("h", first + 1, hi + shift - first).alias("window"), "g",
+    )
+    # the hits of several masks at one place are one
+    near = near.groupBy("doc_id", "item_id", "text", "lo", "hi", "shift", "overlap", "first").agg(F.first("window").alias("window"), F.first("g").alias("g"))
     agree = F.transform(
-        F.sequence(lo, hi - 1),
-        lambda t: F.when((t + shift >= 0) & (F.get("h", F.greatest(t + shift, F.lit(0))) == F.get("g", t)), 1).otherwise(0),
+        F.sequence(F.col("lo"), F.col("hi") - 1),
+        lambda t: F.when(F.get("window", t + F.col("shift") - F.col("first")) == F.get("g", t), 1).otherwise(0),
     )
     runs = F.transform(
         F.sequence(F.lit(1), F.size("agree") - F.col("overlap") + 1),
         lambda i: F.aggregate(F.slice("agree", i, F.col("overlap")), F.lit(0), lambda a, b: a + b),
     )
     return (
-        met.select("doc_id", "item_id", size.alias("overlap"), agree.alias("agree"))
+        near.select("doc_id", "item_id", "overlap", agree.alias("agree"))
         .select("doc_id", "item_id", "overlap", F.array_max(runs).alias("agreeing"))
         .where(F.col("agreeing") >= F.lit(AGREE) * F.col("overlap"))
         .groupBy("doc_id", "item_id")
