@@ -158,7 +158,7 @@ def match_providers(a: DataFrame, b: DataFrame, similarity) -> DataFrame:
     word = lambda d, p: d.select(f"{p}_id", F.explode(F.array_distinct(F.split(f"{p}_key", " "))).alias("word"))
     ids = word(rest, "a").join(word(y, "b"), "word").select("a_id", "b_id").distinct()
     total = F.length("a_key") + F.length("b_key")
-    near = ids.join(rest, "a_id").join(y, "b_id").where(F.levenshtein("a_key", "b_key", 40) <= F.floor(0.2 * total) + 1)
+    near = ids.join(rest, "a_id").join(y, "b_id").where(F.levenshtein("a_key", "b_key") <= F.floor(0.2 * total) + 1)
     fuzzy = scored(near, similarity(F.col("a_key"), F.col("b_key")))
     every = exact.unionByName(fuzzy.select(exact.columns))
     best = first_of_each(every.select("a_id", "b_id", "m.confidence", "m.method"), ["a_id"], F.desc("confidence"), F.asc("b_id"))

@@ -94,3 +94,34 @@ def test_merges(spark, tmp_path):
     K.write_scope(old.withColumn("v", F.lit("v2")), str(tmp_path / "t"), "v")
     K.write_scope(old.limit(1).withColumn("v", F.lit("v1")), str(tmp_path / "t"), "v")
     assert {r.v: r["count"] for r in spark.read.parquet(str(tmp_path / "t")).groupBy("v").count().collect()} == {"v1": 1, "v2": 2}
+
+
+def test_match_providers_against_plain_python(spark):
+    r = np.random.default_rng(6)
+    word = lambda: str(r.choice(["alpha", "beta", "gamma", "delta", "omega", "sigma"]))
+    make = lambda i: (i, " ".join(word() for _ in range(3)) + str(r.choice(["", "s", " x"])), int(r.integers(2000, 2003)), str(r.choice(["d1", "d2", ""])), [str(r.choice(["p", "q"]))])
+    a, b = [make(i) for i in range(30)], [make(100 + i) for i in range(30)]
+
+    def tier(x, y):
+        year, maker, both = x[2] == y[2], x[3] == y[3] != "", bool(set(x[4]) & set(y[4]))
+        s = X._ratio(x[1], y[1])
+        if x[1] == y[1]:
+            if year or maker:
+                return (1.0, "exact_title_year") if year else (0.95, "exact_title_dev")
+        if s > 0.9 and year:
+            return 0.85, "fuzzy_title_year"
+        if s > 0.85 and both:
+            return 0.75, "fuzzy_title_platform"
+        return (0.7, "fuzzy_title_dev") if s > 0.8 and maker else None
+
+    want = {}
+    for x in a:
+        same = [y for y in b if y[1] == x[1] and tier(x, y)]
+        near = [y for y in b if set(x[1].split()) & set(y[1].split())]
+        found = [(tier(x, y), y[0]) for y in (same or near) if tier(x, y)]
+        if found:
+            (conf, how), y = min(found, key=lambda f: (-f[0][0], f[1]))
+            want[x[0]] = (y, conf, how)
+    schema = "id long, key string, release_year int, developer string, platforms array<string>"
+    got = R.match_providers(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), X.indel_ratio)
+    assert {m.a_id: (m.b_id, m.confidence, m.method) for m in got.collect()} == want and len(want) >= 5
