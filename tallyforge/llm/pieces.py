@@ -9,6 +9,7 @@ hash, encodes them, and writes sorted hash arrays with their ids; workers map th
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 import numpy as np
@@ -91,6 +92,27 @@ def _texts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[str]:
     return [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(starts.tolist(), ends.tolist())]
 
 
+#: Pieces of ASCII letters, after one space at most: the pre-tokenizers leave these whole.
+_PLAIN = re.compile("( ?)([A-Za-z]+)")
+#: How byte-level vocabularies write a space.
+_BLANK = "\u0120"
+
+
+def ids_of(library, texts: list[str], spaces: bool) -> list[list[int]]:
+    """The ids of each piece; plain ones go to the library's model at once, without its other steps."""
+    tokenize, out, rest = library.model.tokenize, [None] * len(texts), []
+    for k, text in enumerate(texts):
+        plain = _PLAIN.fullmatch(text)
+        if plain:
+            word = _BLANK * len(plain[1]) + plain[2] if spaces else plain[2].lower()
+            out[k] = [t.id for t in tokenize(word)]
+        else:
+            rest.append(k)
+    for k, e in zip(rest, library.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False)):
+        out[k] = e.ids
+    return out
+
+
 class Encoder:
     """Encodes texts by the written tables; opened by each worker once."""
 
@@ -240,7 +262,7 @@ def encoder(docs: DataFrame, tokenizer: str, spaces: bool) -> Encoder:
         lens, ids = np.zeros(len(h), np.int64), []
         for a in range(0, len(h), 50_000):
             own = slice(a, a + 50_000)
-            got = [e.ids for e in library.encode_batch_fast(_texts(data, starts[own], starts[own] + n[own]), add_special_tokens=False)]
+            got = ids_of(library, _texts(data, starts[own], starts[own] + n[own]), spaces)
             got = [[] if x else g for x, g in zip(shared[own], got)]
             lens[own] = [len(g) for g in got]
             ids.append(np.fromiter((i for g in got for i in g), np.uint32, int(lens[own].sum())))
