@@ -145,8 +145,9 @@ def match_tier(exact: Column, similarity: Column, same_year: Column, same_maker:
 def match_providers(a: DataFrame, b: DataFrame, similarity) -> DataFrame:
     """(a_id, b_id, confidence, method): each identity's best match with the other provider; first by id on ties.
 
-    Rows are (id, key, release_year, developer, platforms). Equal titles meet in a join. Rows without an exact match
-    meet by any shared word; a cheap bound on lengths and edits goes before ``similarity`` (a column function).
+    Rows are (id, key, release_year, developer, platforms). Equal titles meet in a join. Of the others, every pair is
+    compared that a tier can take: those of one year, of one platform, of one maker. A bound on edits, which no pair
+    above the tier's similarity exceeds, goes before ``similarity`` (a column function).
     """
     x, y = (d.select(*(F.col(c).alias(f"{p}_{c}") for c in ("id", "key", "release_year", "developer", "platforms"))).where(F.col(f"{p}_key") != "") for d, p in ((a, "a"), (b, "b")))
     year = F.coalesce(F.col("a_release_year") == F.col("b_release_year"), F.lit(False))
@@ -155,10 +156,20 @@ def match_providers(a: DataFrame, b: DataFrame, similarity) -> DataFrame:
     scored = lambda pairs, sim: pairs.withColumn("m", match_tier(F.col("a_key") == F.col("b_key"), sim, year, maker, platform)).where("m is not null")
     exact = scored(x.join(y, F.col("a_key") == F.col("b_key")), F.lit(1.0))
     rest = x.join(exact.select("a_id").distinct(), "a_id", "left_anti")
-    word = lambda d, p: d.select(f"{p}_id", F.explode(F.array_distinct(F.split(f"{p}_key", " "))).alias("word"))
-    ids = word(rest, "a").join(word(y, "b"), "word").select("a_id", "b_id").distinct()
     total = F.length("a_key") + F.length("b_key")
-    near = ids.join(rest, "a_id").join(y, "b_id").where(F.levenshtein("a_key", "b_key") <= F.floor(0.2 * total) + 1)
+
+    def alike(shared, above: float) -> DataFrame:
+        """Pairs that share a value of ``shared`` (a function of a side's prefix) and are more similar than ``above``."""
+        left, right = (d.withColumn("shared", shared(p)).where("shared is not null") for d, p in ((rest, "a"), (y, "b")))
+        most = F.floor((1 - above) * total + 1e-6).cast("int")
+        pairs = left.join(right, "shared").where(F.abs(F.length("a_key") - F.length("b_key")) <= most)
+        return pairs.where(F.call_function("levenshtein", F.col("a_key"), F.col("b_key"), most) >= 0).drop("shared")
+
+    near = (
+        alike(lambda p: F.col(f"{p}_release_year"), 0.9)
+        .unionByName(alike(lambda p: F.explode(F.array_distinct(f"{p}_platforms")), 0.85))
+        .unionByName(alike(lambda p: F.nullif(F.lower(F.trim(f"{p}_developer")), F.lit("")), 0.8))
+    )
     fuzzy = scored(near, similarity(F.col("a_key"), F.col("b_key")))
     every = exact.unionByName(fuzzy.select(exact.columns))
     best = first_of_each(every.select("a_id", "b_id", "m.confidence", "m.method"), ["a_id"], F.desc("confidence"), F.asc("b_id"))

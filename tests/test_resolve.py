@@ -125,3 +125,17 @@ def test_match_providers_against_plain_python(spark):
     schema = "id long, key string, release_year int, developer string, platforms array<string>"
     got = R.match_providers(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), X.indel_ratio)
     assert {m.a_id: (m.b_id, m.confidence, m.method) for m in got.collect()} == want and len(want) >= 5
+
+
+def test_match_providers_without_a_shared_word(spark):
+    schema = "id long, key string, release_year int, developer string, platforms array<string>"
+    a = [(1, "bioshock", 2007, "x", ["p"]), (2, "overwatch", 2016, None, None), (3, "halo", None, " Bungie", []), (4, "portal", 2007, "", ["q"])]
+    b = [(11, "bio shock", 2007, "y", ["r"]), (12, "overwach", 2016, "", ["r"]), (13, "hallo", None, "bungie ", None), (14, "portals", 2008, "", ["r", "q"]), (15, "mortal", 2007, "", ["q"])]
+    tiers = ((0.9, lambda x, y: x[2] is not None and x[2] == y[2], 0.85), (0.85, lambda x, y: bool(set(x[4] or []) & set(y[4] or [])), 0.75), (0.8, lambda x, y: (x[3] or "").strip().lower() == (y[3] or "").strip().lower() != "", 0.7))
+    want = {}
+    for x in a:
+        found = [(-c, y[0]) for y in b for least, holds, c in tiers if X._ratio(x[1], y[1]) > least and holds(x, y)]
+        if found:
+            want[x[0]] = (min(found)[1], -min(found)[0])
+    got = R.match_providers(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), X.indel_ratio)
+    assert {m.a_id: (m.b_id, m.confidence) for m in got.collect()} == want and set(want) == {1, 2, 3, 4}
