@@ -139,3 +139,10 @@ def test_match_providers_without_a_shared_word(spark):
             want[x[0]] = (min(found)[1], -min(found)[0])
     got = R.match_providers(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), X.indel_ratio)
     assert {m.a_id: (m.b_id, m.confidence) for m in got.collect()} == want and set(want) == {1, 2, 3, 4}
+
+
+def test_q_match_reads_every_item(spark):
+    from tallyforge.plans import load
+
+    ids = {r.a_id for r in load().QUERIES["q_match"](spark, "/root/testdata/sf0.01").select("a_id").collect()}
+    assert max(ids) > 400
