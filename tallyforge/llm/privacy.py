@@ -2,12 +2,13 @@
 
 Emails, IP addresses, card and phone numbers are found by patterns. The values found are the protected entities. From
 how the corpus pairs words with entities, a word's disclosure is the share of the entity's information that it gives:
-pointwise mutual information over the entity's own information. Words near an entity that exceed a threshold are
-generalised, and those beyond a higher one removed. DataFrame operations only.
+pointwise mutual information over the entity's own information. Words found near an entity that exceed a threshold are
+generalised, and those beyond a higher one removed, wherever any document has them. DataFrame operations only.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,9 +32,11 @@ BESIDE = 48
 #: Distinct texts in which a word must stand near an entity; shares of the entity's information above which the word
 #: is generalised, and removed.
 SUPPORT, GENERALISE, REMOVE = 3, 0.9, 0.999
+#: Telling words up to which they are broadcast to the texts' words; more are shuffled.
+BROADCAST = 200_000
 
 
-def located(text: Column, pattern: str) -> Column:
+def located(text: Column, pattern: str | Column) -> Column:
     """array<struct<start,value>> of a pattern's matches, in code points: from the lengths of what lies between."""
     empty = F.array().cast("array<struct<start:int,value:string>>")
     begin = F.struct(F.lit(0).alias("at"), empty.alias("out"))
@@ -49,7 +52,7 @@ def located(text: Column, pattern: str) -> Column:
 
         return F.aggregate(F.sequence(F.lit(0), F.size(parts["found"]) - 1), begin, step, lambda acc: acc["out"])
 
-    parts = F.struct(F.split(text, pattern, -1).alias("between"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
+    parts = F.struct(F.split(text, pattern, -1).alias("between"), F.regexp_extract_all(text, pattern if isinstance(pattern, Column) else F.lit(pattern), F.lit(0)).alias("found"))
     return _given(parts, lambda p: F.when(F.size(p["found"]) > 0, laid(p)).otherwise(empty))
 
 
@@ -143,7 +146,6 @@ def find(docs: DataFrame) -> DataFrame:
     )
     # matches are found once; what follows reads spans and their contexts, not texts
     base = materialise(found.select("doc_id", "key", "spans", F.when(F.size("spans") > 0, near).alias("near")), "spans")
-    context = base.where(F.size("near") > 0).select("key", F.inline("near")).distinct()  # a text's words, whoever has it
     together = F.array_distinct(F.transform("near", lambda w: F.struct(w["entity"].alias("entity"), w["term"].alias("term"))))
     pairs = materialise(
         base.where(F.size("near") > 0).select("key", F.inline(together)).groupBy("entity", "term")
@@ -155,12 +157,39 @@ def find(docs: DataFrame) -> DataFrame:
     if telling is None:
         return base.select(*columns)
     more = (
-        context.join(telling, ["entity", "term"])
-        .groupBy("key", "start", "end").agg(F.max("remove").alias("remove"))
+        _occurrences(rows, telling.groupBy("term").agg(F.max("remove").alias("remove")))
         .groupBy("key").agg(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("kind"), "end", "remove")).alias("more"))
     )
     joined = base.select(*columns).join(more, "key", "left")
-    return joined.select("doc_id", "key", F.when(F.col("more").isNull(), F.col("spans")).otherwise(F.array_sort(F.concat("spans", "more"))).alias("spans"))
+    free = F.filter("more", lambda w: ~F.exists("spans", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
+    return joined.select("doc_id", "key", F.when(F.col("more").isNull(), F.col("spans")).otherwise(F.array_sort(F.concat("spans", free))).alias("spans"))
+
+
+def _lowered(text: Column) -> Column:
+    """In lower case, with as many code points: the one letter that would become two is made an I before."""
+    return F.lower(F.translate(text, "\u0130", "I"))
+
+
+def _occurrences(rows: DataFrame, telling: DataFrame) -> DataFrame:
+    """(key, start, end, remove) of every place in any text where a word of ``telling`` (term, remove) stands.
+
+    A bitmap of the words' hashes, 16 bits for each, is sent to the texts; what passes it is joined with the words.
+    """
+    telling = materialise(telling, "telling")
+    n = telling.count()
+    bits = 1 << max(16, (16 * n).bit_length())
+    hashed = lambda w: F.pmod(F.xxhash64(w), F.lit(bits))
+    at = np.array([r.h for r in telling.select(hashed(F.col("term")).alias("h")).distinct().collect()], np.int64)
+    field = np.zeros(bits // 64, np.uint64)
+    np.bitwise_or.at(field, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+    one = rows.sparkSession.createDataFrame([(field.view(np.int64).tolist(),)], "field array<long>")
+    may = lambda w: _given(hashed(w), lambda h: F.get("field", F.shiftright(h, 6).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int"))) != 0)
+    words = F.array_distinct(F.split(_lowered(F.col("text")), r"[^\p{L}\p{N}]+"))
+    held = rows.crossJoin(F.broadcast(one)).select("key", "text", F.filter(words, lambda w: (F.length(w) >= 3) & may(w)).alias("words")).where(F.size("words") > 0)
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join("words", "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    places = held.select("key", F.inline(located(_lowered(F.col("text")), pattern))).distinct()
+    found = places.join(F.broadcast(telling) if n <= BROADCAST else telling, F.col("value") == F.col("term"))
+    return found.select("key", "start", (F.col("start") + F.length("term")).alias("end"), "remove")
 
 
 def _disclosing(rows: DataFrame, base: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -74,3 +74,13 @@ def test_empty_and_repeated(spark):
     rows = [(1, "x a@b.cc"), (1, "x a@b.cc"), (None, "+49 30 1234567")]
     assert sorted(r.n_email for r in privacy.digest(privacy.find(docs(spark, rows))).collect()) == [0, 1, 1]
     assert privacy.sanitise(docs(spark, rows)).count() == 3
+
+
+def test_a_telling_word_is_marked_wherever_it_stands(spark):
+    near = [(i, f"Zorblax heads item{i}, then come so many other words that no reach spans them: agent Zorblax zorblax@corp.com ends {i}") for i in range(8)]
+    other = [(50, "a letter of ZORBLAX\u0130, and of zorblaxes: \u0130\U0001f600 Zorblax."), (51, "nothing of it")]
+    far = [(100 + i, f"plain text {i} heads agent ends then come so many other words that no reach spans them") for i in range(400)]
+    clean = {r.doc_id: r.text for r in privacy.sanitise(docs(spark, near + other + far)).collect()}
+    assert clean[3] == "[TERM] heads item3, then come so many other words that no reach spans them: agent [TERM] [EMAIL] ends 3"
+    assert clean[50] == "a letter of ZORBLAX\u0130, and of zorblaxes: \u0130\U0001f600 [TERM]." and clean[51] == "nothing of it"
+    assert all(clean[i] == t for i, t in far)
