@@ -1,6 +1,7 @@
-"""Near-duplicate classes by ProbMinHash over weighted five-word shingles, banding, and exact verification.
+"""Near-duplicate classes by ProbMinHash over five-word shingles, banding, and exact verification.
 
-A shingle's weight is how often the text has it. Each shingle is a Poisson process whose rate is its weight; every
+Links are defined on sets, so each distinct shingle of a text has the weight 1, however often the text has it: then the
+probability Jaccard similarity is the sets'. Each shingle is a Poisson process whose rate is its weight; every
 arrival falls into a random slot, and a slot keeps its earliest arrival. A shingle stops when its next arrival is later
 than every slot's. Two texts agree in a slot with the probability of their probability Jaccard similarity. Bands of
 slots give candidates; a candidate is a link if the texts' sets of shingles have a Jaccard similarity of 0.8 or more.
@@ -81,7 +82,7 @@ def _bands(batches):
             for a in range(first, last, 2048):
                 b = min(last, a + 2048)
                 row, shingle, weight = shingles(texts[a:b])
-                slots = signatures(row, shingle, weight, b - a)
+                slots = signatures(row, shingle, np.ones_like(weight), b - a)
                 who = slots[:, : BANDS * ROWS].reshape(b - a, BANDS, ROWS)
                 h = np.arange(BANDS, dtype=np.uint64)[None, :]
                 for k in range(ROWS):

@@ -68,3 +68,15 @@ def test_components(spark):
     edges = [(k, k + 1) for k in range(0, 40)] + [(100, 101), (101, 100), (7, 7), (None, 3), (200, 150), (150, 300)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(41)}, 100: 100, 101: 100, 150: 150, 200: 150, 300: 150}
+
+
+def test_lines_repeated_unequally_link(spark):
+    r = np.random.default_rng(8)
+    line, rows = " ".join(f"line{k}" for k in range(12)), []
+    for pair in range(12):  # small buckets: alike as sets, far apart by how often the line stands there
+        base = " ".join(f"w{x}" for x in r.integers(0, 10**6, 300))
+        rows += [(2 * pair, f"{base} {line}"), (2 * pair + 1, base + f" {line}" * 50)]
+    base = " ".join(f"v{x}" for x in r.integers(0, 10**6, 300))
+    rows += [(100 + k, " ".join([f"u{k}", base, *[line] * (1 + 3 * k)])) for k in range(30)]  # a large one
+    got = {x.doc_id: x.class_id for x in probminhash.classes(docs(spark, rows)).collect()}
+    assert got == brute(rows)
