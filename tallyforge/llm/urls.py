@@ -22,6 +22,7 @@ MOST_RULES = 1000
 
 CANONICAL = r"(?i)<link\b[^>]*\brel\s*=\s*[\"']?canonical[\"'\s/>][^>]*>|<link\b[^>]*\brel\s*=\s*[\"']?canonical[\"']?>"
 REFRESH = r"(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
+BASE = r"(?i)<base\b[^>]*\bhref\s*=[^>]*>"
 HREF = r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
 TARGET = r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)"
 
@@ -61,22 +62,40 @@ def rule_for(host_: Column, path_: Column, rules=RULES) -> Column:
 
 
 def _absolute(link: Column, url: Column) -> Column:
-    """A link's URL: absolute, or from ``//host`` or ``/path``; null for others."""
+    """A link's URL: absolute, or resolved against ``url``; null for other schemes and empty links."""
     link = F.replace(F.nullif(link, F.lit("")), F.lit("&amp;"), F.lit("&"))
     scheme = F.substring_index(url, "://", 1)
     return (
         F.when(F.instr(link, "://") > 0, link)
         .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
-        .when(link.startswith("/"), F.concat(scheme, F.lit("://"), host(url), link))
+        .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+        .when(link.startswith("#"), F.substring_index(url, "#", 1))
+        .otherwise(F.concat(scheme, F.lit("://"), host(url), _resolved(link, path(url))))
     )
 
 
+def _resolved(link: Column, base: Column) -> Column:
+    """Path and query of a link that is relative to the path ``base``, without ``.`` and ``..``."""
+    folder = F.concat(F.when(base.startswith("/"), F.lit("")).otherwise(F.lit("/")), F.regexp_extract(base, r"^(.*/)?", 0))
+    own, rest = F.regexp_extract(link, r"^[^?#]*", 0), F.regexp_extract(link, r"^[^?#]*(.*)$", 1)
+    whole = F.when(own == "", base).when(own.startswith("/"), own).otherwise(F.concat(folder, own))
+
+    def step(acc, part):
+        up = F.slice(acc, 1, F.greatest(F.lit(1), F.size(acc) - 1))  # the first part is what stands before the first slash
+        return F.when(part == ".", acc).when(part == "..", up).otherwise(F.concat(acc, F.array(part)))
+
+    parts = F.split(F.regexp_replace(whole, r"/(\.\.?)$", "/$1/"), "/", -1)
+    plain = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+    return F.concat(F.when(whole.contains("/."), plain).otherwise(whole), rest)
+
+
 def alias_edges(pages: DataFrame) -> DataFrame:
     """(url, other) for every canonical link and every redirect that a page states of itself."""
     url, html = F.col("url"), F.coalesce("html", F.lit(""))
+    base = F.coalesce(_absolute(F.regexp_extract(F.regexp_extract(html, BASE, 0), HREF, 1), url), url)
     links = F.array(
-        _absolute(F.regexp_extract(F.regexp_extract(html, CANONICAL, 0), HREF, 1), url),
-        _absolute(F.regexp_extract(F.regexp_extract(html, REFRESH, 0), TARGET, 1), url),
+        _absolute(F.regexp_extract(F.regexp_extract(html, CANONICAL, 0), HREF, 1), base),
+        _absolute(F.regexp_extract(F.regexp_extract(html, REFRESH, 0), TARGET, 1), base),
     )
     stated = pages.where(F.instr("url", "://") > 0).where(html.rlike(CANONICAL) | html.rlike(REFRESH))
     return stated.select("url", F.explode(F.array_compact(links)).alias("other"))

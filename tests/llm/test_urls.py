@@ -39,3 +39,18 @@ def test_sql_agrees(spark):
 
 def test_empty(spark):
     assert urls.judge(rows(spark).where("false")).collect() == []
+
+
+def test_relative_targets_are_resolved(spark):
+    link, base = lambda u: f"<link rel=canonical href='{u}'>", "<base href='http://net/es/a/'>"
+    cases = [
+        ("http://h.org/d/p?q", "index.html", "http://h.org/d/index.html"), ("http://h.org/d/e/p", "../new/", "http://h.org/d/new/"),
+        ("http://h.org/d/p?q#f", "?id=3", "http://h.org/d/p?id=3"), ("http://h.org", "x?y=/../z", "http://h.org/x?y=/../z"), ("http://h.org?q", "?a=1", "http://h.org?a=1"),
+        ("http://h.org/d/", "./a/./b/..", "http://h.org/d/a/"), ("http://h.org/d", "../../../a", "http://h.org/a"), ("http://h.org/d", "/a/../b/.", "http://h.org/b/"),
+        ("http://h.org/d", "#f", "http://h.org/d"), ("http://h.org/d", "mailto:a@b.cc", None), ("http://h.org/d", "https://k.org/e", "https://k.org/e"),
+    ]
+    pages = spark.createDataFrame([(i, u, link(to)) for i, (u, to, _) in enumerate(cases)], "page_id int, url string, html string")
+    assert sorted((r.url, r.other) for r in urls.alias_edges(pages).collect()) == sorted((u, want) for u, _, want in cases if want)
+    planted = [(1, "http://h.org/1", base + link("../b?x")), (2, "http://k.org/d/2", '<meta http-equiv=refresh content="0; url=../../h">'), (3, "http://k.org/h", link("http://www.example.net/fr/"))]
+    got = {r.page_id: r.verdict for r in urls.judge(spark.createDataFrame(planted, "page_id int, url string, html string")).collect()}
+    assert got == {1: "block", 2: "block", 3: "block"}
