@@ -113,12 +113,13 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY,
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to pieces of at most ``capacity`` ids.
 
-    Groups are dealt by a hash of (doc_id, start), so no document, however long or often repeated, makes one large.
+    Groups are dealt by a hash of the piece and of its number in the written table, so that no document makes one large,
+    however long it is, and no row, however often it is repeated.
     Only the pieces' lengths go to Python; a group has about GROUP_PIECES of them at any size of the table.
     """
     pieces = materialise(pieces, "pieces")
     groups = max(1, round(pieces.where(F.col("length") < capacity).count() / GROUP_PIECES))
-    keyed = pieces.withColumn("batch", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
+    keyed = pieces.withColumn("batch", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
     schema = ", ".join(f"{n} {t}" for n, t in pieces.dtypes) + ", sequence_id long, offset long"
     names = pieces.columns
 

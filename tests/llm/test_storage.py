@@ -99,3 +99,15 @@ def test_differencing_is_balanced():
     at = packing.differencing(sizes, 50)
     sums = np.bincount(at, sizes, 50)
     assert sums.max() - sums.min() < 25 and len(at) == 400
+
+
+def test_a_repeated_row_is_dealt_over_groups(spark):
+    from collections import Counter
+
+    from tallyforge.llm import packing
+
+    n = 4 * packing.GROUP_PIECES
+    pieces = spark.range(n).selectExpr("cast(null as long) as doc_id", "0L as start", "5L as length", "7L as ids_crc32", "5L as doc_tokens")
+    got = packing.pack(pieces).select("sequence_id", "offset").collect()
+    assert len({(r.sequence_id, r.offset) for r in got}) == n
+    assert max(Counter(r.sequence_id >> 32 for r in got).values()) < 2 * packing.GROUP_PIECES
