@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyforge.llm import decontaminate, langid, packing, privacy, probminhash
 from tallyforge.llm.common import drop_written, fold, materialise, table, written_so_far
@@ -17,9 +18,11 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that no language can be given: a null text, or one without a letter."""
+    """Drops documents that no language can be given: a null text, or one without a letter, with a network or without."""
     drop_written(keep=_held)
     names, net = langid.train(docs, fold("doc_id", 3) != 1)
+    if net is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     predicted = langid.predict(docs, names, net, "__lang", "__sure")
     return predicted.where(f"__lang != '{langid.UND}'").select(docs.columns)
 

@@ -35,3 +35,11 @@ def test_run(spark, tmp_path):
 
 def test_stages(spark):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language ID", "near duplicates", "benchmark decontamination", "personal data", "packing"]
+
+
+def test_language_without_a_model_keeps_texts_with_letters(spark):
+    import corpus_pipeline
+    from tests.llm.helpers import docs
+
+    rows = [(1, "clean text", None), (2, "123 !", None), (3, None, None), (4, "\u00e9", None)]
+    assert sorted(r.doc_id for r in corpus_pipeline.language(spark, docs(spark, rows), "").collect()) == [1, 4]
