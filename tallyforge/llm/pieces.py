@@ -22,8 +22,8 @@ from tallyforge.llm.common import freed_shuffles, in_slices, shared_dir
 from tallyforge.llm.sharedfiles import map_array, write_array
 from tallyforge.llm.textvec import span_hashes
 
-#: Pieces that a task gathers before it drops repeated ones.
-FLUSH = 3_000_000
+#: Bytes of pieces and of their hashes that a task gathers before it drops repeated ones.
+FLUSH = 32 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LETTER = np.zeros(256, bool)
@@ -208,6 +208,7 @@ def encoder(docs: DataFrame, tokenizer: str, spaces: bool) -> Encoder:
         def flush():
             h, check, size = (np.concatenate([x[k] for x in held]) for k in range(3))
             raw, place = b"".join(x[3] for x in held), np.cumsum(size) - size
+            held.clear()
             order = np.lexsort((check, h))
             keep = order[np.concatenate([[True], (np.diff(h[order]) != 0) | (np.diff(check[order]) != 0)])]
             h, size, place = h[keep], size[keep], place[keep]
@@ -238,10 +239,10 @@ def encoder(docs: DataFrame, tokenizer: str, spaces: bool) -> Encoder:
                 n = ends[first] - starts[first]
                 upto = np.cumsum(n)
                 held.append((h[first], check[first], n, data[np.repeat(starts[first] - (upto - n), n) + np.arange(upto[-1])].tobytes()))
-                total += len(first)
+                total += 24 * len(first) + int(upto[-1])
                 if total >= FLUSH:
                     yield flush()
-                    held, total = [], 0
+                    total = 0
         if held:
             yield flush()
 

@@ -14,45 +14,63 @@ SPACES[[32, 9, 10, 11, 12, 13]] = True
 NOT_ALNUM = np.ones(256, bool)
 NOT_ALNUM[128:] = NOT_ALNUM[48:58] = NOT_ALNUM[65:91] = NOT_ALNUM[97:123] = False
 
-_powers = np.empty(0, np.uint64)
-_inverse = np.empty(0, np.uint64)
+_Q = np.uint64(0xC2B2AE3D27D4EB4F)
+#: Bytes hashed at a time: what is held beside the bytes themselves does not grow with a text.
+BLOCK = 1 << 18
 
 
-def _up_to(n: int) -> None:
-    """Powers of _P and of its inverse modulo 2**64, n of each."""
-    global _powers, _inverse
-    if len(_powers) < n:
-        steps = np.full(n, _P)
+def _powers(factor: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a factor and of its inverse modulo 2**64, BLOCK of each."""
+    out = []
+    for base in (factor, np.uint64(pow(int(factor), -1, 1 << 64))):
+        steps = np.full(BLOCK, base)
         steps[0] = 1
-        _powers = np.multiply.accumulate(steps)
-        steps[1:] = np.uint64(pow(int(_P), -1, 1 << 64))
-        _inverse = np.multiply.accumulate(steps)
+        out.append(np.multiply.accumulate(steps))
+    return tuple(out)
 
 
-_Q = np.uint64(0xC2B2AE3D27D4EB4F)
-_second: list[np.ndarray] = [np.empty(0, np.uint64), np.empty(0, np.uint64)]
+_tables: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: int = 1) -> list[np.ndarray]:
-    """One or two 64-bit hashes, of different factors, of each span of bytes; spans follow one another."""
-    _up_to(len(data))
-    if hashes > 1 and len(_second[0]) < len(data):
-        for k, factor in enumerate((_Q, np.uint64(pow(int(_Q), -1, 1 << 64)))):
-            steps = np.full(len(data), factor)
-            steps[0] = 1
-            _second[k] = np.multiply.accumulate(steps)
-    plain = np.zeros(len(data) + 1, np.uint64)
-    plain[:-1] = data
-    plain[:-1] += np.uint64(1)
-    edges = np.stack([starts, ends], axis=1).ravel()
-    out = []
-    for powers, inverse in [(_powers, _inverse), tuple(_second)][:hashes]:
-        terms = plain.copy() if hashes > 1 else plain
-        terms[:-1] *= powers[: len(data)]
-        out.append(mix(np.add.reduceat(terms, edges)[::2] * inverse[starts]))
+    """One or two 64-bit hashes, of different factors, of each span of bytes; spans follow one another.
+
+    Spans are hashed in runs of at most BLOCK bytes, and a longer span by itself, BLOCK after BLOCK.
+    """
+    while len(_tables) < hashes:
+        _tables.append(_powers((_P, _Q)[len(_tables)]))
+    out = [np.empty(len(starts), np.uint64) for _ in range(hashes)]
+    first = 0
+    while first < len(starts):
+        begin = int(starts[first])
+        last = int(np.searchsorted(ends, begin + BLOCK, "right"))
+        if last <= first:  # longer than a block
+            for k, (powers, _) in enumerate(_tables[:hashes]):
+                out[k][first] = _long_span(data[begin : int(ends[first])], powers, (_P, _Q)[k])
+            first += 1
+            continue
+        own = slice(first, last)
+        plain = np.zeros(int(ends[last - 1]) - begin + 1, np.uint64)
+        plain[:-1] = data[begin : begin + len(plain) - 1]
+        plain[:-1] += np.uint64(1)
+        at = starts[own] - begin
+        edges = np.stack([at, ends[own] - begin], axis=1).ravel()
+        for k, (powers, inverse) in enumerate(_tables[:hashes]):
+            terms = plain.copy() if k + 1 < hashes else plain
+            terms[:-1] *= powers[: len(plain) - 1]
+            out[k][own] = mix(np.add.reduceat(terms, edges)[::2] * inverse[at])
+        first = last
     return out
 
 
+def _long_span(data: np.ndarray, powers: np.ndarray, factor: np.uint64) -> np.uint64:
+    total = 0
+    for a in range(0, len(data), BLOCK):
+        part = data[a : a + BLOCK].astype(np.uint64) + np.uint64(1)
+        total += int((part * powers[: len(part)]).sum()) * pow(int(factor), a, 1 << 64)
+    return mix(np.array([total & ((1 << 64) - 1)], np.uint64))[0]
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -72,12 +90,8 @@ def word_hashes(texts: list[str], gaps: np.ndarray = SPACES) -> tuple[np.ndarray
     edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     if len(data) and inside[0]:
         edge = np.concatenate([[0], edge])
-    starts = edge[::2]  # the data end in a gap, so edges come in pairs
+    starts, stops = edge[::2], edge[1::2]  # the data end in a gap, so edges come in pairs
     if not len(starts):
         return np.empty(0, np.uint64), np.zeros(len(texts), np.int64)
-    _up_to(len(data))
-    terms = (_LOWER[data].astype(np.uint64) + np.uint64(1)) * _powers[: len(data)]
-    terms[~inside] = 0
-    hashes = mix(np.add.reduceat(terms, starts) * _inverse[starts])
     at = np.searchsorted(starts, ends)
-    return hashes, np.diff(at, prepend=0)
+    return span_hashes(_LOWER[data], starts, stops)[0], np.diff(at, prepend=0)
