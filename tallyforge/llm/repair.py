@@ -19,29 +19,31 @@ from pyspark.sql import functions as F
 from tallyforge.llm.common import in_slices, materialise
 from tallyforge.llm.pieces import encoder
 
-MAGIC = b"TFRP1\0\0\0"
+MAGIC = b"TFRP2\0\0\0"
+#: Magic, number of plain ids, of documents, of rules, of symbols.
+HEAD = "<8sIIIQ"
 #: Ids of one block, at which it is closed; a longer document is a block of its own.
 BLOCK_IDS = 1 << 20
-#: Symbols are stored as 16-bit numbers; ids and rules share them.
+#: Symbols, which ids and rules share, are stored in 16 bits, or in 32 where a block has ids that 16 can't hold.
 SYMBOLS = 1 << 16
 
 
-def compress(ids: np.ndarray, end_id: int, least: int = 8, rounds: int = 10, share: float = 0.25):
+def compress(ids: np.ndarray, end_id: int, least: int = 8, share: float = 0.25):
     """(sequence, rules, lengths): ``rules[k]`` are the two symbols that symbol ``first + k`` stands for.
 
     ``first`` is one more than the largest id. No pair begins with ``end_id``, so no rule crosses documents. A round
-    takes the pairs that occur at least ``share`` times as often as its most frequent pair; the last round is the one
-    whose most frequent pair occurs fewer than ``least`` times, or the one numbered ``rounds``, or fills the symbols.
+    takes the pairs that occur at least ``share`` times as often as its most frequent pair; rounds go on until no pair
+    occurs ``least`` times, or the symbols are used up.
     """
-    seq = ids.astype(np.uint32)
     first = int(ids.max(initial=0)) + 1
-    rules = np.empty(0, np.uint32)
-    for _ in range(rounds):
-        if len(seq) < 2 or first + len(rules) >= SYMBOLS:
-            break
-        pairs = seq[:-1] << np.uint32(16) | seq[1:]
+    wide = first >= SYMBOLS
+    bits, pair, symbol, most = (32, np.uint64, np.uint32, (1 << 32) - 1) if wide else (16, np.uint32, np.uint16, SYMBOLS)
+    seq = ids.astype(pair)
+    rules = np.empty(0, pair)
+    while len(seq) > 1 and first + len(rules) < most:
+        pairs = seq[:-1] << pair(bits) | seq[1:]
         held = np.sort(pairs)
-        a, b = np.searchsorted(held, np.array([end_id << 16, (end_id + 1) << 16], np.uint32))
+        a, b = np.searchsorted(held, np.array([end_id << bits, (end_id + 1) << bits], pair))
         if b > a:
             held = np.concatenate([held[:a], held[b:]])
         if not len(held):
@@ -52,13 +54,13 @@ def compress(ids: np.ndarray, end_id: int, least: int = 8, rounds: int = 10, sha
         if top < least:
             break
         often = np.flatnonzero(counts >= max(least, int(top * share)))
-        often = often[np.argsort(-counts[often], kind="stable")][: SYMBOLS - first - len(rules)]
+        often = often[np.argsort(-counts[often], kind="stable")][: most - first - len(rules)]
         chosen = held[at[often]]  # the most frequent first
         order = np.argsort(chosen)
-        seq = _replace(seq, pairs, chosen[order], (first + len(rules) + order).astype(np.uint32), end_id)
+        seq = _replace(seq, pairs, chosen[order], (first + len(rules) + order).astype(pair), end_id)
         rules = np.concatenate([rules, chosen])
-    out = np.stack([rules >> np.uint32(16), rules & np.uint32(0xFFFF)], axis=1)
-    return seq.astype(np.uint16), out.astype(np.uint16), first, _lengths(out, first)
+    out = np.stack([rules >> pair(bits), rules & pair((1 << bits) - 1)], axis=1)
+    return seq.astype(symbol), out.astype(symbol), first, _lengths(out, first)
 
 
 def _replace(seq, pairs, chosen, symbols, end_id):
@@ -81,6 +83,8 @@ def _replace(seq, pairs, chosen, symbols, end_id):
 
 
 def _slot(pairs: np.ndarray) -> np.ndarray:
+    if pairs.dtype == np.uint64:
+        return pairs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(46)
     return pairs * np.uint32(2654435761) >> np.uint32(14)
 
 
@@ -93,16 +97,17 @@ def _lengths(rules: np.ndarray, first: int) -> np.ndarray:
     return out.astype(np.uint32)
 
 
-def write_block(doc_ids: list[int], lengths: np.ndarray, ids: np.ndarray, end_id: int) -> bytes:
-    """A block's bytes: header, document ids, ids per document, symbols per document, rules, their lengths, symbols."""
+def write_block(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray, end_id: int) -> bytes:
+    """A block's bytes: header, document ids, which of them are null, ids per document, symbols per document, rules,
+    their lengths, symbols."""
     seq, rules, first, spans = compress(ids, end_id)
     each = np.concatenate([np.ones(first, np.int64), spans])[seq]
     ends = np.searchsorted(np.cumsum(each), np.cumsum(lengths)) + 1
     parts = [
-        np.array(doc_ids, "<i8"), np.asarray(lengths, "<i8"), np.diff(ends, prepend=0).astype("<i8"),
-        rules.astype("<u2"), spans.astype("<u4"), seq.astype("<u2"),
+        np.array([d or 0 for d in doc_ids], "<i8"), np.array([d is None for d in doc_ids], "u1"), np.asarray(lengths, "<i8"), np.diff(ends, prepend=0).astype("<i8"),
+        rules, spans.astype("<u4"), seq,
     ]
-    head = struct.pack("<8sIIIQ", MAGIC, first, len(doc_ids), len(rules), len(seq))
+    head = struct.pack(HEAD, MAGIC, first, len(doc_ids), len(rules), len(seq))
     return head + b"".join(x.tobytes() for x in parts)
 
 
@@ -110,10 +115,10 @@ class Block:
     """A stored block; ``document(k)`` expands the k-th document alone, ``ids(a, b)`` any range of the block's ids."""
 
     def __init__(self, data: bytes):
-        magic, self.first, docs, rules, symbols = struct.unpack_from("<8sIIIQ", data)
+        magic, self.first, docs, rules, symbols = struct.unpack_from(HEAD, data)
         if magic != MAGIC:
             raise ValueError("not a grammar block")
-        at = struct.calcsize("<8sIIIQ")
+        at, kind = struct.calcsize(HEAD), "<u4" if self.first >= SYMBOLS else "<u2"
 
         def take(kind: str, n: int) -> np.ndarray:
             nonlocal at
@@ -121,9 +126,9 @@ class Block:
             at += out.nbytes
             return out
 
-        self.doc_ids, self.lengths, self._symbols = take("<i8", docs), take("<i8", docs), take("<i8", docs)
-        self._rules = take("<u2", 2 * rules).reshape(-1, 2)
-        self._spans, self._seq = take("<u4", rules), take("<u2", symbols)
+        self.doc_ids, self.nulls, self.lengths, self._symbols = take("<i8", docs), take("u1", docs).astype(bool), take("<i8", docs), take("<i8", docs)
+        self._rules = take(kind, 2 * rules).reshape(-1, 2)
+        self._spans, self._seq = take("<u4", rules), take(kind, symbols)
         self._upto = np.concatenate([[0], np.cumsum(self._symbols)])
         # every symbol's expansion, one after the other, built from short rules to long ones
         self._flat = np.arange(self.first, dtype=np.uint32)
@@ -162,7 +167,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 2, shards: int |
 
     Documents are dealt by ranges of doc_id into ``shards`` (spark.sql.shuffle.partitions unless given) and sorted
     there, so blocks in order of (shard, block) hold ascending ids. A null text is empty and yields the end id alone; a
-    null doc_id is stored as -1 and comes first; equal doc_ids stay apart, ordered by text; other columns are ignored;
+    null doc_id stays null and comes first; equal doc_ids stay apart, ordered by text; other columns are ignored;
     an empty table yields no block. ``start`` counts the ids of the shard's earlier blocks.
     """
     spark = docs.sparkSession
@@ -210,7 +215,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 2, shards: int |
             yield close()
 
     dealt = (
-        docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+        docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
         .repartitionByRange(n, "doc_id")
         .sortWithinPartitions("doc_id", "text")
     )
@@ -236,9 +241,9 @@ def read_shards(blocks: DataFrame) -> DataFrame:
                 n = len(ends)
                 yield pa.RecordBatch.from_pydict({
                     "shard": pa.array(np.full(n, shard, np.int32)), "start": pa.array(start + begins),
-                    "doc_id": pa.array(block.doc_ids), "n_tokens": pa.array(block.lengths),
+                    "doc_id": pa.array(block.doc_ids, mask=block.nulls), "n_tokens": pa.array(block.lengths),
                     "ids_crc32": pa.array([zlib.crc32(ids[a:b]) for a, b in zip(begins, ends)], pa.int64()),
-                    "grammar_bytes": pa.array(2 * block._symbols),
+                    "grammar_bytes": pa.array(block._seq.itemsize * block._symbols),
                 })
 
     spark = blocks.sparkSession

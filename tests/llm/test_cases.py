@@ -41,7 +41,7 @@ OPERATORS = {
 @pytest.mark.parametrize("name", OPERATORS)
 def test_rows_are_kept(spark, name):
     got = OPERATORS[name](spark, clashing(docs(spark, TEXTS))).select("doc_id").distinct().count()
-    assert got == 8  # repair stores a null id as -1
+    assert got == 8
 
 
 @pytest.mark.parametrize("name", OPERATORS)
