@@ -18,10 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary folder serves a local session; on a cluster, whose executors would not find it,
+    this is an error.
+    """
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = getattr(spark.sparkContext, "_tallyforge_dir", None)
     if own is None:
         own = spark.sparkContext._tallyforge_dir = "file://" + tempfile.mkdtemp(prefix="tallyforge-")
@@ -55,6 +61,37 @@ def materialise(df: DataFrame, label: str, level: int = 3) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A name in the shared folder for files that workers write; ``drop_written`` removes it like a table."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
+#: Bytes of a table as stored, of which one shard of its words or pieces is made.
+SHARD_BYTES = 64 << 20
+
+
+def shard_bits(docs: DataFrame) -> int:
+    """How many bits number the shards of what is gathered from ``docs``: more of them for larger tables.
+
+    At least as many shards as spark.sql.shuffle.partitions; beyond, one for each SHARD_BYTES that Spark's plan says
+    the table has. Frames of the driver's own rows, whose size Spark doesn't know, count as small.
+    """
+    known = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    by_size = known // SHARD_BYTES if known < 1 << 60 else 0
+    return max(0, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1, int(by_size) - 1).bit_length()
+
+
+def drawn(total: Column | int, most: int) -> Column:
+    """Whether a row is among about ``most`` of ``total``, by a hash of its doc_id and text.
+
+    Rows that are equal in both are drawn together; who collects what is drawn makes them one before.
+    """
+    share = F.least(F.lit(1e6), F.lit(1e6 * most) / (F.lit(total) if isinstance(total, int) else total) + 1)
+    return F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < share
+
+
 def written_so_far() -> list[str]:
     return [path for _, path in _written]
 

@@ -13,12 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import fold
+from tallyforge.llm.common import drawn, fold
 
 WINDOW = 192
 WIDTHS, FILTERS, EMBED = (2, 3, 4), 16, 8
-#: Texts of each language that the network is fitted on, and windows of each text, at most.
-MOST_TEXTS, MOST_WINDOWS = 1200, 4
+#: Texts of each language that the network is fitted on, texts of all languages, and windows of each text, at most.
+MOST_TEXTS, MOST_ALL, MOST_WINDOWS = 1200, 60_000, 4
 UND = "und"
 _ASCII_LETTER = re.compile("[A-Za-z]")
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -116,27 +116,34 @@ class ByteCNN:
 def train(docs: DataFrame, allowed) -> tuple[list[str], ByteCNN | None]:
     """(languages, network) from rows that ``allowed`` admits, whose lang is not null and whose text has a letter.
 
-    Up to about MOST_TEXTS texts of each language, drawn by a hash of doc_id, and MOST_WINDOWS windows of each, spread
-    evenly over the text. Without such rows there is no network; with one language it is always that.
+    Up to about MOST_TEXTS texts of each language (fewer, where MOST_ALL is less than that), drawn by a hash of doc_id and
+    text, and MOST_WINDOWS windows of each, spread evenly over the text. Windows are cut where the rows are; equal ones
+    of one language teach once, so that repeated rows, with or without an id, don't swell what comes to the driver.
+    Without such rows, and for an empty table, there is no network; with one language it is always that.
     """
-    rows = docs.where(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = docs.where(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id"), "text", "lang")
     langs = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not langs:
         return [], None
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    share = F.create_map(*(F.lit(x) for k, n in sorted(langs.items()) for x in (k, min(1_000_000, int(1e6 * MOST_TEXTS / n) + 1))))
-    got = [(r.lang, r.text) for r in rows.where(draw < share[F.col("lang")]).select("lang", "text").collect()]
-    got = sorted(x for x in got if has_letter(x[1]))
+    total = F.element_at(F.create_map(*(F.lit(x) for item in sorted(langs.items()) for x in item)), F.col("lang"))
+
+    def run(batches):
+        for batch in batches:
+            got = [(lang, t) for lang, t in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()) if has_letter(t)]
+            if got:
+                x, row, _ = windows([t for _, t in got])
+                n = np.bincount(row)
+                nth = np.arange(len(row)) - (np.cumsum(n) - n)[row]
+                keep = np.flatnonzero((nth * MOST_WINDOWS) // n[row] != ((nth - 1) * MOST_WINDOWS) // n[row])
+                yield pa.RecordBatch.from_pydict({"lang": [got[k][0] for k in row[keep]], "window": pa.array([x[k].tobytes() for k in keep], pa.binary())})
+
+    most = min(MOST_TEXTS, MOST_ALL // len(langs) + 1)
+    got = sorted(tuple(r) for r in rows.where(drawn(total, most)).mapInArrow(run, "lang string, window binary").distinct().collect())
     names = sorted({lang for lang, _ in got})
     if not names:
         return [], None
-    x, row, _ = windows([t for _, t in got])
-    n = np.bincount(row)
-    nth = np.arange(len(row)) - (np.cumsum(n) - n)[row]
-    keep = (nth * MOST_WINDOWS) // n[row] != ((nth - 1) * MOST_WINDOWS) // n[row]
-    y = np.array([names.index(lang) for lang, _ in got])[row]
     net = ByteCNN(len(names))
-    net.fit(x[keep], y[keep])
+    net.fit(np.frombuffer(b"".join(w for _, w in got), np.uint8).reshape(-1, WINDOW), np.array([names.index(lang) for lang, _ in got]))
     return names, net
 
 

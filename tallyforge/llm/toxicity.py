@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import fold, in_slices
+from tallyforge.llm.common import drawn, fold, in_slices
 from tallyforge.llm.textvec import NOT_ALNUM, word_hashes
 
 BITS = 20
@@ -65,8 +65,9 @@ def train(docs: DataFrame, labels: DataFrame, allowed):
     """(weights, bias) from rows that ``allowed`` (a column of doc_id) admits, or None where no toxic label, or no text for it, is known.
 
     The prior is the share of toxic among those labels. A doc_id with several labels is toxic if one says so; null
-    doc_ids and null labels teach nothing. Positive and unlabelled texts are drawn by a hash of doc_id, up to
-    MOST_POSITIVE and MOST_UNLABELLED of them; features are made on the executors.
+    doc_ids and null labels teach nothing. Positive and unlabelled texts are drawn by a hash of doc_id and text, up to
+    about MOST_POSITIVE and MOST_UNLABELLED rows; features are made on the executors, and equal ones are made one, so
+    that rows repeated with one doc_id, or none, don't swell what comes to the driver.
     """
     known = (
         labels.where(allowed & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
@@ -76,13 +77,13 @@ def train(docs: DataFrame, labels: DataFrame, allowed):
     if not toxic:
         return None
     prior = min(0.9, max(0.001, toxic / n))
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    ids = known.where((F.col("toxic") == 1) & (draw < 1_000_000 * min(1, MOST_POSITIVE / toxic))).select("doc_id", F.lit(True).alias("positive"))
-    total = docs.count()
-    seen = docs.where(allowed).select("doc_id", "text")
-    share = 1_000_000 * min(1, MOST_UNLABELLED / max(1, total))
+    by_id = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < 1_000_000 * min(1, MOST_POSITIVE / toxic)
+    ids = known.where((F.col("toxic") == 1) & by_id).select("doc_id", F.lit(True).alias("positive"))
     # the broadcast side holds about MOST_POSITIVE ids
-    drawn = seen.join(F.broadcast(ids), "doc_id", "left").where(F.col("positive").isNotNull() | (draw < share))
+    seen = docs.where(allowed).select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left")
+    total, confirmed = seen.agg(F.count("*"), F.count("positive")).first()
+    unlabelled = drawn(max(1, total), MOST_UNLABELLED)
+    positive = F.col("positive").isNotNull() & drawn(max(1, confirmed), MOST_POSITIVE)
 
     def run(batches):
         for batch in batches:
@@ -94,8 +95,8 @@ def train(docs: DataFrame, labels: DataFrame, allowed):
                 "words": pa.array([p.tobytes() for p in parts], pa.binary()),
             })
 
-    flat = drawn.select("text", F.coalesce("positive", F.lit(False)).alias("positive"), (draw < share).alias("unlabelled"))
-    got = flat.mapInArrow(run, "positive boolean, unlabelled boolean, words binary").toPandas()
+    flat = seen.select("text", positive.alias("positive"), unlabelled.alias("unlabelled")).where("positive or unlabelled")
+    got = flat.mapInArrow(run, "positive boolean, unlabelled boolean, words binary").distinct().toPandas()
     # a toxic text that is also drawn as unlabelled counts on both sides
     if not got.positive.any() or not got.unlabelled.any():
         return None
@@ -111,7 +112,7 @@ def score(docs: DataFrame, model) -> DataFrame:
     """(doc_id, score) of every whole text: 0 to 1, higher if likelier toxic.
 
     A null text is empty and gets the bias alone; null and repeated doc_ids keep their rows; without a model (no toxic
-    label to learn from) every score is 0.
+    label to learn from) every score is 0; an empty table gives no rows.
     """
     if model is None:
         return docs.select("doc_id", F.lit(0.0).alias("score"))
