@@ -7,8 +7,6 @@ packed arrays: a task sorts and sums what it has read before anything is shuffle
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -16,8 +14,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import fold, freed_shuffles, in_slices, shared_dir
-from tallyforge.llm.sharedfiles import map_array, write_array
+from tallyforge.llm.common import fold, freed_shuffles, in_slices, new_folder, shard_bits
+from tallyforge.llm.sharedfiles import map_array, map_counts, write_array, write_counts
 from tallyforge.llm.textvec import mix, word_hashes
 
 #: Ends every text, and stands before its first word.
@@ -57,7 +55,7 @@ def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _squeezed(keys: np.ndarray, *values: np.ndarray) -> bytes:
     """Keys in order as differences, then each value column, compressed."""
-    parts = [np.diff(keys, prepend=keys[:1] * 0).astype("<u8"), *(v.astype("<u4") for v in values)]
+    parts = [np.diff(keys, prepend=keys[:1] * 0).astype("<u8"), *(v.astype("<u8") for v in values)]
     planes = [p.view(np.uint8).reshape(len(p), -1).T.tobytes() for p in parts]
     return np.uint64(len(keys)).tobytes() + zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
 
@@ -66,7 +64,7 @@ def _spread(data: bytes, columns: int) -> list[np.ndarray]:
     n = int(np.frombuffer(data, "<u8", 1)[0])
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[8:]), np.uint8)
     out, at = [], 0
-    for kind in ("<u8", *["<u4"] * columns):
+    for kind in ["<u8"] * (1 + columns):
         size = np.dtype(kind).itemsize
         out.append(np.ascontiguousarray(raw[at : at + n * size].reshape(size, n).T).view(kind).ravel())
         at += n * size
@@ -148,10 +146,10 @@ class Model:
         if not hasattr(self, "pairs"):
             self.words.open()
             self.pairs = [map_array(f"{self.folder}/pair-{s}", "<u8") for s in range(len(self.pair_sizes))]
-            self.counts = [map_array(f"{self.folder}/pair-count-{s}", "<u4") for s in range(len(self.pair_sizes))]
+            self.counts = [map_counts(f"{self.folder}/pair-count-{s}", n) for s, n in enumerate(self.pair_sizes)]
             self.offsets = np.concatenate([[0], np.cumsum(self.pair_sizes)]).astype(np.int64)
-            kinds = {"count": "<u4", "context": "<u4", "gamma": "<f4", "lower": "<f4"}
-            self.of = {k: [map_array(f"{self.folder}/{k}-{s}", t) for s in range(len(self.words.sizes))] for k, t in kinds.items()}
+            self.of = {k: [map_array(f"{self.folder}/{k}-{s}", "<f4") for s in range(len(self.words.sizes))] for k in ("gamma", "lower")}
+            self.of |= {k: [map_counts(f"{self.folder}/{k}-{s}", n) for s, n in enumerate(self.words.sizes)] for k in ("count", "context")}
         return self
 
     def _take(self, arrays: list[np.ndarray], offsets: np.ndarray, at: np.ndarray, empty: float) -> np.ndarray:
@@ -202,8 +200,8 @@ def train(docs: DataFrame) -> Model:
     counts come to the driver.
     """
     spark = docs.sparkSession
-    bits = max(0, int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
-    folder = f"{shared_dir(spark)}/ngram-{uuid.uuid4().hex}"
+    bits = shard_bits(docs)
+    folder = new_folder(spark, "ngram")
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
 
     def gathered(batches, make):
@@ -229,7 +227,7 @@ def train(docs: DataFrame) -> Model:
         keys, counts = (np.concatenate(x) for x in zip(*(_spread(d, 1) for d in pdf["data"])))
         keys, counts = summed(keys, counts)
         write_array(f"{folder}/word-{key[0]}", keys.astype("<u8"))
-        write_array(f"{folder}/count-{key[0]}", counts.astype("<u4"))
+        write_counts(f"{folder}/count-{key[0]}", counts)
         return pd.DataFrame({"shard": [key[0]], "n": [len(keys)], "total": [int(counts.sum())]})
 
     def by_shard(fn, rows, schema):
@@ -245,6 +243,8 @@ def train(docs: DataFrame) -> Model:
             for name, kind in (("word", "<u8"), ("count", "<u4")):
                 write_array(f"{folder}/{name}-{s}", np.empty(0, kind))
     words, total, distinct = Words(folder, sizes), sum(r.total for r in found), sum(sizes)
+    if distinct >= 1 << 32:
+        raise ValueError("more than 2**32 distinct words: their numbers don't fit a bigram's key")
 
     def count_pairs(batches):
         held = words.open()
@@ -261,7 +261,7 @@ def train(docs: DataFrame) -> Model:
         keys, counts = (np.concatenate(x) for x in zip(*(_spread(d, 1) for d in pdf["data"])))
         keys, counts = summed(keys, counts)
         write_array(f"{folder}/pair-{key[0]}", keys.astype("<u8"))
-        write_array(f"{folder}/pair-count-{key[0]}", counts.astype("<u4"))
+        write_counts(f"{folder}/pair-count-{key[0]}", counts)
         n = np.bincount(np.minimum(counts, 5), minlength=6)
         return pd.DataFrame({"shard": [key[0]], "n": [len(keys)], **{f"n{k}": [int(n[k])] for k in range(1, 5)}})
 
@@ -283,7 +283,7 @@ def train(docs: DataFrame) -> Model:
         second words the number of distinct contexts."""
         for pdf in frames:
             for s in pdf["id"]:
-                keys, counts = map_array(f"{folder}/pair-{s}", "<u8"), map_array(f"{folder}/pair-count-{s}", "<u4").astype(np.int64)
+                keys, counts = map_array(f"{folder}/pair-{s}", "<u8"), map_counts(f"{folder}/pair-count-{s}", pair_sizes[s]).astype(np.int64)
                 both = unmix(np.asarray(keys))
                 first, second = both >> np.uint64(32), both & np.uint64(0xFFFFFFFF)
                 ones = [(counts == 1).astype(np.int64), (counts == 2).astype(np.int64), (counts >= 3).astype(np.int64)]
@@ -304,9 +304,9 @@ def train(docs: DataFrame) -> Model:
                 sums[row, at] += v  # ids are distinct in a packed row
         total = sums[0]
         gamma = np.divide(discount[1:] @ sums[1:4], total, out=np.ones(n), where=total > 0)
-        write_array(f"{folder}/context-{s}", total.astype("<u4"))
+        write_counts(f"{folder}/context-{s}", total)
         write_array(f"{folder}/gamma-{s}", gamma.astype("<f4"))
-        write_array(f"{folder}/second-{s}", sums[4].astype("<u4"))
+        write_counts(f"{folder}/second-{s}", sums[4])
         m = np.bincount(np.minimum(sums[4], 5), minlength=6)
         more = int((sums[4] >= 3).sum())
         return pd.DataFrame({"shard": [s], "n": [int(sums[4].sum())], **{f"n{k}": [int(m[k])] for k in range(1, 5)}, "more": [more]})
@@ -323,7 +323,7 @@ def train(docs: DataFrame) -> Model:
         for pdf in frames:
             for s in pdf["id"]:
                 if sizes[s]:
-                    n = map_array(f"{folder}/second-{s}", "<u4").astype(np.int64)
+                    n = map_counts(f"{folder}/second-{s}", sizes[s]).astype(np.int64)
                     write_array(f"{folder}/lower-{s}", (np.maximum(n - below[np.minimum(n, 3)], 0) / pairs + unseen).astype("<f4"))
                 else:
                     for name, kind in (("context", "<u4"), ("gamma", "<f4"), ("lower", "<f4")):

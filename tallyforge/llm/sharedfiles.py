@@ -41,3 +41,14 @@ def map_array(uri: str, kind: str) -> np.ndarray:
         with store.open_input_file(inner) as f:
             return np.frombuffer(f.read(), kind)
     return np.memmap(path, kind, "r") if os.path.getsize(path) else np.empty(0, kind)
+
+
+def write_counts(uri: str, values: np.ndarray) -> None:
+    """Counts in 32 bits, or in 64 where one of them needs more."""
+    write_array(uri, values.astype("<u8" if len(values) and int(values.max()) >= 1 << 32 else "<u4"))
+
+
+def map_counts(uri: str, n: int) -> np.ndarray:
+    """The ``n`` counts that ``write_counts`` wrote."""
+    data = map_array(uri, "u1")
+    return data.view("<u8" if len(data) == 8 * n else "<u4") if n else np.empty(0, "<u4")
