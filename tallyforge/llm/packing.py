@@ -23,6 +23,8 @@ from tallyforge.llm.pieces import encoder
 CAPACITY = 2048
 #: Pieces in one group, on average: about 500 windows are balanced at a time.
 GROUP_PIECES = 2500
+#: Sequences that are one full window are numbered from here on; those of groups begin with the group's number.
+ALONE = 1 << 62
 
 
 def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
@@ -113,24 +115,22 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY,
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to pieces of at most ``capacity`` ids.
 
-    Groups are dealt by a hash of the piece and of its number in the written table, so that no document makes one large,
-    however long it is, and no row, however often it is repeated.
-    Only the pieces' lengths go to Python; a group has about GROUP_PIECES of them at any size of the table.
+    A full window is a sequence by itself and is not shuffled. The others are dealt over groups by a hash of the piece
+    and of its number in the written table, so that no document makes one large, however long it is, and no row,
+    however often it is repeated: a group has about GROUP_PIECES of them at any size of the table. Null and repeated
+    doc_ids keep their pieces; an empty table gives none; columns beyond those of ``cut`` are kept.
     """
     pieces = materialise(pieces, "pieces")
-    groups = max(1, round(pieces.where(F.col("length") < capacity).count() / GROUP_PIECES))
-    keyed = pieces.withColumn("batch", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
+    rest = pieces.where(F.col("length") < capacity)
+    groups = max(1, round(rest.count() / GROUP_PIECES))
+    keyed = rest.withColumn("batch", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
     schema = ", ".join(f"{n} {t}" for n, t in pieces.dtypes) + ", sequence_id long, offset long"
     names = pieces.columns
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "start", "ids_crc32"], kind="stable").reset_index(drop=True)
         size = pdf["length"].to_numpy()
-        full = size == capacity
-        at = np.empty(len(size), np.int64)
-        at[~full] = windows(size[~full], capacity)
-        most = at[~full].max(initial=-1) + 1
-        at[full] = most + np.arange(full.sum())
+        at = windows(size, capacity)
         order = np.argsort(at, kind="stable")
         ends = np.cumsum(size[order])
         first = np.concatenate([[True], at[order][1:] != at[order][:-1]])
@@ -142,11 +142,15 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         out["offset"] = offset
         return out
 
-    return keyed.groupBy("batch").applyInPandas(run, schema)
+    alone = pieces.where(F.col("length") == capacity).select("*", (F.monotonically_increasing_id() + ALONE).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return alone.unionByName(keyed.groupBy("batch").applyInPandas(run, schema))
 
 
 def assemble(packed: DataFrame, pad_id: int, capacity: int = CAPACITY) -> DataFrame:
-    """(sequence_id, ids array<long>) of pieces cut ``with_ids``: each sequence's ids in order, padded to capacity."""
+    """(sequence_id, ids array<long>) of pieces cut ``with_ids``: each sequence's ids in order, padded to capacity.
+
+    Pieces without ids are an error, as their sequence can't be put together; an empty table gives no sequences.
+    """
     rows = packed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("parts"))
 
     def run(frames):

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import os
 import re
-import uuid
 
 import numpy as np
 import pandas as pd
@@ -18,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import freed_shuffles, in_slices, shared_dir
+from tallyforge.llm.common import freed_shuffles, in_slices, new_folder, shard_bits
 from tallyforge.llm.sharedfiles import map_array, write_array
 from tallyforge.llm.textvec import span_hashes
 
@@ -198,8 +197,8 @@ def encoder(docs: DataFrame, tokenizer: str, spaces: bool) -> Encoder:
     pieces without ids, are encoded where they occur.
     """
     spark = docs.sparkSession
-    bits = max(0, int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
-    made = Encoder(f"{shared_dir(spark)}/pieces-{uuid.uuid4().hex}", tokenizer, spaces, 1 << bits)
+    bits = shard_bits(docs)
+    made = Encoder(new_folder(spark, "pieces"), tokenizer, spaces, 1 << bits)
 
     def gather(batches):
         held: list[tuple] = []
