@@ -22,12 +22,10 @@ from tallyforge.llm.textvec import mix, word_hashes
 WORDS, SIMILAR = 5, 0.8
 #: At a similarity of 0.8 all bands miss with a probability of 3 in a million; at 0.65, of one in a hundred.
 BANDS, ROWS = 24, 4
-#: Slots of a text; the bands are made of the first ones.
-SLOTS = 384
-#: Share of equal slots from which a pair that is in no link yet is compared: two deviations below 0.8.
-LIKELY = SIMILAR - 2 * (SIMILAR * (1 - SIMILAR) / SLOTS) ** 0.5
-#: Members of a large bucket that one task holds, twice at most.
-BLOCK = 4096
+#: Members of a bucket that are all compared with one another; larger ones have a leader.
+SMALL = 16
+#: Bytes of shingles of one side of a large bucket that one task holds.
+BLOCK_BYTES = 8 << 20
 #: Characters of texts that a worker hashes at a time.
 SLICE = 1 << 20
 _FACTORS = mix(np.arange(1, WORDS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -56,7 +54,7 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (keys >> np.uint64(64 - 13)).astype(np.int64), keys & np.uint64((1 << 51) - 1), weight
 
 
-def signatures(row: np.ndarray, shingle: np.ndarray, weight: np.ndarray, texts: int, slots: int = SLOTS) -> np.ndarray:
+def signatures(row: np.ndarray, shingle: np.ndarray, weight: np.ndarray, texts: int, slots: int = BANDS * ROWS) -> np.ndarray:
     """The shingle that holds each slot, for each text; 0 throughout for a text without shingles."""
     when = np.full(texts * slots, np.inf)
     who = np.zeros(texts * slots, np.uint64)
@@ -82,8 +80,7 @@ def _bands(batches):
             for a in range(first, last, 2048):
                 b = min(last, a + 2048)
                 row, shingle, weight = shingles(texts[a:b])
-                slots = signatures(row, shingle, np.ones_like(weight), b - a)
-                who = slots[:, : BANDS * ROWS].reshape(b - a, BANDS, ROWS)
+                who = signatures(row, shingle, np.ones_like(weight), b - a).reshape(b - a, BANDS, ROWS)
                 h = np.arange(BANDS, dtype=np.uint64)[None, :]
                 for k in range(ROWS):
                     h = mix(h + who[:, :, k])
@@ -92,8 +89,7 @@ def _bands(batches):
                 lists = pa.ListArray.from_arrays(
                     np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32), pa.array(h[some].view(np.int64).ravel())
                 )
-                kept = pa.array([x.tobytes() for x in slots.astype(np.uint16)], pa.binary())
-                yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), lists, kept, pa.array(size, pa.int32())], ["node", "bands", "slots", "size"])
+                yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), lists], ["node", "bands"])
 
 
 def _sets(batches):
@@ -126,17 +122,17 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.unhex(F.md5(text.cast("binary"))).alias("node"), text.alias("text"))
 
 
-def links(docs: DataFrame, small: int = 16) -> DataFrame:
+def links(docs: DataFrame, small: int = SMALL) -> DataFrame:
     """(a, b): pairs of different texts that are similar, enough of them to connect each class.
 
     In buckets of up to ``small`` members, all are compared. In larger ones each member is compared with the first: the
     one whose buckets hold most texts, as an original stands before its altered copies. Those that are not linked with
-    it are held, by their slots, against all members of the bucket, in blocks, and compared with those whose estimated
-    similarity is at least LIKELY. So a large group of copies takes one comparison for each member and bucket.
+    it are compared, in blocks, with all members of the buckets that it leads. So a large group of copies takes one
+    comparison for each member, and every pair that shares a bucket is compared or connected.
     """
     texts = keyed(docs).select("node", "text")
-    signed = materialise(texts.mapInArrow(_bands, "node binary, bands array<long>, slots binary, size int").distinct(), "slots")
-    member = signed.select("node", F.posexplode("bands").alias("band", "bucket"))
+    signed = materialise(texts.mapInArrow(_bands, "node binary, bands array<long>").distinct(), "bands")
+    member = signed.select("node", F.explode("bands").alias("bucket"))
     sizes = member.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     shared = materialise(member.join(sizes, "bucket"), "shared")
     rank = shared.groupBy("node").agg(F.sum("n").alias("popular"))
@@ -146,11 +142,11 @@ def links(docs: DataFrame, small: int = 16) -> DataFrame:
     lists = few.groupBy("bucket").agg(F.sort_array(F.collect_list("node")).alias("nodes"))  # up to ``small``
     within = lists.select("nodes", F.posexplode("nodes").alias("i", "a")).select("a", F.explode(F.slice("nodes", F.col("i") + 2, F.lit(small))).alias("b"))
     best = many.join(rank, "node").groupBy("bucket").agg(F.max(F.struct("popular", "node"))["node"].alias("first"))
-    led = materialise(many.join(best, "bucket").where("node != first").select("bucket", "node", "n", "first"), "led")
+    led = materialise(many.join(best, "bucket").where("node != first").select("first", "node").distinct(), "led")
     found = _verify(within.unionByName(led.select(*pair("node", "first"))).distinct(), sets)
     either = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rest = led.join(either, (F.col("node") == F.col("a")) & (F.col("first") == F.col("b")), "left_anti").select("bucket", "node", F.lit(True).alias("rest"))
-    return found.unionByName(_verify(_likely(materialise(rest, "rest"), many, signed.select("node", "slots", "size")), sets))
+    rest = materialise(led.join(either, (F.col("node") == F.col("a")) & (F.col("first") == F.col("b")), "left_anti"), "rest")
+    return found if rest.isEmpty() else found.unionByName(materialise(_in_blocks(rest, led, sets), "links"))
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -160,34 +156,40 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return materialise(both.mapInArrow(_verified, "a binary, b binary"), "links")
 
 
-def _likely(rest: DataFrame, member: DataFrame, signed: DataFrame) -> DataFrame:
-    """Pairs of a node of ``rest`` and another of its bucket that agree in at least LIKELY of the slots.
+def _in_blocks(rest: DataFrame, led: DataFrame, sets: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Similar pairs of a node of ``rest`` (first, node) and another node of ``led`` under the same ``first``.
 
-    A bucket's members are dealt over blocks of about BLOCK; each task holds two blocks of one bucket. A pair is made
-    in the first band that both share: where the node is linked with that bucket's first member, the other is so too,
-    or makes the pair itself.
+    Each side is dealt over blocks of about ``block_bytes`` by a hash of the node; a task holds one block of each side.
     """
-    open_ = member.join(rest.select("bucket").distinct(), "bucket", "left_semi").join(rest, ["bucket", "node"], "left").join(signed, "node")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = open_.select("bucket", "band", "node", "slots", "size", F.col("rest").isNotNull().alias("rest"), F.pmod(F.hash("node"), blocks).alias("own"), blocks.alias("blocks"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    asks = dealt.where("rest").select("bucket", "band", "node", "slots", "size", "rest", F.lit(True).alias("asks"), F.col("own").alias("i"), other.alias("j"))
-    held = dealt.select("bucket", "band", "node", "slots", "size", F.lit(False).alias("rest"), F.col("rest").alias("asks"), other.alias("i"), F.col("own").alias("j"))
+    bytes_ = sets.select("node", F.octet_length("shingles").alias("bytes"))
+    need = lambda rows, name: rows.join(bytes_, "node").groupBy("first").agg(F.ceil(F.sum("bytes") / block_bytes).cast("int").alias(name))
+    blocks = materialise(need(rest, "asking").join(need(led.join(rest.select("first").distinct(), "first", "left_semi"), "held"), "first"), "blocks")
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    all_ = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asks = rest.join(blocks, "first").select("first", "node", F.lit(True).alias("asks"), own("asking").alias("i"), all_("held").alias("j"))
+    held = led.join(blocks, "first").select("first", "node", F.lit(False).alias("asks"), all_("asking").alias("i"), own("held").alias("j"))
+    rows = asks.unionByName(held).join(sets, "node")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf[pdf.rest], pdf[~pdf.rest]
-        slots = np.frombuffer(b"".join(y["slots"]), np.uint16).reshape(len(y), SLOTS)
-        names, asks, band, sizes = np.array(list(y["node"]), object), y["asks"].to_numpy(bool), pdf["band"].iloc[0], y["size"].to_numpy()
-        out = []
-        for node, own, size in zip(x["node"], x["slots"], x["size"]):
-            same = slots == np.frombuffer(own, np.uint16)
-            alike = np.minimum(sizes, size) >= SIMILAR * np.maximum(sizes, size)  # else no link is possible
-            near = np.flatnonzero(alike & (np.count_nonzero(same, axis=1) >= LIKELY * SLOTS))
-            near = near[same[near, : BANDS * ROWS].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
-            out += [(min(node, o), max(node, o)) for o, other_asks in zip(names[near], asks[near]) if node < o or not other_asks and node != o]
+        x, y = pdf[pdf.asks], pdf[~pdf.asks]
+        parts = [np.frombuffer(d, "<u8") for d in y["shingles"]]
+        size = np.array([len(p) for p in parts])
+        at = np.repeat(np.arange(len(parts)), size)
+        flat = np.concatenate(parts) if parts else np.empty(0, np.uint64)
+        order = np.argsort(flat, kind="stable")
+        flat, at = flat[order], at[order]  # which members have each shingle
+        names, out = y["node"].to_list(), []
+        for node, data in zip(x["node"], x["shingles"]):
+            own = np.frombuffer(data, "<u8")
+            a, b = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
+            n = b - a
+            met = at[np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            common = np.bincount(met, minlength=len(parts))
+            near = np.flatnonzero((common > 0) & (common >= SIMILAR * (len(own) + size - common)))
+            out += [(min(node, names[k]), max(node, names[k])) for k in near if names[k] != node]
         return pd.DataFrame(out, columns=["a", "b"])
 
-    return asks.unionByName(held).groupBy("bucket", "i", "j").applyInPandas(run, "a binary, b binary").distinct()
+    return rows.groupBy("first", "i", "j").applyInPandas(run, "a binary, b binary").distinct()
 
 
 def _members(docs: DataFrame) -> DataFrame:
@@ -201,7 +203,7 @@ def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id): documents that equal texts and links connect have the smallest doc_id among them.
 
     Null texts count as empty, empty texts as equal; repeated doc_ids keep their rows; a class with null doc_ids alone
-    has a null class_id; other columns are ignored; an empty table gives no rows.
+    has a null class_id; of equal texts any stands for all; other columns are ignored; an empty table gives no rows.
     """
     member = _members(docs)
     of = member.groupBy("root").agg(F.min("doc_id").alias("class_id"))
@@ -210,7 +212,10 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """A row of ``docs`` for each class, with all its columns: the one with the smallest doc_id, nulls last."""
+    """A row of ``docs`` for each class, with all its columns: the one with the smallest doc_id, nulls last.
+
+    Of rows that are equal in text and doc_id any one stays; an empty table stays empty; columns may have any name.
+    """
     chosen = _members(docs).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("first"))
     chosen = chosen.select(F.col("first.node").alias("__node"), F.col("first.doc_id").alias("__id"))
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))

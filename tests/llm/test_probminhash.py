@@ -80,3 +80,42 @@ def test_lines_repeated_unequally_link(spark):
     rows += [(100 + k, " ".join([f"u{k}", base, *[line] * (1 + 3 * k)])) for k in range(30)]  # a large one
     got = {x.doc_id: x.class_id for x in probminhash.classes(docs(spark, rows)).collect()}
     assert got == brute(rows)
+
+
+def test_large_bucket_loses_no_link(spark):
+    """Thousands of altered copies, many of them in no link with the original but with one another."""
+    r = np.random.default_rng(21)
+    base = [f"b{x}" for x in r.integers(0, 10**6, 220)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 1500):
+        t = list(base)
+        for p in r.choice(220, int(r.integers(0, 12)), replace=False):
+            t[p] = f"n{r.integers(0, 10**9)}"
+        rows.append((k, " ".join(t)))
+    got = {x.doc_id: x.class_id for x in probminhash.classes(docs(spark, rows)).collect()}
+    codes: dict = {}
+    own = [np.unique([codes.setdefault(g, len(codes)) for g in sets(t)]) for _, t in rows]
+    flags = np.zeros((len(rows), len(codes)), np.float32)
+    for k, s in enumerate(own):
+        flags[k, s] = 1
+    common = flags @ flags.T
+    size = np.array([len(s) for s in own])
+    near = common >= 0.8 * (size[:, None] + size[None, :] - common)
+    assert (~near[0]).sum() > 100  # not all are linked with the original
+    lost = [(i, j) for i, j in np.argwhere(near) if got[i] != got[j]]
+    assert not lost
+    first = np.arange(len(rows))  # and nothing else is connected
+    while True:
+        after = np.where(near, first[None, :], len(rows)).min(axis=1)
+        if (after == first).all():
+            break
+        first = after
+    assert [got[k] for k in range(len(rows))] == first.tolist()
+
+
+def test_very_long_text(spark):
+    r = np.random.default_rng(4)
+    long = " ".join(f"w{x}" for x in r.integers(0, 10**6, 200_000))
+    rows = [(1, long), (2, long + " more"), (3, "short text of a few words"), (4, long[: len(long) // 2])]
+    got = {x.doc_id: x.class_id for x in probminhash.classes(docs(spark, rows)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
