@@ -96,9 +96,9 @@ def written_so_far() -> list[str]:
     return [path for _, path in _written]
 
 
-def drop_written(keep: list[str] = ()) -> None:
-    """Removes the tables that ``materialise`` wrote in this session, but for those listed."""
-    for item in [x for x in _written if x[1] not in keep]:
+def drop_written(paths: list[str] | None = None) -> None:
+    """Removes tables and folders that ``materialise`` and ``new_folder`` made in this session: those listed, or all."""
+    for item in [x for x in _written if paths is None or x[1] in paths]:
         spark, path = item
         jvm = spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)

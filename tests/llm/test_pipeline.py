@@ -29,8 +29,10 @@ def test_run(spark, tmp_path):
     assert {x.doc_id for x in out} == set(kept)
     encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode
     for i, t in kept.items():
-        n = len(encode(t.replace("a.b@example.org", "[EMAIL]"), add_special_tokens=False).ids) + 1
-        assert {x.doc_tokens for x in out if x.doc_id == i} == {n} and sum(x.length for x in out if x.doc_id == i) == n
+        ids = encode(t.replace("a.b@example.org", "[EMAIL]"), add_special_tokens=False).ids + [1]
+        own = sorted((x for x in out if x.doc_id == i), key=lambda x: x.start)
+        assert {x.doc_tokens for x in own} == {len(ids)} and sum(x.length for x in own) == len(ids)
+        assert np.frombuffer(b"".join(x.ids for x in own), "<u4").tolist() == ids
 
 
 def test_stages(spark):
@@ -43,3 +45,20 @@ def test_language_without_a_model_keeps_texts_with_letters(spark):
 
     rows = [(1, "clean text", None), (2, "123 !", None), (3, None, None), (4, "\u00e9", None)]
     assert sorted(r.doc_id for r in corpus_pipeline.language(spark, docs(spark, rows), "").collect()) == [1, 4]
+
+
+def test_the_network_decides(spark):
+    """A text of three languages in equal parts is rejected, and a missing lang is filled in."""
+    r = np.random.default_rng(2)
+    say = lambda letters, n: "".join(r.choice(list(letters), n))
+    tongues = {"one": "abcd ", "two": "mnop ", "three": "vwxy "}
+    rows = [(3 * i + k, say(letters, 600), lang) for i in range(80) for k, (lang, letters) in enumerate(tongues.items())]
+    rows += [(900, "".join("a" + say(letters, 191) for letters in tongues.values()), "one"), (901, say("vwxy ", 900), None)]
+    got = {x.doc_id: x.lang for x in corpus_pipeline.language(spark, docs(spark, rows), "").collect()}
+    assert 900 not in got and got == {i: lang or "three" for i, _, lang in rows if i != 900}
+
+
+def test_stages_on_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs(spark, []), str(tmp_path)).collect() == []
