@@ -150,6 +150,22 @@ def without_article(t: Column) -> Column:
     return F.regexp_replace(t, "^(the|a|an) ", "")
 
 
+def with_articles(t: Column) -> Column:
+    """The text after each article."""
+    return F.array(*(F.concat(F.lit(a), t) for a in ("the ", "a ", "an ")))
+
+
+def simple_slug(t: Column) -> Column:
+    """Lower case, blanks as dashes, without colons and apostrophes."""
+    return F.translate(F.lower(_text(t)), " :'", "-")
+
+
+def absolute_url(url: Column, base: str) -> Column:
+    """A link on its own, or under ``base``; an empty one stays empty."""
+    slash = F.when(url.startswith("/"), "").otherwise("/")
+    return F.when(_text(url) == "", "").when(url.rlike("^https?://"), url).otherwise(F.concat(F.lit(base), slash, url))
+
+
 def slug(t: Column) -> Column:
     text = F.replace(F.replace(F.lower(ascii_fold(_text(t))), F.lit("&"), F.lit(" and ")), F.lit("+"), F.lit(" plus "))
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "['’]", ""), "[^a-z0-9]+", "-"), "^-+|-+$", "")
@@ -207,6 +223,26 @@ def year_of(t: Column) -> Column:
     return F.regexp_extract(_text(t), r"^(\d{4})", 1).try_cast("int")
 
 
+def year_or_date(year: Column, date: Column) -> Column:
+    """The year, or the one that the date begins with."""
+    return F.coalesce(year, year_of(date.cast("string")))
+
+
+def canonical_json(*columns: str) -> Column:
+    """The columns as JSON with sorted names, nulls too: the same text for the same values, to be hashed."""
+    return F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
+
+
+def now_text(at: Column | None = None) -> Column:
+    """A time as UTC text; the current one, unless a job gives its own so that it can run again with the same result."""
+    return F.date_format(F.current_timestamp() if at is None else at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def flat_distinct(lists: Column) -> Column:
+    """The distinct values of lists of lists, in order; null lists count as empty."""
+    return F.array_distinct(F.flatten(F.filter(lists, lambda x: x.isNotNull())))
+
+
 # Patterns of title categories, by label.
 CATEGORIES = {
     "roman_numeral_in_title": r"(?i)\b(?:I{1,3}|IV|VI{0,3}|IX|XI{0,3}|XIV|XV|XVI{0,3}|XIX|XX)\b",

@@ -56,6 +56,54 @@ def page(items: DataFrame, order: list[Column], number: int, size: int = 50) ->
     return items.orderBy(*order).offset(number * size).limit(size)
 
 
+def page_count(items: DataFrame, size: int = 50) -> DataFrame:
+    """(rows, pages): how many rows there are, and pages of them."""
+    return items.agg(F.count("*").alias("rows")).select("rows", F.ceil(F.col("rows") / size).alias("pages"))
+
+
+def by_locale(column: str, descending: bool = False) -> list[Column]:
+    """Text in the order of Unicode's collation, whatever the case and accents; missing text is empty."""
+    key = F.collate(F.coalesce(column, F.lit("")), "UNICODE")
+    return [key.desc() if descending else key.asc(), F.asc("game_id")]
+
+
+def by_column(column: str, descending: bool = False) -> list[Column]:
+    """Any number column; a missing one is -1."""
+    key = F.coalesce(F.col(column).cast("double"), F.lit(-1.0))
+    return [key.desc() if descending else key.asc(), F.asc("game_id")]
+
+
+def in_award_years(items: DataFrame, awards: DataFrame) -> DataFrame:
+    """Scored items from the first to the last year that has awards, or without a year."""
+    span = awards.agg(F.min("year").alias("__lo"), F.max("year").alias("__hi"))  # one row
+    near = F.col("release_year").isNull() | F.col("release_year").between(F.col("__lo"), F.col("__hi"))
+    return items.where("weighted_score is not null").join(F.broadcast(span)).where(near).drop("__lo", "__hi")
+
+
+def with_awards(top: DataFrame, matched: DataFrame, awards: DataFrame) -> DataFrame:
+    """Adds the shows that chose an item, in order; none is an empty list."""
+    won = matched.join(awards.select("award_id", "show"), "award_id").groupBy("game_id").agg(F.array_sort(F.collect_set("show")).alias("shows"))
+    return top.join(won, "game_id", "left").withColumn("shows", F.coalesce("shows", F.array().cast("array<string>")))
+
+
+def award_titles(*columns: DataFrame) -> DataFrame:
+    """(title) of all awards, winners and nominees, each once, in order."""
+    out = columns[0].toDF("title")
+    for c in columns[1:]:
+        out = out.unionByName(c.toDF("title"))
+    return out.where("title is not null").distinct().orderBy("title")
+
+
+def shown_baselines(baselines: DataFrame, hidden: tuple[str, ...]) -> DataFrame:
+    """Baselines but those of hidden platforms; a missing platform is shown."""
+    return baselines.where(~F.coalesce(F.col("source_platform").isin(list(hidden)), F.lit(False)))
+
+
+def titled_like(items: DataFrame, pattern: str) -> DataFrame:
+    """Items whose title is like a pattern, in any case."""
+    return items.where(F.col("title").ilike(pattern))
+
+
 def facets(items: DataFrame) -> DataFrame:
     """(facet, value, n) of years, genres and platforms."""
     of = lambda name, value: items.select(F.lit(name).alias("facet"), value.alias("value"))
@@ -74,6 +122,12 @@ def histogram(reviews: DataFrame) -> DataFrame:
     )
 
 
+def score_summary(reviews: DataFrame) -> DataFrame:
+    """(n, best, mean): scores from 0 to 100, the largest bucket of ten's count, and their mean to one decimal."""
+    counted = histogram(reviews).agg(F.max("n").alias("best"))
+    return reviews.where("score between 0 and 100").agg(F.count("*").alias("n"), half_up_1(F.avg("score")).alias("mean")).join(counted)  # rows of one
+
+
 def custom_scores(reviews: DataFrame, config: CustomScoreConfig = CustomScoreConfig()) -> DataFrame:
     """(game_id, score, count) under a reader's own rules; platforms may be lists parted by ``|``.
 
@@ -90,11 +144,11 @@ def custom_scores(reviews: DataFrame, config: CustomScoreConfig = CustomScoreCon
     if config.exclude_outliers:
         of_game = W.partitionBy("game_id")
         nth = F.row_number().over(of_game.orderBy("score")) - 1
-        rows = rows.withColumns({"nth": nth, "of": F.count("*").over(of_game)})
-        at = lambda share: F.max(F.when(F.col("nth") == F.floor(F.col("of") * share), F.col("score"))).over(of_game)
-        rows = rows.withColumns({"q1": at(0.25), "q3": at(0.75)})
-        gap = 1.5 * (F.col("q3") - F.col("q1"))
-        rows = rows.where((F.col("of") < 4) | F.col("score").between(F.col("q1") - gap, F.col("q3") + gap))
+        rows = rows.withColumns({"__nth": nth, "__of": F.count("*").over(of_game)})
+        at = lambda share: F.max(F.when(F.col("__nth") == F.floor(F.col("__of") * share), F.col("score"))).over(of_game)
+        rows = rows.withColumns({"__q1": at(0.25), "__q3": at(0.75)})
+        gap = 1.5 * (F.col("__q3") - F.col("__q1"))
+        rows = rows.where((F.col("__of") < 4) | F.col("score").between(F.col("__q1") - gap, F.col("__q3") + gap))
     scale = (0.8 if config.reduce_big_media else 1.0) * (1.1 if config.boost_indie else 1.0)
     weight = F.when(F.coalesce("weight", F.lit(0.0)) == 0, 1.0).otherwise(F.col("weight")) * scale
     mean = F.try_divide(F.sum(F.col("score") * weight), F.sum(weight))
@@ -104,24 +158,28 @@ def custom_scores(reviews: DataFrame, config: CustomScoreConfig = CustomScoreCon
 def match_awards(awards: DataFrame, games: DataFrame) -> DataFrame:
     """(award_id, game_id, tier): the first item, by tier and then id, whose title fits an award's.
 
-    Tier 1: equal; 2: one is a prefix of the other that is at most half as long again twice over; 3: four fifths of the
-    award's words of three letters or more are words of the title. Equal titles and prefixes meet by their first word,
-    overlaps by any shared word, so no pair without a common word is ever made.
+    Tier 1: equal; 2 and 3: the item's title begins with the award's, or the other way, and is at most twice as long; 4:
+    four fifths of the award's words of three letters or more are words of the title. Titles are matched once, however
+    many awards or items have them. A title meets its beginnings of half its length or more in an equi join, and titles
+    that share words meet by the award's rarest: of n words a fifth may be missing, so one of the n/5 + 1 rarest is
+    shared. Null and empty titles match nothing.
     """
+    a = awards.where("key <> ''").select(F.col("key").alias("ak")).distinct()
+    g = games.where("key <> ''").groupBy(F.col("key").alias("gk")).agg(F.min("game_id").alias("game_id"))
+    begins = lambda c: F.explode(F.transform(F.sequence(F.ceil(F.length(c) / 2).cast("int"), F.length(c)), lambda n: F.substr(c, F.lit(1), n)))
+    longer = g.select("gk", "game_id", begins(F.col("gk")).alias("ak")).join(a, "ak").select("ak", "game_id", F.when(F.col("ak") == F.col("gk"), 1).otherwise(2).alias("tier"))
+    shorter = a.select("ak", begins(F.col("ak")).alias("gk")).where("ak <> gk").join(g, "gk").select("ak", "game_id", F.lit(3).alias("tier"))
     words = lambda c: F.filter(F.split(c, " "), lambda w: F.length(w) >= 3)
-    a = awards.select("award_id", F.col("key").alias("ak"))
-    g = games.select("game_id", F.col("key").alias("gk")).where("gk <> ''")
-    tokens = lambda d, i, k: d.select(i, k, F.explode(F.array_distinct(F.split(k, " "))).alias("word"))
-    pairs = tokens(a, "award_id", "ak").join(tokens(g, "game_id", "gk"), "word").select("award_id", "ak", "game_id", "gk").distinct()
+    by_word = g.select("gk", F.explode(F.array_distinct(words(F.col("gk")))).alias("word"))
+    common = by_word.groupBy("word").agg(F.count("*").alias("n"))
+    asked = a.select("ak", F.explode(F.array_distinct(words(F.col("ak")))).alias("word")).join(common, "word", "left")
+    place = F.row_number().over(W.partitionBy("ak").orderBy(F.coalesce("n", F.lit(0)), "word"))
+    rare = asked.withColumn("place", place).where(F.col("place") <= F.floor(F.size(words(F.col("ak"))) / 5) + 1).select("ak", "word")
+    pairs = rare.join(by_word, "word").select("ak", "gk").distinct()
     shared = F.size(F.filter(words(F.col("ak")), lambda w: F.array_contains(F.split("gk", " "), w)))
-    tier = (
-        F.when(F.col("ak") == F.col("gk"), 1)
-        .when(F.col("gk").startswith(F.col("ak")) & (F.length("gk") <= 2 * F.length("ak")), 2)
-        .when(F.col("ak").startswith(F.col("gk")) & (F.length("ak") <= 2 * F.length("gk")), 3)
-        .when(F.try_divide(shared, F.size(words(F.col("ak")))) >= 0.8, 4)
-    )
-    best = pairs.withColumn("tier", tier).where("tier is not null").groupBy("award_id").agg(F.min(F.struct("tier", "game_id")).alias("best"))
-    return best.select("award_id", "best.game_id", "best.tier")
+    alike = pairs.where(F.try_divide(shared, F.size(words(F.col("ak")))) >= 0.8).join(g, "gk").select("ak", "game_id", F.lit(4).alias("tier"))
+    best = longer.unionByName(shorter).unionByName(alike).groupBy("ak").agg(F.min(F.struct("tier", "game_id")).alias("best"))
+    return awards.select("award_id", F.col("key").alias("ak")).join(best, "ak").select("award_id", "best.game_id", "best.tier")
 
 
 def consensus(won: DataFrame, least: int = 2) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyforge.functions import text as X
 from tallyforge.operators.runtime import checkpointed
 from tallyforge.operators.tables import first_of_each
 
@@ -83,15 +86,68 @@ def canonical(members: DataFrame, *order: Column) -> DataFrame:
 def ordered_lookup(rows: DataFrame, keys: Column, index: DataFrame) -> DataFrame:
     """The target of each row's first key that the index has: one join instead of one for each strategy.
 
-    ``keys``: array of struct(tier, kind, key). ``index``: (kind, key, game_id), a key once. A row is (row_id, line_no,
-    ...); of the rows that find one target, the first by line keeps it and the others get none.
+    ``keys``: array of struct(tier, kind, key, method). ``index``: (kind, key, game_id), a key once. A row is (row_id,
+    line_no, ...); of the rows that find one target, the first by line keeps it and the others get none. Null and empty
+    keys find nothing.
     """
     asked = rows.select("row_id", "line_no", F.inline(keys)).where("key is not null and key <> ''")
-    found = asked.join(index, ["kind", "key"]).groupBy("row_id", "line_no").agg(F.min(F.struct("tier", "kind", "game_id")).alias("best"))
-    flat = found.select("row_id", "line_no", "best.game_id", F.col("best.kind").alias("method"))
+    found = asked.join(index, ["kind", "key"]).groupBy("row_id", "line_no").agg(F.min(F.struct("tier", "method", "game_id")).alias("best"))
+    flat = found.select("row_id", "line_no", "best.game_id", "best.method")
     return first_of_each(flat, ["game_id"], F.asc("line_no"), F.asc("row_id"))
 
 
+def _key(tier: int, kind: str, key: Column, method: str) -> Column:
+    return F.struct(F.lit(tier).alias("tier"), F.lit(kind).alias("kind"), key.alias("key"), F.lit(method).alias("method"))
+
+
+def catalog_keys(name: Column, slug: Column, url: Column, year: Column, every: bool = True) -> Column:
+    """The keys of a catalog row, most telling first: slug, slug of its URL, title with year, title.
+
+    With ``every`` also the bare title (without parentheses, editions and years) with and without year, each variant of
+    its numerals with and without year, and the title without its article.
+    """
+    dated = lambda t: F.concat_ws("|", t, year.cast("string"))
+    on = lambda t: F.when(year.isNotNull(), dated(t))
+    plain, bare = X.title_enrich(name), X.title_enrich(X.bare(name))
+    keys = [_key(1, "slug", slug, "slug"), _key(2, "slug", X.platform_slug(url), "url_slug"), _key(3, "title_year", on(plain), "title_year"), _key(4, "title", plain, "title")]
+    if not every:
+        return F.array(*keys)
+    keys += [_key(5, "bare_year", on(bare), "bare_year"), _key(6, "bare", bare, "bare")]
+    pair = lambda v, i: F.array(
+        F.struct((7 + 2 * i).alias("tier"), F.lit("bare_year").alias("kind"), on(v).alias("key"), F.lit("numeral_year").alias("method")),
+        F.struct((8 + 2 * i).alias("tier"), F.lit("bare").alias("kind"), v.alias("key"), F.lit("numeral").alias("method")),
+    )
+    variants = F.flatten(F.transform(X.numeral_variants(bare), pair))
+    cut = F.when(X.without_article(bare) != bare, X.without_article(bare))
+    return F.concat(F.array(*keys), variants, F.array(_key(1000, "article", cut, "article"), _key(1001, "bare", cut, "article")))
+
+
+def catalog_index(games: DataFrame, slugs: DataFrame | None = None) -> DataFrame:
+    """(kind, key, game_id) under which items of (game_id, title, release_year) are found; the largest id stays.
+
+    ``slugs``: (game_id, slug) of their identities. A title's year is the item's, or else the one in parentheses.
+    """
+    tag = F.regexp_extract("title", r"\((\d{4})\)", 1).try_cast("int")
+    plain, bare = X.title_enrich(F.col("title")), X.title_enrich(X.bare(F.col("title")))
+    g = games.select("game_id", F.coalesce("release_year", tag).cast("string").alias("year"), plain.alias("plain"), bare.alias("bare"))
+    cut = F.when(X.without_article(F.col("bare")) != F.col("bare"), X.without_article(F.col("bare")))
+    g = g.withColumn("variants", X.numeral_variants(F.col("bare"))).withColumn("cut", cut).withColumn("cut_variants", F.coalesce(X.numeral_variants(F.col("cut")), F.array().cast("array<string>")))
+    one = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
+    dated = lambda t: F.when(F.col("year").isNotNull(), F.concat_ws("|", t, "year"))
+    other = F.when(F.col("bare") != F.col("plain"), F.col("bare"))
+    many = lambda kind, list_, of=lambda v: v: F.transform(list_, lambda v: one(kind, of(v)))
+    keys = F.concat(
+        F.array(one("title_year", dated(F.col("plain"))), one("title", F.col("plain")), one("bare_year", F.when(other.isNotNull(), dated(other))), one("bare", other)),
+        many("bare_year", F.col("variants"), dated), many("bare", F.col("variants")),
+        F.array(one("article", F.col("cut")), one("bare", F.col("cut"))), many("article", F.col("cut_variants")), many("bare", F.col("cut_variants")),
+        many("article", X.with_articles(F.col("bare"))),
+    )
+    rows = g.select("game_id", F.inline(keys)).where("key is not null and key <> ''")
+    if slugs is not None:
+        rows = rows.unionByName(slugs.where("slug is not null and slug <> ''").select("game_id", F.lit("slug").alias("kind"), F.col("slug").alias("key")))
+    return rows.groupBy("kind", "key").agg(F.max("game_id").alias("game_id"))
+
+
 def last_index(rows: DataFrame, kind: str, key: Column) -> DataFrame:
     """An index (kind, key, game_id) in which the last item written under a key stays."""
     named = rows.select(F.lit(kind).alias("kind"), key.alias("key"), "game_id").where("key is not null and key <> ''")
@@ -101,17 +157,19 @@ def last_index(rows: DataFrame, kind: str, key: Column) -> DataFrame:
 def token_jaccard(left: DataFrame, right: DataFrame, least: float = 0.7, frequent: int = 200) -> DataFrame:
     """(l, r, jaccard) of rows (id, tokens) that share a token which is not too frequent, and are similar enough.
 
-    Frequent tokens of ``right`` make no pairs, but count for the similarity.
+    Tokens that more than ``frequent`` rows of ``right`` have make no pairs, but count for the similarity: that is the
+    rule of the match, and it bounds the rows that a token brings together. Sizes travel with the tokens, so that pairs
+    whose sizes alone forbid the similarity are never made. Rows without tokens match nothing.
     """
-    r = right.select(F.col("id").alias("r"), F.array_distinct("tokens").alias("rt"))
-    l_ = left.select(F.col("id").alias("l"), F.array_distinct("tokens").alias("lt"))
-    by_token = r.select("r", F.explode("rt").alias("token"))
+    sized = lambda d, i, t: d.select(F.col("id").alias(i), F.array_distinct("tokens").alias(t)).where(F.size(t) > 0)
+    l_, r = sized(left, "l", "lt"), sized(right, "r", "rt")
+    by_token = r.select("r", F.size("rt").alias("rn"), F.explode("rt").alias("token"))
     rare = by_token.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") <= frequent).select("token")
-    pairs = l_.select("l", F.explode("lt").alias("token")).join(by_token.join(rare, "token"), "token").select("l", "r").distinct()
-    small, large = F.least(F.size("lt"), F.size("rt")), F.greatest(F.size("lt"), F.size("rt"))
-    jaccard = F.size(F.array_intersect("lt", "rt")) / F.size(F.array_union("lt", "rt"))
-    near = pairs.join(l_, "l").join(r, "r").where(small / large >= least).select("l", "r", jaccard.alias("jaccard"))
-    return near.where(F.col("jaccard") >= least)
+    met = l_.select("l", F.size("lt").alias("ln"), F.explode("lt").alias("token")).join(by_token.join(rare, "token"), "token")
+    pairs = met.where(F.least("ln", "rn") >= least * F.greatest("ln", "rn")).select("l", "r").distinct()
+    common = F.size(F.array_intersect("lt", "rt"))
+    jaccard = common / (F.size("lt") + F.size("rt") - common)
+    return pairs.join(l_, "l").join(r, "r").select("l", "r", jaccard.alias("jaccard")).where(F.col("jaccard") >= least)
 
 
 def one_to_one(pairs: DataFrame) -> DataFrame:
@@ -132,45 +190,44 @@ def one_to_one(pairs: DataFrame) -> DataFrame:
     return taken if taken is not None else pairs
 
 
-def match_tier(exact: Column, similarity: Column, same_year: Column, same_maker: Column, shared_platform: Column) -> Column:
-    """struct(confidence, method) of the first tier that holds, or null."""
-    tier = lambda c, m: F.struct(F.lit(c).alias("confidence"), F.lit(m).alias("method"))
-    return (
-        F.when(exact & same_year, tier(1.0, "exact_title_year")).when(exact & same_maker, tier(0.95, "exact_title_dev"))
-        .when((similarity > 0.9) & same_year, tier(0.85, "fuzzy_title_year")).when((similarity > 0.85) & shared_platform, tier(0.75, "fuzzy_title_platform"))
-        .when((similarity > 0.8) & same_maker, tier(0.7, "fuzzy_title_dev"))
-    )
+#: Tiers of a match: confidence, method, similarity beyond which titles fit (none: equal titles), what else must be
+#: shared. Equal titles come first in every tier that takes them.
+TIERS = (
+    (1.0, "exact_title_year", None, "year"), (0.95, "exact_title_dev", None, "maker"), (0.75, "fuzzy_title_platform", None, "platform"),
+    (0.85, "fuzzy_title_year", 0.9, "year"), (0.75, "fuzzy_title_platform", 0.85, "platform"), (0.7, "fuzzy_title_dev", 0.8, "maker"),
+)
 
 
 def match_providers(a: DataFrame, b: DataFrame, similarity) -> DataFrame:
     """(a_id, b_id, confidence, method): each identity's best match with the other provider; first by id on ties.
 
-    Rows are (id, key, release_year, developer, platforms). Equal titles meet in a join. Of the others, every pair is
-    compared that a tier can take: those of one year, of one platform, of one maker. A bound on edits, which no pair
-    above the tier's similarity exceeds, goes before ``similarity`` (a column function).
+    Rows are (id, key, release_year, developer, publisher, platforms); null or empty keys, years, makers and platforms
+    are shared with nothing. A maker is a developer or a publisher, in any case. Identities of one title that share a
+    year, a maker or a platform are one row of an index with their smallest id, so titles are compared once, however
+    many identities have them. An identity that a tier has matched is not asked again. Every pair of titles is compared
+    that shares what a tier asks for; lengths and a bound on edits, which no pair above the similarity exceeds, go before
+    ``similarity`` (a column function).
     """
-    x, y = (d.select(*(F.col(c).alias(f"{p}_{c}") for c in ("id", "key", "release_year", "developer", "platforms"))).where(F.col(f"{p}_key") != "") for d, p in ((a, "a"), (b, "b")))
-    year = F.coalesce(F.col("a_release_year") == F.col("b_release_year"), F.lit(False))
-    maker = F.coalesce((F.lower(F.trim("a_developer")) == F.lower(F.trim("b_developer"))) & (F.trim("a_developer") != ""), F.lit(False))
-    platform = F.coalesce(F.arrays_overlap("a_platforms", "b_platforms"), F.lit(False))
-    scored = lambda pairs, sim: pairs.withColumn("m", match_tier(F.col("a_key") == F.col("b_key"), sim, year, maker, platform)).where("m is not null")
-    exact = scored(x.join(y, F.col("a_key") == F.col("b_key")), F.lit(1.0))
-    rest = x.join(exact.select("a_id").distinct(), "a_id", "left_anti")
-    total = F.length("a_key") + F.length("b_key")
-
-    def alike(shared, above: float) -> DataFrame:
-        """Pairs that share a value of ``shared`` (a function of a side's prefix) and are more similar than ``above``."""
-        left, right = (d.withColumn("shared", shared(p)).where("shared is not null") for d, p in ((rest, "a"), (y, "b")))
-        most = F.floor((1 - above) * total + 1e-6).cast("int")
-        pairs = left.join(right, "shared").where(F.abs(F.length("a_key") - F.length("b_key")) <= most)
-        return pairs.where(F.call_function("levenshtein", F.col("a_key"), F.col("b_key"), most) >= 0).drop("shared")
-
-    near = (
-        alike(lambda p: F.col(f"{p}_release_year"), 0.9)
-        .unionByName(alike(lambda p: F.explode(F.array_distinct(f"{p}_platforms")), 0.85))
-        .unionByName(alike(lambda p: F.nullif(F.lower(F.trim(f"{p}_developer")), F.lit("")), 0.8))
-    )
-    fuzzy = scored(near, similarity(F.col("a_key"), F.col("b_key")))
-    every = exact.unionByName(fuzzy.select(exact.columns))
-    best = first_of_each(every.select("a_id", "b_id", "m.confidence", "m.method"), ["a_id"], F.desc("confidence"), F.asc("b_id"))
-    return best
+    shares = {
+        "year": lambda: F.col("release_year").cast("string"),
+        "maker": lambda: F.explode(F.array_distinct(F.transform(F.array("developer", "publisher"), lambda m: F.lower(F.trim(m))))),
+        "platform": lambda: F.explode(F.array_distinct(F.transform("platforms", lambda p: F.lower(F.trim(p))))),
+    }
+    of = lambda d, what: d.where("key <> ''").select("id", "key", shares[what]().alias("shared")).where("shared is not null and shared <> ''")
+    index = {what: of(b, what).groupBy("key", "shared").agg(F.min("id").alias("b_id")) for what in shares}
+    found, open_ = [], a
+    for confidence, method, above, what in TIERS:
+        rows, known = of(open_, what), index[what]
+        if above is None:
+            met = rows.join(known, ["key", "shared"])
+        else:
+            titles = rows.select(F.col("key").alias("x"), "shared").distinct().join(known.select(F.col("key").alias("y"), "shared").distinct(), "shared")
+            most = F.floor((1 - above) * (F.length("x") + F.length("y")) + 1e-6).cast("int")
+            near = titles.where(F.abs(F.length("x") - F.length("y")) <= most).select("x", "y", most.alias("most")).distinct()
+            near = near.where((F.col("x") != F.col("y")) & (F.call_function("levenshtein", F.col("x"), F.col("y"), F.col("most")) >= 0))
+            near = near.where(similarity(F.col("x"), F.col("y")) > above).select("x", "y")
+            met = rows.withColumnRenamed("key", "x").join(near, "x").join(known.withColumnRenamed("key", "y"), ["y", "shared"])
+        best = checkpointed(met.groupBy(F.col("id").alias("a_id")).agg(F.min("b_id").alias("b_id")).withColumns({"confidence": F.lit(confidence), "method": F.lit(method)}))
+        found.append(best)
+        open_ = open_.join(best.select(F.col("a_id").alias("id")), "id", "left_anti")
+    return reduce(DataFrame.unionByName, found)

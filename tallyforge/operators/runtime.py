@@ -8,8 +8,13 @@ from pyspark.sql import DataFrame
 
 
 def checkpointed(frame: DataFrame) -> DataFrame:
-    """A reliable checkpoint in ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
+    """A reliable checkpoint in ``spark.checkpoint.dir``; a temporary folder where that is unset in a local session.
+
+    On a cluster an unset folder is an error: executors would write on their own disks.
+    """
     context = frame.sparkSession.sparkContext
     if not context.getConf().get("spark.checkpoint.dir") and context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tallyforge-"))
     return frame.checkpoint()

@@ -69,12 +69,23 @@ def weight_for(weights_: Column, genres: Column, platforms: Column) -> Column:
     return F.coalesce(F.get(found, F.lit(0)), F.lit(1.0))
 
 
-def trimmed_mean(scores: Column, n: Column, p: ScoringParams) -> Column:
-    """Mean of a sorted list without the lowest and highest share, where there are enough."""
-    cut = F.floor(n * p.trim_share).cast("int")
-    kept = F.slice(scores, cut + 1, (n - 2 * cut).cast("int"))
-    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
-    return F.when(n >= p.least_to_trim, mean(kept)).otherwise(mean(scores))
+def middle_scores(scored: DataFrame, p: ScoringParams) -> DataFrame:
+    """(game_id, median, trimmed): the median, and the mean without the lowest and highest share where there are enough.
+
+    Equal scores of an item are counted first, so an item takes as many rows as it has different scores, however many
+    reviews; places among them come from the running sum of the counts.
+    """
+    counts = scored.groupBy("game_id", "score").agg(F.count("*").alias("c"))
+    of = W.partitionBy("game_id")
+    upto = F.sum("c").over(of.orderBy("score").rowsBetween(W.unboundedPreceding, 0))
+    placed = counts.withColumns({"upto": upto, "n": F.sum("c").over(of)})
+    at = lambda k: F.min(F.when(F.col("upto") > k, F.col("score")))  # noqa: E731  the score at place k, from 0
+    cut = F.when(F.col("n") >= p.least_to_trim, F.floor(F.col("n") * p.trim_share)).otherwise(0)
+    kept = F.least("upto", F.col("n") - cut) - F.greatest(F.col("upto") - F.col("c"), cut)
+    kept = F.greatest(kept, F.lit(0))
+    return placed.groupBy("game_id").agg(
+        ((at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2).alias("median"), (F.sum(F.col("score") * kept) / F.sum(kept)).alias("trimmed")
+    )
 
 
 def snapshots(reviews: DataFrame, games: DataFrame, metrics: DataFrame, weights_: DataFrame, p: ScoringParams = ScoringParams()) -> DataFrame:
@@ -90,17 +101,17 @@ def snapshots(reviews: DataFrame, games: DataFrame, metrics: DataFrame, weights_
         .select("game_id", "source_id", "score", weight_for(F.col("weights"), F.col("genres"), F.col("platforms")).alias("w"),
                 F.coalesce(calibrated, clamp(F.col("score"), 0.0, 100.0)).alias("calibrated"))
     )
-    n = F.col("sample_count")
     return (
         rows.groupBy("game_id")
         .agg(
             F.count("*").alias("sample_count"), F.countDistinct("source_id").alias("source_count"), F.avg("score").alias("mean"),
-            F.median("score").alias("median"), F.sort_array(F.collect_list("score")).alias("scores"), F.avg("calibrated").alias("cal"),
+            F.avg("calibrated").alias("cal"),
             F.sum(F.col("score") * F.col("w")).alias("ws"), F.sum("w").alias("wt"), F.stddev_pop("score").alias("std"),
         )
+        .join(middle_scores(scored, p), "game_id")
         .select(
             "game_id", "sample_count", "source_count", F.round("mean", 4).alias("raw_average"), F.round("median", 4).alias("median_score"),
-            F.round(trimmed_mean(F.col("scores"), n, p), 4).alias("trimmed_mean"), F.round(clamp(F.col("cal"), 0.0, 100.0), 4).alias("calibrated_score"),
+            F.round("trimmed", 4).alias("trimmed_mean"), F.round(clamp(F.col("cal"), 0.0, 100.0), 4).alias("calibrated_score"),
             F.round(F.when(F.col("wt") > 0, F.col("ws") / F.col("wt")).otherwise(F.col("mean")), 4).alias("weighted_score"), F.round("std", 4).alias("score_std"),
         )
     )

@@ -36,14 +36,14 @@ def q_canon_baseline_urls(spark, sf_dir):
     return R.best_by_url(R.best_baselines(T.baselines(spark, sf_dir)), fit).select("baseline_id", "source_url")
 
 
-_KEYED = "keyed as (select game_id, lower(title) as key, case when game_id % 3 = 0 then null else release_year end as release_year from games where game_id % 2 = 0)"
+_KEYED = "keyed as (select game_id, lower(title) as key, case when game_id % 3 = 0 then null else release_year end as release_year from games)"
 _EDGES = """edges as (select distinct game_id as a, lead as b from (select game_id, min(game_id) over (partition by key, release_year) as lead from keyed where release_year is not null
  union all select k.game_id, y.lead from keyed k join (select key, min(game_id) as lead from keyed group by 1 having count(distinct release_year) <= 1) y using (key)) where game_id <> lead)"""
 
 
 def _keyed(spark, sf_dir):
     year = F.when(F.col("game_id") % 3 != 0, F.col("release_year"))
-    return T.games(spark, sf_dir).where("game_id % 2 = 0").select("game_id", F.lower("title").alias("key"), year.alias("release_year"))
+    return T.games(spark, sf_dir).select("game_id", F.lower("title").alias("key"), year.alias("release_year"))
 
 
 @query("q_canon_edges", with_(GAMES, _KEYED, _EDGES, body="select a, b from edges"))
@@ -74,51 +74,97 @@ def q_canon_repoint(spark, sf_dir):
     return K.repoint(T.reviews(spark, sf_dir), mapping, "game_id").groupBy("game_id").agg(F.count("*").alias("n"))
 
 
-# a catalog made of the items themselves: altered titles, shifted years, slugs
-_CATALOG = """catalog as (select p_partkey as row_id, p_partkey as line_no, case when p_partkey % 5 = 0 then replace(p_name, ' ', '-') end as slug,
- case when p_partkey % 3 = 0 then upper(p_name) || ' (PC)' else p_name end as name, cast(case when p_partkey % 7 = 0 then null else 2014 + p_size % 12 end as int) as year from part),
-names as (select *, lower(regexp_replace(name, '\\([^)]*\\)', '')) as low from catalog),
-asked as (select row_id, line_no, 1 as tier, 'slug' as kind, slug as key from names union all select row_id, line_no, 3, 'title_year', trim(low) || '|' || year from names
- union all select row_id, line_no, 4, 'title', trim(low) from names),
-idx as (select 'slug' as kind, replace(title, ' ', '-') as key, max(game_id) as game_id from games group by 2 union all select 'title_year', lower(title) || '|' || release_year, max(game_id) from games group by 2
- union all select 'title', lower(title), max(game_id) from games group by 2),
-hit as (select row_id, line_no, arg_min(game_id, tier) as game_id, arg_min(idx.kind, tier) as method from asked join idx using (kind, key) group by 1, 2),
+# a catalog made of the items themselves: altered titles, shifted years, slugs and page addresses
+_STORED = """stored as (select game_id, case game_id % 9 when 0 then title || ' ii' when 1 then 'the ' || title when 2 then title || ' deluxe edition' when 3 then title || ' (2015)' else title || ' ' || game_id end as title,
+ case when game_id % 3 = 0 then null else release_year end as release_year, replace(title, ' ', '-') || '-' || game_id as slug from games)"""
+_CATALOG = """catalog as (select p_partkey as row_id, p_partkey as line_no, case when p_partkey % 5 = 0 then replace(p_name, ' ', '-') || '-' || (p_partkey - 5) end as slug,
+ case when p_partkey % 5 = 1 then 'https://x.org/game/pc/' || replace(p_name, ' ', '-') || '-' || (p_partkey + 1) || '?a' end as url,
+ case p_partkey % 8 when 0 then p_name || ' 2' when 1 then upper(p_name) || ' (PC)' when 2 then p_name || ' goty' when 3 then 'a ' || p_name when 4 then p_name || ' ii' else p_name || ' ' || p_partkey end as name,
+ cast(case when p_partkey % 7 = 0 then null else 2014 + p_size % 12 end as int) as year from part)"""
+_NORM = "trim(regexp_replace(regexp_replace(lower({t}), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g'))"
+_BARE = _NORM.format(t="regexp_replace(regexp_replace(regexp_replace({t}, '\\([^)]*\\)', '', 'g'), '(?i)\\b(deluxe edition|goty)\\b', '', 'g'), '\\b(19|20)\\d{{2}}\\b', '', 'g')")
+
+
+def _variants_sql(t: str) -> str:
+    """A list of a text's numeral variants, in order, without nulls."""
+    swaps = [(r, str(n)) for n, r in X.SWAPPED] + [(str(n), r) for n, r in X.SWAPPED]
+    return "list_filter([" + ", ".join(f"case when regexp_matches({t}, '\\b{o}\\b') then regexp_replace({t}, '\\b{o}\\b', '{w}', 'g') end" for o, w in swaps) + "], lambda v: v is not null)"
+
+
+_INDEX4 = f"""normed as (select game_id, coalesce(release_year, try_cast(regexp_extract(title, '\\((\\d{{4}})\\)', 1) as int)) as year, {_NORM.format(t="title")} as plain, {_BARE.format(t="title")} as bare, slug from stored),
+idx4 as (select kind, key, max(game_id) as game_id from (select 'slug' as kind, slug as key, game_id from normed union all select 'title_year', plain || '|' || year, game_id from normed
+ union all select 'title', plain, game_id from normed) where key <> '' group by 1, 2),
+asked4 as (select row_id, line_no, unnest([{{'t': 1, 'k': 'slug', 'v': slug, 'm': 'slug'}}, {{'t': 2, 'k': 'slug', 'v': regexp_extract(url, '/game/[^/]+/([^/?#]+)', 1), 'm': 'url_slug'}},
+ {{'t': 3, 'k': 'title_year', 'v': {_NORM.format(t="name")} || '|' || year, 'm': 'title_year'}}, {{'t': 4, 'k': 'title', 'v': {_NORM.format(t="name")}, 'm': 'title'}}]) as a from catalog)"""
+_INDEX9 = f"""cuts as (select *, case when regexp_matches(bare, '^(the|a|an) ') then regexp_replace(bare, '^(the|a|an) ', '') end as cut from normed),
+pairs9 as (select game_id, unnest(list_concat([case when bare <> plain then {{'k': 'bare_year', 'v': bare || '|' || year}} end, case when bare <> plain then {{'k': 'bare', 'v': bare}} end, {{'k': 'article', 'v': cut}}, {{'k': 'bare', 'v': cut}},
+ {{'k': 'article', 'v': 'the ' || bare}}, {{'k': 'article', 'v': 'a ' || bare}}, {{'k': 'article', 'v': 'an ' || bare}}],
+ list_transform({_variants_sql("bare")}, lambda v: {{'k': 'bare_year', 'v': v || '|' || year}}), list_transform({_variants_sql("bare")}, lambda v: {{'k': 'bare', 'v': v}}),
+ list_transform(coalesce({_variants_sql("cut")}, []), lambda v: {{'k': 'article', 'v': v}}), list_transform(coalesce({_variants_sql("cut")}, []), lambda v: {{'k': 'bare', 'v': v}}))) as p from cuts),
+idx9 as (select kind, key, max(game_id) as game_id from (select kind, key, game_id from idx4 union all select p.k, p.v, game_id from pairs9) where key <> '' group by 1, 2),
+bares as (select *, {_BARE.format(t="name")} as bare from catalog),
+asked9 as (select * from asked4 union all select row_id, line_no, unnest(list_concat([{{'t': 5, 'k': 'bare_year', 'v': bare || '|' || year, 'm': 'bare_year'}}, {{'t': 6, 'k': 'bare', 'v': bare, 'm': 'bare'}}],
+ list_transform({_variants_sql("bare")}, lambda v, i: {{'t': cast(5 + 2 * i as int), 'k': 'bare_year', 'v': v || '|' || year, 'm': 'numeral_year'}}), list_transform({_variants_sql("bare")}, lambda v, i: {{'t': cast(6 + 2 * i as int), 'k': 'bare', 'v': v, 'm': 'numeral'}}),
+ [{{'t': 1000, 'k': 'article', 'v': case when regexp_matches(bare, '^(the|a|an) ') then regexp_replace(bare, '^(the|a|an) ', '') end, 'm': 'article'}},
+ {{'t': 1001, 'k': 'bare', 'v': case when regexp_matches(bare, '^(the|a|an) ') then regexp_replace(bare, '^(the|a|an) ', '') end, 'm': 'article'}}])) from bares)"""
+_WON = """hit as (select row_id, line_no, arg_min(game_id, a.t) as game_id, arg_min(a.m, a.t) as method from {asked} join {idx} i on i.kind = a.k and i.key = a.v where a.v <> '' group by 1, 2),
 won as (select row_id, line_no, game_id, method from (select *, row_number() over (partition by game_id order by line_no, row_id) as k from hit) where k = 1)"""
+_ENRICH4 = (GAMES, _STORED, _CATALOG, _INDEX4, _WON.format(asked="asked4", idx="idx4"))
+_ENRICH9 = (GAMES, _STORED, _CATALOG, _INDEX4, _INDEX9, _WON.format(asked="asked9", idx="idx9"))
+
+
+def _stored(spark, sf_dir):
+    n, t, text = F.col("game_id") % 9, F.col("title"), F.col("game_id").cast("string")
+    title = (
+        F.when(n == 0, F.concat(t, F.lit(" ii"))).when(n == 1, F.concat(F.lit("the "), t)).when(n == 2, F.concat(t, F.lit(" deluxe edition")))
+        .when(n == 3, F.concat(t, F.lit(" (2015)"))).otherwise(F.concat_ws(" ", t, text))
+    )
+    slug = F.concat_ws("-", F.replace(t, F.lit(" "), F.lit("-")), text)
+    return T.games(spark, sf_dir).select("game_id", title.alias("title"), F.when(F.col("game_id") % 3 != 0, F.col("release_year")).alias("release_year"), slug.alias("slug"))
 
 
 def _catalog(spark, sf_dir):
     part, name = F.col("p_partkey"), F.col("p_name")
+    slug = lambda by: F.concat_ws("-", F.replace(name, F.lit(" "), F.lit("-")), (part + by).cast("string"))
+    n = part % 8
+    altered = (
+        F.when(n == 0, F.concat(name, F.lit(" 2"))).when(n == 1, F.concat(F.upper(name), F.lit(" (PC)"))).when(n == 2, F.concat(name, F.lit(" goty")))
+        .when(n == 3, F.concat(F.lit("a "), name)).when(n == 4, F.concat(name, F.lit(" ii"))).otherwise(F.concat_ws(" ", name, part.cast("string")))
+    )
     return T.table(spark, sf_dir, "part").select(
-        part.alias("row_id"), part.alias("line_no"), F.when(part % 5 == 0, F.replace(name, F.lit(" "), F.lit("-"))).alias("slug"),
-        F.when(part % 3 == 0, F.concat(F.upper(name), F.lit(" (PC)"))).otherwise(name).alias("name"),
+        part.alias("row_id"), part.alias("line_no"), F.when(part % 5 == 0, slug(-5)).alias("slug"),
+        F.when(part % 5 == 1, F.concat(F.lit("https://x.org/game/pc/"), slug(1), F.lit("?a"))).alias("url"), altered.alias("name"),
         F.when(part % 7 != 0, (2014 + F.col("p_size") % 12).cast("int")).alias("year"),
     )
 
 
-def _index(games):
-    low = F.lower("title")
-    return (
-        R.last_index(games, "slug", F.replace("title", F.lit(" "), F.lit("-")))
-        .unionByName(R.last_index(games, "title_year", F.concat_ws("|", low, F.col("release_year").cast("string"))))
-        .unionByName(R.last_index(games, "title", low))
-    )
-
+def _enriched(spark, sf_dir, every):
+    stored = _stored(spark, sf_dir)
+    keys = R.catalog_keys(F.col("name"), F.col("slug"), F.col("url"), F.col("year"), every)
+    return R.ordered_lookup(_catalog(spark, sf_dir), keys, R.catalog_index(stored, stored))
 
-def _enriched(spark, sf_dir):
-    low, year = X.title_enrich(X.without_parentheses(F.col("name"))), F.col("year").cast("string")
-    key = lambda tier, kind, k: F.struct(F.lit(tier).alias("tier"), F.lit(kind).alias("kind"), k.alias("key"))
-    keys = F.array(key(1, "slug", F.col("slug")), key(3, "title_year", F.concat(F.col("low"), F.lit("|"), year)), key(4, "title", F.col("low")))
-    return R.ordered_lookup(_catalog(spark, sf_dir).withColumn("low", low), keys, _index(T.games(spark, sf_dir)))
 
-
-@query("q_enrich", with_(GAMES, _CATALOG, body="select * from won"))
+@query("q_enrich", with_(*_ENRICH4, body="select * from won"))
 def q_enrich(spark, sf_dir):
-    return _enriched(spark, sf_dir)
+    """The four ways of the first enrichment."""
+    return _enriched(spark, sf_dir, False)
 
 
-@query("q_enrich_methods", with_(GAMES, _CATALOG, body="select method, count(*) as n from won group by 1"))
+@query("q_enrich_methods", with_(*_ENRICH4, body="select method, count(*) as n from won group by 1"))
 def q_enrich_methods(spark, sf_dir):
-    return _enriched(spark, sf_dir).groupBy("method").agg(F.count("*").alias("n"))
+    return _enriched(spark, sf_dir, False).groupBy("method").agg(F.count("*").alias("n"))
+
+
+@query("q_enrich_all", with_(*_ENRICH9, body="select * from won"))
+def q_enrich_all(spark, sf_dir):
+    """The nine ways of the second enrichment."""
+    return _enriched(spark, sf_dir, True)
+
+
+@query("q_enrich_left", with_(*_ENRICH9, body="select game_id from games where game_id not in (select game_id from won)"))
+def q_enrich_left(spark, sf_dir):
+    """What is still without a match."""
+    return K.orphans(T.games(spark, sf_dir).select("game_id"), "game_id", _enriched(spark, sf_dir, True))
 
 
 _VARIANTS = "select p_partkey, p_name || case p_partkey % 4 when 0 then ' vii' when 1 then ' 3' when 2 then ' x ii' else '' end as name from part"
@@ -132,20 +178,22 @@ def q_numeral_variants(spark, sf_dir):
     return T.table(spark, sf_dir, "part").withColumn("name", name).select("p_partkey", F.explode(X.numeral_variants(F.col("name"))).alias("variant"))
 
 
-_TOKENS = """lt as (select o_orderkey as l, list_distinct(['w' || o_orderkey % 50, 'w' || (o_orderkey + 1) % 50, 'w' || (o_custkey % 50), 'w' || (o_custkey % 7)]) as t from orders where o_orderkey % 40 = 0),
-rt as (select o_orderkey as r, list_distinct(['w' || o_orderkey % 50, 'w' || (o_orderkey + 1) % 50, 'w' || (o_custkey % 50), 'w' || (o_custkey % 5)]) as t from orders where o_orderkey % 40 = 20),
-jac as (select l, r, len(list_intersect(lt.t, rt.t)) / len(list_distinct(list_concat(lt.t, rt.t))) as jaccard, lt.t as x, rt.t as y from lt, rt),
-near as (select l, r, jaccard from jac where jaccard >= 0.7 and least(len(x), len(y)) / greatest(len(x), len(y)) >= 0.7)"""
+_WORDS = "list_distinct(['k' || ({k} // 3), 'm' || ({k} // 5), 'n' || ({k} % 11), 'b' || ({k} // 7), p_brand, split_part(p_name, ' ', 1)])"
+_TOKENS = f"""lt as (select p_partkey as l, {_WORDS.format(k="p_partkey")} as t from part), rt as (select p_partkey as r, {_WORDS.format(k="(p_partkey + 1)")} as t from part),
+rare as (select token from (select r, unnest(t) as token from rt) group by 1 having count(*) <= 200),
+met as (select distinct l, r from (select l, unnest(t) as token from lt) join (select r, unnest(t) as token from rt) using (token) where token in (select token from rare)),
+jac as (select l, r, len(list_intersect(lt.t, rt.t)) / len(list_distinct(list_concat(lt.t, rt.t))) as jaccard from met join lt using (l) join rt using (r)),
+near as (select l, r, jaccard from jac where jaccard >= 0.7)"""
 
 
-def _tokens(spark, sf_dir, rest, other):
-    w = lambda c: F.concat(F.lit("w"), c.cast("string"))
-    k, c = F.col("o_orderkey"), F.col("o_custkey")
-    return T.table(spark, sf_dir, "orders").where(k % 40 == rest).select(k.alias("id"), F.array(w(k % 50), w((k + 1) % 50), w(c % 50), w(c % other)).alias("tokens"))
+def _tokens(spark, sf_dir, by):
+    k, div = F.col("p_partkey") + by, lambda n: F.floor((F.col("p_partkey") + by) / n).cast("string")
+    words = (F.concat(F.lit("k"), div(3)), F.concat(F.lit("m"), div(5)), F.concat(F.lit("n"), (k % 11).cast("string")), F.concat(F.lit("b"), div(7)))
+    return T.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array(*words, "p_brand", F.split_part("p_name", F.lit(" "), F.lit(1))).alias("tokens"))
 
 
 def _near(spark, sf_dir):
-    return R.token_jaccard(_tokens(spark, sf_dir, 0, 7), _tokens(spark, sf_dir, 20, 5), frequent=10**9)
+    return R.token_jaccard(_tokens(spark, sf_dir, 0), _tokens(spark, sf_dir, 1))
 
 
 @query("q_jaccard", with_(_TOKENS, body="select l, r, round(jaccard, 4) as jaccard from near"))
@@ -158,15 +206,40 @@ def q_jaccard_one_to_one(spark, sf_dir):
     return R.one_to_one(_near(spark, sf_dir))
 
 
+_SIDES = """a as (select game_id as id, lower(title) as key, case when game_id % 4 <> 0 then release_year end as release_year, developer, case when game_id % 5 = 0 then 'Maker' end as publisher, platforms from games),
+b as (select id + 100000 as id, case id % 3 when 0 then key || 's' when 1 then key || ' x' else key end as key, release_year, case when id % 2 = 0 then developer end as developer, publisher, platforms from a)"""
+
+
+def _sides(spark, sf_dir):
+    """Identities of two providers: titles altered by a letter or a word, gaps in what they tell."""
+    g, i = T.games(spark, sf_dir), F.col("game_id")
+    a = g.select(
+        i.alias("id"), X.title_match(F.col("title")).alias("key"), F.when(i % 4 != 0, F.col("release_year")).alias("release_year"), "developer",
+        F.when(i % 5 == 0, "Maker").alias("publisher"), "platforms",
+    )
+    key = F.when(F.col("id") % 3 == 0, F.concat("key", F.lit("s"))).when(F.col("id") % 3 == 1, F.concat("key", F.lit(" x"))).otherwise(F.col("key"))
+    b = a.select((F.col("id") + 100_000).alias("id"), key.alias("key"), "release_year", F.when(F.col("id") % 2 == 0, F.col("developer")).alias("developer"), "publisher", "platforms")
+    return a, b
+
+
 @query("q_match")
 def q_match(spark, sf_dir):
-    """Identities of two providers: titles altered by a word or a letter."""
-    g = T.games(spark, sf_dir)
-    key = X.title_match(F.col("title"))
-    a = g.select(F.col("game_id").alias("id"), key.alias("key"), "release_year", "developer", "platforms")
-    altered = F.when(F.col("game_id") % 3 == 0, F.concat(key, F.lit("s"))).when(F.col("game_id") % 3 == 1, F.concat(key, F.lit(" deluxe"))).otherwise(key)
-    b = g.select((F.col("game_id") + 100_000).alias("id"), altered.alias("key"), "release_year", "developer", "platforms")
-    return R.match_providers(a, b, X.indel_ratio)
+    return R.match_providers(*_sides(spark, sf_dir), X.indel_ratio)
+
+
+_EXACT = """shared as (select a.id as a_id, b.id as b_id, a.release_year = b.release_year as y, lower(trim(a.developer)) in (lower(trim(b.developer)), lower(trim(b.publisher))) as d, lower(trim(a.publisher)) in (lower(trim(b.developer)), lower(trim(b.publisher))) as p,
+ len(list_intersect(a.platforms, b.platforms)) > 0 as o from a join b using (key)),
+tiers as (select a_id, b_id, case when y then 1.0 when d or p then 0.95 when o then 0.75 end as confidence from shared),
+best as (select a_id, arg_min(b_id, -confidence * 1e12 + b_id) as b_id, max(confidence) as confidence from tiers where confidence is not null group by 1)"""
+
+
+@query("q_match_exact", with_(GAMES, _SIDES, _EXACT, body="select a_id, b_id, cast(confidence as double) as confidence from best"))
+def q_match_exact(spark, sf_dir):
+    """Those matches whose titles are equal."""
+    a, b = _sides(spark, sf_dir)
+    best = R.match_providers(a, b, X.indel_ratio)
+    keys = best.join(a.select(F.col("id").alias("a_id"), F.col("key").alias("x")), "a_id").join(b.select(F.col("id").alias("b_id"), F.col("key").alias("y")), "b_id")
+    return keys.where("x = y").select("a_id", "b_id", "confidence")
 
 
 _SUPPLIED = "names as (select s_suppkey as source_id, case s_suppkey % 6 when 0 then ' IGN.com ' when 1 then 'https://www.gamespot/' when 2 then 'PC  Gamer' when 3 then '' when 4 then 'gamesradar' else s_name end as name from supplier)"

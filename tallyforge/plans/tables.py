@@ -177,12 +177,13 @@ def q_slugs(spark, sf_dir):
     )
 
 
-@query("q_slug_candidates", with_(_WILD, body="""select p_partkey, unnest(list_distinct(list_filter([case when y <> '' then s || '-' || y end, f, s, c], lambda x: x is not null and x <> ''))) as slug from (select p_partkey, y,
+@query("q_slug_candidates", with_(_WILD, body="""select p_partkey, unnest(list_distinct(list_filter([case when y <> '' then s || '-' || y end, case when y <> '' then ns || '-' || y end, f, nf, s, ns, c], lambda x: x is not null and x <> ''))) as slug from (select p_partkey, y,
  trim(regexp_replace(replace(replace(lower(strip_accents(title)), '&', ' and '), '+', ' plus '), '[^a-z0-9]+', '-', 'g'), '-') as f, trim(regexp_replace(replace(replace(lower(strip_accents(stem)), '&', ' and '), '+', ' plus '), '[^a-z0-9]+', '-', 'g'), '-') as s,
+ trim(regexp_replace(replace(replace(lower(strip_accents(replace(title, '+', ' '))), '&', ' and '), '+', ' plus '), '[^a-z0-9]+', '-', 'g'), '-') as nf, trim(regexp_replace(replace(replace(lower(strip_accents(replace(stem, '+', ' '))), '&', ' and '), '+', ' plus '), '[^a-z0-9]+', '-', 'g'), '-') as ns,
  trim(regexp_replace(replace(replace(lower(strip_accents(split_part(stem, ':', 1))), '&', ' and '), '+', ' plus '), '[^a-z0-9]+', '-', 'g'), '-') as c
- from (select *, regexp_extract(trim(title), '\\((\\d{4})\\)\\s*$', 1) as y, regexp_replace(trim(title), '\\s+\\(\\d{4}\\)\\s*$', '') as stem from wild where p_partkey % 6 <> 3))"""))
+ from (select *, regexp_extract(trim(title), '\\((\\d{4})\\)\\s*$', 1) as y, regexp_replace(trim(title), '\\s+\\(\\d{4}\\)\\s*$', '') as stem from wild))"""))
 def q_slug_candidates(spark, sf_dir):
-    return _wild(spark, sf_dir).where("p_partkey % 6 <> 3").select("p_partkey", F.explode(X.slug_candidates(F.col("title"))).alias("slug"))
+    return _wild(spark, sf_dir).select("p_partkey", F.explode(X.slug_candidates(F.col("title"))).alias("slug"))
 
 
 @query("q_props", "select k, count(*) as n, round(avg(value), 3) as mean from (select cast(json_extract(props, '$.k') as bigint) as k, value from events) group by 1")

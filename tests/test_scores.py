@@ -1,8 +1,9 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.functions.scores import band, discrimination_factor, half_up_1, normalized, relevance, sample_confidence
-from tallyforge.operators.scoring import trimmed_mean
+from tallyforge.operators.scoring import middle_scores
 from tallyforge.params import ScoringParams
 
 CASES = [
@@ -33,9 +34,12 @@ def test_factors(spark):
     assert one(spark, half_up_1(F.lit(0.35))) == 0.4 and one(spark, band(F.lit(89.9))) == "great"
 
 
-@pytest.mark.parametrize(("n", "want"), [(19, 10.0), (20, 10.5), (39, 20.0), (40, 20.5)])
-def test_trimmed_mean(spark, n, want):
-    scores = F.sequence(F.lit(1), F.lit(n)).cast("array<double>")
-    assert one(spark, trimmed_mean(scores, F.lit(n), ScoringParams())) == pytest.approx(want)
-    skewed = F.concat(scores, F.array(F.lit(1e6)))
-    assert (one(spark, trimmed_mean(skewed, F.lit(n + 1), ScoringParams())) < 100) == (n + 1 >= 20)
+@pytest.mark.parametrize("n", [1, 2, 7, 19, 20, 39, 40, 101])
+def test_middle_scores(spark, n):
+    r = np.random.default_rng(n)
+    rows = [(g, float(x)) for g in range(4) for x in r.integers(0, 5 if g % 2 else 100, n)]
+    got = {x.game_id: (x.median, x.trimmed) for x in middle_scores(spark.createDataFrame(rows, "game_id int, score double"), ScoringParams()).collect()}
+    for g in range(4):
+        own = sorted(x for k, x in rows if k == g)
+        cut = int(n * 0.05) if n >= 20 else 0
+        assert got[g] == (pytest.approx(np.median(own)), pytest.approx(np.mean(own[cut : n - cut])))
