@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import os
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -80,3 +83,46 @@ def as_documents(frame: DataFrame, key: str) -> DataFrame:
 def write_documents(frame: DataFrame, key: str, path: str) -> None:
     """Documents as JSON lines under ``path``, dealt by key; stale ones go, as the folder is replaced."""
     as_documents(frame, key).select("json").write.mode("overwrite").text(path)
+
+
+def write_table(frame: DataFrame, key: str, path: str, buckets: int = 64) -> None:
+    """Documents (key, json) dealt over buckets by key and sorted there, to be read by key."""
+    rows = as_documents(frame, key).withColumn("bucket", _bucket(F.col("key"), buckets))
+    rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "key").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def read_document(spark: SparkSession, path: str, key: str, buckets: int = 64) -> DataFrame:
+    """The document of one key: Spark opens the folder of its bucket alone, and there the row groups that may have it."""
+    return spark.read.parquet(path).where((F.col("bucket") == _bucket(F.lit(key), buckets)) & (F.col("key") == key)).select("key", "json")
+
+
+def _bucket(key: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def write_files(frame: DataFrame, key: str, folder: str) -> None:
+    """A file ``<key>.json`` for each row in a folder that all executors share; files of other keys are removed.
+
+    A file appears whole, by rename, so a task may run again. A key that is no plain file name is an error, so that
+    nothing outside the folder is written or removed.
+    """
+    rows = as_documents(frame, key)
+    bad = rows.where(F.col("key").isNull() | ~F.col("key").rlike(r"^[A-Za-z0-9_-][A-Za-z0-9._-]*$")).limit(1).collect()
+    if bad:
+        raise ValueError(f"not a file name: {bad[0].key!r}")
+    path = folder.removeprefix("file://")
+    os.makedirs(path, exist_ok=True)
+
+    def put(part) -> None:
+        for row in part:
+            name = os.path.join(path, row.key + ".json")
+            own = f"{name}.{uuid.uuid4().hex}"
+            with open(own, "w", encoding="utf-8") as f:
+                f.write(row.json)
+            os.replace(own, name)
+
+    rows.foreachPartition(put)
+    spark = frame.sparkSession
+    present = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path).select(F.regexp_extract("path", r"([^/]+)\.json$", 1).alias("key"))
+    for row in present.join(rows.select("key"), "key", "left_anti").toLocalIterator():
+        os.remove(os.path.join(path, row.key + ".json"))

@@ -1,6 +1,7 @@
 import hashlib
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.operators import publish as P
@@ -15,7 +16,7 @@ def test_csv_and_dates(spark, tmp_path):
     assert [(r.Game, r.Review, r.Score) for r in rows] == [("A, B", 'two\nlines "q"', 8.5)]
     assert S.read_dates(spark, str(tmp_path / "none")).count() == 0
     spark.createDataFrame([("A", None), ("A", "2020"), ("A", "2019")], "`Game\r` string, `release_date\r` string").write.parquet(str(tmp_path / "d"))
-    assert [tuple(r) for r in S.read_dates(spark, str(tmp_path / "d")).collect()] == [("A", "2019")]
+    assert [tuple(r) for r in S.read_dates(spark, str(tmp_path / "d")).collect()] == [("A", "2020")]
 
 
 def test_targets(spark, tmp_path):
@@ -45,10 +46,43 @@ def test_page_state(spark):
 
 
 def test_cached_responses(spark, tmp_path):
-    (tmp_path / hashlib.md5(b"http://a").hexdigest()).write_text("body")
-    spark.dataSource.register(S.CachedResponses)
-    got = spark.read.format("cached_responses").options(folder=str(tmp_path), urls=json.dumps(["http://a", "http://b", "http://a"])).load()
-    assert {r.url: r.body for r in got.collect()} == {"http://a": "body", "http://b": None}
+    product = {"title": "T", "releaseDate": "2020-02-03", "criticScoreSummary": {"score": 81, "reviewCount": 7}}
+    (tmp_path / hashlib.md5(b"http://a").hexdigest()).write_text(json.dumps(product))
+    (tmp_path / hashlib.md5(b"http://c").hexdigest()).write_text("not json")
+    urls = spark.createDataFrame([("http://a",), ("http://b",), ("http://a",), ("http://c",)], "url string")
+    got = S.cached_responses(urls, str(tmp_path))
+    assert {r.url: r.body and r.body[:3] for r in got.collect()} == {"http://a": '{"t', "http://b": None, "http://c": "not"}
+    assert [tuple(r) for r in S.products(got).collect()] == [("http://a", "T", 2020, 7, 81.0)]
+
+
+def test_pages(spark):
+    listings = spark.createDataFrame([("x", "u", 45), ("y", "v", None)], "listing string, base string, expected int")
+    assert sorted((r.listing, r.page, r.url) for r in S.page_urls(listings).collect()) == [("x", 1, "u"), ("x", 2, "u?page=2"), ("x", 3, "u?page=3"), ("x", 4, "u?page=4"), ("y", 1, "v")]
+    assert sorted(r.url for r in S.offset_urls(listings, 30).collect()) == ["u?offset=0&limit=30", "u?offset=30&limit=30", "v?offset=0&limit=30"]
+    rows = [("x", 1, 0, "a"), ("x", 1, 1, "b"), ("x", 1, 2, "a"), ("x", 2, 0, "b"), ("x", 2, 1, "c"), ("x", 3, 0, "a"), ("x", 4, 0, "z"), ("y", 2, 0, "q"), ("w", 1, 0, None)]
+    items = spark.createDataFrame(rows, "listing string, page int, position int, key string")
+    assert sorted((r.listing, r.key) for r in S.first_seen(items).collect()) == [("x", "a"), ("x", "b"), ("x", "c")]
+    assert sorted(r.key for r in S.first_seen(items, 2).collect()) == ["a", "b"]
+
+
+def test_catalog_lines_in_order_over_files(spark, tmp_path):
+    for k, name in enumerate(("b.jsonl", "a.jsonl")):
+        (tmp_path / name).write_text("".join(json.dumps({"slug": f"{name[0]}{i}"}) + "\n" for i in range(5 + k)))
+    got = [r.slug for r in S.read_catalog(spark, str(tmp_path)).orderBy("line_no").collect()]
+    assert got == [f"a{i}" for i in range(6)] + [f"b{i}" for i in range(5)]
+
+
+def test_document_for_each_key(spark, tmp_path):
+    frame = spark.createDataFrame([(1, "é"), (2, None), (3, "x")], "id int, t string")
+    P.write_files(frame, "id", str(tmp_path / "docs"))
+    P.write_files(frame.where("id <> 2"), "id", str(tmp_path / "docs"))
+    assert sorted(f.name for f in (tmp_path / "docs").iterdir()) == ["1.json", "3.json"]
+    assert (tmp_path / "docs" / "1.json").read_text(encoding="utf-8") == '{"id":1,"t":"é"}'
+    with pytest.raises(Exception, match="not a file name"):
+        P.write_files(frame.withColumn("id", F.lit("../x")), "id", str(tmp_path / "docs"))
+    P.write_table(frame, "id", str(tmp_path / "table"), 4)
+    assert P.read_document(spark, str(tmp_path / "table"), "3", 4).collect()[0].json == '{"id":3,"t":"x"}'
+    assert P.read_document(spark, str(tmp_path / "table"), "9", 4).count() == 0
 
 
 def test_documents(spark, tmp_path):
