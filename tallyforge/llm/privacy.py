@@ -1,15 +1,16 @@
 """Personal data: base patterns, and information-theoretic sanitisation of the words that give them away.
 
 Emails, IP addresses, card and phone numbers are found by patterns. The values found are the protected entities. From
-how the corpus pairs words with entities, a word's disclosure is the share of the entity's information that it gives:
-pointwise mutual information over the entity's own information. Words found near an entity that exceed a threshold are
-generalised, and those beyond a higher one removed, wherever any document has them. DataFrame operations only.
+how documents pair words with entities, a word's disclosure is the share of the entity's information that it gives:
+pointwise mutual information over the entity's own information. Words of the documents that hold an entity which exceed
+a threshold are generalised, and those beyond a higher one removed, wherever any document has them. DataFrame operations
+only.
 """
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import materialise
@@ -25,23 +26,44 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _PART = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-#: Characters to either side of an entity whose words are its context, and words taken on each side.
-REACH, NEAR = 48, 3
-#: Spans before and after an entity that its context is held against: more than REACH characters can hold.
-BESIDE = 48
-#: Distinct texts in which a word must stand near an entity; shares of the entity's information above which the word
-#: is generalised, and removed.
-SUPPORT, GENERALISE, REMOVE = 3, 0.9, 0.999
+#: Distinct texts that a word must share with an entity; shares of the entity's information above which the word is
+#: generalised, and removed; letters and digits of the shortest word.
+SUPPORT, GENERALISE, REMOVE, SHORTEST = 3, 0.9, 0.999, 3
 #: Telling words up to which they are broadcast to the texts' words; more are shuffled.
 BROADCAST = 200_000
+#: Bits of the map of telling words that is sent to the texts, at most: 16 MB. With more words it lets more pass to the
+#: join that follows.
+MOST_BITS = 1 << 27
+#: Matches that are put in order at a time. Lists that grow by one copy themselves, so long ones are built in parts.
+CHUNK = 256
+
+
+def _chunks(n: Column) -> Column:
+    """The numbers of the runs of CHUNK that n things make."""
+    return F.sequence(F.lit(0), F.floor((n - 1) / CHUNK).cast("int"))
+
+
+def _run(chunk: Column, n: Column) -> Column:
+    """The things of a run, by number."""
+    return F.sequence(chunk * CHUNK, F.least(n, (chunk + 1) * CHUNK) - 1)
+
+
+def _running(values: Column, plus) -> Column:
+    """For each value of a short list what ``plus`` makes of all before it, from 0; and of all at the end."""
+    step = lambda acc, v: F.concat(acc, F.array(plus(F.element_at(acc, -1), v)))
+    return F.aggregate(values, F.array(F.lit(0)), step)
 
 
 def located(text: Column, pattern: str | Column) -> Column:
-    """array<struct<start,value>> of a pattern's matches, in code points: from the lengths of what lies between."""
-    empty = F.array().cast("array<struct<start:int,value:string>>")
-    begin = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+    """array<struct<start,value>> of a pattern's matches, in code points: from the lengths of what lies between.
 
+    A text's time grows with its length, and with its matches times CHUNK.
+    """
+    empty = F.array().cast("array<struct<start:int,value:string>>")
     def laid(parts: Column) -> Column:
+        n = F.size(parts["found"])
+        ends = F.transform(_chunks(n), lambda c: F.aggregate(_run(c, n), F.lit(0), lambda t, i: t + F.length(F.get(parts["between"], i)) + F.length(F.get(parts["found"], i))))
+
         def step(acc, i):
             start = acc["at"] + F.length(F.get(parts["between"], i))
             value = F.get(parts["found"], i)
@@ -50,7 +72,11 @@ def located(text: Column, pattern: str | Column) -> Column:
                 F.concat(acc["out"], F.array(F.struct(start.alias("start"), value.alias("value")))).alias("out"),
             )
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(parts["found"]) - 1), begin, step, lambda acc: acc["out"])
+        begin = lambda at: F.struct(at.alias("at"), empty.alias("out"))
+        one = F.aggregate(F.sequence(F.lit(0), n - 1), begin(F.lit(0)), step, lambda acc: acc["out"])
+        part = lambda c, bases: F.aggregate(_run(c, n), begin(F.get(bases, c)), step, lambda acc: acc["out"])
+        many = _given(_running(ends, lambda a, b: a + b), lambda bases: F.flatten(F.transform(_chunks(n), lambda c: part(c, bases))))
+        return F.when(n <= CHUNK, one).otherwise(many)
 
     parts = F.struct(F.split(text, pattern, -1).alias("between"), F.regexp_extract_all(text, pattern if isinstance(pattern, Column) else F.lit(pattern), F.lit(0)).alias("found"))
     return _given(parts, lambda p: F.when(F.size(p["found"]) > 0, laid(p)).otherwise(empty))
@@ -102,67 +128,73 @@ def _of_kind(text: Column, number: int, kind: str) -> Column:
     return F.when(may & text.rlike(PATTERNS[kind]), made).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
-def _near(text: Column, span: Column, all_spans: Column) -> Column:
-    """The words next to a span: array<struct<start,end,term>>; no word that is cut off or part of a span."""
-    word = r"[\p{L}\p{N}]+"
-    first = F.greatest(F.lit(0), span["start"] - REACH)
-    sides = F.struct(
-        first.alias("first"), F.substr(text, first + 1, span["start"] - first).alias("left"), F.substr(text, span["end"] + 1, F.lit(REACH)).alias("right")
-    )
+def _replaced(text: Column, spans: Column, label) -> Column:
+    """The text with ``label(span)`` in the place of each span, spans in order of their starts.
+
+    Of spans that overlap the first is replaced, and what others have beyond it goes with it. Long lists go in runs, each
+    over its own part of the text, which begins where the run before ended.
+    """
 
-    def place(m, base):
-        at = base + m["start"]
-        return F.struct(at.alias("start"), (at + F.length(m["value"])).alias("end"), F.lower(m["value"]).alias("term"))
+    def over(part: Column, first: Column, run: Column) -> Column:
+        def step(acc, s):
+            fresh = s["start"] >= acc["at"]
+            gap = F.when(fresh, F.substr(part, acc["at"] - first + 1, s["start"] - acc["at"])).otherwise(F.lit(""))
+            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap, F.when(fresh, label(s)).otherwise(F.lit(""))).alias("out"))
 
-    def beside(x):
-        left = F.filter(located(x["left"], word), lambda m: (m["start"] > 0) | (x["first"] == 0))
-        right = F.filter(located(x["right"], word), lambda m: m["start"] + F.length(m["value"]) < REACH)
-        last = _given(left, lambda w: F.slice(w, F.greatest(F.lit(1), F.size(w) - (NEAR - 1)), F.lit(NEAR)))
-        return F.concat(F.transform(last, lambda m: place(m, x["first"])), F.transform(F.slice(right, 1, NEAR), lambda m: place(m, span["end"])))
+        return F.aggregate(run, F.struct(first.alias("at"), F.lit("").alias("out")), step, lambda acc: acc["out"])
 
-    words = _given(sides, beside)
-    return F.filter(words, lambda w: (F.length(w["term"]) >= 3) & ~F.exists(all_spans, lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
+    n = F.size(spans)
+    of = lambda c: F.slice(spans, c * CHUNK + 1, F.lit(CHUNK))
+    ends = F.transform(_chunks(n), lambda c: F.aggregate(of(c), F.lit(0), lambda m, s: F.greatest(m, s["end"])))
+
+    def all_(at: Column) -> Column:
+        piece = lambda c: F.substr(text, F.get(at, c) + 1, F.get(at, c + 1) - F.get(at, c))
+        runs = F.transform(_chunks(n), lambda c: _given(piece(c), lambda part: over(part, F.get(at, c), of(c))))
+        return F.concat(F.array_join(runs, ""), F.substr(text, F.element_at(at, -1) + 1, F.length(text)))
+
+    return F.when(n > 0, _given(_running(ends, F.greatest), all_)).otherwise(text)
+
+
+def _words(text: Column) -> Column:
+    """The distinct words of a text, in lower case."""
+    return F.filter(F.array_distinct(F.split(_lowered(text), r"[^\p{L}\p{N}]+")), lambda w: F.length(w) >= SHORTEST)
 
 
 def find(docs: DataFrame) -> DataFrame:
     """(doc_id, key, spans) of every row: base spans, and spans of kind 4 with ``remove`` for words that disclose.
 
-    ``key`` is the text's md5. Every document counts; a word must stand near an entity in SUPPORT different texts. A null text is empty; null
-    and repeated ids keep their rows; other columns are ignored; an empty table gives no rows.
+    ``key`` is the text's md5. Every document counts; a word must be in SUPPORT different texts with an entity. A null
+    text is empty; null and repeated ids keep their rows; other columns are ignored; an empty table gives no rows.
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long"), F.unhex(F.md5(text.cast("binary"))).alias("key"), text.alias("text"))
     found = rows.withColumn("spans", base_spans(F.col("text")))
-    near = F.flatten(
-        F.transform(
-            "spans",
-            lambda s, i: F.transform(
-                _given(F.slice("spans", F.greatest(F.lit(1), i + 1 - BESIDE), F.lit(2 * BESIDE + 1)), lambda near: _near(F.col("text"), s, near)),
-                lambda w: F.struct(
-                    w["start"].alias("start"), w["end"].alias("end"), w["term"].alias("term"), F.xxhash64(s["kind"], F.lower(s["value"])).alias("entity")
-                ),
-            ),
-        )
-    )
-    # matches are found once; what follows reads spans and their contexts, not texts
-    base = materialise(found.select("doc_id", "key", "spans", F.when(F.size("spans") > 0, near).alias("near")), "spans")
-    together = F.array_distinct(F.transform("near", lambda w: F.struct(w["entity"].alias("entity"), w["term"].alias("term"))))
-    pairs = materialise(
-        base.where(F.size("near") > 0).select("key", F.inline(together)).groupBy("entity", "term")
-        .agg(F.count("*").alias("both"), F.countDistinct("key").alias("texts")).where(F.col("texts") >= SUPPORT).drop("texts"),
-        "pairs",
-    )
-    telling = None if pairs.isEmpty() else _disclosing(rows, base, pairs)
+    # matches are found once; what follows reads spans and, of texts that have any, the words outside them
+    outside = _words(_replaced(F.col("text"), F.col("spans"), lambda s: F.lit(" ")))
+    base = materialise(found.select("doc_id", "key", "spans", F.when(F.size("spans") > 0, outside).alias("words")), "spans")
+    telling = _disclosing(rows, base)
     columns = ["doc_id", "key", F.transform("spans", lambda s: F.struct(s["start"], s["kind"], s["end"], F.lit(False).alias("remove"))).alias("spans")]
     if telling is None:
         return base.select(*columns)
     more = (
-        _occurrences(rows, telling.groupBy("term").agg(F.max("remove").alias("remove")))
+        _free(_occurrences(rows, telling), base)
         .groupBy("key").agg(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("kind"), "end", "remove")).alias("more"))
     )
     joined = base.select(*columns).join(more, "key", "left")
-    free = F.filter("more", lambda w: ~F.exists("spans", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
-    return joined.select("doc_id", "key", F.when(F.col("more").isNull(), F.col("spans")).otherwise(F.array_sort(F.concat("spans", free))).alias("spans"))
+    return joined.select("doc_id", "key", F.when(F.col("more").isNull(), F.col("spans")).otherwise(F.array_sort(F.concat("spans", "more"))).alias("spans"))
+
+
+def _free(places: DataFrame, base: DataFrame) -> DataFrame:
+    """Those of the places (key, start, end, remove) that no base span of their text overlaps."""
+    texts = base.join(places.select("key").distinct(), "key", "left_semi").where(F.size("spans") > 0).dropDuplicates(["key"])
+    held = texts.select("key", F.inline("spans")).select("key", "start", "end", F.lit(None).cast("boolean").alias("remove"), F.lit(0).alias("term"))
+    both = places.withColumn("term", F.lit(1)).unionByName(held)
+    upto = lambda *order: W.partitionBy("key").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    before = F.max(F.when(F.col("term") == 0, F.col("end"))).over(upto("start", "term"))
+    # a frame that runs to the end would be summed anew for each row; the same from the other side is not
+    after = F.min(F.when(F.col("term") == 0, F.col("start"))).over(upto(F.desc("start"), F.desc("term")))
+    placed = both.withColumns({"before": before, "after": after}).where("term = 1")
+    return placed.where("coalesce(before <= start, true) and coalesce(after >= end, true)").select("key", "start", "end", "remove")
 
 
 def _lowered(text: Column) -> Column:
@@ -173,41 +205,57 @@ def _lowered(text: Column) -> Column:
 def _occurrences(rows: DataFrame, telling: DataFrame) -> DataFrame:
     """(key, start, end, remove) of every place in any text where a word of ``telling`` (term, remove) stands.
 
-    A bitmap of the words' hashes, 16 bits for each, is sent to the texts; what passes it is joined with the words.
+    A bitmap of the words' hashes, of MOST_BITS at most, is sent to the texts; what passes it is joined with the words.
     """
-    telling = materialise(telling, "telling")
     n = telling.count()
-    bits = 1 << max(16, (16 * n).bit_length())
+    bits = min(MOST_BITS, 1 << max(16, (16 * n).bit_length()))
     hashed = lambda w: F.pmod(F.xxhash64(w), F.lit(bits))
-    at = np.array([r.h for r in telling.select(hashed(F.col("term")).alias("h")).distinct().collect()], np.int64)
-    field = np.zeros(bits // 64, np.uint64)
-    np.bitwise_or.at(field, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
-    one = rows.sparkSession.createDataFrame([(field.view(np.int64).tolist(),)], "field array<long>")
-    may = lambda w: _given(hashed(w), lambda h: F.get("field", F.shiftright(h, 6).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int"))) != 0)
-    words = F.array_distinct(F.split(_lowered(F.col("text")), r"[^\p{L}\p{N}]+"))
-    held = rows.crossJoin(F.broadcast(one)).select("key", "text", F.filter(words, lambda w: (F.length(w) >= 3) & may(w)).alias("words")).where(F.size("words") > 0)
-    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join("words", "|"), F.lit(r")(?![\p{L}\p{N}])"))
-    places = held.select("key", F.inline(located(_lowered(F.col("text")), pattern))).distinct()
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int"))
+    cells = telling.select(hashed(F.col("term")).alias("h")).groupBy(F.shiftright("h", 6).alias("cell")).agg(F.bit_or(bit(F.col("h"))).alias("set"))
+    every = rows.sparkSession.range(bits // 64).withColumnRenamed("id", "cell").join(cells, "cell", "left")  # of a bounded size, as one list
+    one = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("cell", F.coalesce("set", F.lit(0).cast("long")).alias("set")))), lambda c: c["set"]).alias("field"))
+    one = materialise(one, "field")
+    may = lambda w: _given(hashed(w), lambda h: F.get("field", F.shiftright(h, 6).cast("int")).bitwiseAND(bit(h)) != 0)
+    held = rows.crossJoin(F.broadcast(one)).where(F.exists(_words(F.col("text")), may)).select("key", "text", "field")
+    at = F.filter(located(_lowered(F.col("text")), r"[\p{L}\p{N}]+"), lambda m: (F.length(m["value"]) >= SHORTEST) & may(m["value"]))
+    places = held.select("key", F.inline(at)).distinct()
     found = places.join(F.broadcast(telling) if n <= BROADCAST else telling, F.col("value") == F.col("term"))
     return found.select("key", "start", (F.col("start") + F.length("term")).alias("end"), "remove")
 
 
-def _disclosing(rows: DataFrame, base: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(entity, term, remove) of words whose disclosure of an entity exceeds GENERALISE, from counts of documents."""
-    words = rows.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("term"))
-    having = words.groupBy("term").agg(F.count("*").alias("with_term"))  # joined once it is counted
-    entity = F.array_distinct(F.transform("spans", lambda s: F.xxhash64(s["kind"], F.lower(s["value"]))))
-    held = base.where(F.size("spans") > 0).select(F.explode(entity).alias("entity")).groupBy("entity").agg(F.count("*").alias("with_entity"))
+def _disclosing(rows: DataFrame, base: DataFrame) -> DataFrame | None:
+    """(term, remove) of words whose disclosure of some entity exceeds GENERALISE, from counts of documents; or None.
+
+    A word t with disclosure d of an entity e is in at most |e| * (all / |e|) ** (1 - d) documents, which leaves out most
+    words before any pair is made. Entities that the same texts hold are one, and so are words that the same texts hold,
+    so a group of long altered copies pairs its sets of texts, not all its entities with all its words.
+    """
     total = base.count()
+    texts = base.where(F.size("spans") > 0).groupBy("key").agg(F.count("*").alias("m"), F.first("words").alias("words"), F.first("spans").alias("spans"))
+    texts = materialise(texts, "texts")
+    marks = (F.count("*").alias("texts"), F.sum("m").alias("rows"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"))
+    set_ = F.xxhash64("texts", "rows", "x", "y").alias("set")
+    entity = F.array_distinct(F.transform("spans", lambda s: F.xxhash64(s["kind"], F.lower(s["value"]))))
+    held = texts.select("key", "m", F.explode(entity).alias("entity"))
+    most = F.col("rows") * F.pow(F.lit(float(total)) / F.col("rows"), F.lit(1 - GENERALISE))
+    entities = held.groupBy("entity").agg(*marks).where((F.col("texts") >= SUPPORT) & (F.col("rows") < total)).select("entity", F.col("rows").alias("with_entity"), most.alias("most"), set_)
+    entities = materialise(entities, "entities")
+    limit = entities.agg(F.max("most")).first()[0]
+    if limit is None:
+        return None
+    of_entity = held.join(entities, "entity").select("set", "key", "m", "with_entity", "most").distinct()
+    words = rows.select(F.explode(_words(F.col("text"))).alias("term"))
+    having = words.groupBy("term").agg(F.count("*").alias("with_term")).where(F.col("with_term").between(SUPPORT, F.lit(limit + 1e-6)))
+    near = texts.join(of_entity.select("key").distinct(), "key", "left_semi").select("key", "m", F.explode("words").alias("term"))
+    named = materialise(near.join(having, "term"), "words")
+    sets = materialise(named.groupBy("term", "with_term").agg(*marks).where(F.col("texts") >= SUPPORT).select("term", "with_term", F.xxhash64("with_term", set_).alias("words")), "sets")
+    of_words = named.join(sets.select("term", "words"), "term").select("words", "key", "m", "with_term").distinct()
+    pairs = of_entity.join(of_words.drop("m"), "key").where(F.col("with_term") <= F.col("most") + 1e-6)
+    both = pairs.groupBy("set", "words", "with_entity", "with_term").agg(F.sum("m").alias("both"), F.count("*").alias("texts")).where(F.col("texts") >= SUPPORT)
     own = -F.log2(F.col("with_entity") / total)
     gives = F.log2(F.col("both") / F.col("with_term")) + own
-    return (
-        pairs.join(having, "term").join(held, "entity")
-        .where(F.col("with_entity") < total)
-        .select("entity", "term", (gives / own).alias("disclosure"))
-        .where(F.col("disclosure") >= GENERALISE)
-        .select("entity", "term", (F.col("disclosure") >= REMOVE).alias("remove"))
-    )
+    told = both.select("words", (gives / own).alias("disclosure")).where(F.col("disclosure") >= GENERALISE).groupBy("words").agg(F.max("disclosure").alias("disclosure"))
+    return materialise(told.join(sets, "words").select("term", (F.col("disclosure") >= REMOVE).alias("remove")), "telling")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -228,23 +276,17 @@ def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` with each span replaced: base kinds and generalised words by a name, removed words by nothing.
 
     Where spans overlap, the first is replaced and what others have beyond it goes with it. n_chars, where there is
-    one, becomes the new length; a text without spans, and a null one, stays as it is.
+    one, becomes the new length; a text without spans, and a null one, stays as it is. Null and repeated ids and rows
+    are kept; columns may have any name; an empty table stays empty.
     """
     found = find(docs).where(F.size("spans") > 0).select("key", "spans").dropDuplicates(["key"])
-    keyed = docs.withColumn("__key", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+    key = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    rows = docs.select(key.alias("key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).join(found, "key", "left")
     labels = F.array(*(F.lit(f"[{k.upper()}]") for k in (*KINDS, TERM)))
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc, s):
-        fresh = s["start"] >= acc["at"]
-        label = F.when(fresh & ~s["remove"], F.get(labels, s["kind"])).otherwise(F.lit(""))
-        gap = F.when(fresh, F.substr("text", acc["at"] + 1, s["start"] - acc["at"])).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap, label).alias("out"))
-
-    spans = F.col("__spans")
-    clean = F.aggregate(spans, begin, step, lambda acc: F.concat(acc["out"], F.substr("text", acc["at"] + 1, F.length("text"))))
-    out = keyed.join(found.select(F.col("key").alias("__key"), F.col("spans").alias("__spans")), "__key", "left")
-    out = out.withColumn("text", F.when(spans.isNotNull(), clean).otherwise(F.col("text")))
+    clean = _replaced(F.col("row.text"), F.col("spans"), lambda s: F.when(s["remove"], F.lit("")).otherwise(F.get(labels, s["kind"])))
+    text = F.when(F.col("spans").isNotNull(), clean).otherwise(F.col("row.text"))
+    out = rows.withColumn("text", text)
+    fields = {c: F.col(f"row.`{c}`") for c in docs.columns} | {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(spans.isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+        fields["n_chars"] = F.when(F.col("spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return out.select(*(fields[c].alias(c) for c in docs.columns))
