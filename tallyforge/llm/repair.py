@@ -88,6 +88,14 @@ def _slot(pairs: np.ndarray) -> np.ndarray:
     return pairs * np.uint32(2654435761) >> np.uint32(14)
 
 
+def _sizes(symbols: np.ndarray, first: int, spans: np.ndarray) -> np.ndarray:
+    """How many ids each symbol stands for."""
+    n = np.ones(len(symbols), np.int64)
+    rule = symbols >= first
+    n[rule] = spans[symbols[rule] - first]
+    return n
+
+
 def _lengths(rules: np.ndarray, first: int) -> np.ndarray:
     """How many ids each rule stands for."""
     out = np.zeros(len(rules), np.int64)
@@ -101,7 +109,7 @@ def write_block(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray,
     """A block's bytes: header, document ids, which of them are null, ids per document, symbols per document, rules,
     their lengths, symbols."""
     seq, rules, first, spans = compress(ids, end_id)
-    each = np.concatenate([np.ones(first, np.int64), spans])[seq]
+    each = _sizes(seq.astype(np.int64), first, spans)
     ends = np.searchsorted(np.cumsum(each), np.cumsum(lengths)) + 1
     parts = [
         np.array([d or 0 for d in doc_ids], "<i8"), np.array([d is None for d in doc_ids], "u1"), np.asarray(lengths, "<i8"), np.diff(ends, prepend=0).astype("<i8"),
@@ -130,27 +138,30 @@ class Block:
         self._rules = take(kind, 2 * rules).reshape(-1, 2)
         self._spans, self._seq = take("<u4", rules), take(kind, symbols)
         self._upto = np.concatenate([[0], np.cumsum(self._symbols)])
-        # every symbol's expansion, one after the other, built from short rules to long ones
-        self._flat = np.arange(self.first, dtype=np.uint32)
-        self._at = np.concatenate([np.arange(self.first), self.first + np.cumsum(self._spans, dtype=np.int64) - self._spans])
-        self._n = np.concatenate([np.ones(self.first, np.int64), self._spans.astype(np.int64)])
-        self._flat = np.concatenate([self._flat, np.zeros(int(self._spans.sum(dtype=np.int64)), np.uint32)])
+        # every rule's expansion, one after the other, built from short rules to long ones
+        self._at = np.cumsum(self._spans, dtype=np.int64) - self._spans
+        self._flat = np.zeros(int(self._spans.sum(dtype=np.int64)) + 1, np.uint32)
         for size in np.unique(self._spans):
             which = np.flatnonzero(self._spans == size)
             got = self._expand(self._rules[which].ravel().astype(np.int64)).reshape(len(which), size)
-            self._flat[self._at[self.first + which][:, None] + np.arange(size)] = got
+            self._flat[self._at[which][:, None] + np.arange(size)] = got
 
     def _expand(self, symbols: np.ndarray) -> np.ndarray:
-        n = self._n[symbols]
+        n = _sizes(symbols, self.first, self._spans)
         ends = np.cumsum(n)
-        return self._flat[np.repeat(self._at[symbols] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        plain = symbols < self.first
+        at = np.zeros(len(symbols), np.int64)
+        at[~plain] = self._at[symbols[~plain] - self.first]
+        out = self._flat[np.repeat(at - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        out[ends[plain] - 1] = symbols[plain]
+        return out
 
     def document(self, k: int) -> np.ndarray:
         return self._expand(self._seq[self._upto[k] : self._upto[k + 1]].astype(np.int64))
 
     def ids(self, a: int, b: int) -> np.ndarray:
         """Ids number ``a`` to ``b`` (exclusive) of the block, by the stored lengths."""
-        ends = np.cumsum(self._n[self._seq.astype(np.int64)])
+        ends = np.cumsum(_sizes(self._seq.astype(np.int64), self.first, self._spans))
         lo, hi = np.searchsorted(ends, a, "right"), np.searchsorted(ends, b, "left") + 1
         before = ends[lo - 1] if lo else 0
         return self._expand(self._seq[lo:hi].astype(np.int64))[a - before : b - before]
