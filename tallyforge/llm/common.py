@@ -84,7 +84,7 @@ def shard_bits(docs: DataFrame) -> int:
 
 
 def drawn(total: Column | int, most: int) -> Column:
-    """Whether a row is among about ``most`` of ``total``, by a hash of its doc_id and text.
+    """Whether a row is among about ``most`` of ``total`` different ones, by a hash of its doc_id and text.
 
     Rows that are equal in both are drawn together; who collects what is drawn makes them one before.
     """

@@ -122,7 +122,7 @@ def train(docs: DataFrame, allowed) -> tuple[list[str], ByteCNN | None]:
     Without such rows, and for an empty table, there is no network; with one language it is always that.
     """
     rows = docs.where(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id"), "text", "lang")
-    langs = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    langs = {r.lang: r.n for r in rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("doc_id", "text")).alias("n")).collect()}
     if not langs:
         return [], None
     total = F.element_at(F.create_map(*(F.lit(x) for item in sorted(langs.items()) for x in item)), F.col("lang"))

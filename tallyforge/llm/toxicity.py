@@ -81,7 +81,8 @@ def train(docs: DataFrame, labels: DataFrame, allowed):
     ids = known.where((F.col("toxic") == 1) & by_id).select("doc_id", F.lit(True).alias("positive"))
     # the broadcast side holds about MOST_POSITIVE ids
     seen = docs.where(allowed).select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left")
-    total, confirmed = seen.agg(F.count("*"), F.count("positive")).first()
+    apart = F.xxhash64("doc_id", "text")  # rows that are drawn together count once
+    total, confirmed = seen.agg(F.approx_count_distinct(apart), F.approx_count_distinct(F.when(F.col("positive"), apart))).first()
     unlabelled = drawn(max(1, total), MOST_UNLABELLED)
     positive = F.col("positive").isNotNull() & drawn(max(1, confirmed), MOST_POSITIVE)
 
