@@ -29,11 +29,8 @@ _PART = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 #: Distinct texts that a word must share with an entity; shares of the entity's information above which the word is
 #: generalised, and removed; letters and digits of the shortest word.
 SUPPORT, GENERALISE, REMOVE, SHORTEST = 3, 0.9, 0.999, 3
-#: Telling words up to which they are broadcast to the texts' words; more are shuffled.
+#: Telling words, and keys of texts that have some, up to which they are broadcast; more are shuffled.
 BROADCAST = 200_000
-#: Bits of the map of telling words that is sent to the texts, at most: 16 MB. With more words it lets more pass to the
-#: join that follows.
-MOST_BITS = 1 << 27
 #: Matches that are put in order at a time. Lists that grow by one copy themselves, so long ones are built in parts.
 CHUNK = 256
 
@@ -155,9 +152,14 @@ def _replaced(text: Column, spans: Column, label) -> Column:
     return F.when(n > 0, _given(_running(ends, F.greatest), all_)).otherwise(text)
 
 
+def _split(text: Column) -> Column:
+    """The distinct words of a text, in lower case, short ones too."""
+    return F.array_distinct(F.split(_lowered(text), r"[^\p{L}\p{N}]+"))
+
+
 def _words(text: Column) -> Column:
-    """The distinct words of a text, in lower case."""
-    return F.filter(F.array_distinct(F.split(_lowered(text), r"[^\p{L}\p{N}]+")), lambda w: F.length(w) >= SHORTEST)
+    """Those of SHORTEST letters and digits or more."""
+    return F.filter(_split(text), lambda w: F.length(w) >= SHORTEST)
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -205,22 +207,17 @@ def _lowered(text: Column) -> Column:
 def _occurrences(rows: DataFrame, telling: DataFrame) -> DataFrame:
     """(key, start, end, remove) of every place in any text where a word of ``telling`` (term, remove) stands.
 
-    A bitmap of the words' hashes, of MOST_BITS at most, is sent to the texts; what passes it is joined with the words.
+    Texts' distinct words are joined with the telling ones, and only in texts that have some are places looked for. Words
+    and keys of texts are broadcast up to BROADCAST of them, and joined by shuffle beyond.
     """
-    n = telling.count()
-    bits = min(MOST_BITS, 1 << max(16, (16 * n).bit_length()))
-    hashed = lambda w: F.pmod(F.xxhash64(w), F.lit(bits))
-    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int"))
-    cells = telling.select(hashed(F.col("term")).alias("h")).groupBy(F.shiftright("h", 6).alias("cell")).agg(F.bit_or(bit(F.col("h"))).alias("set"))
-    every = rows.sparkSession.range(bits // 64).withColumnRenamed("id", "cell").join(cells, "cell", "left")  # of a bounded size, as one list
-    one = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("cell", F.coalesce("set", F.lit(0).cast("long")).alias("set")))), lambda c: c["set"]).alias("field"))
-    one = materialise(one, "field")
-    may = lambda w: _given(hashed(w), lambda h: F.get("field", F.shiftright(h, 6).cast("int")).bitwiseAND(bit(h)) != 0)
-    held = rows.crossJoin(F.broadcast(one)).where(F.exists(_words(F.col("text")), may)).select("key", "text", "field")
-    at = F.filter(located(_lowered(F.col("text")), r"[\p{L}\p{N}]+"), lambda m: (F.length(m["value"]) >= SHORTEST) & may(m["value"]))
-    places = held.select("key", F.inline(at)).distinct()
-    found = places.join(F.broadcast(telling) if n <= BROADCAST else telling, F.col("value") == F.col("term"))
-    return found.select("key", "start", (F.col("start") + F.length("term")).alias("end"), "remove")
+    sent = lambda d: F.broadcast(d) if d.count() <= BROADCAST else d
+    telling = sent(telling)
+    words = rows.select("key", F.explode(_split(F.col("text"))).alias("term"))
+    having = materialise(words.join(telling.select("term"), "term").select("key").distinct(), "having")
+    texts = rows.join(sent(having), "key", "left_semi").dropDuplicates(["key"])
+    at = located(_lowered(F.col("text")), r"[\p{L}\p{N}]+")
+    places = texts.select("key", F.inline(at)).join(telling, F.col("value") == F.col("term"))
+    return places.select("key", "start", (F.col("start") + F.length("term")).alias("end"), "remove")
 
 
 def _disclosing(rows: DataFrame, base: DataFrame) -> DataFrame | None:
@@ -244,7 +241,7 @@ def _disclosing(rows: DataFrame, base: DataFrame) -> DataFrame | None:
     if limit is None:
         return None
     of_entity = held.join(entities, "entity").select("set", "key", "m", "with_entity", "most").distinct()
-    words = rows.select(F.explode(_words(F.col("text"))).alias("term"))
+    words = rows.select(F.explode(_split(F.col("text"))).alias("term"))
     having = words.groupBy("term").agg(F.count("*").alias("with_term")).where(F.col("with_term").between(SUPPORT, F.lit(limit + 1e-6)))
     near = texts.join(of_entity.select("key").distinct(), "key", "left_semi").select("key", "m", F.explode("words").alias("term"))
     named = materialise(near.join(having, "term"), "words")
