@@ -31,6 +31,8 @@ _PART = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 SUPPORT, GENERALISE, REMOVE, SHORTEST = 3, 0.9, 0.999, 3
 #: Telling words, and keys of texts that have some, up to which they are broadcast; more are shuffled.
 BROADCAST = 200_000
+#: Telling words of a text up to which they are looked up in a list.
+FEW = 1024
 #: Matches that are put in order at a time. Lists that grow by one copy themselves, so long ones are built in parts.
 CHUNK = 256
 
@@ -207,16 +209,18 @@ def _lowered(text: Column) -> Column:
 def _occurrences(rows: DataFrame, telling: DataFrame) -> DataFrame:
     """(key, start, end, remove) of every place in any text where a word of ``telling`` (term, remove) stands.
 
-    Texts' distinct words are joined with the telling ones, and only in texts that have some are places looked for. Words
-    and keys of texts are broadcast up to BROADCAST of them, and joined by shuffle beyond.
+    Texts' distinct words are joined with the telling ones, and only in texts that have some, and only of those words, are
+    places looked for. (Of a text with more than FEW of them all words are placed, and then joined.) Words and keys of
+    texts are broadcast up to BROADCAST of them, and joined by shuffle beyond.
     """
     sent = lambda d: F.broadcast(d) if d.count() <= BROADCAST else d
     telling = sent(telling)
     words = rows.select("key", F.explode(_split(F.col("text"))).alias("term"))
-    having = materialise(words.join(telling.select("term"), "term").select("key").distinct(), "having")
-    texts = rows.join(sent(having), "key", "left_semi").dropDuplicates(["key"])
+    having = materialise(words.join(telling.select("term"), "term").groupBy("key").agg(F.collect_set("term").alias("terms")), "having")
+    texts = rows.join(sent(having), "key").dropDuplicates(["key"])
     at = located(_lowered(F.col("text")), r"[\p{L}\p{N}]+")
-    places = texts.select("key", F.inline(at)).join(telling, F.col("value") == F.col("term"))
+    few = F.filter(at, lambda m: (F.size("terms") > FEW) | F.array_contains("terms", m["value"]))
+    places = texts.select("key", F.inline(few)).join(telling, F.col("value") == F.col("term"))
     return places.select("key", "start", (F.col("start") + F.length("term")).alias("end"), "remove")
 
 
