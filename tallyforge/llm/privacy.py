@@ -217,10 +217,10 @@ def _occurrences(rows: DataFrame, telling: DataFrame) -> DataFrame:
     telling = sent(telling)
     words = rows.select("key", F.explode(_split(F.col("text"))).alias("term"))
     having = materialise(words.join(telling.select("term"), "term").groupBy("key").agg(F.collect_set("term").alias("terms")), "having")
-    texts = rows.join(sent(having), "key").dropDuplicates(["key"])
+    texts = rows.join(sent(having), "key")
     at = located(_lowered(F.col("text")), r"[\p{L}\p{N}]+")
     few = F.filter(at, lambda m: (F.size("terms") > FEW) | F.array_contains("terms", m["value"]))
-    places = texts.select("key", F.inline(few)).join(telling, F.col("value") == F.col("term"))
+    places = texts.select("key", F.inline(few)).distinct().join(telling, F.col("value") == F.col("term"))
     return places.select("key", "start", (F.col("start") + F.length("term")).alias("end"), "remove")
 
 
