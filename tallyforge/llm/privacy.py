@@ -29,8 +29,8 @@ _PART = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 #: Distinct texts that a word must share with an entity; shares of the entity's information above which the word is
 #: generalised, and removed; letters and digits of the shortest word.
 SUPPORT, GENERALISE, REMOVE, SHORTEST = 3, 0.9, 0.999, 3
-#: Telling words, and keys of texts that have some, up to which they are broadcast; more are shuffled.
-BROADCAST = 200_000
+#: Bytes of telling words, and of what texts have of them, up to which they are broadcast; more are shuffled.
+BROADCAST_BYTES = 48 << 20
 #: Telling words of a text up to which they are looked up in a list.
 FEW = 1024
 #: Matches that are put in order at a time. Lists that grow by one copy themselves, so long ones are built in parts.
@@ -210,14 +210,18 @@ def _occurrences(rows: DataFrame, telling: DataFrame) -> DataFrame:
     """(key, start, end, remove) of every place in any text where a word of ``telling`` (term, remove) stands.
 
     Texts' distinct words are joined with the telling ones, and only in texts that have some, and only of those words, are
-    places looked for. (Of a text with more than FEW of them all words are placed, and then joined.) Words and keys of
-    texts are broadcast up to BROADCAST of them, and joined by shuffle beyond.
+    places looked for. (Of a text with more than FEW of them all words are placed, and then joined.) Either side is
+    broadcast up to BROADCAST_BYTES, and joined by shuffle beyond.
     """
-    sent = lambda d: F.broadcast(d) if d.count() <= BROADCAST else d
-    telling = sent(telling)
+
+    def sent(d: DataFrame, bytes_: Column) -> DataFrame:
+        size = d.agg(F.coalesce(F.sum(bytes_ + 64), F.lit(0))).first()[0]
+        return F.broadcast(d) if size <= BROADCAST_BYTES else d
+
+    telling = sent(telling, F.octet_length("term"))
     words = rows.select("key", F.explode(_split(F.col("text"))).alias("term"))
     having = materialise(words.join(telling.select("term"), "term").groupBy("key").agg(F.collect_set("term").alias("terms")), "having")
-    texts = rows.join(sent(having), "key")
+    texts = rows.join(sent(having, F.octet_length(F.array_join("terms", "")) + 32 * F.size("terms")), "key")
     at = located(_lowered(F.col("text")), r"[\p{L}\p{N}]+")
     few = F.filter(at, lambda m: (F.size("terms") > FEW) | F.array_contains("terms", m["value"]))
     places = texts.select("key", F.inline(few)).distinct().join(telling, F.col("value") == F.col("term"))
