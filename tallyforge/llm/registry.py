@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 import public_tokenizers
 
-from tallyforge.llm import chunking, decontaminate, langid, ngram, packing, privacy, probminhash, repair, toxicity, urls
+from tallyforge.llm import centroids, chunking, decontaminate, langid, ngram, packing, privacy, probminhash, repair, toxicity, urls
 from tallyforge.llm.common import table
 
 
@@ -61,11 +61,17 @@ def op10_spaced_seeds(spark, sf_dir):
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_threshold(spark, sf_dir):
+    """Clusters of all vectors."""
+    return centroids.digest(*centroids.cluster(table(spark, sf_dir, "embeddings")))
+
+
 def queries() -> dict:
     return {
         "pipeline": corpus_pipeline.run, "op1_repair": op1_repair, "op2_nnpu": op2_nnpu, "op3_chunking": op3_chunking, "op4_bytecnn": op4_bytecnn, "op5_kneser_ney": op5_kneser_ney, "op6_redirects": op6_redirects, "op7_probminhash": op7_probminhash, "op8_packing": op8_packing, "op9_disclosure": op9_disclosure, "op10_spaced_seeds": op10_spaced_seeds,
+        "op11_threshold": op11_threshold,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_redirects": urls.SQL}
+    return {"op6_redirects": urls.SQL, "op11_threshold": centroids.SQL}
