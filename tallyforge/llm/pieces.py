@@ -124,6 +124,10 @@ class Encoder:
 
         return Tokenizer.from_file(self.tokenizer)
 
+    def ids(self, library, texts: list[str]) -> list[list[int]]:
+        """What the table holds for each piece."""
+        return ids_of(library, texts, self.spaces)
+
     def open(self) -> Encoder:
         """This encoder with its tables mapped; the same for every task of a worker."""
         if self.folder not in _open:
@@ -189,16 +193,16 @@ class Encoder:
 _open: dict[str, Encoder] = {}
 
 
-def encoder(docs: DataFrame, tokenizer: str, spaces: bool) -> Encoder:
+def encoder(docs: DataFrame, tokenizer: str, spaces: bool, kind: type[Encoder] = Encoder) -> Encoder:
     """Tables of every distinct piece of the texts of ``docs``, written in the shared folder.
 
     ``tokenizer``: a file of the ``tokenizers`` library. ``spaces``: whether white space yields ids (byte-level
-    vocabularies) or is dropped. Hashes that two different pieces share are noticed when pieces meet; such pieces, and
+    vocabularies) or is dropped. ``kind``: a class that holds something else for each piece. Hashes that two different pieces share are noticed when pieces meet; such pieces, and
     pieces without ids, are encoded where they occur.
     """
     spark = docs.sparkSession
     bits = shard_bits(docs)
-    made = Encoder(new_folder(spark, "pieces"), tokenizer, spaces, 1 << bits)
+    made = kind(new_folder(spark, "pieces"), tokenizer, spaces, 1 << bits)
 
     def gather(batches):
         held: list[tuple] = []
@@ -262,7 +266,7 @@ def encoder(docs: DataFrame, tokenizer: str, spaces: bool) -> Encoder:
         lens, ids = np.zeros(len(h), np.int64), []
         for a in range(0, len(h), 50_000):
             own = slice(a, a + 50_000)
-            got = ids_of(library, _texts(data, starts[own], starts[own] + n[own]), spaces)
+            got = made.ids(library, _texts(data, starts[own], starts[own] + n[own]))
             got = [[] if x else g for x, g in zip(shared[own], got)]
             lens[own] = [len(g) for g in got]
             ids.append(np.fromiter((i for g in got for i in g), np.uint32, int(lens[own].sum())))
