@@ -31,7 +31,7 @@ _MARKED = re.compile("[A-Za-z]([.,:;!?])")
 #: Groups of more links than this are counted by their distinct tokens.
 WIDE = 4096
 #: Keys that a task gathers before it sums them, and parts of the table of pairs: bounded, as the pairs of two vocabularies are.
-FLUSH, SHARDS = 4_000_000, 256
+FLUSH, SHARDS = 2_000_000, 256
 
 
 class Vocabularies:
@@ -182,6 +182,14 @@ def _halves(values: np.ndarray, upto: np.ndarray) -> list[bytes]:
     return [raw[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
 
 
+def _table(docs: DataFrame, byte_level: str, of_pieces: str) -> tuple[DataFrame, Both]:
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return texts, encoder(texts.select(F.concat(F.lit(" "), "text").alias("text")), (byte_level, of_pieces), True, Both)
+
+
+GROUPS = "doc_id long, a_ids binary, b_ids binary, a_cuts binary, b_cuts binary"
+
+
 def align(docs: DataFrame, byte_level: str, of_pieces: str) -> DataFrame:
     """(doc_id, a_ids, b_ids, a_cuts, b_cuts) of every document: tokens of both vocabularies and where groups end.
 
@@ -190,9 +198,11 @@ def align(docs: DataFrame, byte_level: str, of_pieces: str) -> DataFrame:
     for one), have no tokens. Whole texts are read; null and repeated ids keep their rows; other columns, of any name,
     are left out; an empty table gives no rows.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    made = encoder(texts.select(F.concat(F.lit(" "), "text").alias("text")), (byte_level, of_pieces), True, Both)
+    texts, made = _table(docs, byte_level, of_pieces)
+    return texts.mapInArrow(_aligner(made), GROUPS)
+
 
+def _aligner(made: Both):
     def run(batches):
         table = made.open()
         names = table.library()
@@ -213,9 +223,9 @@ def align(docs: DataFrame, byte_level: str, of_pieces: str) -> DataFrame:
                         for column, values in zip(columns, out):
                             for k, v in zip(some.tolist(), values):
                                 column[real[k] - first] = v
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, last - first), *(pa.array(c, pa.binary()) for c in columns)], ["doc_id", "a_ids", "b_ids", "a_cuts", "b_cuts"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, last - first), *(pa.array(c, pa.binary()) for c in columns)], GROUPS.replace(",", "").split()[::2])
 
-    return texts.mapInArrow(run, "doc_id long, a_ids binary, b_ids binary, a_cuts binary, b_cuts binary")
+    return run
 
 
 _ends: list[bytes] = []
@@ -261,18 +271,20 @@ def _linked(a, b, cut_a, cut_b, text: np.ndarray, base: int):
     return keys, times, bits
 
 
-def _links(groups: DataFrame, base: int) -> DataFrame:
-    """(doc_id, n_a, n_b, n_groups, n_links, groups_sha256, keys, times): what each document says of its groups.
+LINKS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, keys binary, times binary"
+
+
+def _linker(base: int):
+    """From rows of ``align`` to LINKS: what each document says of its groups.
 
     keys: distinct pairs, A's id * base + B's, in order, as 64-bit numbers; times: how often each is linked.
     """
-    kinds = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, keys binary, times binary"
 
     def run(batches):
         for batch in batches:
             raw = [batch.column(c).to_pylist() for c in ("a_ids", "b_ids", "a_cuts", "b_cuts")]
             sizes = [len(x) + len(y) for x, y in zip(raw[0], raw[1])]
-            for first, last in _runs(sizes, 1 << 22):
+            for first, last in _runs(sizes, 1 << 21):
                 a, b, cut_a, cut_b = (np.frombuffer(b"".join(c[first:last]), "<u4").astype(np.int64) for c in raw)
                 n_a, n_b, n = (np.array([len(x) // 4 for x in c[first:last]], np.int64) for c in raw[:3])
                 sums, digests, keys, times = np.zeros(len(n), np.int64), [""] * len(n), [b""] * len(n), [b""] * len(n)
@@ -290,9 +302,9 @@ def _links(groups: DataFrame, base: int) -> DataFrame:
                     found &= (np.uint64(1) << bits) - np.uint64(1)
                     for k, x, y in zip(some.tolist(), np.split(found, upto[:-1]), np.split(many, upto[:-1])):
                         keys[k], times[k] = x.astype("<u8").tobytes(), y.astype("<u4").tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, last - first), pa.array(n_a), pa.array(n_b), pa.array(n), pa.array(sums), pa.array(digests, pa.string()), pa.array(keys, pa.binary()), pa.array(times, pa.binary())], kinds.replace(",", "").split()[::2])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, last - first), pa.array(n_a), pa.array(n_b), pa.array(n), pa.array(sums), pa.array(digests, pa.string()), pa.array(keys, pa.binary()), pa.array(times, pa.binary())], LINKS.replace(",", "").split()[::2])
 
-    return groups.mapInArrow(run, kinds)
+    return run
 
 
 def _runs(sizes: list[int], most: int):
@@ -383,12 +395,18 @@ def count_pairs(links: DataFrame, base: int) -> Counts:
     return made
 
 
-def digest(groups: DataFrame, base: int) -> DataFrame:
+def alignment(docs: DataFrame, byte_level: str, of_pieces: str) -> DataFrame:
     """What ``align`` gives as counts for each document, with how widely the whole corpus holds its links.
 
-    ``base``: the size of B's vocabulary. Documents without tokens have zeros and an empty digest.
+    Documents without tokens have zeros and an empty digest; see ``align`` for other cases. Documents' distinct links are
+    written once in the shared folder: they are counted from there, and looked up in the counts.
     """
-    links = materialise(_links(groups, base), "links")
+    import sentencepiece
+
+    base = sentencepiece.SentencePieceProcessor(model_file=of_pieces).get_piece_size()
+    texts, made = _table(docs, byte_level, of_pieces)
+    align_, link = _aligner(made), _linker(base)
+    links = materialise(texts.mapInArrow(lambda batches: link(align_(batches)), LINKS), "links")
     made = count_pairs(links, base)
     kinds = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
@@ -397,7 +415,7 @@ def digest(groups: DataFrame, base: int) -> DataFrame:
         for batch in batches:
             keys, times = batch.column("keys").to_pylist(), batch.column("times").to_pylist()
             best, sums = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-            for first, last in _runs([len(x) for x in keys], 1 << 24):
+            for first, last in _runs([len(x) for x in keys], 1 << 23):
                 k = np.frombuffer(b"".join(keys[first:last]), "<u8")
                 if len(k):
                     n, top = table.find(k)
@@ -409,10 +427,3 @@ def digest(groups: DataFrame, base: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")), pa.array(best), pa.array(sums), batch.column("groups_sha256")], kinds.replace(",", "").split()[::2])
 
     return links.mapInArrow(run, kinds)
-
-
-def alignment(docs: DataFrame, byte_level: str, of_pieces: str) -> DataFrame:
-    """The digest of all documents' alignment; see ``align`` for texts without tokens and for other cases."""
-    import sentencepiece
-
-    return digest(align(docs, byte_level, of_pieces), sentencepiece.SentencePieceProcessor(model_file=of_pieces).get_piece_size())
