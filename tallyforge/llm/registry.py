@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 import public_tokenizers
 
-from tallyforge.llm import alignment, centroids, chunking, decontaminate, langid, ngram, packing, privacy, probminhash, repair, toxicity, urls
+from tallyforge.llm import alignment, centroids, chunking, decontaminate, extraction, langid, ngram, packing, privacy, probminhash, repair, toxicity, urls
 from tallyforge.llm.common import table
 
 
@@ -66,6 +66,11 @@ def op11_threshold(spark, sf_dir):
     return centroids.digest(*centroids.cluster(table(spark, sf_dir, "embeddings")))
 
 
+def op12_lstm(spark, sf_dir):
+    """Main text of all pages."""
+    return extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def op13_alignment(spark, sf_dir):
     """Tokens of two vocabularies aligned in all documents."""
     return alignment.alignment(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -74,7 +79,7 @@ def op13_alignment(spark, sf_dir):
 def queries() -> dict:
     return {
         "pipeline": corpus_pipeline.run, "op1_repair": op1_repair, "op2_nnpu": op2_nnpu, "op3_chunking": op3_chunking, "op4_bytecnn": op4_bytecnn, "op5_kneser_ney": op5_kneser_ney, "op6_redirects": op6_redirects, "op7_probminhash": op7_probminhash, "op8_packing": op8_packing, "op9_disclosure": op9_disclosure, "op10_spaced_seeds": op10_spaced_seeds,
-        "op11_threshold": op11_threshold, "op13_alignment": op13_alignment,
+        "op11_threshold": op11_threshold, "op12_lstm": op12_lstm, "op13_alignment": op13_alignment,
     }
 
 
