@@ -131,9 +131,10 @@ def title_repair(t: Column) -> Column:
 
 
 def title_enrich(t: Column, ampersand: bool = True) -> Column:
-    """Marks and everything but letters, digits and spaces go; ``&`` becomes a word or goes."""
-    text = F.replace(_text(t), F.lit("&"), F.lit(" and ")) if ampersand else _text(t)
-    return squeeze(F.regexp_replace(F.lower(drop_marks(text)), r"[^\p{L}\p{N}_\s]", ""))
+    """Marks, and everything but a to z, digits and spaces, go; ``&`` becomes a word or, without ``ampersand``, goes."""
+    text = F.lower(drop_marks(_text(t)))
+    text = F.replace(text, F.lit("&"), F.lit(" and ")) if ampersand else text
+    return squeeze(F.regexp_replace(F.regexp_replace(text, r"(?U)\s", " "), "[^a-z0-9 ]", ""))
 
 
 def title_award(t: Column) -> Column:

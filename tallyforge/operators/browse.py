@@ -159,10 +159,11 @@ def match_awards(awards: DataFrame, games: DataFrame) -> DataFrame:
     """(award_id, game_id, tier): the first item, by tier and then id, whose title fits an award's.
 
     Tier 1: equal; 2 and 3: the item's title begins with the award's, or the other way, and is at most twice as long; 4:
-    four fifths of the award's words of three letters or more are words of the title. Titles are matched once, however
-    many awards or items have them. A title meets its beginnings of half its length or more in an equi join, and titles
-    that share words meet by the award's rarest: of n words a fifth may be missing, so one of the n/5 + 1 rarest is
-    shared. Null and empty titles match nothing.
+    four fifths of the item's words of three letters or more are words of the award's title. Titles are matched once,
+    however many awards or items have them. A title meets its beginnings of half its length or more in an equi join, and
+    titles that share words meet by the item's rarest: of n words a fifth may be missing, so the award has one of the
+    n/5 + 1 that the fewest awards have. Null and empty titles match nothing, and by words neither do titles without a
+    word of three letters. Items of one title are their smallest id; repeated award ids keep their rows.
     """
     a = awards.where("key <> ''").select(F.col("key").alias("ak")).distinct()
     g = games.where("key <> ''").groupBy(F.col("key").alias("gk")).agg(F.min("game_id").alias("game_id"))
@@ -170,14 +171,14 @@ def match_awards(awards: DataFrame, games: DataFrame) -> DataFrame:
     longer = g.select("gk", "game_id", begins(F.col("gk")).alias("ak")).join(a, "ak").select("ak", "game_id", F.when(F.col("ak") == F.col("gk"), 1).otherwise(2).alias("tier"))
     shorter = a.select("ak", begins(F.col("ak")).alias("gk")).where("ak <> gk").join(g, "gk").select("ak", "game_id", F.lit(3).alias("tier"))
     words = lambda c: F.filter(F.split(c, " "), lambda w: F.length(w) >= 3)
-    by_word = g.select("gk", F.explode(F.array_distinct(words(F.col("gk")))).alias("word"))
+    by_word = a.select("ak", F.explode(F.array_distinct(words(F.col("ak")))).alias("word"))
     common = by_word.groupBy("word").agg(F.count("*").alias("n"))
-    asked = a.select("ak", F.explode(F.array_distinct(words(F.col("ak")))).alias("word")).join(common, "word", "left")
-    place = F.row_number().over(W.partitionBy("ak").orderBy(F.coalesce("n", F.lit(0)), "word"))
-    rare = asked.withColumn("place", place).where(F.col("place") <= F.floor(F.size(words(F.col("ak"))) / 5) + 1).select("ak", "word")
+    asked = g.select("gk", F.explode(F.array_distinct(words(F.col("gk")))).alias("word")).join(common, "word", "left")
+    place = F.row_number().over(W.partitionBy("gk").orderBy(F.coalesce("n", F.lit(0)), "word"))
+    rare = asked.withColumn("place", place).where((F.col("place") <= F.floor(F.size(words(F.col("gk"))) / 5) + 1) & F.col("n").isNotNull()).select("gk", "word")
     pairs = rare.join(by_word, "word").select("ak", "gk").distinct()
-    shared = F.size(F.filter(words(F.col("ak")), lambda w: F.array_contains(F.split("gk", " "), w)))
-    alike = pairs.where(F.try_divide(shared, F.size(words(F.col("ak")))) >= 0.8).join(g, "gk").select("ak", "game_id", F.lit(4).alias("tier"))
+    shared = F.size(F.filter(words(F.col("gk")), lambda w: F.array_contains(words(F.col("ak")), w)))
+    alike = pairs.where(F.try_divide(shared, F.size(words(F.col("gk")))) >= 0.8).join(g, "gk").select("ak", "game_id", F.lit(4).alias("tier"))
     best = longer.unionByName(shorter).unionByName(alike).groupBy("ak").agg(F.min(F.struct("tier", "game_id")).alias("best"))
     return awards.select("award_id", F.col("key").alias("ak")).join(best, "ak").select("award_id", "best.game_id", "best.tier")
 

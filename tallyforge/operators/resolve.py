@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -103,12 +104,13 @@ def _key(tier: int, kind: str, key: Column, method: str) -> Column:
 def catalog_keys(name: Column, slug: Column, url: Column, year: Column, every: bool = True) -> Column:
     """The keys of a catalog row, most telling first: slug, slug of its URL, title with year, title.
 
-    With ``every`` also the bare title (without parentheses, editions and years) with and without year, each variant of
+    Without ``every`` titles lose their ``&``, as in ``catalog_index`` without ``ampersand``. With it, ``&`` is a word,
+    and there are also the bare title (without parentheses, editions and years) with and without year, each variant of
     its numerals with and without year, and the title without its article.
     """
     dated = lambda t: F.concat_ws("|", t, year.cast("string"))
     on = lambda t: F.when(year.isNotNull(), dated(t))
-    plain, bare = X.title_enrich(name), X.title_enrich(X.bare(name))
+    plain, bare = X.title_enrich(name, every), X.title_enrich(X.bare(name), every)
     keys = [_key(1, "slug", slug, "slug"), _key(2, "slug", X.platform_slug(url), "url_slug"), _key(3, "title_year", on(plain), "title_year"), _key(4, "title", plain, "title")]
     if not every:
         return F.array(*keys)
@@ -122,13 +124,14 @@ def catalog_keys(name: Column, slug: Column, url: Column, year: Column, every: b
     return F.concat(F.array(*keys), variants, F.array(_key(1000, "article", cut, "article"), _key(1001, "bare", cut, "article")))
 
 
-def catalog_index(games: DataFrame, slugs: DataFrame | None = None) -> DataFrame:
+def catalog_index(games: DataFrame, slugs: DataFrame | None = None, ampersand: bool = True) -> DataFrame:
     """(kind, key, game_id) under which items of (game_id, title, release_year) are found; the largest id stays.
 
+    ``ampersand``: whether ``&`` is a word of titles, or goes. Null and empty titles and slugs are no keys.
     ``slugs``: (game_id, slug) of their identities. A title's year is the item's, or else the one in parentheses.
     """
     tag = F.regexp_extract("title", r"\((\d{4})\)", 1).try_cast("int")
-    plain, bare = X.title_enrich(F.col("title")), X.title_enrich(X.bare(F.col("title")))
+    plain, bare = X.title_enrich(F.col("title"), ampersand), X.title_enrich(X.bare(F.col("title")), ampersand)
     g = games.select("game_id", F.coalesce("release_year", tag).cast("string").alias("year"), plain.alias("plain"), bare.alias("bare"))
     cut = F.when(X.without_article(F.col("bare")) != F.col("bare"), X.without_article(F.col("bare")))
     g = g.withColumn("variants", X.numeral_variants(F.col("bare"))).withColumn("cut", cut).withColumn("cut_variants", F.coalesce(X.numeral_variants(F.col("cut")), F.array().cast("array<string>")))
@@ -190,27 +193,64 @@ def one_to_one(pairs: DataFrame) -> DataFrame:
     return taken if taken is not None else pairs
 
 
+def near_titles(x: DataFrame, y: DataFrame, above: float, *shared: str) -> DataFrame:
+    """(x, y) of different titles, of rows (x, *shared) and (y, *shared) that share those columns, that may be alike.
+
+    Every pair is there whose indel ratio, 1 - edits / (both lengths), is more than ``above``; a few are not. Two
+    titles of lengths m and n allow d edits. The second is cut into d + 1 parts of like length, one of which d edits leave
+    whole, and it is met in the first no further from its place than the edits before it, and those after, can have moved
+    it: of the k-th part, k before and d - k after. So titles meet in one equi join on length, edits, part and its text,
+    beside what they share, and no pair of titles without a common part is made. Null and empty titles meet nothing.
+    """
+    loss = Fraction(1 - above).limit_denominator(1000)
+    least, most = float((1 - loss) / (1 + loss)), float((1 + loss) / (1 - loss))
+    edits = lambda m, n: F.floor(((m + n) * loss.numerator - 1) / loss.denominator).cast("int")
+    # lengths that the other title of a pair may have
+    lengths = lambda n: F.filter(F.sequence(F.greatest(F.lit(1), F.floor(n * least).cast("int")), F.ceil(n * most).cast("int")), lambda m: F.abs(m - n) <= edits(m, n))
+    ints = lambda first, last: F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+    size = lambda n, d, k: F.floor(n / (d + 1)).cast("int") + F.when(k >= d + 1 - n % (d + 1), 1).otherwise(0)
+    start = lambda n, d, k: F.floor(n / (d + 1)).cast("int") * k + F.greatest(F.lit(0), k - (d + 1 - n % (d + 1)))
+
+    n, d, k = F.length("y"), F.col("d"), F.col("k")
+    cut = y.where("y <> ''").select(*shared, "y", F.explode(F.array_distinct(F.transform(lengths(n), lambda m: edits(m, F.length("y"))))).alias("d"))
+    cut = cut.select("*", F.explode(F.sequence(F.lit(0), d)).alias("k"))
+    parts = cut.select(*shared, "y", n.alias("n"), "d", "k", F.substr("y", start(n, d, k) + 1, size(n, d, k)).alias("part"))
+
+    m, n = F.length("x"), F.col("n")
+    asked = x.where("x <> ''").select(*shared, "x", F.explode(lengths(m)).alias("n")).withColumn("d", edits(m, n))
+    asked = asked.select("*", F.explode(F.sequence(F.lit(0), d)).alias("k"))
+    at = start(n, d, k)
+    first = F.greatest(F.lit(0), at - k, at + m - n - (d - k), at - F.floor((d + n - m) / 2).cast("int"))
+    last = F.least(m - size(n, d, k), at + k, at + m - n + d - k, at + F.floor((d + m - n) / 2).cast("int"))
+    asked = asked.select("*", F.explode(ints(first, last)).alias("at"))
+    asked = asked.select(*shared, "x", "n", "d", "k", F.substr("x", F.col("at") + 1, size(n, d, k)).alias("part"))
+    return asked.join(parts, [*shared, "n", "d", "k", "part"]).where("x <> y").select("x", "y", "d").distinct()
+
+
 #: Tiers of a match: confidence, method, similarity beyond which titles fit (none: equal titles), what else must be
-#: shared. Equal titles come first in every tier that takes them.
+#: shared. An identity with an equal title, in any tier, is not compared with others.
 TIERS = (
-    (1.0, "exact_title_year", None, "year"), (0.95, "exact_title_dev", None, "maker"), (0.75, "fuzzy_title_platform", None, "platform"),
-    (0.85, "fuzzy_title_year", 0.9, "year"), (0.75, "fuzzy_title_platform", 0.85, "platform"), (0.7, "fuzzy_title_dev", 0.8, "maker"),
+    (1.0, "exact_title_year", None, "year"), (0.95, "exact_title_dev", None, "developer"), (0.75, "fuzzy_title_platform", None, "platform"),
+    (0.7, "fuzzy_title_dev", None, "maker"), (0.85, "fuzzy_title_year", 0.9, "year"), (0.75, "fuzzy_title_platform", 0.85, "platform"),
+    (0.7, "fuzzy_title_dev", 0.8, "maker"),
 )
 
 
 def match_providers(a: DataFrame, b: DataFrame, similarity) -> DataFrame:
     """(a_id, b_id, confidence, method): each identity's best match with the other provider; first by id on ties.
 
-    Rows are (id, key, release_year, developer, publisher, platforms); null or empty keys, years, makers and platforms
-    are shared with nothing. A maker is a developer or a publisher, in any case. Identities of one title that share a
-    year, a maker or a platform are one row of an index with their smallest id, so titles are compared once, however
-    many identities have them. An identity that a tier has matched is not asked again. Every pair of titles is compared
-    that shares what a tier asks for; lengths and a bound on edits, which no pair above the similarity exceeds, go before
-    ``similarity`` (a column function).
+    Rows are (id, key, release_year, developer, publisher, platforms); null or empty keys, years, names and platforms
+    are shared with nothing. Names are compared in lower case, developers with developers and publishers with publishers;
+    the last tier takes either. Identities of one title that share a year, a name or a platform are one row of an index
+    with their smallest id, so titles are compared once, however many identities have them. An identity that a tier has
+    matched is not asked again. Titles meet by ``near_titles``, then a bound on edits, which no pair above the similarity
+    exceeds, goes before ``similarity`` (a column function). Repeated ids are one identity with what all its rows tell.
     """
+    name = lambda kind, c: F.concat(F.lit(kind), F.nullif(F.lower(F.trim(c)), F.lit("")))
     shares = {
         "year": lambda: F.col("release_year").cast("string"),
-        "maker": lambda: F.explode(F.array_distinct(F.transform(F.array("developer", "publisher"), lambda m: F.lower(F.trim(m))))),
+        "developer": lambda: name("", "developer"),
+        "maker": lambda: F.explode(F.array_compact(F.array(name("developer ", "developer"), name("publisher ", "publisher")))),
         "platform": lambda: F.explode(F.array_distinct(F.transform("platforms", lambda p: F.lower(F.trim(p))))),
     }
     of = lambda d, what: d.where("key <> ''").select("id", "key", shares[what]().alias("shared")).where("shared is not null and shared <> ''")
@@ -221,10 +261,9 @@ def match_providers(a: DataFrame, b: DataFrame, similarity) -> DataFrame:
         if above is None:
             met = rows.join(known, ["key", "shared"])
         else:
-            titles = rows.select(F.col("key").alias("x"), "shared").distinct().join(known.select(F.col("key").alias("y"), "shared").distinct(), "shared")
-            most = F.floor((1 - above) * (F.length("x") + F.length("y")) + 1e-6).cast("int")
-            near = titles.where(F.abs(F.length("x") - F.length("y")) <= most).select("x", "y", most.alias("most")).distinct()
-            near = near.where((F.col("x") != F.col("y")) & (F.call_function("levenshtein", F.col("x"), F.col("y"), F.col("most")) >= 0))
+            title = lambda d, c: d.select(F.col("key").alias(c), "shared").distinct()
+            near = near_titles(title(rows, "x"), title(known, "y"), above, "shared")
+            near = near.where(F.call_function("levenshtein", F.col("x"), F.col("y"), F.col("d")) >= 0)
             near = near.where(similarity(F.col("x"), F.col("y")) > above).select("x", "y")
             met = rows.withColumnRenamed("key", "x").join(near, "x").join(known.withColumnRenamed("key", "y"), ["y", "shared"])
         best = checkpointed(met.groupBy(F.col("id").alias("a_id")).agg(F.min("b_id").alias("b_id")).withColumns({"confidence": F.lit(confidence), "method": F.lit(method)}))

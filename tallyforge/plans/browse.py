@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyforge.functions import text as X
 from tallyforge.functions.scores import band
 from tallyforge.operators import browse as B
 from tallyforge.params import CustomScoreConfig
@@ -81,25 +82,53 @@ def q_custom(spark, sf_dir):
     return B.custom_scores(rows, CustomScoreConfig(language="N", platform="O", exclude_outliers=True))
 
 
-_AWARDS = """awards as (select p_partkey as award_id, 2014 + cast(p_partkey % 12 as int) as year, ['first', 'second', 'third'][1 + p_partkey % 3] as outlet,
- lower(case when p_partkey % 4 = 0 then p_name when p_partkey % 4 = 1 then split_part(p_name, ' ', 1) || ' ' || split_part(p_name, ' ', 2) || ' deluxe' else p_name || ' x' end) as key from part),
-keyed as (select lower(title) as gk, min(game_id) as game_id from games group by 1),
-pairs as (select ak, game_id, gk, list_filter(string_split(ak, ' '), lambda w: length(w) >= 3) as words from (select distinct key as ak from awards), keyed where gk <> ''),
-tiers as (select *, case when ak = gk then 1 when starts_with(gk, ak) and length(gk) <= 2 * length(ak) then 2 when starts_with(ak, gk) and length(ak) <= 2 * length(gk) then 3
- when len(words) > 0 and len(list_filter(words, lambda w: list_contains(string_split(gk, ' '), w))) / len(words) >= 0.8 then 4 end as tier from pairs),
-matched as (select award_id, best.game_id, best.tier from awards join (select ak, arg_min(game_id, tier * 1000000000::bigint + game_id) as game_id, min(tier) as tier from tiers where tier is not null group by 1) best on ak = key)"""
+# titles of awards: equal ones, beginnings, longer ones, words in another order with more around them, one word missing
+_AWARDS = """awards as (
+  select p_partkey as award_id, 2014 + cast(p_partkey % 12 as int) as year, ['first', 'second', 'third'][1 + p_partkey % 3] as outlet,
+    trim(regexp_replace(regexp_replace(lower(strip_accents(case p_partkey % 6
+      when 0 then p_name when 1 then split_part(p_name, ' ', 1) when 2 then p_name || ': X'
+      when 3 then 'The ' || split_part(p_name, ' ', 2) || ' & ' || split_part(p_name, ' ', 1) || ' Édition ' || p_partkey % 7
+      when 4 then 'of it' else p_name || ' special anniversary pack ' || p_partkey % 5 end)), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) as key
+  from part
+),
+titled as (
+  select game_id, lower(case game_id % 7 when 0 then title || ' edition' when 1 then title || ' big collection story' when 2 then 'to ' || title
+    when 3 then title || ' ' || title || ' special edition of' when 4 then 'it of' else title end) as gk from games
+),
+keyed as (select gk, min(game_id) as game_id from titled group by 1),
+pairs as (
+  select ak, game_id, gk, list_filter(string_split(ak, ' '), lambda w: length(w) >= 3) as aw, list_filter(string_split(gk, ' '), lambda w: length(w) >= 3) as gw
+  from (select distinct key as ak from awards), keyed where gk <> '' and ak <> ''
+),
+tiers as (
+  select *, case when ak = gk then 1 when starts_with(gk, ak) and length(gk) <= 2 * length(ak) then 2 when starts_with(ak, gk) and length(ak) <= 2 * length(gk) then 3
+    when len(aw) > 0 and len(gw) > 0 and len(list_filter(gw, lambda w: list_contains(aw, w))) / len(gw) >= 0.8 then 4 end as tier from pairs
+),
+matched as (
+  select award_id, best.game_id, best.tier
+  from awards join (select ak, arg_min(game_id, tier * 1000000000::bigint + game_id) as game_id, min(tier) as tier from tiers where tier is not null group by 1) best on ak = key
+)"""
 
 
 def _awards(spark, sf_dir):
     part, name = F.col("p_partkey"), F.col("p_name")
-    two = F.concat(F.split_part(name, F.lit(" "), F.lit(1)), F.lit(" "), F.split_part(name, F.lit(" "), F.lit(2)), F.lit(" deluxe"))
-    key = F.when(part % 4 == 0, name).when(part % 4 == 1, two).otherwise(F.concat(name, F.lit(" x")))
+    word, text, n = lambda k: F.split_part(name, F.lit(" "), F.lit(k)), lambda by: (part % by).cast("string"), part % 6
+    title = (
+        F.when(n == 0, name).when(n == 1, word(1)).when(n == 2, F.concat(name, F.lit(": X")))
+        .when(n == 3, F.concat(F.lit("The "), word(2), F.lit(" & "), word(1), F.lit(" Édition "), text(7)))
+        .when(n == 4, "of it").otherwise(F.concat(name, F.lit(" special anniversary pack "), text(5)))
+    )
     show = F.get(F.array(*map(F.lit, ("first", "second", "third"))), (part % 3).cast("int"))
-    return T.table(spark, sf_dir, "part").select(part.alias("award_id"), (2014 + part % 12).cast("int").alias("year"), show.alias("show"), F.lower(key).alias("key"))
+    return T.table(spark, sf_dir, "part").select(part.alias("award_id"), (2014 + part % 12).cast("int").alias("year"), show.alias("show"), X.title_award(title).alias("key"))
 
 
 def _matched(spark, sf_dir):
-    return B.match_awards(_awards(spark, sf_dir), T.games(spark, sf_dir).select("game_id", F.lower("title").alias("key")))
+    n, t = F.col("game_id") % 7, F.col("title")
+    title = (
+        F.when(n == 0, F.concat(t, F.lit(" edition"))).when(n == 1, F.concat(t, F.lit(" big collection story"))).when(n == 2, F.concat(F.lit("to "), t))
+        .when(n == 3, F.concat(t, F.lit(" "), t, F.lit(" special edition of"))).when(n == 4, "it of").otherwise(t)
+    )
+    return B.match_awards(_awards(spark, sf_dir), T.games(spark, sf_dir).select("game_id", F.lower(title).alias("key")))
 
 
 @query("q_awards", with_(GAMES, _AWARDS, body="select * from matched"))

@@ -75,13 +75,15 @@ def q_canon_repoint(spark, sf_dir):
 
 
 # a catalog made of the items themselves: altered titles, shifted years, slugs and page addresses
-_STORED = """stored as (select game_id, case game_id % 9 when 0 then title || ' ii' when 1 then 'the ' || title when 2 then title || ' deluxe edition' when 3 then title || ' (2015)' else title || ' ' || game_id end as title,
+_STORED = """stored as (select game_id, case game_id % 9 when 0 then title || ' ii' when 1 then 'the ' || title when 2 then title || ' deluxe edition' when 3 then title || ' (2015)' when 4 then title || ' & co_' || game_id when 5 then 'Ōkami ' || title || ' ' || game_id else title || ' ' || game_id end as title,
  case when game_id % 3 = 0 then null else release_year end as release_year, replace(title, ' ', '-') || '-' || game_id as slug from games)"""
 _CATALOG = """catalog as (select p_partkey as row_id, p_partkey as line_no, case when p_partkey % 5 = 0 then replace(p_name, ' ', '-') || '-' || (p_partkey - 5) end as slug,
  case when p_partkey % 5 = 1 then 'https://x.org/game/pc/' || replace(p_name, ' ', '-') || '-' || (p_partkey + 1) || '?a' end as url,
- case p_partkey % 8 when 0 then p_name || ' 2' when 1 then upper(p_name) || ' (PC)' when 2 then p_name || ' goty' when 3 then 'a ' || p_name when 4 then p_name || ' ii' else p_name || ' ' || p_partkey end as name,
+ case p_partkey % 8 when 0 then p_name || ' 2' when 1 then upper(p_name) || ' (PC)' when 2 then p_name || ' goty' when 3 then 'a ' || p_name when 4 then p_name || ' ii' when 5 then p_name || ' and Co' || p_partkey when 6 then 'okami ' || p_name || ' 大神 ' || p_partkey
+  when 7 then p_name || case when p_partkey % 2 = 1 then ' & co_' else ' ' end || p_partkey else p_name || ' ' || p_partkey end as name,
  cast(case when p_partkey % 7 = 0 then null else 2014 + p_size % 12 end as int) as year from part)"""
-_NORM = "trim(regexp_replace(regexp_replace(lower({t}), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g'))"
+_NORM4 = "trim(regexp_replace(regexp_replace(lower(strip_accents({t})), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g'))"
+_NORM = _NORM4.replace("{t}", "replace({t}, '&', ' and ')")
 _BARE = _NORM.format(t="regexp_replace(regexp_replace(regexp_replace({t}, '\\([^)]*\\)', '', 'g'), '(?i)\\b(deluxe edition|goty)\\b', '', 'g'), '\\b(19|20)\\d{{2}}\\b', '', 'g')")
 
 
@@ -109,7 +111,7 @@ asked9 as (select * from asked4 union all select row_id, line_no, unnest(list_co
  {{'t': 1001, 'k': 'bare', 'v': case when regexp_matches(bare, '^(the|a|an) ') then regexp_replace(bare, '^(the|a|an) ', '') end, 'm': 'article'}}])) from bares)"""
 _WON = """hit as (select row_id, line_no, arg_min(game_id, a.t) as game_id, arg_min(a.m, a.t) as method from {asked} join {idx} i on i.kind = a.k and i.key = a.v where a.v <> '' group by 1, 2),
 won as (select row_id, line_no, game_id, method from (select *, row_number() over (partition by game_id order by line_no, row_id) as k from hit) where k = 1)"""
-_ENRICH4 = (GAMES, _STORED, _CATALOG, _INDEX4, _WON.format(asked="asked4", idx="idx4"))
+_ENRICH4 = (GAMES, _STORED, _CATALOG, _INDEX4.replace("' and '", "''"), _WON.format(asked="asked4", idx="idx4"))
 _ENRICH9 = (GAMES, _STORED, _CATALOG, _INDEX4, _INDEX9, _WON.format(asked="asked9", idx="idx9"))
 
 
@@ -117,7 +119,7 @@ def _stored(spark, sf_dir):
     n, t, text = F.col("game_id") % 9, F.col("title"), F.col("game_id").cast("string")
     title = (
         F.when(n == 0, F.concat(t, F.lit(" ii"))).when(n == 1, F.concat(F.lit("the "), t)).when(n == 2, F.concat(t, F.lit(" deluxe edition")))
-        .when(n == 3, F.concat(t, F.lit(" (2015)"))).otherwise(F.concat_ws(" ", t, text))
+        .when(n == 3, F.concat(t, F.lit(" (2015)"))).when(n == 4, F.concat(t, F.lit(" & co_"), text)).when(n == 5, F.concat(F.lit("Ōkami "), t, F.lit(" "), text)).otherwise(F.concat_ws(" ", t, text))
     )
     slug = F.concat_ws("-", F.replace(t, F.lit(" "), F.lit("-")), text)
     return T.games(spark, sf_dir).select("game_id", title.alias("title"), F.when(F.col("game_id") % 3 != 0, F.col("release_year")).alias("release_year"), slug.alias("slug"))
@@ -129,7 +131,9 @@ def _catalog(spark, sf_dir):
     n = part % 8
     altered = (
         F.when(n == 0, F.concat(name, F.lit(" 2"))).when(n == 1, F.concat(F.upper(name), F.lit(" (PC)"))).when(n == 2, F.concat(name, F.lit(" goty")))
-        .when(n == 3, F.concat(F.lit("a "), name)).when(n == 4, F.concat(name, F.lit(" ii"))).otherwise(F.concat_ws(" ", name, part.cast("string")))
+        .when(n == 3, F.concat(F.lit("a "), name)).when(n == 4, F.concat(name, F.lit(" ii"))).when(n == 5, F.concat(name, F.lit(" and Co"), part.cast("string")))
+        .when(n == 6, F.concat(F.lit("okami "), name, F.lit(" 大神 "), part.cast("string")))
+        .when(n == 7, F.concat(name, F.when(part % 2 == 1, " & co_").otherwise(" "), part.cast("string"))).otherwise(F.concat_ws(" ", name, part.cast("string")))
     )
     return T.table(spark, sf_dir, "part").select(
         part.alias("row_id"), part.alias("line_no"), F.when(part % 5 == 0, slug(-5)).alias("slug"),
@@ -141,7 +145,7 @@ def _catalog(spark, sf_dir):
 def _enriched(spark, sf_dir, every):
     stored = _stored(spark, sf_dir)
     keys = R.catalog_keys(F.col("name"), F.col("slug"), F.col("url"), F.col("year"), every)
-    return R.ordered_lookup(_catalog(spark, sf_dir), keys, R.catalog_index(stored, stored))
+    return R.ordered_lookup(_catalog(spark, sf_dir), keys, R.catalog_index(stored, stored, ampersand=every))
 
 
 @query("q_enrich", with_(*_ENRICH4, body="select * from won"))
@@ -206,34 +210,79 @@ def q_jaccard_one_to_one(spark, sf_dir):
     return R.one_to_one(_near(spark, sf_dir))
 
 
-_SIDES = """a as (select game_id as id, lower(title) as key, case when game_id % 4 <> 0 then release_year end as release_year, developer, case when game_id % 5 = 0 then 'Maker' end as publisher, platforms from games),
-b as (select id + 100000 as id, case id % 3 when 0 then key || 's' when 1 then key || ' x' else key end as key, release_year, case when id % 2 = 0 then developer end as developer, publisher, platforms from a)"""
+# identities of two providers: titles altered by letters or a word, gaps in what they tell, names that are developers here
+# and publishers there
+_SIDES = """a as (
+  select game_id as id, trim(regexp_replace(regexp_replace(lower(trim(case when game_id % 6 = 0 then title || chr(39) || 's é & co. ' || game_id % 50 else title || ' ' || game_id % 90 end)), '[[:punct:]]', '', 'g'), '\\s+', ' ', 'g')) as key,
+    case when game_id % 4 <> 0 then release_year end as release_year, case game_id % 5 when 0 then 'Studio A' when 1 then null else developer end as developer,
+    case game_id % 7 when 0 then 'Maker' when 1 then 'Studio B' when 2 then '' when 3 then developer end as publisher, platforms
+  from games
+),
+b as (
+  select id + 100000 as id, case id % 4 when 0 then key || 's' when 1 then 'x' || substr(key, 3) when 2 then key || ' xy' else key end as key,
+    case when id % 11 < 8 then release_year end as release_year, case id % 9 when 0 then ' studio a' when 1 then 'Maker' when 2 then 'Studio B' when 3 then publisher else developer end as developer,
+    case id % 8 when 0 then 'MAKER ' when 1 then 'Studio A' when 2 then developer when 3 then 'Studio B' else publisher end as publisher, case when id % 3 = 0 then ['other'] else platforms end as platforms
+  from a
+)"""
 
 
 def _sides(spark, sf_dir):
-    """Identities of two providers: titles altered by a letter or a word, gaps in what they tell."""
     g, i = T.games(spark, sf_dir), F.col("game_id")
+    text = lambda by: (i % by).cast("string")
+    title = F.when(i % 6 == 0, F.concat("title", F.lit("'s é & co. "), text(50))).otherwise(F.concat("title", F.lit(" "), text(90)))
     a = g.select(
-        i.alias("id"), X.title_match(F.col("title")).alias("key"), F.when(i % 4 != 0, F.col("release_year")).alias("release_year"), "developer",
-        F.when(i % 5 == 0, "Maker").alias("publisher"), "platforms",
+        i.alias("id"), F.trim(X.title_match(title)).alias("key"), F.when(i % 4 != 0, F.col("release_year")).alias("release_year"),
+        F.when(i % 5 == 0, "Studio A").when(i % 5 != 1, F.col("developer")).alias("developer"),
+        F.when(i % 7 == 0, "Maker").when(i % 7 == 1, "Studio B").when(i % 7 == 2, "").when(i % 7 == 3, F.col("developer")).alias("publisher"), "platforms",
+    )
+    i = F.col("id")
+    key = F.when(i % 4 == 0, F.concat("key", F.lit("s"))).when(i % 4 == 1, F.concat(F.lit("x"), F.substr("key", F.lit(3)))).when(i % 4 == 2, F.concat("key", F.lit(" xy"))).otherwise(F.col("key"))
+    b = a.select(
+        (i + 100_000).alias("id"), key.alias("key"), F.when(i % 11 < 8, F.col("release_year")).alias("release_year"),
+        F.when(i % 9 == 0, " studio a").when(i % 9 == 1, "Maker").when(i % 9 == 2, "Studio B").when(i % 9 == 3, F.col("publisher")).otherwise(F.col("developer")).alias("developer"),
+        F.when(i % 8 == 0, "MAKER ").when(i % 8 == 1, "Studio A").when(i % 8 == 2, F.col("developer")).when(i % 8 == 3, "Studio B").otherwise(F.col("publisher")).alias("publisher"),
+        F.when(i % 3 == 0, F.array(F.lit("other"))).otherwise(F.col("platforms")).alias("platforms"),
     )
-    key = F.when(F.col("id") % 3 == 0, F.concat("key", F.lit("s"))).when(F.col("id") % 3 == 1, F.concat("key", F.lit(" x"))).otherwise(F.col("key"))
-    b = a.select((F.col("id") + 100_000).alias("id"), key.alias("key"), "release_year", F.when(F.col("id") % 2 == 0, F.col("developer")).alias("developer"), "publisher", "platforms")
     return a, b
 
 
-@query("q_match")
+# what two identities share, as the tiers ask for it
+_SHARED = """a.release_year = b.release_year as y, nullif(lower(trim(a.developer)), '') = lower(trim(b.developer)) as d,
+    nullif(lower(trim(a.publisher)), '') = lower(trim(b.publisher)) as p, len(list_intersect(a.platforms, b.platforms)) > 0 as o"""
+_EXACT = f"""same as (
+  select a_id, b_id, case when y then 1.0 when d then 0.95 when o then 0.75 when p then 0.7 end as confidence,
+    case when y then 'exact_title_year' when d then 'exact_title_dev' when o then 'fuzzy_title_platform' else 'fuzzy_title_dev' end as method
+  from (select a.id as a_id, b.id as b_id, {_SHARED} from a join b using (key) where key <> '') where y or d or o or p
+),
+exact as (select a_id, arg_min(b_id, (-confidence, b_id)) as b_id, cast(max(confidence) as double) as confidence, arg_min(method, (-confidence, b_id)) as method from same group by 1)"""
+# titles that share something, against each other; edits bound the longest common subsequence, which is found row by row
+_FUZZY = f"""rest as (
+  select a.id as a_id, b.id as b_id, a.key as x, b.key as y_, {_SHARED} from (select * from a where id not in (select a_id from exact)) a join b on a.key <> b.key
+    and a.key <> '' and b.key <> '' and levenshtein(a.key, b.key) <= 0.2 * (length(a.key) + length(b.key))
+),
+titles as (select distinct x, y_ from rest where y or d or o or p),
+steps(x, y_, i, best) as (
+  select x, y_, 0, list_transform(range(length(y_)), lambda j: 0) from titles
+  union all
+  select x, y_, i + 1, list_transform(range(1, length(y_) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k:
+    greatest(best[k], case when substr(x, i + 1, 1) = substr(y_, k, 1) then 1 + case when k > 1 then best[k - 1] else 0 end else 0 end))))
+  from steps where i < length(x)
+),
+alike as (select x, y_, 2 * best[-1] / (length(x) + length(y_)) as ratio from steps where i = length(x)),
+near as (
+  select a_id, b_id, case when ratio > 0.9 and y then 0.85 when ratio > 0.85 and o then 0.75 when ratio > 0.8 and (d or p) then 0.7 end as confidence,
+    case when ratio > 0.9 and y then 'fuzzy_title_year' when ratio > 0.85 and o then 'fuzzy_title_platform' else 'fuzzy_title_dev' end as method
+  from rest join alike using (x, y_)
+),
+fuzzy as (select a_id, arg_min(b_id, (-confidence, b_id)) as b_id, cast(max(confidence) as double) as confidence, arg_min(method, (-confidence, b_id)) as method from near where confidence is not null group by 1)"""
+
+
+@query("q_match", with_(GAMES, _SIDES, _EXACT, _FUZZY, body="select * from exact union all select * from fuzzy").replace("with ", "with recursive ", 1))
 def q_match(spark, sf_dir):
     return R.match_providers(*_sides(spark, sf_dir), X.indel_ratio)
 
 
-_EXACT = """shared as (select a.id as a_id, b.id as b_id, a.release_year = b.release_year as y, lower(trim(a.developer)) in (lower(trim(b.developer)), lower(trim(b.publisher))) as d, lower(trim(a.publisher)) in (lower(trim(b.developer)), lower(trim(b.publisher))) as p,
- len(list_intersect(a.platforms, b.platforms)) > 0 as o from a join b using (key)),
-tiers as (select a_id, b_id, case when y then 1.0 when d or p then 0.95 when o then 0.75 end as confidence from shared),
-best as (select a_id, arg_min(b_id, -confidence * 1e12 + b_id) as b_id, max(confidence) as confidence from tiers where confidence is not null group by 1)"""
-
-
-@query("q_match_exact", with_(GAMES, _SIDES, _EXACT, body="select a_id, b_id, cast(confidence as double) as confidence from best"))
+@query("q_match_exact", with_(GAMES, _SIDES, _EXACT, body="select a_id, b_id, confidence from exact"))
 def q_match_exact(spark, sf_dir):
     """Those matches whose titles are equal."""
     a, b = _sides(spark, sf_dir)

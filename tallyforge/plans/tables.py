@@ -140,7 +140,7 @@ def q_audit(spark, sf_dir):
     )
 
 
-_WILD = "wild as (select p_partkey, case p_partkey % 6 when 0 then p_name || ' & Co (PS4)' when 1 then ' ' || p_name || ' VII' when 2 then p_name || ': gold edition (2015)' when 3 then upper(p_name) || ' + the x' when 4 then 'Café ' || p_name || '!' else p_name end as title, 'https://x.org/game/pc/' || replace(p_name, ' ', '-') || '?a=1' as url from part)"
+_WILD = "wild as (select p_partkey, case p_partkey % 6 when 0 then p_name || ' & Co (PS4)' when 1 then ' ' || p_name || ' VII' when 2 then p_name || ': gold edition (2015)' when 3 then upper(p_name) || ' + the x' when 4 then 'Café ' || p_name || '!' else 'Ōkami_' || p_name || ' 大神' end as title, 'https://x.org/game/pc/' || replace(p_name, ' ', '-') || '?a=1' as url from part)"
 _ROMAN_SQL = "array_to_string(list_transform(string_split({t}, ' '), lambda w: coalesce(map([" + ", ".join(f"'{k}'" for k in X.ROMAN) + "], [" + ", ".join(f"'{v}'" for v in X.ROMAN.values()) + "])[w], w)), ' ')"
 _FOLD = "trim(regexp_replace(regexp_replace(lower(strip_accents({t})), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
 
@@ -149,7 +149,7 @@ def _wild(spark, sf_dir):
     n, name = F.col("p_partkey") % 6, F.col("p_name")
     title = (
         F.when(n == 0, F.concat(name, F.lit(" & Co (PS4)"))).when(n == 1, F.concat(F.lit(" "), name, F.lit(" VII"))).when(n == 2, F.concat(name, F.lit(": gold edition (2015)")))
-        .when(n == 3, F.concat(F.upper(name), F.lit(" + the x"))).when(n == 4, F.concat(F.lit("Café "), name, F.lit("!"))).otherwise(name)
+        .when(n == 3, F.concat(F.upper(name), F.lit(" + the x"))).when(n == 4, F.concat(F.lit("Café "), name, F.lit("!"))).otherwise(F.concat(F.lit("Ōkami_"), name, F.lit(" 大神")))
     )
     url = F.concat(F.lit("https://x.org/game/pc/"), F.replace(name, F.lit(" "), F.lit("-")), F.lit("?a=1"))
     return T.table(spark, sf_dir, "part").select("p_partkey", title.alias("title"), url.alias("url"))
@@ -158,7 +158,7 @@ def _wild(spark, sf_dir):
 @query("q_titles", with_(_WILD, body=f"""select p_partkey, {_ROMAN_SQL.format(t=_FOLD.format(t="replace(regexp_replace(title, '(?i)\\s*\\(ps4\\)\\s*$', ''), '&', ' and ')"))} as canonical,
  {_ROMAN_SQL.format(t=_FOLD.format(t="replace(regexp_replace(title, '\\s*\\([^)]+\\)\\s*$', ''), '&', ' and ')"))} as imported, {_FOLD.format(t="replace(regexp_replace(title, '\\s*\\([^)]+\\)\\s*$', ''), '&', ' and ')")} as repaired,
  regexp_replace(regexp_replace(trim(lower(title)), '[[:punct:]]', '', 'g'), '\\s+', ' ', 'g') as matched,
- trim(regexp_replace(regexp_replace(lower(strip_accents(replace(title, '&', ' and '))), '[^a-z0-9_\\s]', '', 'g'), '\\s+', ' ', 'g')) as enriched,
+ trim(regexp_replace(regexp_replace(lower(strip_accents(replace(title, '&', ' and '))), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g')) as enriched,
  {_FOLD.format(t="title")} as awarded from wild"""))
 def q_titles(spark, sf_dir):
     t = F.col("title")

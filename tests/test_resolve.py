@@ -96,49 +96,103 @@ def test_merges(spark, tmp_path):
     assert {r.v: r["count"] for r in spark.read.parquet(str(tmp_path / "t")).groupBy("v").count().collect()} == {"v1": 1, "v2": 2}
 
 
-def test_match_providers_against_plain_python(spark):
-    r = np.random.default_rng(6)
-    word = lambda: str(r.choice(["alpha", "beta", "gamma", "delta", "omega", "sigma"]))
-    make = lambda i: (i, " ".join(word() for _ in range(3)) + str(r.choice(["", "s", " x"])), int(r.integers(2000, 2003)), str(r.choice(["d1", "d2", ""])), [str(r.choice(["p", "q"]))])
-    a, b = [make(i) for i in range(30)], [make(100 + i) for i in range(30)]
+def plain_match(a, b):
+    """{a_id: (b_id, confidence, method)}: rows (id, key, year, developer, publisher, platforms), pair by pair."""
+    low = lambda t: (t or "").strip().lower()
 
     def tier(x, y):
-        year, maker, both = x[2] == y[2], x[3] == y[3] != "", bool(set(x[4]) & set(y[4]))
-        s = X._ratio(x[1], y[1])
-        if x[1] == y[1]:
-            if year or maker:
-                return (1.0, "exact_title_year") if year else (0.95, "exact_title_dev")
-        if s > 0.9 and year:
+        if not x[1] or not y[1]:
+            return None
+        like, year = X._ratio(x[1], y[1]), x[2] is not None and x[2] == y[2]
+        dev, pub = (bool(low(x[k])) and low(x[k]) == low(y[k]) for k in (3, 4))
+        both = bool(set(map(low, x[5] or [])) & set(map(low, y[5] or [])) - {""})
+        if x[1] == y[1] and (year or dev):
+            return (1.0, "exact_title_year") if year else (0.95, "exact_title_dev")
+        if like > 0.9 and year:
             return 0.85, "fuzzy_title_year"
-        if s > 0.85 and both:
+        if like > 0.85 and both:
             return 0.75, "fuzzy_title_platform"
-        return (0.7, "fuzzy_title_dev") if s > 0.8 and maker else None
+        return (0.7, "fuzzy_title_dev") if like > 0.8 and (dev or pub) else None
 
     want = {}
     for x in a:
         same = [y for y in b if y[1] == x[1] and tier(x, y)]
-        near = b  # every title, whatever it shares
-        found = [(tier(x, y), y[0]) for y in (same or near) if tier(x, y)]
+        found = [(tier(x, y), y[0]) for y in (same or b) if tier(x, y)]
         if found:
-            (conf, how), y = min(found, key=lambda f: (-f[0][0], f[1]))
-            want[x[0]] = (y, conf, how)
-    schema = "id long, key string, release_year int, developer string, platforms array<string>"
-    got = R.match_providers(spark.createDataFrame(a, schema).withColumn("publisher", F.lit(None).cast("string")), spark.createDataFrame(b, schema).withColumn("publisher", F.lit(None).cast("string")), X.indel_ratio)
-    assert {m.a_id: (m.b_id, m.confidence, m.method) for m in got.collect()} == want and len(want) >= 5
-
-
-def test_match_providers_without_a_shared_word(spark):
-    schema = "id long, key string, release_year int, developer string, platforms array<string>"
-    a = [(1, "bioshock", 2007, "x", ["p"]), (2, "overwatch", 2016, None, None), (3, "halo", None, " Bungie", []), (4, "portal", 2007, "", ["q"])]
-    b = [(11, "bio shock", 2007, "y", ["r"]), (12, "overwach", 2016, "", ["r"]), (13, "hallo", None, "bungie ", None), (14, "portals", 2008, "", ["r", "q"]), (15, "mortal", 2007, "", ["q"])]
-    tiers = ((0.9, lambda x, y: x[2] is not None and x[2] == y[2], 0.85), (0.85, lambda x, y: bool(set(x[4] or []) & set(y[4] or [])), 0.75), (0.8, lambda x, y: (x[3] or "").strip().lower() == (y[3] or "").strip().lower() != "", 0.7))
-    want = {}
-    for x in a:
-        found = [(-c, y[0]) for y in b for least, holds, c in tiers if X._ratio(x[1], y[1]) > least and holds(x, y)]
-        if found:
-            want[x[0]] = (min(found)[1], -min(found)[0])
-    got = R.match_providers(spark.createDataFrame(a, schema).withColumn("publisher", F.lit(None).cast("string")), spark.createDataFrame(b, schema).withColumn("publisher", F.lit(None).cast("string")), X.indel_ratio)
-    assert {m.a_id: (m.b_id, m.confidence) for m in got.collect()} == want and set(want) == {1, 2, 3, 4}
+            (sure, how), y = min(found, key=lambda f: (-f[0][0], f[1]))
+            want[x[0]] = (y, sure, how)
+    return want
+
+
+MATCHED = "id long, key string, release_year int, developer string, publisher string, platforms array<string>"
+
+
+def matched(spark, a, b):
+    got = R.match_providers(spark.createDataFrame(a, MATCHED), spark.createDataFrame(b, MATCHED), X.indel_ratio)
+    return {m.a_id: (m.b_id, m.confidence, m.method) for m in got.collect()}
+
+
+def test_match_providers_against_plain_python(spark):
+    r = np.random.default_rng(6)
+    one = lambda *of: of[int(r.integers(len(of)))]
+    word = lambda: one("alpha", "beta", "gamma", "delta", "omega", "sigma", "éa")
+    make = lambda i: (
+        i, " ".join(word() for _ in range(r.integers(1, 4))) + one("", "s", " x"), one(None, 2000, 2001, 2002), one("d1", "D1 ", "d2", "", None), one("p1", "d1", "d2", None, ""), one(["p"], ["q", "P"], [], None, [""]),
+    )
+    a, b = [make(i) for i in range(60)] + [(90, "", 2000, "d1", None, ["p"]), (91, None, 2000, "d1", None, ["p"])], [make(100 + i) for i in range(60)] + [(190, "", 2000, "d1", None, ["p"])]
+    want = plain_match(a, b)
+    assert matched(spark, a, b) == want and len(set(w[1:] for w in want.values())) >= 5
+
+
+def test_match_providers_names(spark):
+    """A developer is no publisher; a publisher counts in the last tier alone, for equal titles too."""
+    a = [(1, "halo", 2001, "bungie", "microsoft", ["pc"]), (2, "doom", None, "id", "zenimax", ["pc"]), (3, "fable", None, "lionhead", "ea", []), (4, "prey", 2006, None, None, ["x"]), (5, "portal", 2007, "valve", None, ["x"])]
+    b = [(11, "halo", 2003, "other", "Microsoft", ["pc"]), (12, "doom", None, "bethesda", "zenimax", []), (13, "fable", None, "ea", "lionhead", []), (14, "prey", 2006, None, None, None), (15, "portals", 2007, "valve", None, None)]
+    want = {1: (11, 0.75, "fuzzy_title_platform"), 2: (12, 0.7, "fuzzy_title_dev"), 4: (14, 1.0, "exact_title_year"), 5: (15, 0.85, "fuzzy_title_year")}
+    assert plain_match(a, b) == want == matched(spark, a, b)
+
+
+def test_near_titles_lose_no_pair(spark):
+    """Texts of few letters, so that many are alike: every pair above the similarity meets."""
+    r = np.random.default_rng(8)
+    make = lambda n: sorted({"".join(r.choice(list("abc"), r.integers(1, 16))) for _ in range(n)})
+    left, right = make(150), make(150)
+    right += ["".join(c for c in t if r.random() > 0.1) for t in left if len(t) > 6] + [t[:3] + "q" + t[3:] + "zz" for t in left]
+    x = spark.createDataFrame([(t, len(t or "") % 2) for t in [*left, "", None]], "x string, s int")
+    y = spark.createDataFrame([(t, len(t) % 2) for t in right], "y string, s int")
+    for above in (0.9, 0.85, 0.8):
+        want = {(p, q) for p in left for q in right if p != q and len(p) % 2 == len(q) % 2 and X._ratio(p, q) > above}
+        got = {(t.x, t.y) for t in R.near_titles(x, y, above, "s").collect()}
+        assert want and want <= got and len(got) < 0.4 * len(left) * len(right)
+
+
+def test_match_awards_against_plain_python(spark):
+    r = np.random.default_rng(2)
+    words = "the elder scrolls skyrim hades big of it x special pack two".split()
+    title = lambda: " ".join(r.choice(words, r.integers(1, 7)))
+    awards, games = [(i, title()) for i in range(80)] + [(90, ""), (91, None), (92, "of it")], [(i, title()) for i in range(80)] + [(90, ""), (91, None), (92, "it of")]
+    awards += [(93, "hades"), (94, "the elder scrolls skyrim special anniversary pack")]
+    games += [(95, "the big hades collection story"), (96, "scrolls elder")]
+
+    def best(n):
+        games_ = [(i, g) for i, g in games if g]
+        three = lambda t: [w for w in t.split(" ") if len(w) >= 3]
+        rules = (
+            lambda g: g == n, lambda g: g.startswith(n) and len(g) <= 2 * len(n), lambda g: n.startswith(g) and len(n) <= 2 * len(g),
+            lambda g: bool(three(n)) and bool(three(g)) and sum(w in three(n) for w in three(g)) / len(three(g)) >= 0.8,
+        )
+        return next(((i, k + 1) for k, rule in enumerate(rules) for i, g in sorted(games_) if rule(g)), None) if n else None
+
+    want = {i: best(n) for i, n in awards if best(n)}
+    got = B.match_awards(spark.createDataFrame(awards, "award_id int, key string"), spark.createDataFrame(games, "game_id int, key string"))
+    assert {m.award_id: (m.game_id, m.tier) for m in got.collect()} == want
+    assert {t for _, t in want.values()} == {1, 2, 3, 4} and want[94][1] == 4
+
+
+def test_titles_of_enrichment(spark):
+    odd = ("Ōkami & Ⅱ 大神", "a_b  C d", None)
+    assert values(spark, X.title_enrich, *odd) == ["okami and", "ab c d", ""]
+    assert values(spark, lambda t: X.title_enrich(t, False), *odd) == ["okami", "ab c d", ""]
 
 
 def test_q_match_reads_every_item(spark):
