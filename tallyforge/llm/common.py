@@ -72,15 +72,18 @@ def new_folder(spark: SparkSession, label: str) -> str:
 SHARD_BYTES = 64 << 20
 
 
+def stored_bytes(docs: DataFrame) -> int:
+    """The size that Spark's plan says a table has; 0 for frames of the driver's own rows, whose size Spark doesn't know."""
+    known = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return known if known < 1 << 60 else 0
+
+
 def shard_bits(docs: DataFrame) -> int:
     """How many bits number the shards of what is gathered from ``docs``: more of them for larger tables.
 
-    At least as many shards as spark.sql.shuffle.partitions; beyond, one for each SHARD_BYTES that Spark's plan says
-    the table has. Frames of the driver's own rows, whose size Spark doesn't know, count as small.
+    At least as many shards as spark.sql.shuffle.partitions; beyond, one for each SHARD_BYTES of ``stored_bytes``.
     """
-    known = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    by_size = known // SHARD_BYTES if known < 1 << 60 else 0
-    return max(0, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1, int(by_size) - 1).bit_length()
+    return max(0, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1, stored_bytes(docs) // SHARD_BYTES - 1).bit_length()
 
 
 def drawn(total: Column | int, most: int) -> Column:

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import in_slices, materialise
+from tallyforge.llm.common import SHARD_BYTES, in_slices, materialise, stored_bytes
 from tallyforge.llm.pieces import encoder
 
 MAGIC = b"TFRP2\0\0\0"
@@ -24,7 +24,7 @@ MAGIC = b"TFRP2\0\0\0"
 HEAD = "<8sIIIQ"
 #: Ids of one block, at which it is closed; a longer document is a block of its own.
 BLOCK_IDS = 1 << 20
-#: Symbols, which ids and rules share, are stored in 16 bits, or in 32 where a block has ids that 16 can't hold.
+#: Symbols, which ids and rules share, are stored in 16 bits, or in 32 where a block has more of them than 16 can hold.
 SYMBOLS = 1 << 16
 
 
@@ -33,14 +33,13 @@ def compress(ids: np.ndarray, end_id: int, least: int = 8, share: float = 0.25):
 
     ``first`` is one more than the largest id. No pair begins with ``end_id``, so no rule crosses documents. A round
     takes the pairs that occur at least ``share`` times as often as its most frequent pair; rounds go on until no pair
-    occurs ``least`` times, or the symbols are used up.
+    occurs ``least`` times. Symbols are counted in 16 bits as long as they fit, and then in 32.
     """
     first = int(ids.max(initial=0)) + 1
-    wide = first >= SYMBOLS
-    bits, pair, symbol, most = (32, np.uint64, np.uint32, (1 << 32) - 1) if wide else (16, np.uint32, np.uint16, SYMBOLS)
+    bits, pair = (32, np.uint64) if first >= SYMBOLS else (16, np.uint32)
     seq = ids.astype(pair)
     rules = np.empty(0, pair)
-    while len(seq) > 1 and first + len(rules) < most:
+    while len(seq) > 1:
         pairs = seq[:-1] << pair(bits) | seq[1:]
         held = np.sort(pairs)
         a, b = np.searchsorted(held, np.array([end_id << bits, (end_id + 1) << bits], pair))
@@ -54,12 +53,17 @@ def compress(ids: np.ndarray, end_id: int, least: int = 8, share: float = 0.25):
         if top < least:
             break
         often = np.flatnonzero(counts >= max(least, int(top * share)))
-        often = often[np.argsort(-counts[often], kind="stable")][: most - first - len(rules)]
-        chosen = held[at[often]]  # the most frequent first
+        if bits == 16 and first + len(rules) + len(often) > SYMBOLS:
+            rules = (rules >> pair(16)).astype(np.uint64) << np.uint64(32) | (rules & pair(0xFFFF)).astype(np.uint64)
+            bits, pair = 32, np.uint64
+            seq = seq.astype(pair)
+            continue
+        chosen = held[at[often[np.argsort(-counts[often], kind="stable")]]]  # the most frequent first
         order = np.argsort(chosen)
         seq = _replace(seq, pairs, chosen[order], (first + len(rules) + order).astype(pair), end_id)
         rules = np.concatenate([rules, chosen])
     out = np.stack([rules >> pair(bits), rules & pair((1 << bits) - 1)], axis=1)
+    symbol = np.uint16 if bits == 16 else np.uint32
     return seq.astype(symbol), out.astype(symbol), first, _lengths(out, first)
 
 
@@ -126,7 +130,7 @@ class Block:
         magic, self.first, docs, rules, symbols = struct.unpack_from(HEAD, data)
         if magic != MAGIC:
             raise ValueError("not a grammar block")
-        at, kind = struct.calcsize(HEAD), "<u4" if self.first >= SYMBOLS else "<u2"
+        at, kind = struct.calcsize(HEAD), "<u4" if self.first >= SYMBOLS or self.first + rules > SYMBOLS else "<u2"
 
         def take(kind: str, n: int) -> np.ndarray:
             nonlocal at
@@ -138,22 +142,18 @@ class Block:
         self._rules = take(kind, 2 * rules).reshape(-1, 2)
         self._spans, self._seq = take("<u4", rules), take(kind, symbols)
         self._upto = np.concatenate([[0], np.cumsum(self._symbols)])
-        # every rule's expansion, one after the other, built from short rules to long ones
-        self._at = np.cumsum(self._spans, dtype=np.int64) - self._spans
-        self._flat = np.zeros(int(self._spans.sum(dtype=np.int64)) + 1, np.uint32)
-        for size in np.unique(self._spans):
-            which = np.flatnonzero(self._spans == size)
-            got = self._expand(self._rules[which].ravel().astype(np.int64)).reshape(len(which), size)
-            self._flat[self._at[which][:, None] + np.arange(size)] = got
+        self._flat = None
 
     def _expand(self, symbols: np.ndarray) -> np.ndarray:
+        """Symbol by symbol, down to ids; rules that these symbols don't need aren't read."""
         n = _sizes(symbols, self.first, self._spans)
-        ends = np.cumsum(n)
-        plain = symbols < self.first
-        at = np.zeros(len(symbols), np.int64)
-        at[~plain] = self._at[symbols[~plain] - self.first]
-        out = self._flat[np.repeat(at - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
-        out[ends[plain] - 1] = symbols[plain]
+        at, out = np.cumsum(n) - n, np.empty(int(n.sum()), np.uint32)
+        while len(symbols):
+            plain = symbols < self.first
+            out[at[plain]] = symbols[plain]
+            at, parts = at[~plain], self._rules[symbols[~plain] - self.first].astype(np.int64)
+            at = np.concatenate([at, at + _sizes(parts[:, 0], self.first, self._spans)])
+            symbols = np.concatenate([parts[:, 0], parts[:, 1]])
         return out
 
     def document(self, k: int) -> np.ndarray:
@@ -167,7 +167,25 @@ class Block:
         return self._expand(self._seq[lo:hi].astype(np.int64))[a - before : b - before]
 
     def all(self) -> np.ndarray:
-        return self._expand(self._seq.astype(np.int64))
+        """Every id: here all rules are expanded first, from short ones to long ones, and then copied."""
+        if self._flat is None:
+            self._at = np.cumsum(self._spans, dtype=np.int64) - self._spans
+            self._flat = np.zeros(int(self._spans.sum(dtype=np.int64)) + 1, np.uint32)
+            for size in np.unique(self._spans):
+                which = np.flatnonzero(self._spans == size)
+                got = self._copied(self._rules[which].ravel().astype(np.int64)).reshape(len(which), size)
+                self._flat[self._at[which][:, None] + np.arange(size)] = got
+        return self._copied(self._seq.astype(np.int64))
+
+    def _copied(self, symbols: np.ndarray) -> np.ndarray:
+        n = _sizes(symbols, self.first, self._spans)
+        ends = np.cumsum(n)
+        plain = symbols < self.first
+        at = np.zeros(len(symbols), np.int64)
+        at[~plain] = self._at[symbols[~plain] - self.first]
+        out = self._flat[np.repeat(at - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        out[ends[plain] - 1] = symbols[plain]
+        return out
 
 
 SHARD = "shard int, block int, start long, n_ids long, n_docs long, data binary"
@@ -176,14 +194,15 @@ SHARD = "shard int, block int, start long, n_ids long, n_docs long, data binary"
 def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 2, shards: int | None = None) -> DataFrame:
     """Documents (doc_id, text) as grammar blocks, written in the shared folder; a row for each block.
 
-    Documents are dealt by ranges of doc_id into ``shards`` (spark.sql.shuffle.partitions unless given) and sorted
-    there, so blocks in order of (shard, block) hold ascending ids. A null text is empty and yields the end id alone; a
-    null doc_id stays null and comes first; equal doc_ids stay apart, ordered by text; other columns are ignored;
-    an empty table yields no block. ``start`` counts the ids of the shard's earlier blocks.
+    Documents are dealt by ranges of doc_id into ``shards`` (unless given, spark.sql.shuffle.partitions, or more for a
+    larger table) and sorted there, so blocks in order of (shard, block) hold ascending ids. A null text is empty and
+    yields the end id alone; a null doc_id stays null and comes first; equal doc_ids stay apart, ordered by a hash of the
+    text, and ranges may part them, so that many rows of one id, or equal rows, don't meet in one task; other columns
+    are ignored; an empty table yields no block. ``start`` counts the ids of the shard's earlier blocks.
     """
     spark = docs.sparkSession
     table = encoder(docs, tokenizer, False)
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), stored_bytes(docs) // SHARD_BYTES)
 
     def run(batches):
         encode = table.open().encode
@@ -225,11 +244,10 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 2, shards: int |
         if names:
             yield close()
 
-    dealt = (
-        docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-        .repartitionByRange(n, "doc_id")
-        .sortWithinPartitions("doc_id", "text")
-    )
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("hash"), F.monotonically_increasing_id().alias("nth"))
+    order = ("doc_id", "hash", "nth")
+    dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
     return materialise(dealt.mapInArrow(run, SHARD), "grammar")
 
 

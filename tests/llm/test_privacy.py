@@ -151,3 +151,26 @@ def test_a_telling_word_is_marked_wherever_it_stands(spark):
     assert clean[3] == "[TERM] heads item3, then come so many other words that no reach spans them: agent [TERM] [EMAIL] ends 3"
     assert clean[50] == "a letter of ZORBLAX\u0130, and of zorblaxes: \u0130\U0001f600 [TERM]." and clean[51] == "nothing of it"
     assert all(clean[i] == t for i, t in far)
+
+
+def test_planted_entities_in_thousands_of_documents(spark):
+    """40 shared entities among 4,000 documents, two code words each: which words are marked, and which wrongly."""
+    r = np.random.default_rng(11)
+    common = ["w" + "".join(r.choice(list("abcdefghij"), 4)) for _ in range(3000)]
+    texts = [list(r.choice(common, int(r.integers(20, 90)))) for _ in range(4000)]
+    codes = {}
+    for e in range(40):
+        at = r.choice(4000, 8, replace=False)
+        for k, doc in enumerate(at):
+            if k < 6:  # two more have the code words alone
+                texts[doc].insert(int(r.integers(len(texts[doc]))), f"person{e}@corp{e % 3}.org")
+            for word in (f"code{e}x", f"alias{e}q"):
+                texts[doc].insert(int(r.integers(len(texts[doc]))), word)
+                codes.setdefault(doc, set()).add(word)
+    texts = [" ".join(t) for t in texts]
+    got = {x.doc_id: x for x in privacy.digest(privacy.find(docs(spark, list(enumerate(texts))))).collect()}
+    marked = {(d, texts[d][int(a) : int(b)]) for d, x in got.items() for kind, a, b in (s.split(":") for s in x.spans.split(",") if s) if kind == "term"}
+    planted = {(d, w) for d, ws in codes.items() for w in ws}
+    assert len(planted & marked) / len(planted) > 0.98
+    assert len(marked - planted) / len(planted) < 0.02
+    assert sum(x.n_email for x in got.values()) == 240

@@ -111,3 +111,32 @@ def test_a_repeated_row_is_dealt_over_groups(spark):
     got = packing.pack(pieces).select("sequence_id", "offset").collect()
     assert len({(r.sequence_id, r.offset) for r in got}) == n
     assert max(Counter(r.sequence_id >> 32 for r in got).values()) < 2 * packing.GROUP_PIECES
+
+
+def test_no_frequent_pair_is_left_when_16_bits_run_out():
+    """More rules than 16 bits can number: symbols go on in 32 bits, until no pair occurs 8 times."""
+    r = np.random.default_rng(1)
+    first = 49_000
+    halves = [r.permutation(np.arange(3, first)).astype(np.uint32)[:44_000].reshape(-1, 2) for _ in range(2)]
+    pairs = np.concatenate(halves)  # 44,000 pairs, of 88,000 places
+    ids = np.concatenate([pairs[r.permutation(len(pairs))].ravel() for _ in range(12)])
+    ids[49_999::50_000] = 2
+    ids[-1] = 2
+    seq, rules, base, spans = repair.compress(ids, 2)
+    assert base + len(rules) > repair.SYMBOLS and seq.dtype == np.uint32
+    inner = seq[:-1] != 2
+    left = np.unique(seq[:-1][inner].astype(np.uint64) << np.uint64(32) | seq[1:][inner], return_counts=True)[1]
+    assert left.max() < 8
+    lens = np.diff(np.flatnonzero(ids == 2), prepend=-1)
+    block = repair.Block(repair.write_block(list(range(len(lens))), lens, ids, 2))
+    assert (block.document(3) == ids[lens[:3].sum() : lens[:4].sum()]).all() and (block.all() == ids).all()
+
+
+def test_rows_of_one_id_are_dealt_over_shards(spark):
+    """Null ids, and equal rows, don't meet in one shard; places and ids stay right."""
+    rows = [(None, "one and the same")] * 2000 + [(5, f"text {i}") for i in range(1000)] + [(9, "last")]
+    blocks = repair.write_shards(docs(spark, rows).repartition(8), WORD, shards=8)
+    assert blocks.groupBy("shard").agg({"n_docs": "sum"}).agg({"sum(n_docs)": "max"}).first()[0] < 2000
+    got = sorted(repair.read_shards(blocks).collect(), key=lambda x: x.start)
+    assert [x.doc_id for x in got] == [None] * 2000 + [5] * 1000 + [9]
+    assert [x.start for x in got] == np.cumsum([0, *(x.n_tokens for x in got)])[:-1].tolist()
