@@ -1,20 +1,73 @@
-"""Where checkpoints go."""
+"""Where checkpoints go, and small files in whatever store Spark reads."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(frame: DataFrame) -> DataFrame:
-    """A reliable checkpoint in ``spark.checkpoint.dir``; a temporary folder where that is unset in a local session.
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one in a local session.
 
     On a cluster an unset folder is an error: executors would write on their own disks.
     """
-    context = frame.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and context.getCheckpointDir() is None:
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if folder is None:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tallyforge-"))
+        folder = context.getCheckpointDir()
+    return folder.rstrip("/")
+
+
+def checkpointed(frame: DataFrame) -> DataFrame:
+    """A reliable checkpoint in ``checkpoint_dir``."""
+    checkpoint_dir(frame.sparkSession)
     return frame.checkpoint()
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new name in the shared folder."""
+    return f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def _at(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def file_names(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder, none where there is no such folder."""
+    target, fs = _at(spark, folder)
+    return [s.getPath().getName() for s in fs.listStatus(target)] if fs.exists(target) else []
+
+
+def read_file(spark: SparkSession, path: str) -> str:
+    target, fs = _at(spark, path)
+    stream = fs.open(target)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
+def write_new_file(spark: SparkSession, path: str, text: str) -> None:
+    """The file appears whole, by rename; one that is there already is an error."""
+    target, fs = _at(spark, path)
+    part, _ = _at(spark, f"{path}.{uuid.uuid4().hex}.part")
+    stream = fs.create(part)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    if fs.exists(target) or not fs.rename(part, target):
+        fs.delete(part, False)
+        raise FileExistsError(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    target, fs = _at(spark, path)
+    fs.delete(target, True)

@@ -10,22 +10,59 @@ from tallyforge.functions.scores import clamp, discrimination_factor, relevance,
 from tallyforge.params import ScoringParams
 
 
-def source_metrics(reviews: DataFrame, games: DataFrame, p: ScoringParams = ScoringParams()) -> DataFrame:
-    """Per source with enough scores: mean, deviation, bias and discrimination against all scores of known items."""
-    known = reviews.where("score is not null").join(games.select("game_id"), "game_id", "left_semi")
-    overall = known.agg(F.avg("score").alias("gm"), F.stddev_pop("score").alias("gs"))  # one row
-    per = known.groupBy("source_id").agg(F.count("*").alias("n"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"))
+def score_counts(reviews: DataFrame) -> DataFrame:
+    """(game_id, source_id, score, n): how often an item has a score from a source. All of scoring follows from it.
+
+    Reviews without a score are left out. Counts add up, so those of new reviews may be added to stored ones; a hot item
+    is as many rows as it has different scores of its sources, however many reviews.
+    """
+    return reviews.where("score is not null").groupBy("game_id", "source_id", "score").agg(F.count("*").alias("n"))
+
+
+def review_counts(reviews: DataFrame) -> DataFrame:
+    """(game_id, source_id, n) of all reviews, scored or not, for ``coverage``."""
+    return reviews.groupBy("game_id", "source_id").agg(F.count("*").alias("n"))
+
+
+def _std() -> Column:
+    """The population's deviation from counts; exactly 0 where all scores are equal."""
+    n, x = F.sum("n"), F.sum(F.col("score") * F.col("n"))
+    square = F.sum(F.col("score") * F.col("score") * F.col("n"))
+    return F.when(F.min("score") == F.max("score"), 0.0).otherwise(F.sqrt(F.greatest(F.lit(0.0), (square - x * x / n) / n)))
+
+
+def _mean() -> Column:
+    return F.sum(F.col("score") * F.col("n")) / F.sum("n")
+
+
+def source_metrics(counts: DataFrame, games: DataFrame, p: ScoringParams = ScoringParams()) -> DataFrame:
+    """Per source with enough scores: mean, deviation, bias and discrimination against all scores of known items.
+
+    ``counts`` as ``score_counts`` gives them; a null source is one too; without scores there are no rows.
+    """
+    known = counts.join(games.select("game_id"), "game_id", "left_semi")
+    overall = known.agg(_mean().alias("gm"), _std().alias("gs"))  # one row
+    per = known.groupBy("source_id").agg(F.sum("n").alias("sum_n"), _mean().alias("mean"), _std().alias("std"))
     power = F.when(F.col("gs") > 0, F.least(F.lit(1.0), F.col("std") / F.col("gs"))).otherwise(0.0)
-    return per.where(F.col("n") >= p.least_per_source).join(F.broadcast(overall)).select(
-        "source_id", F.col("n").alias("sample_count"), F.round("mean", 4).alias("mean_score"), F.round("std", 4).alias("score_std"),
+    return per.where(F.col("sum_n") >= p.least_per_source).join(F.broadcast(overall)).select(
+        "source_id", F.col("sum_n").alias("sample_count"), F.round("mean", 4).alias("mean_score"), F.round("std", 4).alias("score_std"),
         F.round(F.col("mean") - F.col("gm"), 4).alias("score_bias"), F.round(power, 4).alias("discrimination_power"),
     )
 
 
-def coverage(reviews: DataFrame, games: DataFrame, column: str) -> DataFrame:
-    """(source_id, value, n): a source's reviews by each value of a list column of the items."""
-    lists = games.select("game_id", F.explode(column).alias("value")).where("value is not null and value != ''")
-    return reviews.where("score is not null").join(lists, "game_id").groupBy("source_id", "value").agg(F.count("*").alias("n"))
+def coverage(counts: DataFrame, games: DataFrame, *columns: str) -> DataFrame:
+    """(source_id, kind, value, n): a source's scores by each value of list columns of the items; ``kind`` is the column.
+
+    Null and empty values are left out. ``counts`` are those of scores or, for unscored reviews too, ``review_counts``.
+    """
+
+    def tagged(c: str) -> Column:
+        return F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda v: F.struct(F.lit(c).alias("kind"), v.alias("value")))
+
+    held = F.concat(*map(tagged, columns))
+    lists = games.select("game_id", F.inline(held)).where("value is not null and value != ''")
+    per = counts.groupBy("game_id", "source_id").agg(F.sum("n").alias("n"))
+    return per.join(lists, "game_id").groupBy("source_id", "kind", "value").agg(F.sum("n").alias("n"))
 
 
 def coverage_map(cover: DataFrame, name: str) -> DataFrame:
@@ -33,19 +70,17 @@ def coverage_map(cover: DataFrame, name: str) -> DataFrame:
     return cover.groupBy("source_id").agg(F.map_from_entries(F.sort_array(F.collect_list(entry))).alias(name))
 
 
-def weights(metrics: DataFrame, genres: DataFrame, platforms: DataFrame, p: ScoringParams = ScoringParams()) -> DataFrame:
-    """A weight for each source, and for each of its most frequent genres and platforms."""
-
-    def top(cover: DataFrame, most: int) -> DataFrame:
-        rank = F.row_number().over(W.partitionBy("source_id").orderBy(F.desc("n"), "value"))
-        return cover.withColumn("rank", rank).where(F.col("rank") <= most).drop("rank")
+def weights(metrics: DataFrame, cover: DataFrame, p: ScoringParams = ScoringParams()) -> DataFrame:
+    """A weight for each source, and for each of its most frequent genres and platforms; ``cover`` as ``coverage`` gives it.
 
+    Sources without metrics have none. Of equally frequent values the smaller by name comes first.
+    """
+    rank = F.row_number().over(W.partitionBy("source_id", "kind").orderBy(F.desc("n"), "value"))
+    top = cover.withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("kind") == "genres", p.top_genres).otherwise(p.top_platforms))
+    of = lambda kind, c: F.when(F.col("kind") == kind, F.col(c))
     none = F.lit(None)
-    context = (
-        metrics.select("source_id", none.cast("string").alias("genre"), none.cast("string").alias("platform"), none.cast("long").alias("gn"), none.cast("long").alias("pn"))
-        .unionByName(top(genres, p.top_genres).select("source_id", F.col("value").alias("genre"), none.cast("string").alias("platform"), F.col("n").alias("gn"), none.cast("long").alias("pn")))
-        .unionByName(top(platforms, p.top_platforms).select("source_id", none.cast("string").alias("genre"), F.col("value").alias("platform"), none.cast("long").alias("gn"), F.col("n").alias("pn")))
-    )
+    whole = metrics.select("source_id", none.cast("string").alias("genre"), none.cast("string").alias("platform"), none.cast("long").alias("gn"), none.cast("long").alias("pn"))
+    context = whole.unionByName(top.select("source_id", of("genres", "value").alias("genre"), of("platforms", "value").alias("platform"), of("genres", "n").alias("gn"), of("platforms", "n").alias("pn")))
     n = F.col("sample_count")
     confidence, power = sample_confidence(n), discrimination_factor(F.col("discrimination_power"))
     weight = confidence * power * relevance(F.col("gn"), n, 0.4, 1.2) * relevance(F.col("pn"), n, 0.3, 1.1) * p.disclosure
@@ -69,51 +104,36 @@ def weight_for(weights_: Column, genres: Column, platforms: Column) -> Column:
     return F.coalesce(F.get(found, F.lit(0)), F.lit(1.0))
 
 
-def middle_scores(scored: DataFrame, p: ScoringParams) -> DataFrame:
-    """(game_id, median, trimmed): the median, and the mean without the lowest and highest share where there are enough.
+def snapshots(counts: DataFrame, games: DataFrame, metrics: DataFrame, weights_: DataFrame, p: ScoringParams = ScoringParams()) -> DataFrame:
+    """Mean, median, trimmed, calibrated and weighted score of every known item that has scores, from ``score_counts``.
 
-    Equal scores of an item are counted first, so an item takes as many rows as it has different scores, however many
-    reviews; places among them come from the running sum of the counts.
+    The median, and the mean without the lowest and highest share where there are enough, come from places among an
+    item's counts: the running sum in the order of scores. Items whose weights sum to nothing keep the mean. Without
+    scores there are no rows; repeated items repeat their counts.
     """
-    counts = scored.groupBy("game_id", "score").agg(F.count("*").alias("c"))
-    of = W.partitionBy("game_id")
-    upto = F.sum("c").over(of.orderBy("score").rowsBetween(W.unboundedPreceding, 0))
-    placed = counts.withColumns({"upto": upto, "n": F.sum("c").over(of)})
-    at = lambda k: F.min(F.when(F.col("upto") > k, F.col("score")))  # noqa: E731  the score at place k, from 0
-    cut = F.when(F.col("n") >= p.least_to_trim, F.floor(F.col("n") * p.trim_share)).otherwise(0)
-    kept = F.least("upto", F.col("n") - cut) - F.greatest(F.col("upto") - F.col("c"), cut)
-    kept = F.greatest(kept, F.lit(0))
-    return placed.groupBy("game_id").agg(
-        ((at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2).alias("median"), (F.sum(F.col("score") * kept) / F.sum(kept)).alias("trimmed")
-    )
-
-
-def snapshots(reviews: DataFrame, games: DataFrame, metrics: DataFrame, weights_: DataFrame, p: ScoringParams = ScoringParams()) -> DataFrame:
-    """Mean, median, trimmed, calibrated and weighted score of every item that has scores."""
-    scored = reviews.where("score is not null")
-    overall = scored.agg(F.avg("score").alias("gm"), F.stddev_pop("score").alias("gs"))
+    overall = counts.agg(_mean().alias("gm"), _std().alias("gs"))
     facts = metrics.select("source_id", "sample_count", "mean_score", "score_std").join(weight_maps(weights_), "source_id", "left")
     mean = F.when(F.coalesce("mean_score", F.lit(0.0)) == 0, F.col("gm")).otherwise(F.col("mean_score"))
     std = F.when(F.col("score_std") > 0, F.col("score_std")).otherwise(1.0)
     calibrated = F.when(F.col("sample_count") >= p.least_to_calibrate, clamp(F.col("gm") + (F.col("score") - mean) / std * F.col("gs"), 0.0, 100.0))
     rows = (
-        scored.join(games.select("game_id", "genres", "platforms"), "game_id").join(facts, "source_id", "left").join(F.broadcast(overall))
-        .select("game_id", "source_id", "score", weight_for(F.col("weights"), F.col("genres"), F.col("platforms")).alias("w"),
+        counts.join(games.select("game_id", "genres", "platforms"), "game_id").join(facts, "source_id", "left").join(F.broadcast(overall))
+        .select("game_id", "source_id", "score", "n", weight_for(F.col("weights"), F.col("genres"), F.col("platforms")).alias("w"),
                 F.coalesce(calibrated, clamp(F.col("score"), 0.0, 100.0)).alias("calibrated"))
     )
-    return (
-        rows.groupBy("game_id")
-        .agg(
-            F.count("*").alias("sample_count"), F.countDistinct("source_id").alias("source_count"), F.avg("score").alias("mean"),
-            F.avg("calibrated").alias("cal"),
-            F.sum(F.col("score") * F.col("w")).alias("ws"), F.sum("w").alias("wt"), F.stddev_pop("score").alias("std"),
-        )
-        .join(middle_scores(scored, p), "game_id")
-        .select(
-            "game_id", "sample_count", "source_count", F.round("mean", 4).alias("raw_average"), F.round("median", 4).alias("median_score"),
-            F.round("trimmed", 4).alias("trimmed_mean"), F.round(clamp(F.col("cal"), 0.0, 100.0), 4).alias("calibrated_score"),
-            F.round(F.when(F.col("wt") > 0, F.col("ws") / F.col("wt")).otherwise(F.col("mean")), 4).alias("weighted_score"), F.round("std", 4).alias("score_std"),
-        )
+    of = W.partitionBy("game_id")
+    upto = F.sum("n").over(of.orderBy("score").rowsBetween(W.unboundedPreceding, 0))
+    placed = rows.withColumns({"upto": upto, "of": F.sum("n").over(of)})
+    at = lambda k: F.min(F.when(F.col("upto") > k, F.col("score")))  # noqa: E731  the score at place k, from 0
+    cut = F.when(F.col("of") >= p.least_to_trim, F.floor(F.col("of") * p.trim_share)).otherwise(0)
+    kept = F.greatest(F.least("upto", F.col("of") - cut) - F.greatest(F.col("upto") - F.col("n"), cut), F.lit(0))
+    ws, wt = F.sum(F.col("score") * F.col("w") * F.col("n")), F.sum(F.col("w") * F.col("n"))
+    return placed.groupBy("game_id").agg(
+        F.sum("n").alias("sample_count"), F.countDistinct("source_id").alias("source_count"), F.round(_mean(), 4).alias("raw_average"),
+        F.round((at(F.floor((F.col("of") - 1) / 2)) + at(F.floor(F.col("of") / 2))) / 2, 4).alias("median_score"),
+        F.round(F.sum(F.col("score") * kept) / F.sum(kept), 4).alias("trimmed_mean"),
+        F.round(clamp(F.sum(F.col("calibrated") * F.col("n")) / F.sum("n"), 0.0, 100.0), 4).alias("calibrated_score"),
+        F.round(F.when(wt > 0, ws / wt).otherwise(_mean()), 4).alias("weighted_score"), F.round(_std(), 4).alias("score_std"),
     )
 
 

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.operators.scoring import coverage, snapshots, source_metrics, weights
+from tallyforge.operators.scoring import coverage, score_counts, snapshots, source_metrics, weights
 from tallyforge.params import RunOptions
 
 Tables = dict[str, DataFrame]
@@ -85,18 +85,18 @@ def with_version(existing: DataFrame | None, fresh: DataFrame, version: str) ->
 
 
 def _metrics(tables: Tables, o: RunOptions) -> Tables:
-    return {"source_metrics": with_version(tables.get("source_metrics"), source_metrics(tables["reviews"], tables["games"], o.scoring), o.scoring.version)}
+    return {"source_metrics": with_version(tables.get("source_metrics"), source_metrics(score_counts(tables["reviews"]), tables["games"], o.scoring), o.scoring.version)}
 
 
 def _weights(tables: Tables, o: RunOptions) -> Tables:
     metrics = of_version(tables["source_metrics"], o.scoring.version)
-    genres, platforms = (coverage(tables["reviews"], tables["games"], c) for c in ("genres", "platforms"))
-    return {"weights": with_version(tables.get("weights"), weights(metrics, genres, platforms, o.scoring), o.scoring.version)}
+    cover = coverage(score_counts(tables["reviews"]), tables["games"], "genres", "platforms")
+    return {"weights": with_version(tables.get("weights"), weights(metrics, cover, o.scoring), o.scoring.version)}
 
 
 def _snapshots(tables: Tables, o: RunOptions) -> Tables:
     metrics, own = (of_version(tables[t], o.scoring.version) for t in ("source_metrics", "weights"))
-    return {"score_snapshots": with_version(tables.get("score_snapshots"), snapshots(tables["reviews"], tables["games"], metrics, own, o.scoring), o.scoring.version)}
+    return {"score_snapshots": with_version(tables.get("score_snapshots"), snapshots(score_counts(tables["reviews"]), tables["games"], metrics, own, o.scoring), o.scoring.version)}
 
 
 #: Metrics, weights and scores, each computed once and read by what follows.

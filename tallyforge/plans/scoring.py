@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.scores import normalized
 from tallyforge.operators import scoring
+from tallyforge.operators.incremental import ScoreState
+from tallyforge.operators.runtime import scratch
 from tallyforge.plans.registry import query
 from tallyforge.sources import testbed as T
 from tallyforge.sources.testbed import GAMES, REVIEWS, with_
@@ -43,17 +45,21 @@ snapshots as (select game_id, count(*) as sample_count, count(distinct source_id
 BASE = (GAMES, REVIEWS, OVERALL, METRICS, COVER, WEIGHTS, SNAPSHOTS)
 
 
+def counts_of(spark, sf_dir):
+    return scoring.score_counts(T.reviews(spark, sf_dir))
+
+
 def metrics_of(spark, sf_dir):
-    return scoring.source_metrics(T.reviews(spark, sf_dir), T.games(spark, sf_dir))
+    return scoring.source_metrics(counts_of(spark, sf_dir), T.games(spark, sf_dir))
 
 
 def weights_of(spark, sf_dir):
-    reviews, games = T.reviews(spark, sf_dir), T.games(spark, sf_dir)
-    return scoring.weights(metrics_of(spark, sf_dir), scoring.coverage(reviews, games, "genres"), scoring.coverage(reviews, games, "platforms"))
+    return scoring.weights(metrics_of(spark, sf_dir), scoring.coverage(counts_of(spark, sf_dir), T.games(spark, sf_dir), "genres", "platforms"))
 
 
 def snapshots_of(spark, sf_dir):
-    return scoring.snapshots(T.reviews(spark, sf_dir), T.games(spark, sf_dir), metrics_of(spark, sf_dir), weights_of(spark, sf_dir))
+    """Each branch of the plan begins with the same counts, whose shuffle Spark makes once."""
+    return scoring.snapshots(counts_of(spark, sf_dir), T.games(spark, sf_dir), metrics_of(spark, sf_dir), weights_of(spark, sf_dir))
 
 
 _RAW = """raw as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, case l_orderkey % 9 when 0 then null when 1 then '  ' when 2 then ['A+','a','B-','f','F+','D'][1 + l_partkey % 6]
@@ -99,9 +105,8 @@ def q_src_metrics(spark, sf_dir):
 
 @query("q_coverage", with_(*BASE[:5], body="select source_id, 'genre' as kind, value, n from gcov union all select source_id, 'platform', value, n from pcov"))
 def q_coverage(spark, sf_dir):
-    reviews, games = T.reviews(spark, sf_dir), T.games(spark, sf_dir)
-    of = lambda column, kind: scoring.coverage(reviews, games, column).select("source_id", F.lit(kind).alias("kind"), "value", "n")
-    return of("genres", "genre").unionByName(of("platforms", "platform"))
+    out = scoring.coverage(counts_of(spark, sf_dir), T.games(spark, sf_dir), "genres", "platforms")
+    return out.withColumn("kind", F.when(F.col("kind") == "genres", "genre").otherwise("platform"))
 
 
 @query("q_weights", with_(*BASE[:6], body="select * from weights"))
@@ -114,6 +119,20 @@ def q_snapshots(spark, sf_dir):
     return snapshots_of(spark, sf_dir)
 
 
+@query("q_snapshots_kept", with_(*BASE, body="select * from snapshots"))
+def q_snapshots_kept(spark, sf_dir):
+    """Scores from counts that three batches of reviews have been added to, and one of them taken out and added again."""
+    reviews, games = T.reviews(spark, sf_dir), T.games(spark, sf_dir)
+    part = lambda k: reviews.where(F.pmod(F.xxhash64("review_id"), F.lit(3)) == k)
+    state = ScoreState.at(scratch(spark, "scores"), reviews, 8)
+    for k in range(3):
+        state.apply(part(k), note=("batches", k))
+    state.apply(part(2), note=("batches", 2))  # again, which changes nothing
+    state.apply(removed=part(1))
+    state.apply(part(1))
+    return state.snapshots(games)
+
+
 @query("q_distribution", with_(GAMES, REVIEWS, body="select game_id, language as value, 'language' as kind, count(*) as n from reviews group by 1, 2 union all select game_id, platform, 'platform', count(*) from reviews group by 1, 2"))
 def q_distribution(spark, sf_dir):
     reviews = T.reviews(spark, sf_dir)

@@ -1,11 +1,12 @@
-"""Incremental jobs: windowed totals of events, and snapshots that are merged batch by batch."""
+"""Incremental jobs: windowed totals of events, and rows that are merged into a bucketed table batch by batch."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.operators.tables import upsert
+from tallyforge.operators.store import BucketTable
+from tallyforge.operators.tables import newest
 
 
 def windowed(events: DataFrame, size: str = "1 hour", late: str = "2 hours") -> DataFrame:
@@ -15,13 +16,14 @@ def windowed(events: DataFrame, size: str = "1 hour", late: str = "2 hours") ->
     return w.agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
-def merge_batches(stream: DataFrame, path: str, key: list[str], order: str, checkpoint: str):
-    """A query that upserts each batch into the table at ``path``, by turns in two folders; a batch runs again safely."""
+def merge_batches(stream: DataFrame, table: BucketTable, order: str, checkpoint: str, name: str = "stream"):
+    """A query that merges each batch into ``table``: of the rows of a key the newest by ``order`` stays.
+
+    A batch reads and writes the buckets of its keys alone. The table notes the last batch of ``name``, so one that runs
+    again after a failure changes nothing, and a row that comes late doesn't replace a newer one.
+    """
 
     def apply(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        now, before = f"{path}/{epoch % 2}", f"{path}/{(epoch + 1) % 2}"
-        old = spark.read.schema(batch.schema).parquet(before) if epoch else batch.limit(0)
-        upsert(old, batch, key, order).write.mode("overwrite").parquet(now)
+        table.change(batch, lambda old, new: newest(old, new, table.key, order), (name, epoch))
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).start()

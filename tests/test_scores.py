@@ -3,8 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.functions.scores import band, discrimination_factor, half_up_1, normalized, relevance, sample_confidence
-from tallyforge.operators.scoring import middle_scores
-from tallyforge.params import ScoringParams
+from tallyforge.operators.scoring import coverage, score_counts, snapshots, source_metrics, weights
 
 CASES = [
     (None, 10.0, None, "empty_value"), ("  ", None, None, "empty_value"), ("A-", None, 87.0, "letter:A-"), (" b+ ", None, 83.0, "letter:B+"),
@@ -36,10 +35,50 @@ def test_factors(spark):
 
 @pytest.mark.parametrize("n", [1, 2, 7, 19, 20, 39, 40, 101])
 def test_middle_scores(spark, n):
+    """Median, trimmed mean and deviation from counts, against the whole lists."""
     r = np.random.default_rng(n)
-    rows = [(g, float(x)) for g in range(4) for x in r.integers(0, 5 if g % 2 else 100, n)]
-    got = {x.game_id: (x.median, x.trimmed) for x in middle_scores(spark.createDataFrame(rows, "game_id int, score double"), ScoringParams()).collect()}
+    rows = [(g, int(r.integers(3)), float(x)) for g in range(4) for x in r.integers(0, 5 if g % 2 else 100, n)] + [(0, 1, None)]
+    reviews = spark.createDataFrame(rows, "game_id int, source_id int, score double")
+    games = spark.createDataFrame([(g, ["a"], None) for g in range(5)], "game_id int, genres array<string>, platforms array<string>")
+    counts = score_counts(reviews)
+    metrics = source_metrics(counts, games)
+    got = {x.game_id: x for x in snapshots(counts, games, metrics, weights(metrics, coverage(counts, games, "genres", "platforms"))).collect()}
     for g in range(4):
-        own = sorted(x for k, x in rows if k == g)
+        own = sorted(x for k, _, x in rows if k == g and x is not None)
         cut = int(n * 0.05) if n >= 20 else 0
-        assert got[g] == (pytest.approx(np.median(own)), pytest.approx(np.mean(own[cut : n - cut])))
+        want = (n, np.mean(own), np.median(own), np.mean(own[cut : n - cut]), np.std(own))
+        assert (got[g].sample_count, got[g].raw_average, got[g].median_score, got[g].trimmed_mean, got[g].score_std) == pytest.approx(want, abs=1e-4)
+    assert len(got) == 4
+
+
+def test_no_reviews_and_equal_scores(spark):
+    games = spark.createDataFrame([(1, ["a"], ["p"])], "game_id int, genres array<string>, platforms array<string>")
+    reviews = spark.createDataFrame([(1, 1, 73.3)] * 3, "game_id int, source_id int, score double")
+    for rows, want in ((reviews.limit(0), []), (reviews, [(3, 73.3, 0.0)])):
+        counts = score_counts(rows)
+        metrics = source_metrics(counts, games)
+        out = snapshots(counts, games, metrics, weights(metrics, coverage(counts, games, "genres", "platforms")))
+        assert [(r.sample_count, r.weighted_score, r.score_std) for r in out.collect()] == want
+
+
+def test_scores_kept_up_to_date(spark, tmp_path):
+    """After each batch the stored counts give what a run over all reviews so far gives; few buckets are rewritten."""
+    from tallyforge.operators.incremental import ScoreState
+    from tallyforge.sources import testbed as T
+
+    sf = "/root/testdata/sf0.001"
+    reviews, games = T.reviews(spark, sf), T.games(spark, sf)
+    state = ScoreState.at(str(tmp_path / "s"), reviews, 16)
+    part = [reviews.where(c) for c in ("game_id % 3 = 0", "game_id % 3 <> 0 and game_id <> 5", "game_id = 5")]
+    touched, so_far = [], reviews.limit(0)
+    for k, batch in enumerate(part):
+        touched.append(state.apply(batch, note=("b", k)))
+        so_far = so_far.unionByName(batch)
+        counts = score_counts(so_far)
+        metrics = source_metrics(counts, games)
+        want = snapshots(counts, games, metrics, weights(metrics, coverage(counts, games, "genres", "platforms")))
+        assert sorted(map(tuple, state.snapshots(games).collect())) == sorted(map(tuple, want.collect()))
+    assert len(touched[-1]) == 1
+    state.apply(removed=reviews.where("game_id <> 5"))
+    assert {r.game_id for r in state.snapshots(games).collect()} == {5}
+    assert state.apply() == [] and state.apply(reviews.limit(0)) == []

@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.operators import publish as P
+from tallyforge.operators.store import BucketTable
+from tallyforge.operators.tables import newest
 from tallyforge.sources import files as S
 from tallyforge.streaming.events import merge_batches, windowed
 
@@ -99,7 +101,34 @@ def test_streams(spark, tmp_path):
     q.stop()
     assert spark.table("totals").agg(F.sum("n")).first()[0] == events.count()
     users = stream.select("user_id", "event_id", "value")
-    q = merge_batches(users, str(tmp_path / "merged"), ["user_id"], "event_id", str(tmp_path / "cp"))
+    table = BucketTable(spark, str(tmp_path / "merged"), users.schema, ["user_id"], 8)
+    q = merge_batches(users, table, "event_id", str(tmp_path / "cp"))
     q.processAllAvailable()
     q.stop()
-    assert spark.read.parquet(str(tmp_path / "merged/0")).count() == events.select("user_id").distinct().count()
+    last = {r.user_id: r.event_id for r in events.groupBy("user_id").agg(F.max("event_id").alias("event_id")).collect()}
+    assert {r.user_id: r.event_id for r in table.read().collect()} == last
+
+
+def test_repeated_and_late_batches(spark, tmp_path):
+    """A batch that runs again changes nothing, a late row doesn't replace a newer one, and few buckets are written."""
+    schema = "id long, at long, v string"
+    rows = lambda *r: spark.createDataFrame(list(r), schema)
+    table = BucketTable(spark, str(tmp_path / "t"), schema, ["id"], 16)
+    table.replace(spark.range(500).selectExpr("id", "0L as at", "'first' as v"))
+    before = table.manifest()
+    rule = lambda old, new: newest(old, new, ["id"], "at")
+    touched = table.change(rows((7, 5, "b"), (7, 4, "a"), (None, 1, "n")), rule, ("s", 0))
+    after = table.manifest()
+    assert 1 <= len(touched) <= 2 and {b for b in before["folders"] if before["folders"][b] != after["folders"][b]} == {str(b) for b in touched}
+    assert table.change(rows((7, 9, "x")), rule, ("s", 0)) == [] and table.manifest() == after
+    table.change(rows((7, 3, "late"), (8, 1, "new")), rule, ("s", 1))
+    assert {r.id: r.v for r in table.read().where("v <> 'first'").collect()} == {7: "b", 8: "new", None: "n"} and table.read().count() == 501
+    found = table.lookup(7)
+    assert [r.v for r in found.collect()] == ["b"] and len(found.inputFiles()) == 1
+    assert table.change(rows(), rule) == []
+    table.vacuum(1)
+    assert table.read().count() == 501 and len(list((tmp_path / "t" / "_manifests").glob("*.json"))) == 1
+    with pytest.raises(ValueError, match="doesn't touch"):
+        table.change(rows((7, 1, "x")), lambda old, new: table.read())
+    with pytest.raises(FileExistsError):
+        table._commit({"version": table.manifest()["version"] - 1}, {}, {})
