@@ -112,13 +112,13 @@ def _near(docs: DataFrame, bench: DataFrame, masks: list[tuple[int, str]]) -> Da
         bench.where(F.col("family") == of).select("item_id", "g", F.lit(len(mask)).alias("span"), F.posexplode(_seeds("g", mask, number)).alias("item_place", "seed"))
         for number, (of, mask) in enumerate(masks)
     ))
-    found = docs.select("doc_id", words("text").alias("h"))
+    found = docs.select("doc_id", F.xxhash64("text").alias("text"), words("text").alias("h"))
     # A row for each word, whose seeds are compiled expressions, and so are the join and the cut of the words around a
     # hit: the list of a document's words is read where it lies, and only what lies around hits is passed on. (An outer
     # explode, as an inner one would make the lists twice.)
-    rows = found.select("doc_id", "h", F.posexplode_outer("h").alias("place", "word"))
+    rows = found.select("doc_id", "text", "h", F.posexplode_outer("h").alias("place", "word"))
     made = F.array(*(_seed(mask, number) for number, (_, mask) in enumerate(masks)))
-    hits = rows.select("doc_id", "h", "place", F.explode(made).alias("seed")).where("seed is not null")
+    hits = rows.select("doc_id", "text", "h", "place", F.explode(made).alias("seed")).where("seed is not null")
     met = hits.join(F.broadcast(seeds), "seed")  # of a bounded size
     size = F.least(F.size("g"), F.lit(OVERLAP))
     lo = F.greatest(F.lit(0), F.least(F.col("item_place") + F.col("span"), F.size("g")) - size)
@@ -126,7 +126,7 @@ def _near(docs: DataFrame, bench: DataFrame, masks: list[tuple[int, str]]) -> Da
     shift = F.col("place") - F.col("item_place")
     first = F.greatest(lo + shift, F.lit(0))
     near = met.select(
-        "doc_id", "item_id", F.xxhash64("h").alias("text"), lo.alias("lo"), hi.alias("hi"), shift.alias("shift"), size.alias("overlap"),
+        "doc_id", "item_id", "text", lo.alias("lo"), hi.alias("hi"), shift.alias("shift"), size.alias("overlap"),
         first.alias("first"), F.slice("h", first + 1, hi + shift - first).alias("window"), F.xxhash64("g").alias("item"), "g",
     )
     # the hits of several masks at one place are one
