@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyforge.operators.runtime import checkpointed
+from tallyforge.operators.store import BucketTable
+
 RECENT = 20
 SHOWN_WEIGHTS = 10
 
@@ -100,29 +103,80 @@ def _bucket(key: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
-def write_files(frame: DataFrame, key: str, folder: str) -> None:
+PUBLISHED = "key string, digest string, json string"
+
+
+def published(spark: SparkSession, path: str, buckets: int = 64) -> BucketTable:
+    """The table under ``path`` that holds documents with their digests."""
+    return BucketTable(spark, path, PUBLISHED, ["key"], buckets)
+
+
+def document_changes(documents: DataFrame, before: DataFrame) -> DataFrame:
+    """(key, digest, json) of documents (key, json) that are new or other than ``before``; those that went have no json.
+
+    Null keys are no documents; of several documents of a key the largest counts.
+    """
+    now = documents.where("key is not null").groupBy("key").agg(F.max("json").alias("json")).withColumn("digest", F.md5("json"))
+    both = now.join(before.select("key", F.col("digest").alias("__old")), "key", "full_outer")
+    return both.where(~F.col("digest").eqNullSafe(F.col("__old"))).select("key", "digest", "json")
+
+
+def publish(documents: DataFrame, table: BucketTable) -> dict[str, int]:
+    """Makes ``table`` hold these documents (key, json) and no others; returns how many were written and removed.
+
+    Digests decide: only buckets with a document that is new, changed or gone are written, and readers see the old
+    documents or the new ones, never some of each. Without changes nothing is written.
+    """
+    changes = checkpointed(document_changes(documents, table.read()))
+    _apply(table, changes)
+    return _counts(changes)
+
+
+def _apply(table: BucketTable, changes: DataFrame) -> None:
+    table.change(changes, lambda old, new: old.join(new.select("key"), "key", "left_anti").select(new.columns).unionByName(new.where("json is not null")))
+
+
+def _counts(changes: DataFrame) -> dict[str, int]:
+    r = changes.agg(F.count("json").alias("written"), F.count_if(F.col("json").isNull()).alias("removed")).first()
+    return {"written": r.written, "removed": r.removed}
+
+
+def write_files(frame: DataFrame, key: str, folder: str, buckets: int = 64) -> dict[str, int]:
     """A file ``<key>.json`` for each row in a folder that all executors share; files of other keys are removed.
 
-    A file appears whole, by rename, so a task may run again. A key that is no plain file name is an error, so that
-    nothing outside the folder is written or removed.
+    Executors write the documents that changed since the last time, by the digests kept in ``<folder>/_published``, and
+    remove those that went; a second run without changes writes nothing. A file appears whole, by rename, and the digests
+    are noted last, so a run that died is done again. A key that is no plain file name is an error, so that nothing
+    outside the folder is written or removed. The folder is one of a store that pyarrow opens by its address, or a plain
+    path where the session is local; on a cluster a plain path would be each executor's own, and is refused.
     """
+    spark = frame.sparkSession
+    if "://" not in folder and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("give the address of a shared store, such as file:///mnt/shared/documents or hdfs://...")
     rows = as_documents(frame, key)
-    bad = rows.where(F.col("key").isNull() | ~F.col("key").rlike(r"^[A-Za-z0-9_-][A-Za-z0-9._-]*$")).limit(1).collect()
+    bad = rows.where(F.col("key").isNull() | ~F.col("key").rlike(r"^[A-Za-z0-9-][A-Za-z0-9._-]*$")).limit(1).collect()
     if bad:
         raise ValueError(f"not a file name: {bad[0].key!r}")
-    path = folder.removeprefix("file://")
-    os.makedirs(path, exist_ok=True)
+    state = published(spark, f"{folder.rstrip('/')}/_published", buckets)
+    changes = checkpointed(document_changes(rows, state.read()))
+    address = folder.rstrip("/") if "://" in folder else "file://" + os.path.abspath(folder)
 
     def put(part) -> None:
+        from pyarrow import fs
+
+        store, inner = fs.FileSystem.from_uri(address)
+        store.create_dir(inner, recursive=True)
         for row in part:
-            name = os.path.join(path, row.key + ".json")
+            name = f"{inner}/{row.key}.json"
+            if row.json is None:
+                if store.get_file_info(name).type != fs.FileType.NotFound:
+                    store.delete_file(name)
+                continue
             own = f"{name}.{uuid.uuid4().hex}"
-            with open(own, "w", encoding="utf-8") as f:
-                f.write(row.json)
-            os.replace(own, name)
+            with store.open_output_stream(own) as f:
+                f.write(row.json.encode())
+            store.move(own, name)
 
-    rows.foreachPartition(put)
-    spark = frame.sparkSession
-    present = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path).select(F.regexp_extract("path", r"([^/]+)\.json$", 1).alias("key"))
-    for row in present.join(rows.select("key"), "key", "left_anti").toLocalIterator():
-        os.remove(os.path.join(path, row.key + ".json"))
+    changes.select("key", "json").foreachPartition(put)
+    _apply(state, changes)
+    return _counts(changes)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from fractions import Fraction
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -61,21 +62,29 @@ def duplicate_edges(games: DataFrame) -> DataFrame:
 
 
 def groups(edges: DataFrame) -> DataFrame:
-    """(id, root) of every id in ``edges``: the smallest id that it is connected with.
+    """(id, root) of every id in ``edges`` (a, b): the smallest id that it is connected with.
 
-    Smallest neighbours are passed on until none changes; each round is a checkpoint in the shared folder.
+    Edges are turned into stars round by round: first the larger neighbours of every id hang on the smallest of it and
+    its neighbours, then every id and its smaller ones do. A chain of n ids takes about log n rounds, each a checkpoint in
+    the shared folder. Edges may repeat, and point either way; an id joined with itself alone is its own root; edges
+    with a null end are ignored. A hub's neighbours are met by partial minima and by joins that Spark may split.
     """
-    both = checkpointed(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    now = checkpointed(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("root")))
+    known = edges.where("a is not null and b is not null")
+    now = checkpointed(known.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    mark = None
     while True:
-        near = both.join(now, both.b == now.id).groupBy("a").agg(F.min("root").alias("near"))
-        step = now.join(near, now.id == near.a).select("id", F.least("root", "near").alias("root"))
-        # then jump: a root's own root
-        up = step.select(F.col("id").alias("root"), F.col("root").alias("up"))
-        after = checkpointed(step.join(up, "root", "left").select("id", F.least("root", F.coalesce("up", "root")).alias("root")))
-        if after.join(now, ["id", "root"], "left_anti").isEmpty():
-            return after
-        now = after
+        facts = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if facts == mark:
+            break
+        mark = facts
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hub = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
+        wide = both.where("b > a").join(hub, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+        low = wide.groupBy("a").agg(F.min("b").alias("low"))
+        moved = wide.join(low, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        now = checkpointed(moved.unionByName(low.select("a", F.col("low").alias("b"))).distinct())
+    ids = known.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    return ids.join(now.select(F.col("a").alias("id"), F.col("b").alias("root")), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
 
 
 def canonical(members: DataFrame, *order: Column) -> DataFrame:
@@ -175,12 +184,42 @@ def token_jaccard(left: DataFrame, right: DataFrame, least: float = 0.7, frequen
     return pairs.join(l_, "l").join(r, "r").select("l", "r", jaccard.alias("jaccard")).where(F.col("jaccard") >= least)
 
 
-def one_to_one(pairs: DataFrame) -> DataFrame:
-    """Greedy one-to-one choice: each left row, in order, takes its best right row that is still free.
+#: Pairs of a component up to which one task settles it.
+SETTLED_AT_ONCE = 100_000
 
-    Left rows whose best choice no earlier row wants are settled at once; what they take is removed, and the next round
-    begins. A round is a checkpoint; there are as many as the longest chain of rows that want one another's choices.
+
+def one_to_one(pairs: DataFrame, at_once: int = SETTLED_AT_ONCE) -> DataFrame:
+    """Greedy one-to-one choice: each left row (l, r, jaccard), in order, takes its best right row that is still free.
+
+    Rows that no chain of pairs connects don't matter to each other, so components are settled apart: those of up to
+    ``at_once`` pairs in one grouped step, however long their chains of wishes are, and only larger ones in rounds. Of
+    equally good right rows the smaller is taken; a pair that is repeated counts with its best similarity.
     """
+    pairs = checkpointed(pairs.groupBy("l", "r").agg(F.max("jaccard").alias("jaccard")))
+    node = lambda side: F.concat(F.lit(side), F.col(side).cast("string"))
+    root = groups(pairs.select(node("l").alias("a"), node("r").alias("b")))
+    placed = pairs.withColumn("id", node("l")).join(root, "id").drop("id")
+    size = placed.groupBy("root").agg(F.count("*").alias("n"))
+    placed = checkpointed(placed.join(size, "root"))
+
+    def settle(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["l", "jaccard", "r"], ascending=[True, False, True], kind="stable")
+        free, kept, last = set(frame["r"]), [], None
+        for k, (left, right) in enumerate(zip(frame["l"], frame["r"])):
+            if left != last and right in free:
+                kept.append(k)
+                free.discard(right)
+                last = left
+        return frame.iloc[kept][["l", "r", "jaccard"]]
+
+    small = placed.where(F.col("n") <= at_once).drop("n").groupBy("root").applyInPandas(settle, pairs.schema)
+    large = placed.where(F.col("n") > at_once).select("l", "r", "jaccard")
+    return small.unionByName(_in_rounds(large))
+
+
+def _in_rounds(pairs: DataFrame) -> DataFrame:
+    """The same in rounds: left rows whose best choice no earlier row wants are settled, what they take is removed, and
+    the next round begins. A round is a checkpoint; there are as many as the longest chain of wishes."""
     open_, taken = checkpointed(pairs), None
     while not open_.isEmpty():
         best = first_of_each(open_, ["l"], F.desc("jaccard"), F.asc("r"))
@@ -193,6 +232,29 @@ def one_to_one(pairs: DataFrame) -> DataFrame:
     return taken if taken is not None else pairs
 
 
+def two_passes(rows: DataFrame, keys: Column, games: DataFrame, index: DataFrame, words: Column, game_words: Column, least: float = 0.7) -> DataFrame:
+    """(row_id, game_id, method) of a catalog (row_id, line_no, ...): by keys, then what is left by words.
+
+    The second pass reads the catalog again only if items are left, and of it only rows that share a word with one of
+    them (a semi join, before anything is paired) and found nothing before. An item takes one row and a row one item, in
+    the order of lines. ``words`` and ``game_words`` are arrays of rows and of items.
+    """
+    first = checkpointed(ordered_lookup(rows, keys, index).select("row_id", "game_id", "method"))
+    left = checkpointed(games.join(first.select("game_id"), "game_id", "left_anti").select(F.col("game_id").alias("id"), game_words.alias("tokens")).where(F.size("tokens") > 0))
+    if left.isEmpty():
+        return first
+    wanted = left.select(F.explode("tokens").alias("word")).distinct()
+    again = rows.join(first.select("row_id"), "row_id", "left_anti").select("row_id", "line_no", words.alias("tokens"))
+    hit = again.select("row_id", F.explode("tokens").alias("word")).join(wanted, "word", "left_semi").select("row_id").distinct()
+    asked = checkpointed(again.join(hit, "row_id", "left_semi"))
+    order = F.struct("line_no", "row_id")
+    near = token_jaccard(asked.select(order.alias("id"), "tokens"), left, least)
+    numbered = near.select("l", "r", "jaccard").withColumn("row_id", F.col("l.row_id")).withColumn("l", F.format_string("%020d %s", F.col("l.line_no"), F.col("l.row_id").cast("string")))
+    settled = one_to_one(numbered.select("l", "r", "jaccard"))
+    second = settled.join(numbered.select("l", "row_id").distinct(), "l").select("row_id", F.col("r").alias("game_id"), F.lit("words").alias("method"))
+    return first.unionByName(second)
+
+
 def near_titles(x: DataFrame, y: DataFrame, above: float, *shared: str) -> DataFrame:
     """(x, y) of different titles, of rows (x, *shared) and (y, *shared) that share those columns, that may be alike.
 

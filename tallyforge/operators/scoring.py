@@ -97,7 +97,8 @@ def weight_maps(weights_: DataFrame) -> DataFrame:
 
 
 def weight_for(weights_: Column, genres: Column, platforms: Column) -> Column:
-    """The first of these that the source has: genre and platform, genre, platform, neither; else 1."""
+    """The first of these that the source has: genre and platform, genre, platform, neither; else 1. A null list is empty."""
+    genres, platforms = (F.coalesce(c, F.array().cast("array<string>")) for c in (genres, platforms))
     pairs = F.flatten(F.transform(genres, lambda g: F.transform(platforms, lambda p: F.concat_ws("|", g, p))))
     keys = F.concat(pairs, F.transform(genres, lambda g: F.concat(g, F.lit("|"))), F.transform(platforms, lambda p: F.concat(F.lit("|"), p)), F.array(F.lit("|")))
     found = F.filter(F.transform(keys, lambda k: F.try_element_at(weights_, k)), lambda w: w.isNotNull())

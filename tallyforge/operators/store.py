@@ -66,6 +66,8 @@ class BucketTable:
             return []
         batch = checkpointed(batch)
         touched = sorted(r[0] for r in batch.select(self.bucket()).distinct().collect())  # as many as there are buckets
+        if not touched and note is None:
+            return []
         fresh = self._write(rule(self.read(touched, now), batch), touched) if touched else {}
         folders = {b: f for b, f in now["folders"].items() if int(b) not in touched} | fresh
         self._commit(now, folders, {**now["notes"], **({note[0]: note[1]} if note else {})})

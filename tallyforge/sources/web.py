@@ -23,6 +23,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tallyforge.operators.runtime import checkpointed, file_names, scratch
 from tallyforge.operators.tables import first_of_each
+from tallyforge.params import BackfillOptions
 
 Get = Callable[[str], tuple[int, str | None, str | None]]
 RESPONSES = "url string, status int, body string"
@@ -204,6 +205,20 @@ def crawl(listings: DataFrame, ask: Ask, parse: Callable[[DataFrame], DataFrame]
     return spark.read.schema(kinds).parquet(f"{folder}/*")
 
 
+def year_listings(spark: SparkSession, host: str, o: BackfillOptions, ask: Ask, parse, url) -> DataFrame:
+    """The items that a provider lists of each of the options' years, by ``crawl``: up to ``most_pages`` and ``most_items``."""
+    years = spark.createDataFrame([(y, f"{host}/{y}") for y in dict.fromkeys(o.years)], "listing int, base string").withColumn("expected", F.lit(None).cast("long"))
+    return crawl(years, ask, parse, url, o.most_pages, o.most_items)
+
+
+def review_listings(found: DataFrame, o: BackfillOptions, ask: Ask, parse, url, size: int = 20) -> DataFrame:
+    """The reviews of items (listing, base, listed) by ``crawl``: as many pages as their number needs and one more, or
+    ``most_review_pages`` where that is less."""
+    need = F.greatest(F.lit(1), (F.ceil(F.coalesce("listed", F.lit(0)) / size) + 1).cast("int"))
+    cap = need if o.most_review_pages is None else F.least(need, F.lit(o.most_review_pages))
+    return crawl(found.select("listing", "base", F.lit(None).cast("long").alias("expected"), "listed"), ask, parse, url, cap)
+
+
 def first_accepted(targets: DataFrame, candidates: str, ask: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``targets`` with (place, candidate): the first of their candidates, an array column, that is accepted.
 

@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyforge import pipeline as P
+from tallyforge import steps as S
 from tallyforge.operators import provider as V
-from tallyforge.params import BackfillOptions, RunOptions, ScoringParams
+from tallyforge.params import BackfillOptions, RepairOptions, RunOptions, ScoringParams
 from tallyforge.plans.scoring import snapshots_of
 from tallyforge.sources import testbed as T
 
@@ -17,13 +18,13 @@ def tables(spark):
 
 
 def test_scoring_steps_give_what_the_query_gives(spark, tmp_path):
-    run = P.Pipeline(P.SCORING, str(tmp_path / "run"))
+    run = P.Pipeline(S.SCORING, str(tmp_path / "run"))
     out = run.run(spark, tables(spark))
-    assert run.done == ["metrics", "weights", "scores"]
+    assert run.done == ["counts", "metrics", "weights", "scores"]
     got = {r.game_id: tuple(r) for r in P.of_version(out["score_snapshots"], "v1").collect()}
     assert got == {r.game_id: tuple(r) for r in snapshots_of(spark, SF).collect()}
     # another version stands beside it, the same one takes its place
-    again = P.Pipeline(P.SCORING, str(tmp_path / "again")).run(spark, out, RunOptions(scoring=ScoringParams(version="v2", least_per_source=10**9)))
+    again = P.Pipeline(S.SCORING, str(tmp_path / "again")).run(spark, out, RunOptions(scoring=ScoringParams(version="v2", least_per_source=10**9)))
     assert {r.version: r["count"] for r in again["score_snapshots"].groupBy("version").count().collect()} == {"v1": len(got), "v2": len(got)}
     assert again["source_metrics"].where("version = 'v2'").count() == 0
     with pytest.raises(ValueError, match="not a version"):
@@ -52,3 +53,101 @@ def test_writes_on_empty_tables_and_null_keys(spark):
     assert (t["game_identity"].count(), t["external_baseline"].count(), t["reviews"].count()) == (2, 2, 1)
     assert V.replace_reviews(t["reviews"], t["reviews"].limit(0), ("web",)).count() == 1
     assert {k: f.count() for k, f in V.purge({**t, "games": t["games"]}, "web").items()} == {"reviews": 0, "external_baseline": 0, "game_identity": 0, "games": 1}
+
+
+RAW = "ID int, Game string, Website string, Review string, Score string"
+
+
+def raw(spark):
+    """Raw reviews of a few items, two of them the same under another name."""
+    rows = [(k, g, w, f"text {k}", s) for k, (g, w, s) in enumerate([
+        ("Prey", "IGN.com", "80"), ("Prey", "https://www.gamespot/", " 90 "), ("Prey (PS4)", "ign", "70"), ("Prey (2017)", "Own", "60"), ("Halo & Co", "IGN", "tbd"), ("Halo & Co", "IGN", "50"), (None, "IGN", "1"),
+    ])]
+    dates = spark.createDataFrame([("Prey", "2006-07-11")], "Game string, release_date string")
+    catalog = spark.createDataFrame([(1, None, "Halo and Co", None, None, "about", ["Maker"], [], ["RPG"], ["PC", "Xbox"])],
+        "line_no long, slug string, name string, released string, metacritic_url string, description_raw string, developers array<string>, publishers array<string>, genres array<string>, parent_platforms array<string>")
+    return {"raw_reviews": spark.createDataFrame(rows, RAW), "raw_dates": dates, "catalog": catalog}
+
+
+def test_a_whole_run(spark, tmp_path):
+    run = P.Pipeline(S.WHOLE, str(tmp_path))
+    out = run.run(spark, raw(spark), RunOptions(rebuild=True, include=frozenset({"catalog"})))
+    games = {r.title: r for r in out["games"].collect()}
+    assert set(games) == {"Prey", "Prey (2017)", "Halo & Co"}  # the plain and the tagged one are of different years
+    halo = games["Halo & Co"]
+    assert (halo.developer, halo.genres, halo.platforms, halo.description) == ("Maker", ["RPG"], ["PC", "Xbox"], "about")
+    assert {(r.review_id, r.platform) for r in out["reviews"].collect()} == {("mc-rev-0", None), ("mc-rev-1", None), ("mc-rev-2", None), ("mc-rev-3", None), ("mc-rev-5", "PC|Xbox")}
+    scores = {r.game_id: (r.sample_count, r.raw_average) for r in P.of_version(out["score_snapshots"], "v1").collect()}
+    assert scores == {games["Prey"].game_id: (3, 80.0), games["Prey (2017)"].game_id: (1, 60.0), halo.game_id: (1, 50.0)}
+    assert {r.name for r in out["sources"].collect()} == {"IGN", "GameSpot", "Own"}
+    assert out["item_documents"].count() == 3 and out["source_documents"].count() == 3
+    # the next run reads what this one left, and changes nothing
+    again = run.run(spark, {**run.current(spark), **raw(spark)}, RunOptions(include=frozenset({"catalog"})))
+    rows = lambda f: sorted(map(str, f.collect()))
+    for name in ("games", "reviews", "sources", "game_identity", "external_baseline", "score_snapshots", "item_documents"):
+        assert rows(again[name]) == rows(out[name]), name
+    assert "item_documents" not in P.Pipeline(S.WHOLE, str(tmp_path / "b")).run(spark, raw(spark), RunOptions(rebuild=True, publish=False))
+
+
+def test_a_run_goes_on_after_a_failure(spark, tmp_path):
+    calls, broken = [], [True]
+
+    def step(name, fail=False):
+        def run(t, o):
+            calls.append(name)
+            if fail and broken:
+                raise RuntimeError("lost")
+            return {name: t["start"].withColumn("by", F.lit(name))}
+
+        return P.Step(name, run, ("start",), (name,))
+
+    start = {"start": spark.range(3)}
+    run = P.Pipeline([step("a"), step("b", fail=True), step("c")], str(tmp_path))
+    with pytest.raises(RuntimeError, match="lost"):
+        run.run(spark, start, run_id="r1")
+    assert run.current(spark) == {}  # half a run is none
+    broken.clear()
+    out = run.run(spark, start, run_id="r1")
+    assert calls == ["a", "b", "b", "c"] and run.done == ["b", "c"] and out["a"].count() == 3
+    assert set(run.current(spark)) == {"a", "b", "c"}
+    with pytest.raises(ValueError, match="other steps or options"):
+        run.run(spark, start, RunOptions(publish=False), run_id="r1")
+    with pytest.raises(ValueError, match="lacks"):
+        run.run(spark, {})
+    with pytest.raises(ValueError, match="declare"):
+        P.Pipeline([P.Step("x", lambda t, o: {"y": t["start"]}, ("start",), ("z",))], str(tmp_path / "x")).run(spark, start)
+
+
+def test_backfill_and_repair_obey_their_options(spark, tmp_path):
+    before = P.Pipeline(S.WHOLE, str(tmp_path)).run(spark, raw(spark), RunOptions(rebuild=True))
+    ids = {r.title: r.game_id for r in before["games"].collect()}
+    at = F.timestamp_seconds(F.lit(9))
+    listings = spark.createDataFrame([(1, "e1", "Prey", 2006, 40, 81.0, "prey", "u1"), (2, "e2", "Halo & Co", 2001, 30, 70.0, "halo", "u2"), (3, "e3", "Unknown", 2006, 90, 1.0, "x", "u3")],
+        "row_id long, external_id string, title string, release_year int, listed long, listed_score double, slug string, url string").withColumn("collected_at", at)
+    reviews = spark.createDataFrame([("e1", "Edge", "q1", 55.0, None), ("e2", "Edge", "q2", 66.0, None), ("e2", "Edge", "q3", None, None)], "external_id string, outlet string, external_review_id string, score double, review_date date")
+    products = spark.createDataFrame([("prey", "p1", "Prey", 2007, 60, 82.0, "u")], "slug string, external_id string, product_title string, product_year int, listed long, listed_score double, url string").withColumn("collected_at", at)
+    own = spark.createDataFrame([("prey", f"O{k}", f"z{k}", 77.0, None) for k in range(5)], "slug string, outlet string, external_review_id string, score double, review_date date")
+    tables = {**before, "listings": listings, "listing_reviews": reviews, "products": products, "product_reviews": own}
+
+    def backfill(**options):
+        out = S.backfilled(tables, RunOptions(backfill=BackfillOptions(**{"least_listed": 5, **options})))
+        return {r.row_id: r.reason for r in out["backfill_reasons"].collect()}, {r.review_id for r in out["reviews"].where("data_source = 'web'").collect()} if "reviews" in out else None
+
+    assert backfill() == ({1: "selected", 2: "selected", 3: "unmatched"}, None)
+    assert backfill(write=True, list_only=True)[1] is None
+    said, written = backfill(write=True, years=(2006,))
+    assert said == {1: "selected", 3: "unmatched"} and len(written) == 1
+    assert backfill(most_items=1)[0] == {2: "selected", 3: "unmatched"}
+    assert backfill(most_existing=2)[0] == {1: "existing_above_cap", 2: "selected", 3: "unmatched"}
+    assert backfill(target_samples=frozenset({3}))[0] == {1: "selected", 2: "not_target_sample", 3: "unmatched"}
+    assert backfill(missing_only=True, write=True)[0] == {1: "selected", 2: "selected", 3: "unmatched"}
+
+    def repair(**options):
+        return S.repaired(tables, RunOptions(repair=RepairOptions(**{"sample_counts": frozenset(), **options})))
+
+    assert {r.slug: r.reason for r in repair()["repair_verdicts"].where("accepted").collect()} == {"prey": "title_year"}
+    assert repair(year_tolerance=0)["repair_verdicts"].where("accepted").count() == 0 and set(repair(write=True, list_only=True)) == {"repair_verdicts"}
+    out = repair(write=True)["reviews"]
+    assert {r.data_source: r.n for r in out.where(F.col("game_id") == ids["Prey"]).groupBy("data_source").agg(F.count("*").alias("n")).collect()} == {"web": 5}
+    assert repair(write=True, least_listed=61)["reviews"].where("data_source = 'web'").count() == 0
+    assert "reviews" not in repair(write=True, metadata=True)

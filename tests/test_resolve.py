@@ -46,6 +46,65 @@ def test_groups_are_transitive(spark):
     assert {r.id: r.root for r in R.groups(edges).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 8: 8, 9: 8, 20: 20, 21: 20, 22: 20, 23: 20, 24: 20}
 
 
+def test_groups_of_long_chains_and_hubs(spark, monkeypatch):
+    """A chain takes a number of rounds that grows with the logarithm of its length."""
+    rounds = []
+    whole = R.checkpointed
+    monkeypatch.setattr(R, "checkpointed", lambda f: rounds.append(1) or whole(f))
+    chain = [(i, i + 1) for i in range(1000, 1300)]
+    hub = [(1, 5000 + i) for i in range(400)] + [(7, 7), (None, 3)]
+    got = {r.id: r.root for r in R.groups(spark.createDataFrame(chain + hub, "a long, b long")).collect()}
+    assert got == {**{i: 1000 for i in range(1000, 1301)}, 1: 1, **{5000 + i: 1 for i in range(400)}, 7: 7} and len(rounds) <= 14
+    assert R.groups(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def greedy(pairs):
+    free, want = {r for _, r, _ in pairs}, {}
+    for left in sorted({p[0] for p in pairs}):
+        mine = sorted((-j, r) for x, r, j in pairs if x == left and r in free)
+        if mine:
+            want[left] = mine[0][1]
+            free.remove(mine[0][1])
+    return want
+
+
+def test_one_to_one_of_chains(spark):
+    """A chain of wishes is settled in one step; larger components than one step takes, in rounds, come to the same."""
+    chain = [(k, k, 0.8) for k in range(60)] + [(k, k - 1, 0.9) for k in range(1, 60)] + [(100, 200, 0.7), (100, 200, 0.9), (101, 200, 1.0)]
+    frame = spark.createDataFrame(chain, "l long, r long, jaccard double")
+    assert {x.l: x.r for x in R.one_to_one(frame).collect()} == greedy(chain)
+    short = [p for p in chain if p[0] < 6 or p[0] >= 100]
+    assert {x.l: x.r for x in R.one_to_one(spark.createDataFrame(short, "l long, r long, jaccard double"), 2).collect()} == greedy(short)
+    assert R.one_to_one(frame.limit(0)).count() == 0
+
+
+def test_two_passes_of_a_catalog(spark):
+    r = np.random.default_rng(3)
+    words = [f"w{k}" for k in range(12)]
+    title = lambda: " ".join(r.choice(words, r.integers(2, 6), replace=False))
+    games, rows = [(i, title()) for i in range(25)], [(100 + i, i, title()) for i in range(60)]
+    g = spark.createDataFrame(games, "game_id long, title string").withColumn("release_year", F.lit(None).cast("int"))
+    c = spark.createDataFrame(rows, "row_id long, line_no long, name string")
+    none = F.lit(None).cast("string")
+    keys = R.catalog_keys(F.col("name"), none, none, none)
+    got = R.two_passes(c, keys, g, R.catalog_index(g), F.split("name", " "), F.split("title", " "))
+    index, first, taken = {t: i for i, t in games}, {}, set()
+    for row, _, name in rows:
+        if name in index and index[name] not in taken:
+            first[row] = index[name]
+            taken.add(index[name])
+    pairs = []
+    for row, line, name in rows:
+        for i, t in games:
+            a, b = set(name.split()), set(t.split())
+            if row not in first and i not in taken and min(len(a), len(b)) >= 0.7 * max(len(a), len(b)) and len(a & b) / len(a | b) >= 0.7:
+                pairs.append((row, i, len(a & b) / len(a | b)))
+    second = greedy(pairs)
+    assert {x.row_id: (x.game_id, x.method == "words") for x in got.collect()} == {**{k: (v, False) for k, v in first.items()}, **{k: (v, True) for k, v in second.items()}} and second
+    every = g.where(F.col("game_id").isin(list(taken)))
+    assert {x.row_id for x in R.two_passes(c, keys, every, R.catalog_index(every), F.split("name", " "), F.split("title", " ")).collect()} == set(first)
+
+
 def test_one_to_one_is_the_greedy_choice(spark):
     r = np.random.default_rng(4)
     pairs = sorted({(int(a), int(b)): float(r.integers(70, 100)) / 100 for a, b in r.integers(0, 25, (160, 2))}.items())

@@ -76,9 +76,12 @@ def test_catalog_lines_in_order_over_files(spark, tmp_path):
 
 def test_document_for_each_key(spark, tmp_path):
     frame = spark.createDataFrame([(1, "é"), (2, None), (3, "x")], "id int, t string")
-    P.write_files(frame, "id", str(tmp_path / "docs"))
-    P.write_files(frame.where("id <> 2"), "id", str(tmp_path / "docs"))
-    assert sorted(f.name for f in (tmp_path / "docs").iterdir()) == ["1.json", "3.json"]
+    write = lambda f: P.write_files(f, "id", str(tmp_path / "docs"), 4)
+    assert write(frame) == {"written": 3, "removed": 0} and write(frame) == {"written": 0, "removed": 0}
+    stamp = (tmp_path / "docs" / "1.json").stat().st_mtime_ns
+    assert write(frame.where("id <> 2").withColumn("t", F.when(F.col("id") == 3, "y").otherwise(F.col("t")))) == {"written": 1, "removed": 1}
+    assert sorted(f.name for f in (tmp_path / "docs").glob("*.json*")) == ["1.json", "3.json"] and (tmp_path / "docs" / "1.json").stat().st_mtime_ns == stamp
+    assert (tmp_path / "docs" / "3.json").read_text() == '{"id":3,"t":"y"}'
     assert (tmp_path / "docs" / "1.json").read_text(encoding="utf-8") == '{"id":1,"t":"é"}'
     with pytest.raises(Exception, match="not a file name"):
         P.write_files(frame.withColumn("id", F.lit("../x")), "id", str(tmp_path / "docs"))
@@ -87,6 +90,20 @@ def test_document_for_each_key(spark, tmp_path):
     assert P.read_document(spark, str(tmp_path / "table"), "9", 4).count() == 0
 
 
+def test_publication_writes_what_changed(spark, tmp_path):
+    docs = lambda *rows: spark.createDataFrame(list(rows), "key string, json string")
+    table = P.published(spark, str(tmp_path / "p"), 8)
+    assert P.publish(docs(*((str(k), f"v{k}") for k in range(40)), (None, "x"), ("7", "a")), table) == {"written": 40, "removed": 0}
+    first = table.manifest()
+    same = docs(*((str(k), f"v{k}") for k in range(40)))
+    assert P.publish(same, table) == {"written": 0, "removed": 0} and table.manifest() == first
+    assert P.publish(docs(*((str(k), f"v{k}") for k in range(1, 40)), ("new", "n")), table) == {"written": 1, "removed": 1}
+    assert {r.key: r.json for r in table.read().collect()} == {**{str(k): f"v{k}" for k in range(1, 40)}, "new": "n"}
+    moved = [b for b, f in table.manifest()["folders"].items() if first["folders"].get(b) != f]
+    assert len(moved) <= 2 and [r.json for r in table.lookup("new").collect()] == ["n"]
+    assert P.publish(docs(), table) == {"written": 0, "removed": 40} and table.read().count() == 0
+
+
 def test_documents(spark, tmp_path):
     P.write_documents(spark.createDataFrame([(1, "é", None)], "id int, t string, x int"), "id", str(tmp_path / "out"))
     assert spark.read.text(str(tmp_path / "out")).first().value == '{"id":1,"t":"é","x":null}'
