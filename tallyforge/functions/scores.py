@@ -86,14 +86,27 @@ def top_band(score: Column) -> Column:
     return F.when(score >= 95, "legend").when(score >= 90, "classic").when(score >= 80, "strong").when(score.isNotNull(), "listed")
 
 
+def one_decimal(x: Column) -> Column:
+    """A number with one decimal, rounded by its exact binary value, exact halves away from zero; null of null.
+
+    Ten times the number is eight and two times it, both exact; what their sum lost decides where it looks like a half.
+    """
+    size = F.abs(x)
+    ten = size * 8 + size * 2
+    lost = size * 2 - (ten - size * 8)
+    over = ten - F.floor(ten)
+    n = F.floor(ten) + F.when((over > 0.5) | ((over == 0.5) & (lost >= 0)), 1).otherwise(0)
+    return F.concat(F.when(x < 0, "-").otherwise(""), F.floor(n / 10).cast("string"), F.lit("."), (n % 10).cast("string"))
+
+
 def score_text(score: Column) -> Column:
     """One decimal, or N/A."""
-    return F.coalesce(F.format_string("%.1f", score), F.lit("N/A"))
+    return F.coalesce(one_decimal(score), F.lit("N/A"))
 
 
 def signed_text(x: Column) -> Column:
     """One decimal, with its sign."""
-    return F.format_string("%+.1f", x)
+    return F.concat(F.when(x < 0, "").otherwise("+"), one_decimal(x))
 
 
 def share_of(count: Column, total: Column) -> Column:

@@ -214,6 +214,17 @@ def cut_off(t: Column, most: int, dots: bool = False) -> Column:
     return F.when(F.length(clean) <= most, clean).otherwise(F.concat(F.substring(clean, 1, most - 1), F.lit("...")) if dots else F.substring(clean, 1, most))
 
 
+def shown_summary(t: Column, most: int = 100) -> Column:
+    """A text as lists show it: its first ``most`` characters and three dots where it is longer."""
+    return F.when(F.length(t) > most, F.concat(F.substring(t, 1, most), F.lit("..."))).otherwise(t)
+
+
+def entry_names(entries: Column) -> Column:
+    """The names of a list of structs (name, shortName): the short one where there is no other; blanks and nulls go."""
+    name = lambda e: F.coalesce(F.nullif(F.trim(e["name"]), F.lit("")), F.trim(e["shortName"]))
+    return F.filter(F.transform(entries, name), lambda n: n.isNotNull() & (n != ""))
+
+
 def listed(t: Column) -> Column:
     """A list from JSON text, or from text parted by ``|``; blanks go."""
     parsed = F.coalesce(F.from_json(t, "array<string>"), F.split(_text(t), r"\|"))
@@ -260,8 +271,8 @@ def title_categories(title: Column, slug_: Column) -> Column:
     norm, words = title_enrich(title, ampersand=False), F.replace(_text(slug_), F.lit("-"), F.lit(" "))
     roman = CATEGORIES["roman_numeral_in_title"]
     marks = [F.when((title.rlike(p) | words.rlike(p)) if name.startswith("roman") else title.rlike(p), F.lit(name)) for name, p in CATEGORIES.items()]
-    crossed = (title.rlike(roman) & words.rlike(r"\b\d+\b")) | (title.rlike(r"\b\d+\b") & words.rlike(roman))
-    marks.append(F.when((norm != "") & (words != "") & (norm != words) & crossed, F.lit("roman_vs_arabic_numeral_mismatch")))
+    crossed = (title.rlike(roman) & words.rlike(r"\b\d+\b"), title.rlike(r"\b\d+\b") & words.rlike(roman))
+    marks += [F.when((norm != "") & (words != "") & (norm != words) & c, F.lit("roman_vs_arabic_numeral_mismatch")) for c in crossed]
     n = F.size(F.filter(F.split(norm, " "), lambda w: w != ""))
     marks.append(F.when(n <= 1, "very_short_title_1_word").when(n <= 2, "short_title_2_words"))
     found = F.array_compact(F.array(*marks))

@@ -86,6 +86,16 @@ def with_awards(top: DataFrame, matched: DataFrame, awards: DataFrame) -> DataFr
     return top.join(won, "game_id", "left").withColumn("shows", F.coalesce("shows", F.array().cast("array<string>")))
 
 
+def award_rows(years: DataFrame) -> DataFrame:
+    """(year, show, role, title) of nested years (year, awards array<struct<show,winner,nominees>>): winners and nominees.
+
+    Null and empty titles and lists give no rows.
+    """
+    a = years.select("year", F.explode("awards").alias("a")).select("year", "a.show", "a.winner", "a.nominees")
+    role = lambda name, title: a.select("year", "show", F.lit(name).alias("role"), title.alias("title"))
+    return role("winner", F.col("winner")).unionByName(role("nominee", F.explode("nominees"))).where("title is not null and title <> ''")
+
+
 def award_titles(*columns: DataFrame) -> DataFrame:
     """(title) of all awards, winners and nominees, each once, in order."""
     out = columns[0].toDF("title")

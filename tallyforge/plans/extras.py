@@ -142,16 +142,48 @@ def q_listed_items(spark, sf_dir):
     return g.where(F.col("genres").isNotNull() | F.col("platforms").isNotNull()).select("game_id", F.slice("genres", 1, 2).alias("shown"))
 
 
-@query("q_shown_scores", with_(*BASE, body="""select game_id, case when weighted_score >= 95 then 'legend' when weighted_score >= 90 then 'classic' when weighted_score >= 80 then 'strong' when weighted_score is not null then 'listed' end as band, case when score_std = 0 then 'N/A' else 'shown' end as said,
- case when raw_average >= 50 then '+' else '-' end as sign, least(100.0, 100.0 * source_count / sample_count) as share from snapshots"""))
+# one decimal as a browser writes it: exact halves, which are odd quarters, away from zero
+_ONE = "case when abs({x}) * 4 % 2 = 1 then printf('%.1f', sign({x}) * floor(abs({x}) * 10 + 0.5) / 10) else printf('%.1f', {x}) end"
+
+
+@query("q_shown_scores", with_(*BASE, body=f"""select game_id, case when weighted_score >= 95 then 'legend' when weighted_score >= 90 then 'classic' when weighted_score >= 80 then 'strong' when weighted_score is not null then 'listed' end as band,
+  case when score_std > 0 then {_ONE.format(x="median_score")} else 'N/A' end as said, case when raw_average < 50.25 then '' else '+' end || {_ONE.format(x="(raw_average - 50.25)")} as sign,
+  least(100.0, 100.0 * source_count / sample_count) as share from snapshots"""))
 def q_shown_scores(spark, sf_dir):
-    w = F.col("weighted_score")
     return snapshots_of(spark, sf_dir).select(
-        "game_id", S.top_band(w).alias("band"), F.when(S.score_text(F.when(F.col("score_std") > 0, w)) == "N/A", "N/A").otherwise("shown").alias("said"),
-        F.substring(S.signed_text(F.when(F.col("raw_average") >= 50, F.lit(1.0)).otherwise(-1.0)), 1, 1).alias("sign"), S.share_of(F.col("source_count"), F.col("sample_count")).alias("share"),
+        "game_id", S.top_band(F.col("weighted_score")).alias("band"), S.score_text(F.when(F.col("score_std") > 0, F.col("median_score"))).alias("said"),
+        S.signed_text(F.col("raw_average") - 50.25).alias("sign"), S.share_of(F.col("source_count"), F.col("sample_count")).alias("share"),
     )
 
 
+@query("q_shown_summaries", "select doc_id, case when length(text) > 100 then substr(text, 1, 100) || '...' else text end as shown from documents")
+def q_shown_summaries(spark, sf_dir):
+    return T.table(spark, sf_dir, "documents").select("doc_id", X.shown_summary(F.col("text")).alias("shown"))
+
+
+@query("q_entry_names", """select p_partkey, list_filter([case p_partkey % 3 when 0 then p_brand when 1 then 'S' || p_size end, case when p_partkey % 2 = 0 then trim(p_type) else '' end], lambda n: n is not null and n <> '') as names from part""")
+def q_entry_names(spark, sf_dir):
+    n = F.col("p_partkey")
+    entry = lambda name, short: F.struct(name.alias("name"), short.alias("shortName"))
+    first = entry(F.when(n % 3 == 0, F.col("p_brand")).when(n % 3 == 1, " "), F.when(n % 3 == 1, F.concat(F.lit("S"), F.col("p_size").cast("string"))))
+    second = entry(F.when(n % 2 == 0, F.concat(F.lit(" "), "p_type")).otherwise(""), F.lit(""))
+    return T.table(spark, sf_dir, "part").select("p_partkey", X.entry_names(F.array(first, second)).alias("names"))
+
+
+_NESTED = """select 2014 + p_partkey % 12 as year, ['first', 'second', 'third'][1 + p_partkey % 3] as outlet, p_name as winner, [p_name || ' 2', case when p_partkey % 2 = 0 then null else p_type end] as nominees from part"""
+
+
+@query("q_award_rows", f"""with nested as ({_NESTED}) select cast(year as int) as year, outlet, 'winner' as role, winner as title from nested
+ union all select cast(year as int), outlet, 'nominee', title from (select year, outlet, unnest(nominees) as title from nested) where title is not null""")
+def q_award_rows(spark, sf_dir):
+    """Winners and nominees of years with their shows, nested as they are kept."""
+    n = F.col("p_partkey")
+    show = F.get(F.array(*map(F.lit, ("first", "second", "third"))), (n % 3).cast("int"))
+    award = F.struct(show.alias("show"), F.col("p_name").alias("winner"), F.array(F.concat("p_name", F.lit(" 2")), F.when(n % 2 != 0, F.col("p_type"))).alias("nominees"))
+    years = T.table(spark, sf_dir, "part").groupBy((2014 + n % 12).cast("int").alias("year")).agg(F.collect_list(award).alias("awards"))
+    return B.award_rows(years).withColumnRenamed("show", "outlet")
+
+
 @query("q_top_entries", with_(REVIEWS, body="select source_id, list(game_id order by n desc, game_id)[1:15] as top, coalesce(max(n) filter (where game_id = 1), 0) as first from (select source_id, game_id, count(*) as n from reviews group by 1, 2) group by 1"))
 def q_top_entries(spark, sf_dir):
     n = T.reviews(spark, sf_dir).groupBy("source_id", "game_id").agg(F.count("*").alias("n"))

@@ -29,11 +29,19 @@ def q_canon_baselines(spark, sf_dir):
     return best.select("baseline_id", "game_id", "source_platform", "external_score", F.coalesce("review_count", F.lit(-1)).alias("review_count"))
 
 
-@query("q_canon_baseline_urls", with_(BASELINES, _BEST, body="""select baseline_id, source_url from (select *, row_number() over (partition by source_url order by
- case when contains(source_url, '-1') then 1.0 else 0.0 end desc, review_count desc nulls last, baseline_id desc) as j from best) where j = 1"""))
+@query("q_canon_baseline_urls", with_(GAMES, BASELINES, _BEST, """fits as (
+  select b.*, list_filter(string_split(lower(replace(regexp_extract(source_url, '([^/]+)$', 1), '-', ' ')), ' '), lambda w: w <> '') as words,
+    string_split(lower(title) || ' ' || game_id % 211 || ' urgent medium', ' ') as have
+  from best b join games using (game_id)
+)""", body="""select baseline_id, source_url from (
+  select *, row_number() over (partition by source_url order by coalesce(len(list_filter(words, lambda w: list_contains(have, w))) / len(words), 0) desc, review_count desc nulls last, baseline_id desc) as j from fits
+) where j = 1"""))
 def q_canon_baseline_urls(spark, sf_dir):
-    fit = F.when(F.col("source_url").contains("-1"), 1.0).otherwise(0.0)
-    return R.best_by_url(R.best_baselines(T.baselines(spark, sf_dir)), fit).select("baseline_id", "source_url")
+    """Of baselines that share a URL the one whose item's title has most of the URL's words."""
+    title = F.concat(F.lower("title"), F.lit(" "), (F.col("game_id") % 211).cast("string"), F.lit(" urgent medium"))
+    titles = T.games(spark, sf_dir).select("game_id", title.alias("title"))
+    rows = R.best_baselines(T.baselines(spark, sf_dir)).join(titles, "game_id")
+    return R.best_by_url(rows, R.slug_fit(F.col("title"), F.lower(X.url_slug(F.col("source_url"))))).select("baseline_id", "source_url")
 
 
 _KEYED = "keyed as (select game_id, lower(title) as key, case when game_id % 3 = 0 then null else release_year end as release_year from games)"

@@ -21,10 +21,20 @@ pcov as (select source_id, value, count(*) as n from (select r.source_id, unnest
 WEIGHTS = """contexts as (select source_id, null::varchar as genre, null::varchar as platform, null::bigint as gn, null::bigint as pn from metrics
  union all select source_id, value, null, n, null from (select *, row_number() over (partition by source_id order by n desc, value) as k from gcov) where k <= 40
  union all select source_id, null, value, null, n from (select *, row_number() over (partition by source_id order by n desc, value) as k from pcov) where k <= 25),
-weights as (select source_id, genre, platform, round(conf * disc * case when gn is null then 1.0 else greatest(0.8, least(1.2, 0.8 + 0.4 * gn / sample_count)) end
- * case when pn is null then 1.0 else greatest(0.8, least(1.1, 0.8 + 0.3 * pn / sample_count)) end * 0.95, 6) as context_weight, round(conf, 6) as confidence
- from (select c.*, m.sample_count, greatest(0.6, least(1.1, 0.6 + 0.5 * least(1.0, ln(1.0 + m.sample_count) / ln(5001.0)))) as conf,
- greatest(0.7, least(1.1, 0.7 + 0.3 * discrimination_power)) as disc from contexts c join metrics m using (source_id)))"""
+weighing as (
+  select source_id, genre, platform, conf, disc, sample_count, conf * disc * case when gn is null then 1.0 else greatest(0.8, least(1.2, 0.8 + 0.4 * gn / sample_count)) end
+    * case when pn is null then 1.0 else greatest(0.8, least(1.1, 0.8 + 0.3 * pn / sample_count)) end * 0.95 as raw
+  from (select c.*, m.sample_count, greatest(0.6, least(1.1, 0.6 + 0.5 * least(1.0, ln(1.0 + m.sample_count) / ln(5001.0)))) as conf,
+    greatest(0.7, least(1.1, 0.7 + 0.3 * discrimination_power)) as disc from contexts c join metrics m using (source_id))
+),
+weights as (
+  select source_id, genre, platform, round(raw, 6) as context_weight, round(conf, 6) as confidence,
+    source_id || coalesce(' (' || genre || ')', '') || coalesce(' on ' || platform, '') || ': ' || sample_count || ' historical reviews, '
+    || case when disc >= 1.0 then 'high' when disc >= 0.85 then 'moderate' else 'low' end || ' score discrimination, '
+    || case when sample_count >= 500 then 'large historical sample' when sample_count >= 100 then 'sufficient sample size' when sample_count >= 30 then 'moderate sample size' else 'limited sample size' end
+    || ' — final weight: ' || printf('%.2f', raw) as explanation
+  from weighing
+)"""
 SNAPSHOTS = """keys as (select game_id, tier, i, j, genre, platform from (
  select game_id, 1 as tier, i, j, genres[i] as genre, platforms[j] as platform from games, range(1, 3) t(i), range(1, 2) u(j)
  union all select game_id, 2, i, 0, genres[i], null from games, range(1, 3) t(i)
@@ -111,7 +121,7 @@ def q_coverage(spark, sf_dir):
 
 @query("q_weights", with_(*BASE[:6], body="select * from weights"))
 def q_weights(spark, sf_dir):
-    return weights_of(spark, sf_dir).drop("explanation")
+    return weights_of(spark, sf_dir)
 
 
 @query("q_snapshots", with_(*BASE, body="select * from snapshots"))

@@ -109,21 +109,38 @@ def q_unmatched(spark, sf_dir):
     return top.orderBy(F.desc("reviews"), "game_id").limit(30)
 
 
-_TITLED = "titled as (select p_partkey, case p_partkey % 7 when 0 then 'The ' || p_name when 1 then p_name || ' VII' when 2 then p_name || ' (2015)' when 3 then p_name || ': remaster' when 4 then split_part(p_name, ' ', 1) when 5 then p_name || ' 3' else p_name end as title from part)"
-
-
-@query("q_title_labels", with_(_TITLED, body="""select label, count(*) as n from (select unnest([case when regexp_matches(title, '(?i)^(the|a|an)\\s+') then 'leading_article_the_a_an' end, case when regexp_matches(title, '\\b(19|20)\\d{2}\\b') then 'year_suffix_in_title' end,
- case when regexp_matches(title, ':\\s*\\S') then 'subtitle_colon' end, case when regexp_matches(title, '\\(.*?\\)') then 'parenthetical_content' end, case when regexp_matches(title, '\\b\\d{1,2}\\b') then 'arabic_numeral_in_title' end]) as label from titled) where label is not null group by 1"""))
+_TITLED = """titled as (
+  select p_partkey, case p_partkey % 9 when 0 then 'The ' || p_name when 1 then p_name || ' VII' when 2 then p_name || ' (2015)' when 3 then p_name || ': remaster' when 4 then split_part(p_name, ' ', 1)
+    when 5 then p_name || ' 3' when 6 then p_name || ' Épisode 2 on Xbox' when 7 then p_name || ' IV 4 season pass' else p_name || ' plain' end as title,
+    case p_partkey % 4 when 0 then replace(p_name, ' ', '-') || '-7' when 1 then replace(p_name, ' ', '-') || '-iii' else '' end as slug
+  from part
+),
+normed as (select *, trim(regexp_replace(regexp_replace(lower(strip_accents(title)), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g')) as norm, replace(slug, '-', ' ') as words from titled)"""
+_ROMANS = X.CATEGORIES["roman_numeral_in_title"]
+_LABELS = ", ".join(f"case when regexp_matches(title, '{p.replace(chr(39), chr(39) * 2)}')" + (f" or regexp_matches(words, '{p}')" if name.startswith("roman") else "") + f" then '{name}' end" for name, p in X.CATEGORIES.items())
+
+
+def _crossed(a: str, b: str) -> str:
+    """SQL of the label of a Roman numeral in one text and an Arabic one in the other."""
+    return f"case when norm <> '' and words <> '' and norm <> words and regexp_matches({a}, '{_ROMANS}') and regexp_matches({b}, '\\b\\d+\\b') then 'roman_vs_arabic_numeral_mismatch' end"
+
+
+@query("q_title_labels", with_(_TITLED, body=f"""select label, count(*) as n from (
+  select unnest(case when len(found) = 0 then ['uncategorized'] else found end) as label from (
+    select list_filter([{_LABELS}, {_crossed("title", "words")}, {_crossed("words", "title")},
+      case when norm = '' or len(string_split(norm, ' ')) <= 1 then 'very_short_title_1_word' when len(string_split(norm, ' ')) <= 2 then 'short_title_2_words' end], lambda l: l is not null) as found from normed)
+) group by 1"""))
 def q_title_labels(spark, sf_dir):
-    """How often a few of the title categories occur."""
-    n, name = F.col("p_partkey") % 7, F.col("p_name")
+    """How often each title category occurs."""
+    n, name = F.col("p_partkey") % 9, F.col("p_name")
     title = (
         F.when(n == 0, F.concat(F.lit("The "), name)).when(n == 1, F.concat(name, F.lit(" VII"))).when(n == 2, F.concat(name, F.lit(" (2015)")))
-        .when(n == 3, F.concat(name, F.lit(": remaster"))).when(n == 4, F.split_part(name, F.lit(" "), F.lit(1))).when(n == 5, F.concat(name, F.lit(" 3"))).otherwise(name)
+        .when(n == 3, F.concat(name, F.lit(": remaster"))).when(n == 4, F.split_part(name, F.lit(" "), F.lit(1))).when(n == 5, F.concat(name, F.lit(" 3")))
+        .when(n == 6, F.concat(name, F.lit(" Épisode 2 on Xbox"))).when(n == 7, F.concat(name, F.lit(" IV 4 season pass"))).otherwise(F.concat(name, F.lit(" plain")))
     )
-    labels = T.table(spark, sf_dir, "part").select(F.explode(X.title_categories(title, F.lit(""))).alias("label"))
-    shown = ("leading_article_the_a_an", "year_suffix_in_title", "subtitle_colon", "parenthetical_content", "arabic_numeral_in_title")
-    return labels.where(F.col("label").isin(*shown)).groupBy("label").agg(F.count("*").alias("n"))
+    slug, k = F.replace(name, F.lit(" "), F.lit("-")), F.col("p_partkey") % 4
+    slug = F.when(k == 0, F.concat(slug, F.lit("-7"))).when(k == 1, F.concat(slug, F.lit("-iii"))).otherwise("")
+    return T.table(spark, sf_dir, "part").select(F.explode(X.title_categories(title, slug)).alias("label")).groupBy("label").agg(F.count("*").alias("n"))
 
 
 @query("q_audit", with_(GAMES, BASELINES, """titles as (select lower(title) as key, count(*) as n from games group by 1 having count(*) > 1 order by n desc, key limit 10)""", body="""select key as what, n from titles union all select 'duplicate titles', count(*) from (select 1 from games group by lower(title) having count(*) > 1)

@@ -82,3 +82,15 @@ def test_scores_kept_up_to_date(spark, tmp_path):
     state.apply(removed=reviews.where("game_id <> 5"))
     assert {r.game_id for r in state.snapshots(games).collect()} == {5}
     assert state.apply() == [] and state.apply(reviews.limit(0)) == []
+
+
+def test_one_decimal_is_exact(spark):
+    from decimal import ROUND_HALF_UP, Decimal
+
+    from tallyforge.functions.scores import score_text, signed_text
+
+    r = np.random.default_rng(1)
+    values = [0.25, 66.25, 66.35, 66.75, 0.05, 0.95, 99.95, 100.0, 0.0, -0.04, -66.25, -66.35, *(round(float(x), 2) for x in r.uniform(-100, 100, 500)), *(float(x) for x in r.uniform(0, 100, 200))]
+    want = [str(Decimal(v).quantize(Decimal("0.1"), ROUND_HALF_UP)) for v in values]
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate([*values, None])], "k int, v double").orderBy("k").select(score_text(F.col("v")).alias("t"), signed_text(F.col("v")).alias("s")).collect()
+    assert [x.t for x in rows] == [*want, "N/A"] and [x.s for x in rows[:-1]] == [w if w.startswith("-") else "+" + w for w in want]
