@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import lru_cache
 from html import unescape
 from typing import NamedTuple
@@ -87,6 +88,7 @@ def leaves(html: str | None) -> list[Leaf]:
     if not html:
         return out
     stack: list[tuple[str, tuple]] = []
+    open_: Counter[str] = Counter()  # how often an element is in the stack: what isn't there is not looked for
     parts: list[str] = []
     state = {"path": None, "linked": 0}
 
@@ -108,8 +110,11 @@ def leaves(html: str | None) -> list[Leaf]:
         state["path"], state["linked"] = None, 0
 
     def close(ended, walls) -> None:
+        if not any(open_[name] for name in ended):
+            return
         for k in range(len(stack) - 1, -1, -1):
             if stack[k][0] in ended:
+                open_.subtract(name for name, _ in stack[k:])
                 del stack[k:]
                 return
             if stack[k][0] in walls:
@@ -132,10 +137,11 @@ def leaves(html: str | None) -> list[Leaf]:
             if tag in BLOCK:
                 flush()
                 close({tag}, WALLS - {tag})
-            else:  # an inline element ends alone
+            elif open_[tag]:  # an inline element ends alone
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == tag:
                         del stack[k]
+                        open_[tag] -= 1
                         break
                     if stack[k][0] in BLOCK and tag != "a":
                         break
@@ -154,6 +160,7 @@ def leaves(html: str | None) -> list[Leaf]:
         elif tag == "br":
             parts.append(" ")
         if tag not in VOID:
+            open_[tag] += 1
             stack.append((tag, _hashes(tag, " ".join(x[0] for x in _NAMED.finditer(attributes)) if attributes else "")))
     flush()
     return out
