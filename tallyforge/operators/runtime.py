@@ -34,6 +34,13 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def materialised(frame: DataFrame, label: str) -> DataFrame:
+    """``frame`` written as Parquet in the shared folder and read again: computed once, and of known size to the planner."""
+    path = scratch(frame.sparkSession, label)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def _at(spark: SparkSession, path: str):
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

@@ -117,11 +117,13 @@ def snapshots(counts: DataFrame, games: DataFrame, metrics: DataFrame, weights_:
     mean = F.when(F.coalesce("mean_score", F.lit(0.0)) == 0, F.col("gm")).otherwise(F.col("mean_score"))
     std = F.when(F.col("score_std") > 0, F.col("score_std")).otherwise(1.0)
     calibrated = F.when(F.col("sample_count") >= p.least_to_calibrate, clamp(F.col("gm") + (F.col("score") - mean) / std * F.col("gs"), 0.0, 100.0))
-    rows = (
-        counts.join(games.select("game_id", "genres", "platforms"), "game_id").join(facts, "source_id", "left").join(F.broadcast(overall))
-        .select("game_id", "source_id", "score", "n", weight_for(F.col("weights"), F.col("genres"), F.col("platforms")).alias("w"),
-                F.coalesce(calibrated, clamp(F.col("score"), 0.0, 100.0)).alias("calibrated"))
+    # an item's weight for a source is looked up once for both, however many scores they have
+    pairs = counts.groupBy("game_id", "source_id").agg(F.collect_list(F.struct("score", "n")).alias("held"))
+    weighed = (
+        pairs.join(games.select("game_id", "genres", "platforms"), "game_id").join(facts, "source_id", "left").join(F.broadcast(overall))
+        .withColumn("w", weight_for(F.col("weights"), F.col("genres"), F.col("platforms"))).drop("weights", "genres", "platforms")
     )
+    rows = weighed.select("*", F.inline("held")).select("game_id", "source_id", "score", "n", "w", F.coalesce(calibrated, clamp(F.col("score"), 0.0, 100.0)).alias("calibrated"))
     of = W.partitionBy("game_id")
     upto = F.sum("n").over(of.orderBy("score").rowsBetween(W.unboundedPreceding, 0))
     placed = rows.withColumns({"upto": upto, "of": F.sum("n").over(of)})

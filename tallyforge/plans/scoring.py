@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions.scores import normalized
 from tallyforge.operators import scoring
 from tallyforge.operators.incremental import ScoreState
-from tallyforge.operators.runtime import scratch
+from tallyforge.operators.runtime import materialised, scratch
 from tallyforge.plans.registry import query
 from tallyforge.sources import testbed as T
 from tallyforge.sources.testbed import GAMES, REVIEWS, with_
@@ -63,13 +63,20 @@ def metrics_of(spark, sf_dir):
     return scoring.source_metrics(counts_of(spark, sf_dir), T.games(spark, sf_dir))
 
 
+def _weights(counts, metrics, games):
+    return scoring.weights(metrics, scoring.coverage(counts, games, "genres", "platforms"))
+
+
 def weights_of(spark, sf_dir):
-    return scoring.weights(metrics_of(spark, sf_dir), scoring.coverage(counts_of(spark, sf_dir), T.games(spark, sf_dir), "genres", "platforms"))
+    counts, games = materialised(counts_of(spark, sf_dir), "counts"), T.games(spark, sf_dir)
+    return _weights(counts, scoring.source_metrics(counts, games), games)
 
 
 def snapshots_of(spark, sf_dir):
-    """Each branch of the plan begins with the same counts, whose shuffle Spark makes once."""
-    return scoring.snapshots(counts_of(spark, sf_dir), T.games(spark, sf_dir), metrics_of(spark, sf_dir), weights_of(spark, sf_dir))
+    """Scores from counts and metrics that are computed once, as the steps of a run do it."""
+    counts, games = materialised(counts_of(spark, sf_dir), "counts"), T.games(spark, sf_dir)
+    metrics = materialised(scoring.source_metrics(counts, games), "metrics")
+    return scoring.snapshots(counts, games, metrics, _weights(counts, metrics, games))
 
 
 _RAW = """raw as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, case l_orderkey % 9 when 0 then null when 1 then '  ' when 2 then ['A+','a','B-','f','F+','D'][1 + l_partkey % 6]

@@ -77,9 +77,9 @@ def q_web_listings(spark, sf_dir):
 
 
 _CANDIDATES = """titled as (select p_partkey, case p_partkey % 4 when 0 then p_name || ' (2015)' when 1 then p_name || ': two' when 2 then p_name || ' + one' else p_name end as title, p_name from part),
-asked as (select p_partkey, unnest(c) as candidate, generate_subscripts(c, 1) as place from (select p_partkey, list_distinct(c) as c from (select p_partkey, case p_partkey % 4
+asked as (select p_partkey, unnest(c) as candidate, generate_subscripts(c, 1) as place from (select p_partkey, case p_partkey % 4
   when 0 then [replace(p_name, ' ', '-') || '-2015', replace(p_name, ' ', '-')] when 1 then [replace(p_name, ' ', '-') || '-two', replace(p_name, ' ', '-')]
-  when 2 then [replace(p_name, ' ', '-') || '-plus-one', replace(p_name, ' ', '-') || '-one'] else [replace(p_name, ' ', '-')] end as c from titled)))"""
+  when 2 then [replace(p_name, ' ', '-') || '-plus-one', replace(p_name, ' ', '-') || '-one'] else [replace(p_name, ' ', '-')] end as c from titled))"""
 
 
 @query("q_web_candidates", f"with {_CANDIDATES} select p_partkey, arg_min(candidate, place) as candidate, min(place) as place from asked where md5('http://x/game/' || candidate) < '8' group by 1")
