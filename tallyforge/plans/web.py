@@ -73,7 +73,7 @@ def q_web_listings(spark, sf_dir):
 
     url = lambda base, page, offset: F.concat(base, F.lit("?offset="), offset.cast("string"))
     got = web.crawl(listings, ask, parse, url)
-    return got.select("listing", "key", F.col("page").cast("int").alias("page"), F.col("item.score").alias("score"))
+    return got.select("listing", "key", F.col("page").cast("long").alias("page"), F.col("item.score").alias("score"))
 
 
 _CANDIDATES = """titled as (select p_partkey, case p_partkey % 4 when 0 then p_name || ' (2015)' when 1 then p_name || ': two' when 2 then p_name || ' + one' else p_name end as title, p_name from part),
@@ -95,4 +95,4 @@ def q_web_candidates(spark, sf_dir):
         rows = rows.withColumn("url", F.concat(F.lit("http://x/game/"), F.col("candidate")))
         return rows.join(web.fetched(rows.select("url"), cache, get).where("body is not null").select("url"), "url", "left_semi").drop("url")
 
-    return web.first_accepted(targets, "slugs", ask).select("p_partkey", "candidate", "place")
+    return web.first_accepted(targets, "slugs", ask).select("p_partkey", "candidate", F.col("place").cast("long").alias("place"))
