@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text as X
@@ -259,3 +260,20 @@ def test_q_match_reads_every_item(spark):
 
     ids = {r.a_id for r in load().QUERIES["q_match"](spark, "/root/testdata/sf0.01").select("a_id").collect()}
     assert max(ids) > 400
+
+
+@pytest.mark.parametrize("what", ["words", "keys", "titles", "left", "duplicates"])
+def test_nothing_that_grows_is_broadcast(spark, capsys, what):
+    """Small estimates don't send a side of a join through the driver."""
+    few = spark.range(20).select("id", F.array(F.col("id").cast("string")).alias("tokens"), F.col("id").cast("string").alias("t"))
+    rows = few.select(F.col("id").alias("row_id"), F.col("id").alias("line_no"), "t")
+    games = few.select(F.col("id").alias("game_id"), F.col("t").alias("key"), F.lit(2000).alias("release_year"))
+    plan = {
+        "words": lambda: R.token_jaccard(few, few),
+        "keys": lambda: R.ordered_lookup(rows, F.array(R._key(1, "title", F.col("t"), "title")), R.last_index(games, "title", F.col("key"))),
+        "titles": lambda: R.near_titles(few.select(F.col("t").alias("x"), F.lit(1).alias("s")), few.select(F.col("t").alias("y"), F.lit(1).alias("s")), 0.8, "s"),
+        "left": lambda: K.orphans(games, "game_id", games),
+        "duplicates": lambda: R.duplicate_edges(games),
+    }[what]()
+    plan.explain()
+    assert "Broadcast" not in capsys.readouterr().out
