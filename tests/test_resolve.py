@@ -277,3 +277,19 @@ def test_nothing_that_grows_is_broadcast(spark, capsys, what):
     }[what]()
     plan.explain()
     assert "Broadcast" not in capsys.readouterr().out
+
+
+HALF = [(29, 3.0), (29, 3.0), (26, 1.0), (23, 3.0), (25, 1.0), (34, 1.0), (23, 1.0), (29, 3.0)]
+
+
+def test_custom_scores_whatever_the_order_of_rows(spark):
+    """A mean at a half, whose last bits follow the order of its sum."""
+    held = [(q / 50 * 100, w) for q, w in HALF]
+    rows = [[(1, s, w, "N", "O", "x") for s, w in order] for order in (held, held[::-1], sorted(held), sorted(held)[::-1])]
+    frames = [spark.createDataFrame(x, "game_id int, score double, weight double, language string, platform string, source_name string").coalesce(1) for x in rows]
+    total = weight = 0.0
+    for s, w in sorted(held):
+        total, weight = total + s * w, weight + w
+    want = np.floor(total / weight * 10 + 0.5) / 10
+    for fence in (False, True):
+        assert [B.custom_scores(f, CustomScoreConfig(exclude_outliers=fence)).first().score for f in frames] == [want] * 4
