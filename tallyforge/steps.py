@@ -20,7 +20,7 @@ from tallyforge.operators import provider as V
 from tallyforge.operators import publish as P
 from tallyforge.operators import resolve as R
 from tallyforge.operators import targets as G
-from tallyforge.operators.scoring import coverage, review_counts, score_counts, snapshots, source_metrics, weights
+from tallyforge.operators.scoring import coverage, of_items, review_counts, score_counts, snapshots, source_metrics, weights
 from tallyforge.operators.tables import fill_empty, merge, repoint, replace_scope, upsert
 from tallyforge.params import RunOptions
 from tallyforge.pipeline import Step, Tables, of_version, with_version
@@ -212,7 +212,7 @@ def documents(t: Tables, o: RunOptions) -> Tables:
 
 #: Counts, metrics, weights and scores, each computed once and read by what follows.
 SCORING = [
-    Step("counts", lambda t, o: {"score_counts": score_counts(t["reviews"])}, ("reviews",), ("score_counts",)),
+    Step("counts", lambda t, o: {"score_counts": of_items(score_counts(t["reviews"]), t["games"])}, ("reviews", "games"), ("score_counts",)),
     Step("metrics", metrics_step, ("score_counts", "games", "source_metrics?"), ("source_metrics",)),
     Step("weights", weights_step, ("score_counts", "games", "source_metrics", "weights?"), ("weights",)),
     Step("scores", snapshots_step, ("score_counts", "games", "source_metrics", "weights", "score_snapshots?"), ("score_snapshots",)),
