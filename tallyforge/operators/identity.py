@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import text as X
 from tallyforge.operators.resolve import canonical, groups
+from tallyforge.operators.runtime import large
 from tallyforge.operators.tables import first_of_each, repoint
 
 # Provider titles that stand for several items.
@@ -81,7 +82,7 @@ def canonical_items(edges: DataFrame, games: DataFrame, reviews: DataFrame, prov
     counts = reviews.groupBy(F.col("game_id").alias("id")).agg(F.count_if(F.col("data_source") == provider).alias("own"), F.count("*").alias("n"))
     tag = X.year_tag(F.col("title"))[1].isNotNull()
     facts = games.select(F.col("game_id").alias("id"), F.col("game_id").cast("string").startswith(prefix).alias("first"), F.coalesce(tag, F.lit(False)).alias("tagged"), "created_at")
-    members = groups(edges).join(facts, "id").join(counts, "id", "left")
+    members = groups(edges).join(large(facts), "id").join(large(counts), "id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     return canonical(members, F.desc("first"), F.asc("tagged"), F.desc(zero("own")), F.desc(zero("n")), F.asc_nulls_first("created_at"), F.asc("id"))
 

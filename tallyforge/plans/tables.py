@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import text as X
 from tallyforge.operators import tables as K
+from tallyforge.operators.runtime import spread
 from tallyforge.plans.browse import items_of
 from tallyforge.plans.registry import query
 from tallyforge.plans.scoring import BASE
@@ -169,7 +170,7 @@ def _wild(spark, sf_dir):
         .when(n == 3, F.concat(F.upper(name), F.lit(" + the x"))).when(n == 4, F.concat(F.lit("Café "), name, F.lit("!"))).otherwise(F.concat(F.lit("Ōkami_"), name, F.lit(" 大神")))
     )
     url = F.concat(F.lit("https://x.org/game/pc/"), F.replace(name, F.lit(" "), F.lit("-")), F.lit("?a=1"))
-    return T.table(spark, sf_dir, "part").select("p_partkey", title.alias("title"), url.alias("url"))
+    return spread(T.table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey").select("p_partkey", title.alias("title"), url.alias("url"))
 
 
 @query("q_titles", with_(_WILD, body=f"""select p_partkey, {_ROMAN_SQL.format(t=_FOLD.format(t="replace(regexp_replace(title, '(?i)\\s*\\(ps4\\)\\s*$', ''), '&', ' and ')"))} as canonical,
