@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.operators.scoring import coverage, score_counts, snapshots, source_metrics, weights
+from tallyforge.operators.runtime import dealt, materialised
+from tallyforge.operators.scoring import coverage, of_items, score_counts, snapshots, source_metrics, weights
 from tallyforge.operators.store import BucketTable
 from tallyforge.params import ScoringParams
 
@@ -38,10 +39,10 @@ class ScoreState:
 
     def snapshots(self, games: DataFrame, p: ScoringParams = ScoringParams()) -> DataFrame:
         """The scores of all items, as a run over all reviews gives them: metrics and weights are of all counts too."""
-        counts = self.counts()
-        metrics = source_metrics(counts, games, p)
+        counts = materialised(of_items(dealt(self.counts(), "game_id"), games), "counts")
+        metrics = materialised(source_metrics(counts, games, p), "metrics")
         return snapshots(counts, games, metrics, weights(metrics, coverage(counts, games, "genres", "platforms"), p), p)
 
 
 def _sums(old: DataFrame, delta: DataFrame) -> DataFrame:
-    return old.unionByName(delta).groupBy("game_id", "source_id", "score").agg(F.sum("n").alias("n")).where("n > 0")
+    return dealt(old.unionByName(delta), "game_id").groupBy("game_id", "source_id", "score").agg(F.sum("n").alias("n")).where("n > 0")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyforge.operators.runtime import checkpointed, file_names, read_file, remove, write_new_file
+from tallyforge.operators.runtime import checkpointed, file_names, read_file, remove, stored_parts, write_new_file
 
 Change = Callable[[DataFrame, DataFrame], DataFrame]
 
@@ -55,20 +55,21 @@ class BucketTable:
             rows = rows.where(F.col(name).eqNullSafe(k))
         return rows
 
-    def change(self, batch: DataFrame, rule: Change, note: tuple[str, int] | None = None) -> list[int]:
+    def change(self, batch: DataFrame, rule: Change, note: tuple[str, int] | None = None, stored: bool = False) -> list[int]:
         """Replaces the buckets that ``batch`` touches by ``rule(their rows, batch)``; returns their numbers.
 
         The rule may only give rows whose keys are in those buckets. ``note``: a name and a number that grows; what has
-        been applied under a number is not applied again, so a batch may be repeated. An empty batch changes nothing.
+        been applied under a number is not applied again, so a batch may be repeated. An empty batch changes nothing. ``stored``: the batch is a checkpoint already, or a file.
         """
         now = self.manifest()
         if note and now["notes"].get(note[0], -1) >= note[1]:
             return []
-        batch = checkpointed(batch)
+        parts, batch = stored_parts(batch), batch if stored else checkpointed(batch)
         touched = sorted(r[0] for r in batch.select(self.bucket()).distinct().collect())  # as many as there are buckets
         if not touched and note is None:
             return []
-        fresh = self._write(rule(self.read(touched, now), batch), touched) if touched else {}
+        old = self.read(touched, now)
+        fresh = self._write(rule(old, batch), touched, parts + stored_parts(old)) if touched else {}
         folders = {b: f for b, f in now["folders"].items() if int(b) not in touched} | fresh
         self._commit(now, folders, {**now["notes"], **({note[0]: note[1]} if note else {})})
         return touched
@@ -76,12 +77,15 @@ class BucketTable:
     def replace(self, frame: DataFrame) -> None:
         """All rows anew."""
         now = self.manifest()
-        self._commit(now, self._write(frame, list(range(self.buckets))), now["notes"])
+        self._commit(now, self._write(frame, list(range(self.buckets)), stored_parts(frame)), now["notes"])
 
-    def _write(self, frame: DataFrame, touched: list[int]) -> dict[str, str]:
+    def _write(self, frame: DataFrame, touched: list[int], parts: int) -> dict[str, str]:
+        """A bucket is written by one task, or by several, each with a slice of its keys, where there are more parts."""
+        each = max(1, -(-parts // max(1, len(touched))))
+        slice_ = F.pmod(F.xxhash64(F.lit("slice"), *self.key), F.lit(1 if each == 1 else 4 * each))
         folder = f"{self.path}/data-{uuid.uuid4().hex}"
         rows = frame.select([f.name for f in self.schema]).withColumn("__bucket", self.bucket())
-        rows.repartition(max(1, len(touched)), "__bucket").write.partitionBy("__bucket").parquet(folder)
+        rows.repartition(max(1, len(touched)) * each, "__bucket", slice_).write.partitionBy("__bucket").parquet(folder)
         written = {n.removeprefix("__bucket="): f"{folder}/{n}" for n in file_names(self.spark, folder) if n.startswith("__bucket=")}
         if stray := set(map(int, written)) - set(touched):
             raise ValueError(f"the change has rows of buckets that the batch doesn't touch: {sorted(stray)}")
