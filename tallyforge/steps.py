@@ -20,6 +20,7 @@ from tallyforge.operators import provider as V
 from tallyforge.operators import publish as P
 from tallyforge.operators import resolve as R
 from tallyforge.operators import targets as G
+from tallyforge.operators.runtime import checkpointed, large, materialised, spread
 from tallyforge.operators.scoring import coverage, of_items, review_counts, score_counts, snapshots, source_metrics, weights
 from tallyforge.operators.tables import fill_empty, merge, repoint, replace_scope, upsert
 from tallyforge.params import RunOptions
@@ -35,8 +36,13 @@ def _shaped(rows: DataFrame, like: DataFrame) -> DataFrame:
 
 
 def imported(t: Tables, o: RunOptions) -> Tables:
-    """Items, sources, identities, mean baselines and reviews of the raw files; the archive's own reviews are replaced."""
+    """Items, sources, identities, mean baselines and reviews of the raw files; the archive's own reviews are replaced.
+
+    Rows with an item and a score are stored once, and read for each of these tables. Names of outlets are costly: sources
+    take them from different ones, behind a checkpoint, as Spark would drop the first of two distincts.
+    """
     raw = t["raw_reviews"].withColumn("Score", number(F.col("Score").cast("string"))).where("Score is not null and Game is not null")
+    raw = materialised(raw.select(F.col("ID").cast("string"), "Game", F.col("Website").cast("string"), F.col("Review").cast("string"), "Score"), "raw")
     title, outlet = F.col("title"), X.outlet(F.col("Website"))
     titles = raw.select(F.col("Game").alias("title")).distinct()
     if "raw_dates" in t:
@@ -44,10 +50,10 @@ def imported(t: Tables, o: RunOptions) -> Tables:
     else:
         titles = titles.withColumn("release_date", F.lit(None).cast("string"))
     items = titles.select(X.minted("mc-", title).alias("game_id"), "title", "release_date", X.year_of(F.col("release_date")).alias("release_year"))
-    names = raw.select(outlet.alias("name")).distinct()
+    names = checkpointed(raw.select("Website").distinct()).select(outlet.alias("name")).distinct()
     sources = names.select(X.minted("mc-src-", F.col("name"), size=12).alias("source_id"), "name", F.lit("media").alias("source_type"), F.lit("en").alias("language"))
     reviews = raw.select(
-        F.concat(F.lit("mc-rev-"), F.col("ID").cast("string")).alias("review_id"), X.minted("mc-", F.col("Game")).alias("game_id"),
+        F.concat(F.lit("mc-rev-"), "ID").alias("review_id"), X.minted("mc-", F.col("Game")).alias("game_id"),
         X.minted("mc-src-", outlet, size=12).alias("source_id"), F.col("Score").alias("score"), F.lit("en").alias("language"),
         X.cut_off(F.col("Review"), 2000).alias("summary"), F.lit(ARCHIVE).alias("data_source"),
     )
@@ -77,14 +83,18 @@ def enriched(t: Tables, o: RunOptions) -> Tables:
 
 
 def without_duplicates(t: Tables, o: RunOptions) -> Tables:
-    """One item of each group of duplicates, the one with most reviews; what refers to the others refers to it."""
+    """One item of each group of duplicates, the one with most reviews; what refers to the others refers to it.
+
+    Keys of titles, edges and who stays are each computed once, as all four tables need them.
+    """
     games = t["games"]
     base, year = X.year_tag(F.col("title"))
-    keyed = games.select("game_id", X.title_canonical(F.col("title")).alias("key"), X.title_canonical(base).alias("base_key"), year.alias("tag_year"), "release_year")
-    edges = R.duplicate_edges(keyed).unionByName(I.tagged_edges(keyed)).distinct()
+    titles = spread(games.select("game_id", "title", "release_year"), "game_id")
+    keyed = checkpointed(titles.select("game_id", X.title_canonical(F.col("title")).alias("key"), X.title_canonical(base).alias("base_key"), year.alias("tag_year"), "release_year"))
+    edges = checkpointed(R.duplicate_edges(keyed).unionByName(I.tagged_edges(keyed)).distinct())
     counts = t["reviews"].groupBy(F.col("game_id").alias("id")).agg(F.count("*").alias("n"))
-    members = R.groups(edges).join(counts, "id", "left")
-    mapping = R.canonical(members, F.desc(F.coalesce("n", F.lit(0))), F.asc("id"))
+    members = R.groups(edges).join(large(counts), "id", "left")
+    mapping = checkpointed(R.canonical(members, F.desc(F.coalesce("n", F.lit(0))), F.asc("id")))
     to = lambda name: repoint(t[name], mapping, "game_id")
     kept = games.join(mapping.select(F.col("old").alias("game_id")), "game_id", "left_anti")
     of = mapping.select(F.col("old").alias("game_id"), "canonical").join(games, "game_id").drop("game_id").withColumnRenamed("canonical", "game_id")
