@@ -44,7 +44,7 @@ def imported(t: Tables, o: RunOptions) -> Tables:
     raw = t["raw_reviews"].withColumn("Score", number(F.col("Score").cast("string"))).where("Score is not null and Game is not null")
     raw = materialised(raw.select(F.col("ID").cast("string"), "Game", F.col("Website").cast("string"), F.col("Review").cast("string"), "Score"), "raw")
     title, outlet = F.col("title"), X.outlet(F.col("Website"))
-    titles = raw.select(F.col("Game").alias("title")).distinct()
+    titles = checkpointed(raw.select(F.col("Game").alias("title")).distinct())
     if "raw_dates" in t:
         titles = titles.join(t["raw_dates"].select(F.col("Game").alias("title"), F.col("release_date").cast("string").alias("release_date")), "title", "left")
     else:
@@ -107,14 +107,21 @@ def without_duplicates(t: Tables, o: RunOptions) -> Tables:
 
 
 def without_mock(t: Tables, o: RunOptions) -> Tables:
-    """Without reviews and baselines of a provider called mock, and without sources that had no others."""
-    mine = lambda c: F.col(c).endswith("mock")
-    return V.purge_rows({n: t[n] for n in ("reviews", "external_baseline", "sources")}, {"reviews": mine("data_source"), "external_baseline": mine("data_source")})
+    """Without reviews and baselines of a provider called mock, and without sources that had no others.
+
+    A table without such rows stays as it is, and isn't written again.
+    """
+    mine = F.col("data_source").endswith("mock")
+    made_up = [n for n in ("reviews", "external_baseline") if not t[n].where(mine).isEmpty()]
+    out = V.purge_rows({n: t[n] for n in ("reviews", "external_baseline", "sources")}, dict.fromkeys(made_up, mine))
+    return {n: out[n] for n in (*made_up, "sources")}
 
 
 def with_platforms(t: Tables, o: RunOptions) -> Tables:
-    """Reviews without a platform get all of their item's, parted by ``|``."""
+    """Reviews without a platform get all of their item's, parted by ``|``; if no item has any, they stay as they are."""
     lists = t["games"].select("game_id", F.nullif(F.array_join("platforms", "|"), F.lit("")).alias("__all"))
+    if lists.where("__all is not null").isEmpty():
+        return {}
     out = t["reviews"].join(lists, "game_id", "left").withColumn("platform", F.coalesce("platform", "__all"))
     return {"reviews": out.select(t["reviews"].columns)}
 
