@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyforge.operators.runtime import checkpointed, file_names, read_file, remove, stored_parts, write_new_file
+from tallyforge.operators.runtime import COMPACT, checkpointed, file_names, read_file, remove, stored_parts, write_new_file
 
 Change = Callable[[DataFrame, DataFrame], DataFrame]
 
@@ -74,6 +74,31 @@ class BucketTable:
         self._commit(now, folders, {**now["notes"], **({note[0]: note[1]} if note else {})})
         return touched
 
+    def stage(self, rows: DataFrame) -> tuple[str, list[int]]:
+        """Writes ``rows``, whose column ``__bucket`` says where they belong, in a new folder that no manifest names yet; and which buckets they touch."""
+        folder = f"{self.path}/data-{uuid.uuid4().hex}"
+        rows.write.options(**COMPACT).partitionBy("__bucket").parquet(folder)
+        return folder, sorted(map(int, self._parts(folder)))
+
+    def staged(self, folder: str, only: list[int]) -> DataFrame:
+        """Staged rows of some buckets."""
+        return self.read(manifest={"folders": {b: f for b, f in self._parts(folder).items() if int(b) in only}})
+
+    def change_staged(self, folder: str, touched: list[int], rule: Change) -> None:
+        """As ``change``, for a batch that is staged. A bucket that had no rows takes the staged ones where they lie, not written again."""
+        now = self.manifest()
+        parts = self._parts(folder)
+        new = {b: f for b, f in parts.items() if b not in now["folders"]}
+        met = [b for b in touched if str(b) in now["folders"]]
+        fresh = {}
+        if met:
+            old, batch = self.read(met, now), self.staged(folder, met)
+            fresh = self._write(rule(old, batch), met, stored_parts(batch) + stored_parts(old))
+        if touched:
+            self._commit(now, {b: f for b, f in now["folders"].items() if int(b) not in met} | fresh | new, now["notes"])
+        for path in [folder] if not new else [f for b, f in parts.items() if b not in new]:
+            remove(self.spark, path)
+
     def replace(self, frame: DataFrame) -> None:
         """All rows anew."""
         now = self.manifest()
@@ -85,12 +110,16 @@ class BucketTable:
         slice_ = F.pmod(F.xxhash64(F.lit("slice"), *self.key), F.lit(1 if each == 1 else 4 * each))
         folder = f"{self.path}/data-{uuid.uuid4().hex}"
         rows = frame.select([f.name for f in self.schema]).withColumn("__bucket", self.bucket())
-        rows.repartition(max(1, len(touched)) * each, "__bucket", slice_).write.partitionBy("__bucket").parquet(folder)
-        written = {n.removeprefix("__bucket="): f"{folder}/{n}" for n in file_names(self.spark, folder) if n.startswith("__bucket=")}
+        rows.repartition(max(1, len(touched)) * each, "__bucket", slice_).write.options(**COMPACT).partitionBy("__bucket").parquet(folder)
+        written = self._parts(folder)
         if stray := set(map(int, written)) - set(touched):
             raise ValueError(f"the change has rows of buckets that the batch doesn't touch: {sorted(stray)}")
         return written
 
+    def _parts(self, folder: str) -> dict[str, str]:
+        """The folders of buckets in one that was written."""
+        return {n.removeprefix("__bucket="): f"{folder}/{n}" for n in file_names(self.spark, folder) if n.startswith("__bucket=")}
+
     def _commit(self, before: dict, folders: dict[str, str], notes: dict) -> None:
         version = before["version"] + 1
         text = json.dumps({"version": version, "buckets": self.buckets, "folders": folders, "notes": notes})

@@ -2,7 +2,8 @@
 
 A step's tables are written in a folder of their own before the next step begins, so a step is computed once, whatever
 reads it; a file then says that it is finished. A run that failed goes on behind its last finished step. Only a whole run
-becomes the one that ``current`` reads, so readers, and the next run, never see half of one.
+becomes the one that ``current`` reads, so readers, and the next run, never see half of one. When a step is finished, the
+run's own tables that it replaced are removed, so a run takes the disk of its last tables and of one step.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyforge.operators.runtime import file_names, read_file, write_new_file
+from tallyforge.operators.runtime import COMPACT, file_names, freed_shuffles, passing, read_file, remove, write_new_file
 from tallyforge.params import RunOptions
 
 Tables = dict[str, DataFrame]
@@ -91,24 +92,32 @@ class Pipeline:
             if note.rsplit("/", 1)[1] in file_names(spark, f"{folder}/finished"):
                 written = json.loads(read_file(spark, note))
             else:
-                given = {k: now[k] for k in (i.rstrip("?") for i in step.inputs) if k in now} if step.inputs else now
-                out = step.run(given, options)
-                if step.outputs and (stray := set(out) - set(step.outputs)):
-                    raise ValueError(f"step {step.name} doesn't declare {sorted(stray)}")
-                written = {}
-                for name, frame in out.items():
-                    target = f"{folder}/tables/{n:02d}-{step.name}-{uuid.uuid4().hex}/{name}"
-                    frame.write.parquet(target)
-                    written[name] = {"path": target, "schema": frame.schema.jsonValue()}
+                names = [i.rstrip("?") for i in step.inputs] or [*now, *made]
+                given = {k: _read(spark, made[k]) if k in made else now[k] for k in names if k in made or k in now}
+                with freed_shuffles(spark), passing(spark):
+                    written = self._written(step, given, options, f"{folder}/tables/{n:02d}-{step.name}")
                 write_new_file(spark, note, json.dumps(written))
                 self.done.append(step.name)
+            for replaced in (made[name]["path"] for name in written if name in made):
+                remove(spark, replaced)
             made |= written
-            now |= {name: _read(spark, where) for name, where in written.items()}
+        now |= {name: _read(spark, where) for name, where in made.items()}
         versions = file_names(spark, f"{self.path}/current")
         whole = {**self._pointers(spark), **made}
         write_new_file(spark, f"{self.path}/current/{len([v for v in versions if v.endswith('.json')]):012d}.json", json.dumps(whole))
         return now
 
+    def _written(self, step: Step, given: Tables, options: RunOptions, folder: str) -> dict:
+        """Where the step's tables lie, now that it has run, and their schemas."""
+        out, written = step.run(given, options), {}
+        if step.outputs and (stray := set(out) - set(step.outputs)):
+            raise ValueError(f"step {step.name} doesn't declare {sorted(stray)}")
+        for name, frame in out.items():
+            target = f"{folder}-{uuid.uuid4().hex}/{name}"
+            frame.write.options(**COMPACT).parquet(target)
+            written[name] = {"path": target, "schema": frame.schema.jsonValue()}
+        return written
+
     def _same_options(self, spark: SparkSession, folder: str, steps: list[Step], options: RunOptions) -> None:
         plain = lambda v: sorted(map(str, v)) if isinstance(v, (set, frozenset)) else v
         said = json.dumps([[s.name for s in steps], asdict(options)], default=plain, sort_keys=True)
